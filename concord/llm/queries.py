@@ -4,20 +4,36 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
 
+from concord.llm import bpe
 from concord.llm.common import documents
 from concord.llm.exact_dedup import exact_dedup
+from concord.llm.mixing import mixed_counts
+from concord.llm.quality import quality_rules
 from concord.llm.sharding import reshard_documents
+from concord.llm.simhash import near_duplicates
 from concord.llm.warc import round_trip
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed_counts(documents(spark, sf_dir))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(documents(spark, sf_dir))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reshard_documents(documents(spark, sf_dir))
 
@@ -26,10 +42,18 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(documents(spark, sf_dir, "pages"))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe": op1_bpe,
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_mixing": op4_mixing,
+    "op6_quality": op6_quality,
     "op7_sharding": op7_sharding,
     "op9_warc": op9_warc,
+    "op10_simhash": op10_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
