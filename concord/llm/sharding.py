@@ -11,6 +11,8 @@ from concord.llm.common import fresh_path
 
 #: Blocks of an old shard, by the hash of the text; equal texts share a block.
 BLOCKS = 256
+#: Neighbouring blocks that one task lays out: they fall into few shards, so few files are open in a task.
+TOGETHER = 8
 #: Parts of a block that holds too much for one task or shard, by the hash of the id.
 PARTS = 16
 #: A group of equal texts stays in one shard if it has at most this share of a shard's bytes.
@@ -115,19 +117,21 @@ def reshard(docs: DataFrame, old_shard: Column, n_old: int, n_new: int, path: st
     # both tables have a size that depends on the parameters only
     start = F.broadcast(spark.createDataFrame(starts, "old int, b1 int, b2 int, start long"))
     cut = F.broadcast(spark.createDataFrame(cuts, "old int, cuts array<struct<lo: long, shard: int>>"))
-    block = Window.partitionBy("old", "b1", "b2")
-    line = block.orderBy("th", F.col("doc_id").asc_nulls_first())
-    group = Window.partitionBy("old", "b1", "b2", "th")
+    block = ("old", "near", "b1", "b2")
+    line = Window.partitionBy(*block).orderBy("th", F.col("doc_id").asc_nulls_first())
+    group = Window.partitionBy(*block, "th")
     placed = (
         base.join(start, ["old", "b1", "b2"])
         .join(cut, "old")
+        .withColumn("near", F.floor(F.col("b1") / TOGETHER).cast("int"))
+        .repartition("old", "near", "b2")
         .withColumn("own", F.col("start") + F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
         .withColumn("first", F.min("own").over(group))
         .withColumn("group_bytes", F.sum("size").over(group))
         .withColumn("pos", F.when(F.col("group_bytes") <= int(max(caps) * WHOLE_GROUP), F.col("first")).otherwise(F.col("own")))
         .withColumn("shard", F.expr("element_at(filter(cuts, c -> c.lo <= pos), -1).shard"))
         .withColumn("block", (F.col("old") * BLOCKS + F.col("b1")) * PARTS + F.col("b2"))
-        .withColumn("rn", F.row_number().over(Window.partitionBy("old", "b1", "b2", "shard").orderBy("th", F.col("doc_id").asc_nulls_first())))
+        .withColumn("rn", F.row_number().over(Window.partitionBy(*block, "shard").orderBy("th", F.col("doc_id").asc_nulls_first())))
     )
     placed.select("doc_id", "text", "size", "block", "rn", "shard").write.option("compression", "zstd").partitionBy("shard").parquet(path)
     return flow
