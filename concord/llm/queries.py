@@ -9,6 +9,7 @@ import public_tokenizers
 from concord.llm import bpe
 from concord.llm.common import documents
 from concord.llm.exact_dedup import exact_dedup
+from concord.llm.language import identify
 from concord.llm.mixing import mixed_counts
 from concord.llm.quality import quality_rules
 from concord.llm.sharding import reshard_documents
@@ -26,6 +27,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(documents(spark, sf_dir))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_counts(documents(spark, sf_dir))
 
@@ -49,6 +54,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_language": op3_language,
     "op4_mixing": op4_mixing,
     "op6_quality": op6_quality,
     "op7_sharding": op7_sharding,
