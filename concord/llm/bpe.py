@@ -137,11 +137,14 @@ class Bpe:
         short = [i for i, b in enumerate(raw) if len(b) <= LONG_WORD]
         word, sym = self.merge_rounds([raw[i] for i in short])
         bounds = np.searchsorted(word, np.arange(len(short) + 1)).tolist()
-        listed = sym.tolist()
-        found = {i: listed[bounds[k] : bounds[k + 1]] for k, i in enumerate(short)} | {i: self.merge_long(b) for i, b in enumerate(raw) if len(b) > LONG_WORD}
-        for i, ids in found.items():
-            self.ids[new[i]] = np.array(ids, np.uint32).tobytes()
-            self.shown[new[i]] = ",".join(map(str, ids))
+        packed, shown = sym.astype(np.uint32).tobytes(), list(map(str, sym.tolist()))
+        for k, i in enumerate(short):
+            lo, hi = bounds[k], bounds[k + 1]
+            self.ids[new[i]], self.shown[new[i]] = packed[4 * lo : 4 * hi], ",".join(shown[lo:hi])
+        for i, b in enumerate(raw):
+            if len(b) > LONG_WORD:
+                ids = self.merge_long(b)
+                self.ids[new[i]], self.shown[new[i]] = np.array(ids, np.uint32).tobytes(), ",".join(map(str, ids))
 
     def stretches(self, text: str) -> Iterator[str]:
         """Parts of a text between which no token reaches."""
@@ -154,18 +157,46 @@ class Bpe:
             lo = m.start()
         yield text[lo:]
 
-    def encode(self, text: str) -> Iterator[tuple[bytes, str]]:
-        """Parts of the ids, as little-endian 32-bit bytes and as decimals joined by commas."""
+    def pieces(self, text: str) -> Iterator[list[str] | int]:
+        """Words of the text's stretches, and the ids of the special tokens between them."""
         plain, specials = (self.cut.split(text), self.cut.findall(text)) if self.cut else ([text], [])
         for k, part in enumerate(plain):
             for stretch in self.stretches(part):
                 words = self.split.findall(stretch)
                 if words:
-                    self.learn(set(words))
-                    yield b"".join([self.ids[w] for w in words]), ",".join([self.shown[w] for w in words])
+                    yield words
             if k < len(specials):
-                i = self.special[specials[k]]
-                yield np.uint32(i).tobytes(), str(i)
+                yield self.special[specials[k]]
+
+    def rendered(self, piece: list[str] | int) -> tuple[bytes, str]:
+        """Ids of a piece with known words, as little-endian 32-bit bytes and as decimals joined by commas."""
+        if isinstance(piece, int):
+            return np.uint32(piece).tobytes(), str(piece)
+        return b"".join(map(self.ids.__getitem__, piece)), ",".join(map(self.shown.__getitem__, piece))
+
+    def encode(self, text: str) -> Iterator[tuple[bytes, str]]:
+        """Parts of the ids of a text, of bounded size."""
+        for piece in self.pieces(text):
+            if not isinstance(piece, int):
+                self.learn(set(piece))
+            yield self.rendered(piece)
+
+    def encode_many(self, texts: list[str]) -> Iterator[Iterator[tuple[bytes, str]]]:
+        """The parts of each text; words of neighbouring short texts are merged in the same rounds."""
+        lo = 0
+        while lo < len(texts):
+            hi, size = lo, 0
+            while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= STRETCH):
+                size += len(texts[hi])
+                hi += 1
+            if hi == lo + 1:
+                yield self.encode(texts[lo])
+            else:
+                split = [list(self.pieces(t)) for t in texts[lo:hi]]
+                self.learn({w for pieces in split for p in pieces if not isinstance(p, int) for w in p})
+                for pieces in split:
+                    yield map(self.rendered, pieces)
+            lo = hi
 
     def decode(self, ids: bytes) -> str:
         """Text of ids given as little-endian 32-bit bytes; bytes that aren't UTF-8 become replacement characters."""
@@ -218,7 +249,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     Defined cases: null and empty texts have 0 tokens and the digests of nothing; a text may hold special tokens, which
     get their own id; repeated rows give equal rows; null ids stay null; other columns are ignored; no rows give none.
-    One text is held at a time besides the Arrow batch; its words are split in stretches of bounded size.
+    Besides the Arrow batch one stretch of words of bounded size is held, or the ids of one text.
     """
     shared = _broadcast(docs, path)
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
@@ -227,9 +258,9 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         bpe = _bpe(shared)
         for batch in batches:
             rows = []
-            for text in batch.column(1):
+            for parts in bpe.encode_many([t or "" for t in batch.column(1).to_pylist()]):
                 ids, digest, n = [], hashlib.sha256(), 0
-                for raw, decimals in bpe.encode(text.as_py() or ""):
+                for raw, decimals in parts:
                     digest.update((("," if n else "") + decimals).encode())
                     n += len(raw) // 4
                     ids.append(raw)
