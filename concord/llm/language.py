@@ -99,7 +99,8 @@ class Ppm:
             self.contexts.append(known)
             tables.append(cost)
         #: All contexts in one table, and for every ORDER symbols the row of their longest known context.
-        self.costs = np.concatenate(tables[1:]).astype(np.float32).reshape(-1, len(self.langs))
+        costs = np.concatenate(tables[1:]).astype(np.float32)
+        self.costs = costs.reshape(len(costs) * self.width, len(self.langs))
         self.row = np.zeros((self.width,) * ORDER, np.int32)
         first = 0
         for order, known in enumerate(self.contexts[1:]):
