@@ -136,27 +136,15 @@ def k1(spark, sf):
 
 @query("s9_bitmap_slices", f"with {V}, {PACKED}, {LONG} select source, block, bits, shard from lb")
 def s9(spark, sf):
-    """Raw little-endian slices of each (source, shard), made by Spark as binary rows, through the importer's decoding."""
+    """Raw little-endian slices of each (source, shard), made by Spark as binary values, through the importer's decoding."""
     rows = long_blocks(spark, sf)
-    path = fresh_path(spark, "slices")
     hexed = F.expr("lpad(lower(hex(bits)), 16, '0')")
     little = F.concat(*(F.substring(hexed, 15 - 2 * i, 2) for i in range(8)))
     near = F.struct(F.col("block"), little.alias("h"))
     slices = rows.groupBy("source", "shard").agg(F.sort_array(F.collect_list(near)).alias("s"))  # four blocks a slice
     full = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.coalesce(F.get(F.filter("s", lambda x: x["block"] % 4 == i), F.lit(0))["h"], F.lit("0" * 16))), "")
 
-    def put(batches):
-        import pathlib
-
-        for pdf in batches:
-            for source, shard, content in pdf.itertuples(index=False):
-                to = pathlib.Path(path.removeprefix("file:"))
-                to.mkdir(parents=True, exist_ok=True)
-                (to / f"{source}-{shard}.bin").write_bytes(bytes.fromhex(content))
-            yield pdf[["shard"]]
-
-    slices.select("source", "shard", full.alias("content")).mapInPandas(put, "shard long").count()
-    return stored_packed.import_bitmap_slices(spark, path, shard_bits=SHARD_BITS)
+    return stored_packed.decode_slices(slices.select("source", "shard", F.unhex(full).alias("content")), SHARD_BITS)
 
 
 @query("j2_align_sources", f"with {V}, {PACKED} select * from p where a <> 0 or b <> 0 or c <> 0 or base <> 0")
@@ -233,13 +221,13 @@ def u6(spark, sf):
 
 
 @query("a14_content_hash", f"""with {V}, {PACKED}, {LONG}, c as (select shard, seq, block >> 12 as chunk, sha256(string_agg(to_hex(block) || ':' || upper(printf('%x', bits)), '' order by block)) as h from lb group by 1, 2, 3)
-  select shard, sha256(string_agg(h, '' order by seq, chunk)) as content_hash from c group by 1""")
+  select shard, sha256(string_agg(seq || ':' || chunk || ':' || h, '' order by seq, chunk)) as content_hash from c group by 1""")
 def a14(spark, sf):
     return hashing.content_hash(long_blocks(spark, sf), ALL)
 
 
 @query("a15_result_hash", f"""with {V}, {PACKED}, {LONG}, c as (select shard, seq, block >> 12 as chunk, sha256(string_agg(to_hex(block) || ':' || upper(printf('%x', bits)), '' order by block)) as h from lb group by 1, 2, 3),
-  s as (select shard, sha256(string_agg(h, '' order by seq, chunk)) as h from c group by 1) select sha256(string_agg(h, '' order by shard)) as result_hash from s""")
+  s as (select shard, sha256(string_agg(seq || ':' || chunk || ':' || h, '' order by seq, chunk)) as h from c group by 1) select sha256(string_agg(h, '' order by shard)) as result_hash from s""")
 def a15(spark, sf):
     return hashing.result_hash(hashing.content_hash(long_blocks(spark, sf), ALL).select(F.col("shard").alias("seq"), F.col("content_hash").alias("hash")))
 
@@ -362,7 +350,17 @@ def parsed_docs(spark: SparkSession, sf: str) -> DataFrame:
 @query("s2_xml_scan", f"with {GOOD} select {ID} as id, {KIND} as type from g")
 def s2(spark, sf):
     path = fresh_path(spark, "xml")
-    rule_docs(spark, sf).where("xml like '%/>%' and p_partkey % 50 <> 49").select("xml").write.text(path)
+
+
+    def wrapped(batches):
+        import pandas as pd
+
+        yield pd.DataFrame({"value": ["<rules>"]})
+        for pdf in batches:
+            yield pdf.rename(columns={"xml": "value"})
+        yield pd.DataFrame({"value": ["</rules>"]})
+
+    rule_docs(spark, sf).where("p_partkey % 50 <> 49").select("xml").mapInPandas(wrapped, "value string").write.text(path)
     return rule_xml.read_rule_xml(spark, path).select(F.col("_id").alias("id"), F.col("_type").alias("type"))
 
 
@@ -652,7 +650,7 @@ def s12(spark, sf):
 
 RECORDS = f"""{V}, {SIZE}, {PACKED}, {LONG}, sh as (select unnest(range(0, (select n // 256 from n))) as shard),
   ch as (select shard, seq, block >> 12 as chunk, sha256(string_agg(to_hex(block) || ':' || upper(printf('%x', bits)), '' order by block)) as h from lb group by 1, 2, 3),
-  hs as (select shard, sha256(string_agg(h, '' order by seq, chunk)) as content_hash from ch group by 1)"""
+  hs as (select shard, sha256(string_agg(seq || ':' || chunk || ':' || h, '' order by seq, chunk)) as content_hash from ch group by 1)"""
 
 
 def all_records(spark: SparkSession, sf: str) -> DataFrame:

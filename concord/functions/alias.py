@@ -45,7 +45,7 @@ def grouped_aliases(aliasrefs: DataFrame) -> DataFrame:
 
 def split_clauses(condition: Column) -> Column:
     """Clauses joined by ``&&`` outside parentheses, trimmed."""
-    return F.transform(F.split(condition, r"&&(?![^(]*\))"), F.trim)
+    return F.transform(F.split(condition, r"&&(?![^(]*\))"), lambda c: F.trim(c))
 
 
 def compile_alias_rules(rules: DataFrame, empty_condition: str = "decline") -> DataFrame:
@@ -75,7 +75,7 @@ def compile_alias_rules(rules: DataFrame, empty_condition: str = "decline") -> D
 
     def alternatives(clause: Column) -> Column:
         grouped = clause.rlike(r"^\(.*\)$")
-        return F.when(grouped, F.transform(F.split(F.regexp_replace(clause, r"^\(|\)$", ""), r"\|\|"), F.trim)).otherwise(F.array(clause))
+        return F.when(grouped, F.transform(F.split(F.regexp_replace(clause, r"^\(|\)$", ""), r"\|\|"), lambda c: F.trim(c))).otherwise(F.array(clause))
 
     condition = F.trim(F.coalesce("condition", F.lit("")))
     always = (condition == "Unconditionally") | (F.lit(empty_condition == "apply") & (condition == ""))

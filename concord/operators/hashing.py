@@ -22,7 +22,8 @@ def content_hash(packed: DataFrame, sources: list[str]) -> DataFrame:
     """
     seq = F.create_map(*(x for i, s in enumerate(sources) for x in (F.lit(s), F.lit(i))))
     rows = packed.where("bits <> 0").select("shard", F.try_element_at(seq, F.col("source")).alias("seq"), F.shiftright("block", CHUNK_BITS).alias("chunk"), "block", F.concat_ws(":", F.hex("block"), F.hex("bits")).alias("v"))
-    chunks = _digest(rows.where("seq is not null"), ("shard", "seq", "chunk"), "v", ("block",), "h")
+    chunks = _digest(rows.where("seq is not null"), ("shard", "seq", "chunk"), "v", ("block",), "_h")
+    chunks = chunks.withColumn("h", F.concat_ws(":", "seq", "chunk", "_h"))
     return _digest(chunks, ("shard",), "h", ("seq", "chunk"), "content_hash")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from concord.operators.hashing import content_hash
 from concord.operators.packed import popcounts
 from concord.sources.packed import read_packed, write_packed
+from concord.sources.scratch import stored
 
 
 def shard_records(packed: DataFrame, sources: list[str], bounds: DataFrame, errors: DataFrame | None = None) -> DataFrame:
@@ -57,10 +58,11 @@ def resume(bounds: DataFrame, records: DataFrame, sweep: Callable[[DataFrame], D
     Returns fresh records of those shards.
     """
     spark = bounds.sparkSession
-    todo = shards_to_do(bounds, records, read_packed(spark, path), sources)
+    # the list of shards is written down before the store changes under it
+    todo = stored(shards_to_do(bounds, records, read_packed(spark, path), sources), "todo")
     write_packed(sweep(todo), path)
-    stored = read_packed(spark, path).join(F.broadcast(todo.select("shard")), "shard", "left_semi")
-    return shard_records(stored, sources, todo)
+    done = read_packed(spark, path).join(F.broadcast(todo.select("shard")), "shard", "left_semi")
+    return shard_records(done, sources, todo)
 
 
 def verify_shard(records: DataFrame, fresh: DataFrame, sources: list[str]) -> DataFrame:

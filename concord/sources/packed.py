@@ -25,12 +25,16 @@ def read_packed(spark: SparkSession, path: str, shards: list[int] | None = None)
 
 
 def import_bitmap_slices(spark: SparkSession, path: str, name: str = r"([^/]+)-(\d+)\.bin$", shard_bits: int = 24) -> DataFrame:
-    """Blocks of raw slices, named ``<source>-<shard>.bin``: bit i of the file is word i of the shard, lowest bit first.
+    """Blocks of raw slices, named ``<source>-<shard>.bin``."""
+    files = spark.read.format("binaryFile").load(path)
+    return decode_slices(files.select(F.regexp_extract("path", name, 1).alias("source"), F.regexp_extract("path", name, 2).cast("long").alias("shard"), "content"), shard_bits)
+
+
+def decode_slices(slices: DataFrame, shard_bits: int = 24) -> DataFrame:
+    """Blocks of ``source, shard, content`` rows: bit i of the content is word i of the shard, lowest bit first.
 
     Eight bytes as a little-endian long are one block. Rows of zero blocks are left out.
     """
-    files = spark.read.format("binaryFile").load(path)
-    named = files.select(F.regexp_extract("path", name, 1).alias("source"), F.regexp_extract("path", name, 2).cast("long").alias("shard"), "content")
 
     def run(batches) -> Iterator:
         import numpy as np
@@ -46,4 +50,4 @@ def import_bitmap_slices(spark: SparkSession, path: str, name: str = r"([^/]+)-(
                     part = at[lo : lo + BATCH]
                     yield pd.DataFrame({"source": source, "block": first + part, "bits": bits[part], "shard": int(shard)})
 
-    return named.mapInPandas(run, SCHEMA)
+    return slices.mapInPandas(run, SCHEMA)

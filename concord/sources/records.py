@@ -77,7 +77,7 @@ def write_reproducers(rendered: DataFrame, path: str) -> None:
 
 def read_reproducers(spark: SparkSession, path: str) -> DataFrame:
     """Header fields ``- key: value`` of each file; of a repeated key the last counts."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).withColumn("file", F.regexp_extract(F.input_file_name(), r"file=([^/]+)/", 1))
+    files = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).load(path).withColumn("file", F.regexp_extract(F.input_file_name(), r"file=([^/]+)/", 1))
     last = lambda key: F.element_at(F.regexp_extract_all("value", F.lit(rf"(?m)^- {key}: (.*)$"), 1), -1)
     keys = ("word", "category", "tool", "spec", "actual")
     has = lambda key: F.col("value").rlike(rf"(?m)^- {key}: ")

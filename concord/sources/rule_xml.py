@@ -33,7 +33,9 @@ def read_rule_xml(spark: SparkSession, path: str) -> DataFrame:
 def parse_rule_xml(docs: DataFrame, col: str = "xml") -> DataFrame:
     """The same from a column of whole documents; keeps the text, as ``xml``, for path expressions."""
     parsed = docs.withColumn("_doc", F.from_xml(F.col(col), SCHEMA, {"rowTag": ROW_TAG}))
-    return parsed.select("*", "_doc.*").drop("_doc").where("_id is not null")
+    # from_xml takes any root for a row; the document must begin with the row tag, after a prolog or comments
+    root = F.col(col).rlike(rf"^\s*(?:<\?(?s:.*?)\?>\s*|<!(?s:.*?)>\s*)*<{ROW_TAG}[\s>/]")
+    return parsed.where(root).select("*", "_doc.*").drop("_doc").where("_id is not null")
 
 
 def extract_boxes(docs: DataFrame) -> DataFrame:
