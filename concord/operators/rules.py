@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from concord.functions.bits import existing  # noqa: F401  (part of the operators' vocabulary)
-
 #: Prefix buckets that one rule may be copied to; rules with more variable prefix bits go to the nested loop.
 MOST_VARIABLE = 4
 #: Rules that are broadcast; a larger table is joined by a shuffle on the prefix.
@@ -59,30 +57,38 @@ def prefix_buckets(rules: DataFrame, width: int, bits: int) -> DataFrame:
 
 
 def classify_words(words: DataFrame, rules: DataFrame, width: int = 32, prefix_bits: int = 8, names: tuple[str, ...] = ()) -> DataFrame:
-    """Rows of ``words`` (``word`` and more, words unique) with ``valid, rule_id, n_match``: the lowest matching rule and
-    how many match.
+    """Rows of ``words`` (``word`` and more) with ``valid, rule_id, n_match``: the lowest matching rule and how many
+    match.
 
-    ``word & mask = value`` becomes an equi-join on the word's prefix with the rest as a condition on the bucket. Rules
-    with many variable prefix bits, which would be copied to many buckets, are matched by a nested loop over that
-    (small) rest. The rule side is broadcast behind a check of its size. Matches are aggregated per word only where
-    there are any; words without a match never leave their partition when the rules are broadcast.
+    ``word & mask = value`` is looked up by the word's prefix. A rule table of checked size is folded into one array of
+    rules per prefix and broadcast: every word meets one row, is tested against its bucket's few rules, and never moves,
+    so the sweep of a whole domain has no exchange. Rules with many variable prefix bits, which would be copied to many
+    buckets, form one more array for all words. A larger rule table is joined by a shuffle on the prefix.
     """
     bits = min(prefix_bits, width)
     low = width - bits
+    if rules.limit(FEW_RULES + 1).count() > FEW_RULES:
+        return _classify_by_shuffle(words, rules, width, bits, names)
     variable = bits - F.bit_count(F.shiftright("mask", low).bitwiseAND((1 << bits) - 1))
-    few = rules.limit(FEW_RULES + 1).count() <= FEW_RULES
-    hint = F.broadcast if few else (lambda df: df)
     slim = rules.select("rule_id", "mask", "value")
-    near = prefix_buckets(slim.where(variable <= MOST_VARIABLE), width, bits)
-    far = slim.where(variable > MOST_VARIABLE)
-    keyed = words.select("word").withColumn("prefix", F.shiftright("word", low))
+    folded = F.sort_array(F.collect_list(F.struct("rule_id", "mask", "value")))
+    near = prefix_buckets(slim.where(variable <= MOST_VARIABLE), width, bits).groupBy("prefix").agg(folded.alias("_near"))
+    far = slim.where(variable > MOST_VARIABLE).agg(folded.alias("_far"))  # one row
+    met = words.withColumn("prefix", F.shiftright("word", low)).join(F.broadcast(near), "prefix", "left").crossJoin(F.broadcast(far))
+    none = "cast(array() as array<struct<rule_id: {0}, mask: bigint, value: bigint>>)".format(dict(rules.dtypes)["rule_id"])
+    hits = met.withColumn("_hits", F.expr(f"filter(concat(coalesce(_near, {none}), _far), r -> (word & r.mask) = r.value)"))
+    out = hits.withColumn("n_match", F.size("_hits").cast("long")).withColumn("rule_id", F.expr("array_min(_hits).rule_id")).withColumn("valid", F.col("n_match") > 0).drop("prefix", "_near", "_far", "_hits")
+    return out if not names else out.join(F.broadcast(rules.select("rule_id", *names)), "rule_id", "left")
+
+
+def _classify_by_shuffle(words: DataFrame, rules: DataFrame, width: int, bits: int, names: tuple[str, ...]) -> DataFrame:
+    """The form for rule tables that don't fit a broadcast: an equi-join on the prefix, matches aggregated per word."""
     match = F.col("word").bitwiseAND(F.col("mask")) == F.col("value")
-    hits = keyed.join(hint(near), "prefix").where(match).select("word", "rule_id")
-    if not far.isEmpty():
-        hits = hits.unionByName(keyed.join(F.broadcast(far), match).select("word", "rule_id"))
+    keyed = words.select("word").distinct().withColumn("prefix", F.shiftright("word", width - bits))
+    hits = keyed.join(prefix_buckets(rules.select("rule_id", "mask", "value"), width, bits), "prefix").where(match)
     found = hits.groupBy("word").agg(F.min("rule_id").alias("rule_id"), F.count("*").alias("n_match"))
     out = words.join(found, "word", "left").withColumn("valid", F.col("rule_id").isNotNull()).withColumn("n_match", F.coalesce("n_match", F.lit(0)))
-    return out if not names else out.join(hint(rules.select("rule_id", *names)), "rule_id", "left")
+    return out if not names else out.join(rules.select("rule_id", *names), "rule_id", "left")
 
 
 def classify_nested_loop(words: DataFrame, rules: DataFrame) -> DataFrame:

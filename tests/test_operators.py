@@ -21,10 +21,12 @@ def brute(patterns, width):
     return [[i for i, p in enumerate(patterns) if all(c in ("x", b) for c, b in zip(p, f"{w:0{width}b}", strict=True))] for w in range(1 << width)]
 
 
-def test_three_forms_of_classification_agree(spark):
+def test_three_forms_of_classification_agree(spark, monkeypatch):
     patterns = [*PATTERNS, "xxxxxxxxx101", "xxxx1xxxxxxx"]
     words, table = keyspace.key_space(spark, 12, 6), rule_rows(spark, patterns)
     near = {r.word: (r.rule_id, r.n_match, r.valid) for r in rules.classify_words(words, table, 12).collect()}
+    monkeypatch.setattr(rules, "FEW_RULES", 2)
+    assert near == {r.word: (r.rule_id, r.n_match, r.valid) for r in rules.classify_words(words, table, 12).collect()}
     loop = {r.word: (r.rule_id, r.n_match, r.valid) for r in rules.classify_nested_loop(words, table).collect()}
     want = {w: (min(m) if m else None, len(m), bool(m)) for w, m in enumerate(brute(patterns, 12))}
     assert near == loop == want
