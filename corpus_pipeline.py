@@ -26,8 +26,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays, with the smallest id."""
-    kept = exact_dedup(docs, keep="min").where("kept").select("doc_id")
+    """One document of each group of equal texts stays, the one with the largest id."""
+    kept = exact_dedup(docs).where("kept").select("doc_id")
     return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
 
 
