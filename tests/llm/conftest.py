@@ -1,6 +1,5 @@
 import pytest
 
-pytest.importorskip("concord.llm")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Extra columns with names that the operators use inside.
 CLASHING = ["fp", "node", "key", "size", "row", "s", "start", "keep_id", "shard", "spans", "host", "words", "_h", "_norm", "text_sha256"]

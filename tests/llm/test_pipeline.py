@@ -26,13 +26,11 @@ def test_stages(spark, small):
     assert texts == {r.doc_id: r.text for r in docs.collect()}
 
     two = stage["exact_dedup"](spark, one, small)
-    first = {}
-    for i, t in sorted(texts.items()):
-        first.setdefault(t.translate(A_Z), i)
-    assert sorted(r.doc_id for r in two.collect()) == sorted(first.values())
+    last = {t.translate(A_Z): i for i, t in sorted(texts.items())}
+    assert sorted(r.doc_id for r in two.collect()) == sorted(last.values())
 
     three = stage["simhash_near_dedup"](spark, two, small)
-    ids = sorted(first.values())
+    ids = sorted(last.values())
     part = components(ids, [plain_fingerprint(texts[i]) for i in ids])
     assert sorted(r.doc_id for r in three.collect()) == sorted(i for i, c in zip(ids, part, strict=True) if i == c)
 
