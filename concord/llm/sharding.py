@@ -7,15 +7,16 @@ from collections import deque
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from concord.llm.common import fresh_path
+from concord.llm.common import fresh_path, materialize
 
 #: Blocks of an old shard, by the hash of the text; equal texts share a block.
-BLOCKS = 256
-#: Neighbouring blocks that one task lays out: they fall into few shards, so few files are open in a task.
-TOGETHER = 8
-#: Parts of a block that holds too much for one task or shard, by the hash of the id.
+#: Each falls into one or two shards, so the blocks of a task bound the files it writes.
+BLOCKS = 48
+#: Parts of a block that holds too much for one task or shard, by more bits of the text's hash; the rows of a group that
+#: is too large for one shard go by the hash of their id.
 PARTS = 16
-#: A group of equal texts stays in one shard if it has at most this share of a shard's bytes.
+#: A group of equal texts stays in one shard if it has at most this share of a shard's bytes. Single documents above it
+#: (there are at most its inverse times the number of shards) are placed one by one before the flow is solved.
 WHOLE_GROUP = 1 / 200
 
 
@@ -23,6 +24,27 @@ def capacities(total: int, n: int) -> list[int]:
     return [total // n + (i < total % n) for i in range(n)]
 
 
+def place_heavy(heavy: list[tuple[int, int]], caps: list[int]) -> list[int]:
+    """Shard of each ``(size, old shard)``, largest first: the old one while it has room, else the emptiest."""
+    load, at = [0] * len(caps), [0] * len(heavy)
+    for i in sorted(range(len(heavy)), key=lambda i: (-heavy[i][0], i)):
+        size, old = heavy[i]
+        at[i] = old if old < len(caps) and load[old] + size <= caps[old] else min(range(len(caps)), key=lambda s: (load[s] - caps[s], s))
+        load[at[i]] += size
+    return at
+
+
+def levelled(total: int, load: list[int]) -> list[int]:
+    """Capacities that bring unequal loads to one level by ``total`` more bytes; none is below 0."""
+    order = sorted(range(len(load)), key=lambda s: load[s])
+    n, below = 0, 0
+    while n < len(order) and (n == 0 or load[order[n]] * n - below < total):
+        below += load[order[n]]
+        n += 1
+    shares = capacities(total + below, n)
+    return [max(0, shares[order.index(s)] - load[s]) if s in order[:n] else 0 for s in range(len(load))]
+
+
 def min_cost_flow(sizes: list[int], caps: list[int]) -> dict[tuple[int, int], int]:
     """Bytes from each old to each new shard; a byte that stays where it is costs 0, a moved one 1.
 
@@ -73,7 +95,7 @@ def reshard(docs: DataFrame, old_shard: Column, n_old: int, n_new: int, path: st
 
     ``old_shard`` is an expression over ``docs`` in [0, n_old). Rows of an old shard stand in one line, ordered by block
     (hash of the text), text hash and id; the flow cuts that line. Only sums per block meet on the driver: at most
-    ``n_old * BLOCKS`` rows, and PARTS times the few blocks that are too large. The texts move in one exchange.
+    ``n_old * BLOCKS`` rows, PARTS times the few blocks that are too large, and the few heavy documents and groups. The texts move in one exchange.
     Each ``(shard, block)`` numbers its rows from 1 in ``rn``.
 
     Defined cases: a null text counts 8 bytes and equals no group but the other null and empty texts; null ids are
@@ -87,20 +109,41 @@ def reshard(docs: DataFrame, old_shard: Column, n_old: int, n_new: int, path: st
         F.coalesce(old_shard, F.lit(0)).cast("int").alias("old"),
         F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"),
     ).withColumn("b1", F.pmod(F.col("th"), F.lit(BLOCKS)).cast("int"))
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int")
+    slim = materialize(base.drop("text"), "shard-sizes")
+    total = slim.agg(F.sum("size")).first()[0] or 0
+    most = max(1, int(total / n_new * WHOLE_GROUP))
+    # at most n_new / WHOLE_GROUP rows
+    heavy = slim.where(F.col("size") > most).groupBy("doc_id").agg(F.sum("size").alias("b"), F.min("old").alias("old")).orderBy("doc_id").collect()
+    placed_at = place_heavy([(r.b, r.old) for r in heavy], capacities(total, n_new))
+    load = [0] * n_new
+    for r, s in zip(heavy, placed_at, strict=True):
+        load[s] += r.b
+    spark = docs.sparkSession
+    heavy_at = F.broadcast(spark.createDataFrame([(r.doc_id, s) for r, s in zip(heavy, placed_at, strict=True)], "heavy_id long, heavy_shard int"))
+
+    def lightened(df: DataFrame) -> DataFrame:
+        """Heavy documents are a line of their own, -1, with a block per shard."""
+        found = df.join(heavy_at, (F.col("size") > most) & F.col("doc_id").eqNullSafe(F.col("heavy_id")), "left")
+        alone = F.col("heavy_shard").isNotNull()
+        return found.withColumn("old", F.when(alone, F.lit(-1)).otherwise(F.col("old"))).withColumn("b1", F.when(alone, F.col("heavy_shard")).otherwise(F.col("b1")))
 
-    rows = [r for r in base.groupBy("old", "b1").agg(F.sum("size").alias("b")).collect()]
+    base, slim = lightened(base), lightened(slim).where("old >= 0")
+    rows = slim.groupBy("old", "b1").agg(F.sum("size").alias("b")).collect()
     sizes = [sum(r.b for r in rows if r.old == o) for o in range(n_old)]
-    caps = capacities(sum(sizes), n_new)
+    caps = levelled(sum(sizes), load)
     flow = min_cost_flow(sizes, caps)
-    limit = max(1, max(caps) // 8)
+    limit = max(1, total // n_new // 4)
     large = sorted((r.old, r.b1) for r in rows if r.b > limit)
+    # groups that no shard takes as a whole: at most n_new / WHOLE_GROUP of them
+    hot = [r.th for r in slim.groupBy("old", "th").agg(F.sum("size").alias("b")).where(F.col("b") > most).select("th").distinct().collect()] if large else []
+    by_id, by_text = (F.pmod(h, F.lit(PARTS)).cast("int") for h in (F.xxhash64("doc_id"), F.shiftright("th", 20)))
+    part = F.when(F.col("th").isin(hot), by_id).otherwise(by_text) if hot else by_text
     key = F.col("old") * BLOCKS + F.col("b1")
-    split = key.isin([o * BLOCKS + b for o, b in large]) if large else F.lit(False)
-    base = base.withColumn("b2", F.when(split, part).otherwise(F.lit(0)))
+    split = (F.col("old") >= 0) & key.isin([o * BLOCKS + b for o, b in large]) if large else F.lit(False)
+    base, slim = (df.withColumn("b2", F.when(split, part).otherwise(F.lit(0))) for df in (base, slim))
     parts = {(r.old, r.b1, 0): r.b for r in rows if (r.old, r.b1) not in set(large)}
     if large:
-        parts |= {(r.old, r.b1, r.b2): r.b for r in base.where(split).groupBy("old", "b1", "b2").agg(F.sum("size").alias("b")).collect()}
+        parts |= {(r.old, r.b1, r.b2): r.b for r in slim.where(split).groupBy("old", "b1", "b2").agg(F.sum("size").alias("b")).collect()}
 
     starts, at = [], {}
     for (o, b1, b2), size in sorted(parts.items()):
@@ -113,25 +156,24 @@ def reshard(docs: DataFrame, old_shard: Column, n_old: int, n_new: int, path: st
             mine.append((lo, s))
             lo += flow[o, s]
         cuts.append((o, mine or [(0, o % n_new)]))
-    spark = docs.sparkSession
+    starts += [(-1, s, 0, 0) for s in range(n_new)]
+    cuts.append((-1, [(0, 0)]))
     # both tables have a size that depends on the parameters only
     start = F.broadcast(spark.createDataFrame(starts, "old int, b1 int, b2 int, start long"))
     cut = F.broadcast(spark.createDataFrame(cuts, "old int, cuts array<struct<lo: long, shard: int>>"))
-    block = ("old", "near", "b1", "b2")
-    line = Window.partitionBy(*block).orderBy("th", F.col("doc_id").asc_nulls_first())
-    group = Window.partitionBy(*block, "th")
+    block = Window.partitionBy("old", "b1", "b2")
+    line = block.orderBy("th", F.col("doc_id").asc_nulls_first())
+    group = Window.partitionBy("old", "b1", "b2", "th")
     placed = (
         base.join(start, ["old", "b1", "b2"])
         .join(cut, "old")
-        .withColumn("near", F.floor(F.col("b1") / TOGETHER).cast("int"))
-        .repartition("old", "near", "b2")
         .withColumn("own", F.col("start") + F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
         .withColumn("first", F.min("own").over(group))
         .withColumn("group_bytes", F.sum("size").over(group))
-        .withColumn("pos", F.when(F.col("group_bytes") <= int(max(caps) * WHOLE_GROUP), F.col("first")).otherwise(F.col("own")))
-        .withColumn("shard", F.expr("element_at(filter(cuts, c -> c.lo <= pos), -1).shard"))
-        .withColumn("block", (F.col("old") * BLOCKS + F.col("b1")) * PARTS + F.col("b2"))
-        .withColumn("rn", F.row_number().over(Window.partitionBy(*block, "shard").orderBy("th", F.col("doc_id").asc_nulls_first())))
+        .withColumn("pos", F.when(F.col("group_bytes") <= most, F.col("first")).otherwise(F.col("own")))
+        .withColumn("shard", F.coalesce("heavy_shard", F.expr("element_at(filter(cuts, c -> c.lo <= pos), -1).shard")))
+        .withColumn("block", F.when(F.col("old") < 0, F.lit(-1)).otherwise((F.col("old") * BLOCKS + F.col("b1")) * PARTS + F.col("b2")))
+        .withColumn("rn", F.row_number().over(Window.partitionBy("old", "b1", "b2", "shard").orderBy("th", F.col("doc_id").asc_nulls_first())))
     )
     placed.select("doc_id", "text", "size", "block", "rn", "shard").write.option("compression", "zstd").partitionBy("shard").parquet(path)
     return flow
