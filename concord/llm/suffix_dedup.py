@@ -38,8 +38,8 @@ PERIOD = 31
 COVER = np.array([1, 5, 11, 24, 25, 27])
 WIDTH = 64
 #: Bytes of text whose sampled tuples one task handles at a time, and sampled tuples of one bucket, about.
-STRETCH = 8 << 20
-BUCKET = 3_000_000
+STRETCH = 4 << 20
+BUCKET = 1_000_000
 #: Ids that may be broadcast to pick documents; beyond that the documents are joined by a shuffle.
 FEW_IDS = 1_000_000
 #: Apart of documents on the line of all places; no text is longer.
@@ -353,19 +353,19 @@ def of_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, "doc", how)
 
 
-def repeated_spans(texts: DataFrame, max_buckets: int = 1 << 14) -> DataFrame:
+def repeated_spans(texts: DataFrame, max_buckets: int = 1 << 20) -> DataFrame:
     """``doc, spans``: what to remove, for documents (``doc`` long, ``text`` binary) with anything to remove."""
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = 1 << min(max(4, (max(1, total * len(COVER) // PERIOD // BUCKET) - 1).bit_length()), max_buckets.bit_length() - 1)
     blobs = "k int, blob binary"
     tuples = texts.mapInArrow(sampled_tuples(buckets), blobs)
-    links = tuples.repartition(buckets, "k").mapInArrow(named_tuples(buckets), blobs)
-    stretches_ = materialize(links.repartition(buckets, "k").mapInArrow(compared_names, STEP3), "suffix-stretches")
+    links = tuples.repartitionById(buckets, "k").mapInArrow(named_tuples(buckets), blobs)
+    stretches_ = materialize(links.repartitionById(buckets, "k").mapInArrow(compared_names, STEP3), "suffix-stretches")
     open_ = stretches_.where("blob is null").groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     wanted = of_ids(texts, stretches_.where("blob is null").select("doc").distinct(), "left_semi").join(open_, "doc").select("doc", "text", "spans")
-    starts = wanted.mapInArrow(open_starts(buckets), blobs).repartition(buckets, "k").mapInArrow(compared_starts(buckets), blobs)
+    starts = wanted.mapInArrow(open_starts(buckets), blobs).repartitionById(buckets, "k").mapInArrow(compared_starts(buckets), blobs)
     found = stretches_.where("blob is not null").select("k", "blob").union(starts)
-    return materialize(found.repartition(buckets, "k").mapInArrow(removed_spans, "doc long, spans array<struct<lo: long, hi: long>>"), "suffix-spans")
+    return materialize(found.repartitionById(buckets, "k").mapInArrow(removed_spans, "doc long, spans array<struct<lo: long, hi: long>>"), "suffix-spans")
 
 
 def cut_out(text: bytes, spans) -> tuple[bytes, int, int]:
