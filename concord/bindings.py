@@ -153,7 +153,7 @@ def j2(spark, sf):
     return packed.align_sources(long_blocks(spark, sf), ALL)
 
 
-@query("j3_baseline_join", f"with {V}, {PACKED}, {LONG} select t.source, sum(bit_count(xor(t.bits, coalesce(o.bits, 0)))) as differing from lb t left join (select * from lb where source = 'base') o using (block) where t.source <> 'base' group by 1")
+@query("j3_baseline_join", f"with {V}, {PACKED}, {LONG} select t.source, sum(bit_count(xor(t.bits, coalesce(o.bits, 0))))::bigint as differing from lb t left join (select * from lb where source = 'base') o using (block) where t.source <> 'base' group by 1")
 def j3(spark, sf):
     blocks = long_blocks(spark, sf)
     base = blocks.where("source = 'base'").select("block", F.col("bits").alias("base_bits"))
