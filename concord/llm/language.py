@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -164,10 +165,14 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 def with_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``docs`` with ``lang`` replaced by the prediction; rows that are ``und`` go. Other columns stay as they are."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, id_col, text_col, lang_col))
+    shared, at, text_at = docs.sparkSession.sparkContext.broadcast(fit(docs, id_col, text_col, lang_col)), docs.columns.index(lang_col), docs.columns.index(text_col)
 
-    @F.pandas_udf("string")
-    def predicted(texts):
-        return texts.map(lambda t: shared.value.predict(t)[0], na_action=None)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([shared.value.predict(t.as_py())[0] for t in batch.column(text_at)], pa.string())
+            columns = [found if i == at else c for i, c in enumerate(batch.columns)]
+            known = pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(pc.not_equal(found, "und"))
+            if known.num_rows:
+                yield known
 
-    return docs.withColumn(lang_col, predicted(F.col(text_col).cast("string"))).where(F.col(lang_col) != "und")
+    return docs.withColumn(lang_col, F.col(lang_col).cast("string")).mapInArrow(run, docs.withColumn(lang_col, F.col(lang_col).cast("string")).schema)
