@@ -14,8 +14,8 @@ from concord.llm.common import materialize
 
 #: Words of a block.
 BLOCK = 64
-#: Rows of one source that one task orders, about.
-CHUNK_ROWS = 20_000
+#: Rows that one task orders, about, if all are of one source; and the least number of chunks.
+CHUNK_ROWS, CHUNKS = 20_000, 256
 WEIGHTS = (3, 1, 2)
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -113,7 +113,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     spark = docs.sparkSession
     sized = sizes(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").cast("binary").alias("text")))
     sized = materialize(sized.withColumn("row", F.monotonically_increasing_id()), "mix-sizes")
-    chunks = max(16, -(-sized.count() // CHUNK_ROWS))
+    chunks = max(CHUNKS, -(-sized.count() // CHUNK_ROWS))
     p = plan({r.source: r.size for r in sized.groupBy("source").agg(F.sum("size").alias("size")).collect()}, share, most, shards, seed, weights, block)
     table = spark.createDataFrame([(s, i) for i, s in enumerate(p.names)], "name string, s int")
     base = sized.join(F.broadcast(table), sized["source"].eqNullSafe(table["name"])).withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int"))
