@@ -7,12 +7,15 @@ their nearest sampled neighbour. Here only equality over the first GRAM bytes ma
    a shift of at most 30 that makes both sampled, so of two equal strings of 100 bytes some sampled tuples of
    70 bytes, and thus of WIDTH = 64, are equal.
 2. The tuples are hashed, dealt out by hash and sorted; the name of a tuple is the first place that has it. Places
-   that are alone under their name are dropped (most are).
+   that are alone under their name are dropped (most are). A tuple with HOT or more places in one stretch of texts is
+   named there first: its places link to the first of them, and only that one is dealt out, with a mark. So a passage
+   that stands in any share of all documents brings a bucket fewer than HOT places per stretch.
 3. Names are compared in sequence: sampled places of one document whose names are places at one distance in one other
    document, with tuples that overlap, make a stretch that repeats an earlier one.
 4. Every start whose 100 bytes lie in such a stretch is repeated. The starts next to a named place that no stretch
    settles, and their counterparts at the name, are merged in: hashed over all 100 bytes, sorted, and compared with
-   their neighbours in that order.
+   their neighbours in that order. Of equal ones in one stretch of texts only the first is dealt out. As places may
+   link to a marked place instead of the name, the starts next to the name of a marked tuple are merged in as well.
 
 Hashes of tuples only nominate: a stretch needs several equal names in sequence and step 4 compares 128 bits.
 """
@@ -26,6 +29,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +44,8 @@ WIDTH = 64
 #: Bytes of text whose sampled tuples one task handles at a time, and sampled tuples of one bucket, about.
 STRETCH = 4 << 20
 BUCKET = 1_000_000
+#: Places of one tuple in a stretch from which they are named there.
+HOT = 4
 #: Ids that may be broadcast to pick documents; beyond that the documents are joined by a shuffle.
 FEW_IDS = 1_000_000
 #: Apart of documents on the line of all places; no text is longer.
@@ -140,8 +146,54 @@ def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, l
             yield np.array(ids, np.int64), texts, more
 
 
+def passed_on(batches: Iterator[pa.RecordBatch], buckets: int, rest: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blobs for group k, which come under the key ``buckets + k``; the other rows are added to ``rest``."""
+    for batch in batches:
+        here = pc.greater_equal(batch.column(0), buckets)
+        for_groups = batch.filter(here)
+        if for_groups.num_rows:
+            yield blob([k - buckets for k in for_groups.column(0).to_pylist()], for_groups.column(1).to_pylist())
+        rest.append(batch.filter(pc.invert(here)))
+
+
+def links_of(h: np.ndarray, doc: np.ndarray, off: np.ndarray, marked: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+    """Links (document, place, document of the earlier place, distance) between places of one hash, and the first places.
+
+    All places link to the first of their hash, and to the next earlier one of their document at a multiple of PERIOD,
+    which keeps the distance constant along text of a short period. Where any place but the first is marked, the first
+    links to itself, which only asks for the starts next to it to be compared.
+    """
+    order = np.lexsort((off, doc, h))
+    h, doc, off = h[order], doc[order], off[order]
+    new = np.append(True, h[1:] != h[:-1])[: len(h)]
+    first = np.flatnonzero(new)[np.cumsum(new) - 1] if len(h) else np.zeros(0, np.int64)
+    links = [(doc, off, doc[first], off[first])]
+    line = np.lexsort((off, off % PERIOD, doc, h))
+    a, b = line[:-1], line[1:]
+    near = (h[a] == h[b]) & (doc[a] == doc[b]) & (off[a] % PERIOD == off[b] % PERIOD) & (a != first[b])
+    links.append((doc[b][near], off[b][near], doc[a][near], off[a][near]))
+    m_doc, m_off, e_doc, e_off = joined(links)
+    other = (m_doc != e_doc) | (m_off != e_off)
+    asked = np.unique(first[marked[order] & ~new])
+    m_doc, m_off, e_doc, e_off = joined([(m_doc[other], m_off[other], e_doc[other], e_off[other]), (doc[asked], off[asked], doc[asked], off[asked])])
+    line = np.lexsort((m_off, m_doc))
+    m_doc, m_off, e_doc, e_off = m_doc[line], m_off[line], e_doc[line], e_off[line]
+    return (m_doc, m_off.astype(np.uint32), e_doc, m_off - e_off), order[new]
+
+
+def links_by_group(links: tuple[np.ndarray, ...], groups: int) -> tuple[list[int], list[bytes]]:
+    keys, out = [], []
+    for g, at in by_number(group_of(links[0], groups)):
+        keys.append(g)
+        out.append(pack(*(x[at] for x in links), level=1))
+    return keys, out
+
+
 def sampled_tuples(buckets: int):
-    """Step 1: per bucket of the tuples' hash a blob of (documents, samples of each, hash, gaps of ordinals)."""
+    """Step 1: per bucket of the tuples' hash a blob of (documents, samples of each, hash, marked ones, gaps of ordinals).
+
+    Links of tuples that are named here go out under the key of their group plus ``buckets``.
+    """
     shift = np.uint64(64 - (buckets.bit_length() - 1))
 
     def run(batches):
@@ -152,7 +204,19 @@ def sampled_tuples(buckets: int):
                 continue
             doc, ordinal = np.repeat(np.arange(len(ids)), count), ragged(count)
             h = hashed(b"".join([*texts, bytes(8)]), (np.cumsum(sizes) - sizes)[doc] + offset_of(ordinal), WIDTH, 1)
-            keys, blobs = [], []
+            ordered = np.sort(h)
+            hot = np.unique(ordered[HOT - 1 :][ordered[HOT - 1 :] == ordered[: max(len(h) - HOT + 1, 0)]])
+            marked, keys, blobs = np.zeros(len(h), bool), [], []
+            if len(hot):
+                here = np.flatnonzero(hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h)
+                links, first = links_of(h[here], ids[doc[here]], offset_of(ordinal[here]), marked[here])
+                keys, blobs = links_by_group(links, buckets)
+                keys = [buckets + g for g in keys]
+                marked[here[first]] = True
+                sent = np.ones(len(h), bool)
+                sent[here] = False
+                sent |= marked
+                h, doc, ordinal, marked = h[sent], doc[sent], ordinal[sent], marked[sent]
             for k, at in by_number((h >> shift).astype(np.int64) if buckets > 1 else np.zeros(len(h), np.int64)):
                 d, o = doc[at], ordinal[at]
                 new = np.append(True, d[1:] != d[:-1])
@@ -161,59 +225,40 @@ def sampled_tuples(buckets: int):
                 # small gaps as two planes of bytes, of which the high one is nearly all zero
                 planes = (gap & 255).astype(np.uint8), (gap >> 8 & 255).astype(np.uint8), *(() if gap.max() < 1 << 16 else ((gap >> 16).astype(np.uint32),))
                 keys.append(k)
-                blobs.append(pack(ids[d[first]], np.diff(np.append(first, len(d))).astype(np.uint32), h[at].astype(np.uint32), *planes))
+                blobs.append(pack(ids[d[first]], np.diff(np.append(first, len(d))).astype(np.uint32), h[at].astype(np.uint32), np.flatnonzero(marked[at]).astype(np.uint32), *planes))
             yield blob(keys, blobs)
 
     return run
 
 
-def unpack_tuples(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    docs, counts, h, low, high, *more = unpack(raw)
+def unpack_tuples(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    docs, counts, h, places, low, high, *more = unpack(raw)
+    marked = np.zeros(len(h), bool)
+    marked[places] = True
     gap = low.astype(np.int64) | high.astype(np.int64) << 8
     if more:
         gap |= more[0].astype(np.int64) << 16
     first = np.cumsum(counts, dtype=np.int64) - counts
     run = np.cumsum(gap)
-    return h, np.repeat(docs, counts), offset_of(run - np.repeat(run[first] - gap[first], counts))
+    return h, np.repeat(docs, counts), offset_of(run - np.repeat(run[first] - gap[first], counts)), marked
 
 
 def named_tuples(groups: int):
-    """Step 2: sort the tuples of a bucket, name them by their first place; out go the links of other places to it.
-
-    A place also links to the next earlier one of its document with that tuple at a multiple of PERIOD, which keeps the
-    distance constant along text of a short period.
-    """
+    """Step 2: sort the tuples of a bucket, name them by their first place; out go the links of other places to it."""
 
     def run(batches):
-        for _, blobs in gathered(batches):
-            h, doc, off = joined([unpack_tuples(b) for b in blobs])
+        rest: list[pa.RecordBatch] = []
+        yield from passed_on(batches, groups, rest)
+        for _, blobs in gathered(iter(rest)):
+            h, doc, off, marked = joined([unpack_tuples(b) for b in blobs])
             key = np.sort(h.astype(np.uint64) << np.uint64(32) | np.arange(len(h), dtype=np.uint64))
             top, at = key >> np.uint64(32), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
             same = top[1:] == top[:-1]
             many = np.append(same, False) | np.append(False, same)
             h, at = top[many], at[many]
-            doc, off = doc[at], off[at]
-            order = np.lexsort((off, doc, h))
-            h, doc, off = h[order], doc[order], off[order]
-            new = np.append(True, h[1:] != h[:-1])[: len(h)]
-            first = np.flatnonzero(new)[np.cumsum(new) - 1] if len(h) else np.zeros(0, np.int64)
-            links = [(doc, off, doc[first], off[first])]
-            order = np.lexsort((off, off % PERIOD, doc, h))
-            a, b = order[:-1], order[1:]
-            near = (h[a] == h[b]) & (doc[a] == doc[b]) & (off[a] % PERIOD == off[b] % PERIOD) & (a != first[b])
-            links.append((doc[b][near], off[b][near], doc[a][near], off[a][near]))
-            m_doc, m_off, e_doc, e_off = joined(links)
-            other = (m_doc != e_doc) | (m_off != e_off)
-            m_doc, m_off, e_doc, e_off = m_doc[other], m_off[other], e_doc[other], e_off[other]
-            if not len(m_doc):
-                continue
-            order = np.lexsort((m_off, m_doc))
-            m_doc, m_off, e_doc, e_off = m_doc[order], m_off[order], e_doc[order], e_off[order]
-            keys, out = [], []
-            for g, at in by_number(group_of(m_doc, groups)):
-                keys.append(g)
-                out.append(pack(m_doc[at], m_off[at].astype(np.uint32), e_doc[at], m_off[at] - e_off[at], level=1))
-            yield blob(keys, out)
+            links, _ = links_of(h, doc[at], off[at], marked[at])
+            if len(links[0]):
+                yield blob(*links_by_group(links, groups))
 
     return run
 
@@ -249,10 +294,12 @@ def compared_names(batches):
         m_doc, m_off, e_doc, far = m_doc[order], m_off[order], e_doc[order], far[order]
         ids, line = np.unique(m_doc, return_inverse=True)
         line = line.astype(np.int64) * FAR + FAR // 4  # a place on the line of all documents of the group
-        cut = (m_doc[1:] != m_doc[:-1]) | (e_doc[1:] != e_doc[:-1]) | (far[1:] != far[:-1]) | (m_off[1:] > m_off[:-1] + WIDTH)
-        first = np.flatnonzero(np.append(True, cut))
-        last = np.append(first[1:] - 1, len(m_off) - 1)
-        lo, hi = (line + m_off)[first], (line + m_off)[last] + WIDTH - GRAM
+        linked = np.flatnonzero((m_doc != e_doc) | (far != 0))  # a place that links to itself repeats nothing
+        a, b = linked[:-1], linked[1:]
+        cut = (m_doc[b] != m_doc[a]) | (e_doc[b] != e_doc[a]) | (far[b] != far[a]) | (m_off[b] > m_off[a] + WIDTH)
+        first = np.flatnonzero(np.append(True, cut)[: len(linked)])
+        last = np.append(first[1:] - 1, len(linked) - 1)[: len(first)]
+        lo, hi = (line + m_off)[linked[first]], (line + m_off)[linked[last]] + WIDTH - GRAM
         long_ = hi >= lo
         lo, hi = union_of(lo[long_], hi[long_])
         window_lo, window_hi = line + np.maximum(m_off - (PERIOD - 1), 0), line + m_off
@@ -278,8 +325,32 @@ def compared_names(batches):
             yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.array(docs[part]), pa.array(lo[part]), pa.array(hi[part]), pa.nulls(n, pa.binary())], names=["k", "doc", "lo", "hi", "blob"])
 
 
+def repeats(h1: np.ndarray, h2: np.ndarray, docs: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Which places have the 128 bits of an earlier one; a place that is there twice does not repeat itself."""
+    order = np.lexsort((offs, docs, h2, h1))
+    h1, h2, docs, offs = h1[order], h2[order], docs[order], offs[order]
+    new = np.append(True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))[: len(h1)]
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    hit = np.zeros(len(h1), bool)
+    hit[order] = (docs != docs[first]) | (offs != offs[first])
+    return hit
+
+
+def starts_by_group(docs: np.ndarray, offs: np.ndarray, groups: int) -> tuple[list[int], list[bytes]]:
+    order = np.lexsort((offs, docs))
+    docs, offs = docs[order], offs[order].astype(np.int64)
+    keys, out = [], []
+    for g, at in by_number(group_of(docs, groups)) if len(docs) else ():
+        keys.append(g)
+        out.append(pack(docs[at], offs[at], offs[at], level=1))
+    return keys, out
+
+
 def open_starts(buckets: int):
-    """Step 4a: hash all GRAM bytes at the open starts of each document; blobs by bucket of the hash."""
+    """Step 4a: hash all GRAM bytes at the open starts of each document; blobs by bucket of the hash.
+
+    Of equal strings of a stretch all but the first are repeated and go out under the key of their group plus ``buckets``.
+    """
 
     def run(batches):
         for ids, texts, spans in stretches(batches):
@@ -297,7 +368,10 @@ def open_starts(buckets: int):
             doc, off = at // FAR, at % FAR
             data, place = b"".join([*texts, bytes(8)]), start[doc] + off
             h1, h2 = hashed(data, place, GRAM, 2), hashed(data, place, GRAM, 3)
-            keys, blobs = [], []
+            again = repeats(h1, h2, ids[doc], off)
+            keys, blobs = starts_by_group(ids[doc[again]], off[again], buckets)
+            keys = [buckets + g for g in keys]
+            h1, h2, doc, off = h1[~again], h2[~again], doc[~again], off[~again]
             for k, x in by_number((h1 >> np.uint64(40)).astype(np.int64) % buckets):
                 new = np.flatnonzero(np.append(True, doc[x][1:] != doc[x][:-1]))
                 keys.append(k)
@@ -311,23 +385,13 @@ def compared_starts(groups: int):
     """Step 4b: sort a bucket's strings; all but the first place of equal neighbours are repeated. Blobs by group."""
 
     def run(batches):
-        for _, blobs in gathered(batches):
+        rest: list[pa.RecordBatch] = []
+        yield from passed_on(batches, groups, rest)
+        for _, blobs in gathered(iter(rest)):
             docs, offs, h1, h2 = joined([(np.repeat(d, n), off, a, b) for d, n, off, a, b in map(unpack, blobs)])
-            order = np.lexsort((offs, docs, h2, h1))
-            docs, offs, h1, h2 = docs[order], offs[order], h1[order], h2[order]
-            same = np.append(False, (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1]))
-            first = np.flatnonzero(~same)[np.cumsum(~same) - 1]
-            hit = (docs != docs[first]) | (offs != offs[first])
-            if not hit.any():
-                continue
-            docs, offs = docs[hit], offs[hit].astype(np.int64)
-            order = np.lexsort((offs, docs))
-            docs, offs = docs[order], offs[order]
-            keys, out = [], []
-            for g, at in by_number(group_of(docs, groups)):
-                keys.append(g)
-                out.append(pack(docs[at], offs[at], offs[at], level=1))
-            yield blob(keys, out)
+            hit = repeats(h1, h2, docs, offs)
+            if hit.any():
+                yield blob(*starts_by_group(docs[hit], offs[hit], groups))
 
     return run
 
@@ -359,13 +423,13 @@ def repeated_spans(texts: DataFrame, max_buckets: int = 1 << 20) -> DataFrame:
     buckets = 1 << min(max(4, (max(1, total * len(COVER) // PERIOD // BUCKET) - 1).bit_length()), max_buckets.bit_length() - 1)
     blobs = "k int, blob binary"
     tuples = texts.mapInArrow(sampled_tuples(buckets), blobs)
-    links = tuples.repartitionById(buckets, "k").mapInArrow(named_tuples(buckets), blobs)
-    stretches_ = materialize(links.repartitionById(buckets, "k").mapInArrow(compared_names, STEP3), "suffix-stretches")
+    links = tuples.repartitionById(buckets, F.col("k") % buckets).mapInArrow(named_tuples(buckets), blobs)
+    stretches_ = materialize(links.repartitionById(buckets, F.col("k") % buckets).mapInArrow(compared_names, STEP3), "suffix-stretches")
     open_ = stretches_.where("blob is null").groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     wanted = of_ids(texts, stretches_.where("blob is null").select("doc").distinct(), "left_semi").join(open_, "doc").select("doc", "text", "spans")
-    starts = wanted.mapInArrow(open_starts(buckets), blobs).repartitionById(buckets, "k").mapInArrow(compared_starts(buckets), blobs)
+    starts = wanted.mapInArrow(open_starts(buckets), blobs).repartitionById(buckets, F.col("k") % buckets).mapInArrow(compared_starts(buckets), blobs)
     found = stretches_.where("blob is not null").select("k", "blob").union(starts)
-    return materialize(found.repartitionById(buckets, "k").mapInArrow(removed_spans, "doc long, spans array<struct<lo: long, hi: long>>"), "suffix-spans")
+    return materialize(found.repartitionById(buckets, F.col("k") % buckets).mapInArrow(removed_spans, "doc long, spans array<struct<lo: long, hi: long>>"), "suffix-spans")
 
 
 def cut_out(text: bytes, spans) -> tuple[bytes, int, int]:

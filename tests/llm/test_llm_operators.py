@@ -254,6 +254,25 @@ def test_repeated_bytes_of_random_joins(spark, seed):
     assert spans_got(df) == spans_expected(rows)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_repeated_bytes_of_frequent_passages(spark, seed):
+    """Many more than HOT places of a tuple, in stretches of six rows, with shared 64 bytes inside unequal 100."""
+    rng = np.random.default_rng(100 + seed)
+    base = ["".join(rng.choice(list("abcd "), n)) for n in (66, 90, 100, 130, 400)]
+    rows = []
+    for i in rng.permutation(150).tolist():
+        filler = ["".join(rng.choice(list("wxyz"), int(rng.integers(0, 60)))) for _ in range(4)]
+        rows.append((i, "".join(f + base[rng.integers(0, 5)] for f in filler)))
+    rows += [(200 + i, base[4] + "tail") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 6)
+    try:
+        assert spans_got(df) == spans_expected(rows)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_repeated_bytes_empty(empty):
     assert suffix_dedup.repeated_bytes(empty).count() == 0
 
