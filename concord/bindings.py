@@ -465,6 +465,40 @@ def t10(spark, sf):
     return T.normalize_text(texts(spark, sf), "a").select("word", "normalized", F.array_join("applied_rules", ",").alias("applied"))
 
 
+@query("t2_lowercase", "select p_partkey as word, lower('ADD X' || p_size || ', ' || p_name) as text from part")
+def t2(spark, sf):
+    p = table(spark, sf, "part")
+    return p.select(F.col("p_partkey").alias("word"), T.lowercase(F.format_string("ADD X%d, %s", "p_size", "p_name")).alias("text"))
+
+
+@query("t3_whitespace", "select p_partkey as word, 'add x' || p_size || ', x2, [x3]' as text from part")
+def t3(spark, sf):
+    """One to four blanks or tabs between the tokens, a comma before the closing bracket."""
+    p = table(spark, sf, "part").withColumn("gap", F.when(F.col("p_partkey") % 2 == 0, F.lit("\t ")).otherwise(F.repeat(F.lit(" "), (F.col("p_size") % 4 + 1).cast("int"))))
+    raw = F.concat("gap", F.lit("add"), "gap", F.format_string("x%d", "p_size"), "gap", F.lit(",x2,["), "gap", F.lit("x3 , ]"), "gap")
+    return p.select(F.col("p_partkey").alias("word"), T.whitespace(raw).alias("text"))
+
+
+@query("t4_immediates", "select p_partkey as word, 'mov x1, #' || case when p_partkey % 4 = 1 then '-' else '' end || case when p_partkey % 4 = 3 then 0 else p_partkey end || ', y#0x10' as text from part")
+def t4(spark, sf):
+    """Hex, negative hex, a blank after the sign, a negative zero; ``y#`` is no place for an immediate."""
+    forms = [F.format_string("#0x%x", "p_partkey"), F.format_string("#-0x%X", "p_partkey"), F.format_string("# %d", "p_partkey"), F.lit("#-0x0")]
+    raw = F.concat(F.lit("mov x1, "), F.element_at(F.array(*forms), (F.col("p_partkey") % 4 + 1).cast("int")), F.lit(", y#0x10"))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("word"), T.immediates(raw).alias("text"))
+
+
+@query("t5_zero_registers", "select p_partkey as word, 'add ' || case when p_partkey % 32 = 31 then 'wzr' else 'w' || (p_partkey % 32) end || ', xzr, x310, wx31' as text from part")
+def t5(spark, sf):
+    raw = F.format_string("add w%d, x31, x310, wx31", F.col("p_partkey") % 32)
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("word"), T.zero_registers(raw).alias("text"))
+
+
+@query("t6_shift_defaults", "select p_partkey as word, 'add x1, x2' || case when p_size % 3 = 0 then '' else ', lsl #' || (p_size % 3) end || ', lsl #0x1' as text from part")
+def t6(spark, sf):
+    raw = F.format_string("add x1, x2, lsl #%d, lsl #0x1", F.col("p_size") % 3)
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("word"), T.shift_defaults(raw).alias("text"))
+
+
 @query("t7_t8_conditions_memory", "select p_partkey as word, 'b.cs #' || p_size as branch, 'ldr x' || (p_partkey % 31) || ', [x' || (p_size % 31) || ']' as load from part")
 def t7(spark, sf):
     p = table(spark, sf, "part")
@@ -552,6 +586,19 @@ def t14(spark, sf):
     return rows.select("word", ok.alias("holds"), F.when(ok, A.render(F.col("alias"), F.col("ops"), drops)).alias("rendered"))
 
 
+@query("t15_conditions", "select p_partkey as word, p_partkey % 3 = 0 or (p_partkey % 3 = 1 and p_size % 2 = 0) as applied, p_partkey % 3 = 0 or (p_partkey % 3 = 1 and p_size % 2 = 0) or p_partkey % 3 = 2 as applied_if_empty_holds from part")
+def t15(spark, sf):
+    """An unconditional alias, an and of two clauses, and an empty condition under both readings."""
+    rule_rows = [(0, 0, "U", "Y", "Unconditionally"), (1, 0, "V", "Y", "Rd == '11111' && Rn != '11111'"), (2, 0, "W", "Y", "")]
+    rules_ = spark.createDataFrame(rule_rows, "base_seq int, alias_seq int, base string, alias string, condition string")
+    base = F.element_at(F.array(*map(F.lit, "uvw")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("word"), F.concat(base, F.lit(" xzr, "), F.when(F.col("p_size") % 2 == 0, F.lit("x5")).otherwise(F.lit("xzr")), F.lit(", x1")).alias("normalized"))
+    for out, reading in (("applied", "decline"), ("applied_if_empty_holds", "apply")):
+        done = A.apply_aliases(rows.withColumn("raw", F.col("normalized")), A.compile_alias_rules(rules_, reading), trace=None)
+        rows = done.withColumn(out, F.col("normalized").startswith("y ")).withColumn("normalized", F.col("raw")).drop("raw")
+    return rows.select("word", "applied", "applied_if_empty_holds")
+
+
 @query("p12_composed_text", "select p_partkey as word, case when p_partkey % 3 = 0 then 'ret' when p_partkey % 3 = 1 then 'add x' || p_size else null end as text from part")
 def p12(spark, sf):
     m = F.element_at(F.array(*map(F.lit, (" ret ", "add", " "))), (F.col("p_partkey") % 3 + 1).cast("int"))
