@@ -15,6 +15,8 @@ BLOCKS = 48
 #: Parts of a block that holds too much for one task or shard, by more bits of the text's hash; the rows of a group that
 #: is too large for one shard go by the hash of their id.
 PARTS = 16
+#: Bytes of a part, about, apart from large groups of equal texts; blocks of more than PARTS times as many get more parts.
+PART_BYTES = 1 << 28
 #: A group of equal texts stays in one shard if it has at most this share of a shard's bytes. Single documents above it
 #: (there are at most its inverse times the number of shards) are placed one by one before the flow is solved.
 WHOLE_GROUP = 1 / 200
@@ -95,7 +97,8 @@ def reshard(docs: DataFrame, old_shard: Column, n_old: int, n_new: int, path: st
 
     ``old_shard`` is an expression over ``docs`` in [0, n_old). Rows of an old shard stand in one line, ordered by block
     (hash of the text), text hash and id; the flow cuts that line. Only sums per block meet on the driver: at most
-    ``n_old * BLOCKS`` rows, PARTS times the few blocks that are too large, and the few heavy documents and groups. The texts move in one exchange.
+    ``n_old * BLOCKS`` rows, PARTS or a row per PART_BYTES of each block that is too large, and the few heavy documents and
+    groups. The texts move in one exchange.
     Each ``(shard, block)`` numbers its rows from 1 in ``rn``.
 
     Defined cases: a null text counts 8 bytes and equals no group but the other null and empty texts; null ids are
@@ -132,19 +135,21 @@ def reshard(docs: DataFrame, old_shard: Column, n_old: int, n_new: int, path: st
     sizes = [sum(r.b for r in rows if r.old == o) for o in range(n_old)]
     caps = levelled(sum(sizes), load)
     flow = min_cost_flow(sizes, caps)
-    limit = max(1, total // n_new // 4)
-    large = sorted((r.old, r.b1) for r in rows if r.b > limit)
+    limit = max(1, min(total // n_new // 4, PART_BYTES))
+    large = {(r.old, r.b1): max(PARTS, -(-r.b // PART_BYTES)) for r in rows if r.b > limit}
     # groups that no shard takes as a whole: at most n_new / WHOLE_GROUP of them
     hot = [r.th for r in slim.groupBy("old", "th").agg(F.sum("size").alias("b")).where(F.col("b") > most).select("th").distinct().collect()] if large else []
-    by_id, by_text = (F.pmod(h, F.lit(PARTS)).cast("int") for h in (F.xxhash64("doc_id"), F.shiftright("th", 20)))
+    by_id, by_text = (F.pmod(h, F.col("n_parts")).cast("int") for h in (F.xxhash64("doc_id"), F.shiftright("th", 20)))
     part = F.when(F.col("th").isin(hot), by_id).otherwise(by_text) if hot else by_text
-    key = F.col("old") * BLOCKS + F.col("b1")
-    split = (F.col("old") >= 0) & key.isin([o * BLOCKS + b for o, b in large]) if large else F.lit(False)
-    base, slim = (df.withColumn("b2", F.when(split, part).otherwise(F.lit(0))) for df in (base, slim))
-    parts = {(r.old, r.b1, 0): r.b for r in rows if (r.old, r.b1) not in set(large)}
+    split = F.col("n_parts").isNotNull()
+    # a row per block at most; heavy documents (old -1) have none
+    cut_up = F.broadcast(spark.createDataFrame([(o, b, n) for (o, b), n in sorted(large.items())], "old int, b1 int, n_parts int"))
+    base, slim = (df.join(cut_up, ["old", "b1"], "left").withColumn("b2", F.when(split, part).otherwise(F.lit(0))) for df in (base, slim))
+    parts = {(r.old, r.b1, 0): r.b for r in rows if (r.old, r.b1) not in large}
     if large:
         parts |= {(r.old, r.b1, r.b2): r.b for r in slim.where(split).groupBy("old", "b1", "b2").agg(F.sum("size").alias("b")).collect()}
 
+    most_parts = max(large.values(), default=1)
     starts, at = [], {}
     for (o, b1, b2), size in sorted(parts.items()):
         starts.append((o, b1, b2, at.get(o, 0)))
@@ -158,7 +163,7 @@ def reshard(docs: DataFrame, old_shard: Column, n_old: int, n_new: int, path: st
         cuts.append((o, mine or [(0, o % n_new)]))
     starts += [(-1, s, 0, 0) for s in range(n_new)]
     cuts.append((-1, [(0, 0)]))
-    # both tables have a size that depends on the parameters only
+    # the first table has a row per part, the second one per old shard
     start = F.broadcast(spark.createDataFrame(starts, "old int, b1 int, b2 int, start long"))
     cut = F.broadcast(spark.createDataFrame(cuts, "old int, cuts array<struct<lo: long, shard: int>>"))
     block = Window.partitionBy("old", "b1", "b2")
@@ -172,7 +177,7 @@ def reshard(docs: DataFrame, old_shard: Column, n_old: int, n_new: int, path: st
         .withColumn("group_bytes", F.sum("size").over(group))
         .withColumn("pos", F.when(F.col("group_bytes") <= most, F.col("first")).otherwise(F.col("own")))
         .withColumn("shard", F.coalesce("heavy_shard", F.expr("element_at(filter(cuts, c -> c.lo <= pos), -1).shard")))
-        .withColumn("block", F.when(F.col("old") < 0, F.lit(-1)).otherwise((F.col("old") * BLOCKS + F.col("b1")) * PARTS + F.col("b2")))
+        .withColumn("block", F.when(F.col("old") < 0, F.lit(-1)).otherwise((F.col("old") * BLOCKS + F.col("b1")) * most_parts + F.col("b2")))
         .withColumn("rn", F.row_number().over(Window.partitionBy("old", "b1", "b2", "shard").orderBy("th", F.col("doc_id").asc_nulls_first())))
     )
     placed.select("doc_id", "text", "size", "block", "rn", "shard").write.option("compression", "zstd").partitionBy("shard").parquet(path)
