@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import difflib
 import re
+from collections import deque
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -38,14 +39,12 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
 )
-#: Words that a license wording cannot do without; a line with none of them is no candidate.
-CUE = re.compile(rb"licen[cs]e|copyright|permi(?:ssion|tted)|redistribut|public domain|creative commons|\bcc[ -]?by|\bcc0", re.IGNORECASE)
+#: Words that a license wording cannot do without, also across line ends and comment marks: every copy within tolerance
+#: holds one of them.
+CUE = re.compile(rb"licen[cs]e|copyright|permi(?:ssion|tted)|redistribut|mozilla|public[^0-9a-z]+domain|creative[^0-9a-z]+commons|(?<![0-9a-z])cc(?:[^0-9a-z]*by|0)", re.IGNORECASE)
+CUE_WORDS = re.compile(CUE.pattern.decode())
 WORD = re.compile(r"[0-9a-z]+(?:[.'/-][0-9a-z]+)*")
 LEVEL = 9
-#: Templates that are confirmed by wording for one block, the best by compression first.
-RANKED = 4
-#: A template's gain on the block, as a share of its gain on itself, from which it is a candidate.
-LEAST_GAIN = 0.5
 #: Differing words allowed, as a share of the template's.
 TOLERANCE = 0.05
 
@@ -77,47 +76,104 @@ def longest() -> int:
     return max(len(words) for _, words, _, _ in compressors())
 
 
-def blocks(text: bytes) -> list[list[str]]:
-    """Words of the lines with a cue, neighbouring ones together; long ones in overlapping windows, none left out."""
+def reach() -> int:
+    """Words that the longest wording takes at most, with the extra ones that are tolerated."""
+    return longest() + int(TOLERANCE * longest())
+
+
+def windows(text: bytes) -> Iterator[tuple[int, list[str]]]:
+    """Stretches of words, with the number of the first, that hold every word within ``reach`` of a cue.
+
+    Lines play no part. Cues within ``reach`` of each other share a stretch; a long one is cut in pieces that overlap by
+    ``reach`` words, so a copy of a wording is in one piece as a whole.
+    """
     if not CUE.search(text):
-        return []
-    lines = text.split(b"\n")
-    cued = [bool(CUE.search(x)) for x in lines]
-    out, lo, size = [], 0, 4 * longest()
-    while lo < len(lines):
-        if not cued[lo]:
-            lo += 1
-            continue
-        hi = lo
-        while hi < len(lines) and (cued[hi] or hi + 1 < len(lines) and cued[hi + 1]):
-            hi += 1
-        words = words_of(b" ".join(lines[lo:hi]).decode("utf-8", "replace"))
-        step = size - longest()
-        out += [words[a : a + size] for a in range(0, max(1, len(words) - longest()), step)]
-        lo = hi
-    return [b for b in out if b]
-
-
-def differences(block: list[str], template: list[str]) -> int:
-    """Words of the template that the block lacks, plus words that stand between the found ones."""
-    found = [m for m in difflib.SequenceMatcher(None, block, template, autojunk=False).get_matching_blocks() if m.size]
-    if not found:
-        return len(template)
-    same = sum(m.size for m in found)
-    return len(template) - same + (found[-1].a + found[-1].size - found[0].a - same)
+        return
+    low, far = text.decode("utf-8", "replace").lower(), reach()
+    cues = (m.start() for m in CUE_WORDS.finditer(low))
+    cue, until, before, block, new = next(cues, None), -1, deque(maxlen=far), [], False
+    for i, m in enumerate(WORD.finditer(low)):
+        while cue is not None and cue < m.end():
+            cue, until = next(cues, None), i + far
+        if i <= until:
+            if not block:
+                block = list(before)
+            block.append(m[0])
+            new = True
+            if len(block) >= 4 * far:
+                yield i + 1 - len(block), block
+                block, new = block[-far:], False
+        elif block:
+            if new:
+                yield i - len(block), block
+            block, new = [], False
+        before.append(m[0])
+    if new:
+        yield i + 1 - len(block), block
+
+
+def blocks(text: bytes) -> list[list[str]]:
+    return [words for _, words in windows(text)]
+
+
+#: One differing word in the table of ``occurrences``; the bits below hold where the stretch begins.
+ONE = 1 << 32
+
+
+def occurrences(codes: np.ndarray, template: list[int], limit: int) -> list[tuple[int, int, int]]:
+    """``(differences, start, end)`` of the stretches of ``codes`` that equal ``template`` up to ``limit`` words.
+
+    Differences are words of the template that the stretch lacks, plus words of the stretch that the template lacks: the
+    fewest of any alignment. Of stretches with neighbouring ends the closest counts.
+    """
+    n = len(codes)
+    steps = np.arange(n + 1) * ONE
+    table = n - np.arange(n + 1)  # of equally close stretches the shortest
+    for code in template:
+        here = table + ONE
+        np.minimum(here[1:], np.where(codes == code, table[:-1], 1 << 62), out=here[1:])
+        table = np.minimum.accumulate(here - steps) + steps
+        if table.min() >= (limit + 1) * ONE:
+            return []
+    ends = np.flatnonzero(table < (limit + 1) * ONE)
+    out = []
+    for run in np.split(ends, np.flatnonzero(np.diff(ends) > 1) + 1):
+        end = run[np.argmin(table[run])]
+        out.append((int(table[end] // ONE), int(n - table[end] % ONE), int(end)))
+    return out
+
+
+def located(block: list[str], candidates: list[int], first: int = 0) -> list[tuple[int, int, int, int]]:
+    """``(template, differences, start, end)`` of every copy of a candidate within tolerance."""
+    number: dict[str, int] = {}
+    codes = np.array([number.setdefault(w, len(number)) for w in block], np.int64)
+    out = []
+    for k in candidates:
+        words = compressors()[k][1]
+        out += [(k, n, first + lo, first + hi) for n, lo, hi in occurrences(codes, [number.get(w, -1) for w in words], int(TOLERANCE * len(words)))]
+    return out
+
+
+def closest(hits: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Of copies of one family that overlap the closest stays: fewer differences, then the longer (three clauses, not two)."""
+    hits = sorted(set(hits), key=lambda h: (h[2], h[3], h[0]))
+    name, words = (lambda h: compressors()[h[0]][0]), (lambda h: len(compressors()[h[0]][1]))
+    family = lambda h: name(h).split("-")[0]
+    gone = set()
+    for i, g in enumerate(hits):
+        for j in range(i + 1, len(hits)):
+            h = hits[j]
+            if h[2] >= g[3]:
+                break
+            if family(g) == family(h) and name(g) != name(h):
+                a, b = (g[1], -words(g)), (h[1], -words(h))
+                gone |= {j} if a < b else {i} if b < a else set()
+    return [h for i, h in enumerate(hits) if i not in gone]
 
 
 def confirmed(block: list[str], candidates: list[int]) -> list[tuple[str, int, int]]:
     """(license, differing words, words) of candidates within tolerance, where no other wording covers them better."""
-    good = []
-    for k in candidates:
-        name, words, _, _ = compressors()[k]
-        n = differences(block, words)
-        if n <= TOLERANCE * len(words):
-            good.append((name, n, len(words)))
-    # of wordings of one family the closest stays: fewer differences, then the longer one (three clauses, not two)
-    family = lambda g: g[0].split("-")[0]
-    return [g for g in good if not any(family(h) == family(g) and h[0] != g[0] and (h[1] < g[1] or h[1] == g[1] and h[2] > g[2]) for h in good)]
+    return [(compressors()[k][0], n, len(compressors()[k][1])) for k, n, _, _ in closest(located(block, candidates))]
 
 
 def ranked(block: list[str]) -> list[tuple[int, float]]:
@@ -125,25 +181,31 @@ def ranked(block: list[str]) -> list[tuple[int, float]]:
     raw = " ".join(block).encode()
     base = len(plain().compress(raw))
     gains = [(k, (base - len(packer.compress(raw))) / max(own, 1)) for k, (_, _, packer, own) in enumerate(compressors())]
-    return sorted((g for g in gains if g[1] >= LEAST_GAIN), key=lambda g: (-g[1], g[0]))
+    return sorted(gains, key=lambda g: (-g[1], g[0]))
 
 
 def scan(text: bytes) -> tuple[int, list[dict]]:
-    """Number of candidate blocks and the licenses found in them."""
+    """Number of candidate blocks and the licenses found in them.
+
+    Every wording is confirmed, whatever its reduction: a block that repeats parts of a wording elsewhere leaves its
+    dictionary little to reduce.
+    """
+    count, hits, gains = 0, [], {}
+    for first, block in windows(text):
+        count += 1
+        order = dict(ranked(block))
+        for hit in located(block, list(order), first):
+            hits.append(hit)
+            gains[hit[0]] = max(order[hit[0]], gains.get(hit[0], order[hit[0]]))
     found: dict[str, dict] = {}
-    candidates = blocks(text)
-    for block in candidates:
-        gains = dict(ranked(block))
-        left = list(gains)
-        while left:  # the best few first; more only while all of these are confirmed
-            top, left = left[:RANKED], left[RANKED:]
-            hits = confirmed(block, top)
-            for name, n, size in hits:
-                if name not in found or n < found[name]["differences"]:
-                    found[name] = {"license": name, "differences": n, "words": size, "gain": max(g for k, g in gains.items() if compressors()[k][0] == name)}
-            if not hits:
-                break
-    return len(candidates), [found[k] for k in sorted(found)]
+    for k, n, _, _ in closest(hits):
+        name, words, _, _ = compressors()[k]
+        old = found.get(name)
+        if old is None or (n, -len(words)) < (old["differences"], -old["words"]):
+            found[name] = {"license": name, "differences": n, "words": len(words), "gain": max(gains[k], old["gain"] if old else gains[k])}
+        else:
+            old["gain"] = max(old["gain"], gains[k])
+    return count, [found[k] for k in sorted(found)]
 
 
 MATCH = pa.struct([("license", pa.string()), ("differences", pa.int64()), ("words", pa.int64()), ("gain", pa.float64())])
@@ -154,7 +216,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Defined cases: null and empty texts have no block; the same license found twice in a text is one match with its
     fewest differences; repeated rows give equal rows; null ids stay null; other columns are ignored; an empty table
-    gives an empty result. Memory is bounded by one text: long lines are looked at in overlapping windows.
+    gives an empty result. Memory is bounded by one text and its matches: windows
+    are looked at one by one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -414,6 +415,55 @@ def test_every_template_is_found_among_other_words():
         assert name in [m["license"] for m in licenses.scan(f"{noise}{text} {noise}".encode())[1]]
 
 
+def fewest_differences(words, template):
+    """Missing and extra words against the closest stretch of the whole text, without windows: the table written out."""
+    row = [0] * (len(words) + 1)
+    for t in template:
+        last, row = row, [row[0] + 1]
+        for j, w in enumerate(words):
+            row.append(min(last[j + 1] + 1, row[j] + 1, last[j] if w == t else 1 << 30))
+    return min(row)
+
+
+@pytest.mark.parametrize("start", ["", "# ", " * "])
+def test_every_template_is_found_wrapped(start):
+    for name, text in licenses.TEMPLATES:
+        lines = [start + x for x in textwrap.wrap(text, 72)]
+        for gap in ("\n", "\n\n", f"\n{start.rstrip()}\n"):
+            page = "lorem ipsum dolor sit amet\n" * 30 + "\n" + gap.join(lines) + "\n\n" + "lorem ipsum dolor sit amet\n" * 30
+            assert [(m["license"], m["differences"]) for m in licenses.scan(page.encode())[1]] == [(name, 0)]
+
+
+def test_license_scan_equals_one_without_blocks():
+    """Changed, wrapped wordings in long texts: a wording is found where the whole text has it within tolerance."""
+    rng = np.random.default_rng(4)
+    for k, (_, text) in enumerate(licenses.TEMPLATES):
+        words = licenses.words_of(text)
+        noise = [str(x) for x in rng.choice(["the", "of", "license", "copyright", "lorem", "ipsum", "software", "permission"], 500)]
+        changed = list(words)
+        for _ in range(int(rng.integers(0, 7))):
+            i = int(rng.integers(0, len(changed)))
+            changed[i : i + 1] = [[], ["other"], [changed[i], "more"]][rng.integers(0, 3)]
+        page = "\n".join(textwrap.wrap(" ".join(noise[:250] + changed + noise[250:]), 72))
+        want = {}
+        for name, template in licenses.TEMPLATES:
+            t = licenses.words_of(template)
+            n = fewest_differences(licenses.words_of(page), t)
+            if n <= 0.05 * len(t):
+                want[name] = min(n, want.get(name, n))
+        # of one family at one place the closest stays
+        want = {a: n for a, n in want.items() if not any(b != a and b.split("-")[0] == a.split("-")[0] and (m, -ord(b[4])) < (n, -ord(a[4])) for b, m in want.items())}
+        assert {m["license"]: m["differences"] for m in licenses.scan(page.encode())[1]} == want, k
+
+
+def test_licenses_side_by_side():
+    by = dict(reversed(licenses.TEMPLATES))
+    for pair in (["BSD-2-Clause", "BSD-3-Clause"], ["CC-BY-4.0", "CC-BY-SA-4.0"], ["GPL-2.0-or-later", "GPL-3.0-or-later"]):
+        page = "\n".join(textwrap.wrap(by[pair[0]], 72) + [""] + textwrap.wrap(by[pair[1]], 72))
+        for text in (page, (page + "\n") * 6):
+            assert [m["license"] for m in licenses.scan(text.encode())[1]] == pair
+
+
 def test_license_scan_leaves_talk_about_licenses_alone(empty):
     for text in ("I lost my driving license yesterday.", "The permission to use this copyright was denied.", "Licensed under nothing at all, version 9."):
         assert licenses.scan(text.encode())[1] == []
