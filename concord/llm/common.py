@@ -40,6 +40,14 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_row_key(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` with a key for each row, written, and the name of the key's column, which no column of ``df`` has."""
+    key = "_row"
+    while key.lower() in {c.lower() for c in df.columns}:
+        key += "_"
+    return materialize(df.withColumn(key, F.monotonically_increasing_id()), name), key
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, component)`` for every node of ``edges``; component is the smallest node id reachable.
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from concord.llm.common import materialize
+from concord.llm.common import materialize, with_row_key
 
 #: Words of a block.
 BLOCK = 64
@@ -88,17 +88,17 @@ def plan(sizes: dict[str | None, int], share: float, most: float, shards: int, s
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """``doc_id, source, size``: words of each whole text, counted on its bytes (``bytes.split`` knows ASCII space only)."""
+    """``doc_id, source, size, row``: words of each whole text, counted on its bytes (``bytes.split`` knows ASCII space only)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = pa.array([len((t.as_py() or b"").split()) for t in batch.column(2)], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n], names=["doc_id", "source", "size"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n, batch.column(3)], names=["doc_id", "source", "size", "row"])
 
-    return docs.mapInArrow(run, "doc_id long, source string, size long")
+    return docs.mapInArrow(run, "doc_id long, source string, size long, row long")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, most: float = 2.0, shards: int = 16, seed: int = 7, weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK) -> tuple[DataFrame, DataFrame, Plan]:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, most: float = 2.0, shards: int = 16, seed: int = 7, weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK, row_col: str | None = None) -> tuple[DataFrame, DataFrame, Plan]:
     """``(documents, pieces, plan)``: the mix as pieces of documents.
 
     documents: ``row, doc_id, source, size, s`` (s: number of the source) and the stretch ``[start, start + size)`` of
@@ -108,11 +108,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     meets on the driver; no source is gathered in one task: its line is built from sums per chunk of rows.
 
     Defined cases: null and empty texts have size 0 and are never taken; a null source is a source, the last; repeated
-    rows are documents of their own; null ids are ids; an empty table gives an empty mix.
+    rows are documents of their own; null ids are ids; an empty table gives an empty mix. ``row`` is ``row_col``, a written
+    unique key, where one is given.
     """
     spark = docs.sparkSession
-    sized = sizes(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").cast("binary").alias("text")))
-    sized = materialize(sized.withColumn("row", F.monotonically_increasing_id()), "mix-sizes")
+    row = F.col(row_col).cast("long") if row_col else F.monotonically_increasing_id()
+    sized = sizes(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").cast("binary").alias("text"), row.alias("row")))
+    sized = materialize(sized, "mix-sizes")
     chunks = max(CHUNKS, -(-sized.count() // CHUNK_ROWS))
     p = plan({r.source: r.size for r in sized.groupBy("source").agg(F.sum("size").alias("size")).collect()}, share, most, shards, seed, weights, block)
     table = spark.createDataFrame([(s, i) for i, s in enumerate(p.names)], "name string, s int")
@@ -157,11 +159,14 @@ def mixed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The mix as rows of ``docs``: each document once per epoch that takes words of it, with the text taken.
 
     A document taken as a whole keeps its exact text. Of others the taken stretches of words stand joined by a newline.
-    The columns are those of ``docs``; documents with no word taken are absent. Ids must be unique for this.
+    The columns are those of ``docs``; documents with no word taken are absent. Texts
+    meet their stretches by a written row key, so rows with null or repeated ids are documents of their own.
     """
-    placed, pieces, _ = mix(docs, id_col=id_col, text_col=text_col, **options)
+    columns = docs.columns
+    docs, key = with_row_key(docs, "mix-rows")
+    placed, pieces, _ = mix(docs, id_col=id_col, text_col=text_col, row_col=key, **options)
     spans = pieces.groupBy("row", "epoch").agg(F.sort_array(F.collect_list(F.struct("word_from", "word_to"))).alias("_spans"))  # no more than the document's blocks
-    spans = spans.join(placed.select("row", F.col("doc_id").alias("_id"), F.col("size").alias("_size")), "row").select("_id", "_size", "_spans")
+    spans = spans.join(placed.select("row", "size"), "row").select(F.col("row").alias(key), F.col("size").alias("_size"), "_spans")
 
     import re
 
@@ -184,8 +189,12 @@ def mixed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         return pd.Series([one(t, p) for t, p in zip(texts, spans, strict=True)], dtype="object")
 
-    joined = docs.join(spans, docs[id_col].eqNullSafe(spans["_id"]))
+    names = dict(zip(columns, [f"_c{i}" for i in range(len(columns))], strict=True))  # apart from the columns added here
+    texts = docs.select(key, *(F.col(c).alias(n) for c, n in names.items()))
+    text = names[text_col]
+    joined = texts.join(spans, key)
     words = F.aggregate("_spans", F.lit(0).cast("long"), lambda n, p: n + p["word_to"] - p["word_from"])
-    whole = joined.where(words == F.col("_size")).select(*docs.columns)
-    part = joined.where(words < F.col("_size")).withColumn(text_col, cut(F.col(text_col).cast("string"), F.col("_spans"))).select(*docs.columns)
+    shown = [F.col(n).alias(c) for c, n in names.items()]
+    whole = joined.where(words == F.col("_size")).select(*shown)
+    part = joined.where(words < F.col("_size")).withColumn(text, cut(F.col(text).cast("string"), F.col("_spans"))).select(*shown)
     return whole.unionByName(part)

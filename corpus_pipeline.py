@@ -6,12 +6,14 @@ next one's ``docs``. All stages but the last return the columns of ``documents``
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concord.llm import bpe
-from concord.llm.common import documents, materialize
+from concord.llm.common import documents, materialize, with_row_key
 from concord.llm.exact_dedup import exact_dedup
 from concord.llm.language import with_language
 from concord.llm.mixing import mixed_texts
@@ -25,16 +27,28 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return with_language(docs).select(*COLUMNS)
 
 
+def one_of_each(docs: DataFrame, key: str, groups: DataFrame, best: Callable[[Column], Column], order: list[Column]) -> DataFrame:
+    """The row of each group that is ``best`` by ``order``, then by its key. ``groups`` has ``key`` and ``group``."""
+    ranks = docs.select(key, F.struct(*order, F.col(key).alias("key")).alias("rank"))
+    kept = groups.join(ranks, key).groupBy("group").agg(best("rank")["key"].alias(key))
+    return docs.join(kept.select(key), key, "left_semi").select(*COLUMNS)
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays, the one with the largest id."""
-    kept = exact_dedup(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """One row of each group of equal texts stays: one with the largest id, or with none if no row of the group has one.
+
+    Rows are told apart by a written key, so rows with null or repeated ids are rows of their own.
+    """
+    keyed, key = with_row_key(docs, "pipeline-exact-rows")
+    groups = exact_dedup(keyed, id_col=key).select(F.col("doc_id").alias(key), F.col("keep_id").alias("group"))
+    return one_of_each(keyed, key, groups, F.max, [F.col("doc_id")])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document that names its component stays."""
-    kept = near_duplicates(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """One row of each component stays: one with the smallest id, or with none if no row of the component has one."""
+    keyed, key = with_row_key(docs, "pipeline-near-rows")
+    groups = near_duplicates(keyed, id_col=key).select(F.col("doc_id").alias(key), F.col("component_id").alias("group"))
+    return one_of_each(keyed, key, groups, F.min, [F.col("doc_id").isNull(), F.col("doc_id")])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

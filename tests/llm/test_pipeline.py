@@ -1,7 +1,7 @@
 """The corpus pipeline, stage by stage, against plain Python."""
 
 import hashlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import public_tokenizers
 import pytest
@@ -49,6 +49,43 @@ def test_stages(spark, small):
     assert sorted((r.doc_id, r.n_tokens, r.ids_sha256) for r in stage["bpe"](spark, four, small).collect()) == want
 
 
+def test_stages_of_hard_rows(spark, hard):
+    """Null and repeated ids, one id for different texts and sources: no text is lost, no copy stays, none is mixed up."""
+    other = [(7, "short one", "en", "s1", 9), (7, "zwei kurze andere", "de", "s1", 9), (None, "no id either, and no copy", "en", None, 1), (None, "no id here", "en", "s9", 1), (6, "a b", "en", "s3", 3)]
+    before = hard.select(COLUMNS).unionByName(spark.createDataFrame(other, hard.select(COLUMNS).schema)).repartition(4)
+    stage = dict(corpus_pipeline.STAGES)
+    norm = lambda t: (t or "").translate(A_Z)
+
+    two = stage["exact_dedup"](spark, before, "").cache()
+    groups = defaultdict(list)
+    for r in before.collect():
+        groups[norm(r.text)].append(r.doc_id)
+    want = {t: max((i for i in ids if i is not None), default=None) for t, ids in groups.items()}
+    assert sorted(map(repr, ((norm(r.text), r.doc_id) for r in two.collect()))) == sorted(map(repr, want.items()))
+
+    # copies again, as no stage may rely on the one before it
+    three = stage["simhash_near_dedup"](spark, before, "")
+    rows = [(r.doc_id, r.text) for r in before.collect()]
+    part = components(range(len(rows)), [plain_fingerprint(t) for _, t in rows])
+    parts = defaultdict(list)
+    for (i, _), c in zip(rows, part, strict=True):
+        parts[c].append(i)
+    want = [min((i for i in ids if i is not None), default=None) for ids in parts.values()]
+    assert Counter(r.doc_id for r in three.collect()) == Counter(want)
+
+    four = stage["mixing"](spark, before, "").collect()
+    texts = defaultdict(list)
+    for r in before.collect():
+        texts[r.doc_id, r.lang, r.source].append(r.text or "")
+    taken, size = Counter(), {k: sum(len(WORD.findall(t)) for t in x) for k, x in texts.items()}
+    for r in four:
+        k = (r.doc_id, r.lang, r.source)
+        taken[k] += len(WORD.findall(r.text))
+        assert any(all(x in t for x in r.text.split("\n")) for t in texts[k])
+    assert all(n <= 2 * size[k] for k, n in taken.items())
+    assert sum(taken.values()) == pytest.approx(1.5 * sum(size.values()), rel=0.05)
+
+
 def test_run_is_the_stages_in_order(spark, small):
     one, two = (sorted(map(tuple, corpus_pipeline.run(spark, small).collect())) for _ in range(2))
     assert one == two and len(one) > 100
