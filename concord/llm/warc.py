@@ -68,12 +68,15 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """``record`` (the exact bytes of each WARC record) and ``payload`` (resolved through the store for revisits)."""
+    """``record`` (the exact bytes of each WARC record), ``payload`` (resolved through the store for revisits), ``head_bytes``.
+
+    ``head_bytes`` is the length of the record's WARC and HTTP headers, which a URL of any length may fill.
+    """
     store = spark.read.schema("strong string, payload binary, response_id long, copies long").parquet(f"{path}/store")
     headers = spark.read.schema("page_id long, header string, strong string").parquet(f"{path}/headers")
     is_revisit = F.col("header").startswith(f"WARC/1.1{CRLF}WARC-Type: revisit{CRLF}")
     own = F.when(is_revisit, F.lit(b"")).otherwise(F.col("payload"))
-    return headers.join(store.select("strong", "payload"), "strong").select(F.concat(F.col("header").cast("binary"), own, F.lit(b"\r\n\r\n")).alias("record"), "payload")
+    return headers.join(store.select("strong", "payload"), "strong").select(F.concat(F.col("header").cast("binary"), own, F.lit(b"\r\n\r\n")).alias("record"), "payload", F.octet_length("header").alias("head_bytes"))
 
 
 def parse_records(records: DataFrame) -> DataFrame:
@@ -83,7 +86,7 @@ def parse_records(records: DataFrame) -> DataFrame:
     referred one. The digest is computed anew and must equal the header's, else the row fails the query.
     """
     # header fields are ASCII but for the URI, so positions in the Latin-1 text are byte positions
-    head = F.decode(F.substring("record", 1, 1 << 14), "ISO-8859-1")
+    head = F.decode(F.substring("record", F.lit(1), F.col("head_bytes")), "ISO-8859-1")
     found = records.withColumn("warc", F.substring_index(head, CRLF + CRLF, 1)).withColumn("http", F.substring_index(F.substring_index(head, CRLF + CRLF, 2), CRLF + CRLF, -1))
     field = lambda name: F.regexp_extract("warc", rf"(?m)^{name}: (.*?)\r?$", 1)
     kind = field("WARC-Type")

@@ -495,6 +495,14 @@ def test_warc_round_trip(spark, small):
     assert warc.round_trip(df.where("false")).count() == 0
 
 
+def test_warc_headers_of_any_length(spark):
+    long_ = ["http://x/?q=" + "a" * n for n in (16_000, 16_384, 100_000)] + ["data:text/html," + "é漢" * 20_000]
+    rows = [(i, u, f"text {i // 2}") for i, u in enumerate(u for u in long_ for _ in range(2))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted(repr((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to)) for r in warc.round_trip(df).collect())
+    assert got == warc_expected([(i, h) for i, _, h in rows])
+
+
 def test_warc_records_are_well_formed(spark, tmp_path):
     df = spark.createDataFrame([(1, "http://a", "same"), (2, "http://b", "same"), (3, "http://c", "other")], "page_id long, url string, html string")
     warc.write_archive(df, str(tmp_path))
