@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from decimal import Decimal, localcontext
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +64,71 @@ def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return x.astype(np.int64)
 
 
+#: From this sum on numpy draws no hypergeometric counts.
+NUMPY_MOST = 10**9
+
+
+def log_factorial(n: int) -> Decimal:
+    """To some 28 digits after the point: from the factorial itself, or by Stirling's series, whose error is below n**-11."""
+    with localcontext() as c:
+        c.prec = 50
+        if n < 500:
+            return Decimal(math.factorial(n)).ln()
+        x = Decimal(n)
+        tail = sum(Decimal(a) / (b * x**k) for a, b, k in ((1, 12, 1), (-1, 360, 3), (1, 1260, 5), (-1, 1680, 7), (1, 1188, 9)))
+        return (x + Decimal("0.5")) * x.ln() - x + LOG_ROOT_2PI + tail
+
+
+LOG_ROOT_2PI = Decimal("0.91893853320467274178032973640561763986139747363778")
+
+
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, sample: int) -> int:
+    """How many of ``sample`` of ``good + bad`` things are good, for counts of any size.
+
+    Few draws are made one by one; others by ratio of uniforms (Stadlober's HRUA), with the logarithms in decimals, as the
+    factorials of large counts cancel.
+    """
+    few, many, total = min(good, bad), max(good, bad), good + bad
+    drawn = min(sample, total - sample)
+    if min(drawn, few) < 10:
+        # drawing few from many, or dealing the few things out to the places of the draw
+        pool, tries = (few, drawn) if drawn <= few else (drawn, few)
+        k = 0
+        for i in range(tries):
+            k += int(rng.integers(0, total - i)) < pool - k
+    else:
+        p = few / total
+        a = drawn * p + 0.5
+        c = math.sqrt((total - drawn) * drawn * p * (1 - p) / (total - 1) + 0.5)
+        h = 1.7155277699214135 * c + 0.8989161620588988
+        logs = lambda k: log_factorial(k) + log_factorial(few - k) + log_factorial(drawn - k) + log_factorial(many - drawn + k)
+        mode = logs((drawn + 1) * (few + 1) // (total + 2))
+        while True:
+            u, v = 1 - rng.random(), rng.random()
+            x = a + h * (v - 0.5) / u
+            if not 0 <= x < min(drawn, few) + 1:
+                continue
+            k = int(x)
+            if 2 * math.log(u) <= float(mode - logs(k)):
+                break
+    if good > bad:
+        k = drawn - k
+    return good - k if drawn < sample else k
+
+
+def draw(rng: np.random.Generator, left: np.ndarray, n: int) -> np.ndarray:
+    """``n`` of the slots that ``left`` counts by source, all equally likely: a multivariate hypergeometric draw."""
+    total = int(left.sum())
+    if total < NUMPY_MOST:
+        return rng.multivariate_hypergeometric(left, n, method="marginals")
+    out = np.zeros(len(left), np.int64)
+    for i, mine in enumerate(left.tolist()):
+        total -= mine
+        out[i] = hypergeometric(rng, mine, total, n) if n else 0
+        n -= int(out[i])
+    return out
+
+
 @dataclass
 class Plan:
     """Per source, in the order of code points with null last: its size, target, blocks, and slots by output shard."""
@@ -82,7 +149,7 @@ def plan(sizes: dict[str | None, int], share: float, most: float, shards: int, s
     total = int(left.sum())
     for j in range(shards):
         # multinomial counts of the shard's sources, given what each source has to give in all
-        drawn.append(rng.multivariate_hypergeometric(left, total * (j + 1) // shards - total * j // shards, method="marginals") if len(names) and total else np.zeros(len(names), np.int64))
+        drawn.append(draw(rng, left, total * (j + 1) // shards - total * j // shards) if len(names) and total else np.zeros(len(names), np.int64))
         left = left - drawn[-1]
     return Plan(names, sized, targets, slots, np.cumsum(np.array(drawn).reshape(shards, len(names)), axis=0))
 
@@ -155,18 +222,19 @@ def mixed_counts(docs: DataFrame, **options) -> DataFrame:
     return placed.join(F.broadcast(facts), "s").join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
-def mixed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def mixed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_col: str | None = None, **options) -> DataFrame:
     """The mix as rows of ``docs``: each document once per epoch that takes words of it, with the text taken.
 
     A document taken as a whole keeps its exact text. Of others the taken stretches of words stand joined by a newline.
     The columns are those of ``docs``; documents with no word taken are absent. Texts
     meet their stretches by a written row key, so rows with null or repeated ids are documents of their own.
+    With ``shard_col`` each row holds what one output shard takes, and that column names the shard.
     """
     columns = docs.columns
     docs, key = with_row_key(docs, "mix-rows")
     placed, pieces, _ = mix(docs, id_col=id_col, text_col=text_col, row_col=key, **options)
-    spans = pieces.groupBy("row", "epoch").agg(F.sort_array(F.collect_list(F.struct("word_from", "word_to"))).alias("_spans"))  # no more than the document's blocks
-    spans = spans.join(placed.select("row", "size"), "row").select(F.col("row").alias(key), F.col("size").alias("_size"), "_spans")
+    spans = pieces.groupBy("row", "epoch", *(["shard"] if shard_col else [])).agg(F.sort_array(F.collect_list(F.struct("word_from", "word_to"))).alias("_spans"))  # no more than the document's blocks
+    spans = spans.join(placed.select("row", "size"), "row").select(F.col("row").alias(key), F.col("size").alias("_size"), "_spans", *([F.col("shard").alias("_shard")] if shard_col else []))
 
     import re
 
@@ -194,7 +262,13 @@ def mixed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = names[text_col]
     joined = texts.join(spans, key)
     words = F.aggregate("_spans", F.lit(0).cast("long"), lambda n, p: n + p["word_to"] - p["word_from"])
-    shown = [F.col(n).alias(c) for c, n in names.items()]
+    shown = [F.col(n).alias(c) for c, n in names.items()] + ([F.col("_shard").alias(shard_col)] if shard_col else [])
     whole = joined.where(words == F.col("_size")).select(*shown)
     part = joined.where(words < F.col("_size")).withColumn(text, cut(F.col(text).cast("string"), F.col("_spans"))).select(*shown)
     return whole.unionByName(part)
+
+
+def write_mix(docs: DataFrame, path: str, **options) -> None:
+    """Write the mixed texts to ``path``, a ``mix_shard=<k>`` folder for each output shard."""
+    mixed = mixed_texts(docs, shard_col="mix_shard", **options)
+    mixed.write.option("compression", "zstd").partitionBy("mix_shard").parquet(path)

@@ -195,6 +195,41 @@ def test_permutations_are_permutations():
     assert (mixing.permuted(np.arange(1000), np.full(1000, 1000), np.full(1000, 1)) != mixing.permuted(np.arange(1000), np.full(1000, 1000), np.full(1000, 2))).mean() > 0.9
 
 
+def test_plan_of_a_large_corpus():
+    """Over 10**9 slots, where numpy's own draw ends."""
+    sizes = {"a": 10**12, "b": 3 * 10**12, None: 40, "c": 64 * 10**10}
+    p = mixing.plan(sizes, 1.5, 2.0, 16, 7, (3, 1, 2), 64)
+    drawn = np.diff(p.until, axis=0, prepend=0)
+    total = sum(p.slots)
+    assert p.until[-1].tolist() == p.slots and (drawn >= 0).all()
+    assert drawn.sum(axis=1).tolist() == [total * (j + 1) // 16 - total * j // 16 for j in range(16)]
+    assert np.allclose(drawn[:, :3], np.array(p.slots[:3]) / 16, rtol=1e-3)
+
+
+@pytest.mark.parametrize("good, bad, sample", [(40, 60, 30), (70, 30, 80), (5, 300, 150), (300, 5, 20), (1000, 3000, 500), (3 * 10**10, 10**11, 2 * 10**10), (3, 10**12, 5 * 10**11)])
+def test_hypergeometric_counts(good, bad, sample):
+    rng = np.random.default_rng(1)
+    got = np.array([mixing.hypergeometric(rng, good, bad, sample) for _ in range(3000)], float)
+    n, p = good + bad, good / (good + bad)
+    mean, var = sample * p, sample * p * (1 - p) * (n - sample) / (n - 1)
+    assert got.min() >= max(0, sample - bad) and got.max() <= min(good, sample)
+    assert abs(got.mean() - mean) < 4 * (var / 3000) ** 0.5
+    assert got.var() == pytest.approx(var, rel=0.12)
+
+
+def test_mix_is_written_by_shard(spark, docs, tmp_path):
+    mixing.write_mix(docs, f"{tmp_path}/mix")
+    got = spark.read.parquet(f"{tmp_path}/mix").collect()
+    words, by_id = Counter(), Counter()
+    for r in got:
+        words[r.mix_shard] += len(WORD.findall(r.text))
+        by_id[r.doc_id] += len(WORD.findall(r.text))
+    _, pieces, _ = mixing.mix(docs)
+    assert words == {r.shard: r.n for r in pieces.groupBy("shard").agg(F.sum(F.col("word_to") - F.col("word_from")).alias("n")).collect()}
+    assert len(words) == 16 and max(words.values()) < 1.2 * min(words.values())
+    assert dict(by_id) == {r.doc_id: r.taken for r in mixing.mixed_counts(docs).collect() if r.taken}
+
+
 def test_mixed_texts_hold_the_counted_words(docs):
     counts = {r.doc_id: r.taken for r in mixing.mixed_counts(docs).collect()}
     texts = mixing.mixed_texts(docs).collect()
