@@ -64,6 +64,44 @@ def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return x.astype(np.int64)
 
 
+def index_of(place: int, n: int, key: int) -> int:
+    """The index that ``permuted`` moves to ``place``: its rounds in reverse."""
+    half = max(1, (math.ceil(math.log2(max(n, 2))) + 1) // 2)
+    mask, x = (1 << half) - 1, place
+    while True:
+        left, right = x >> half, x & mask
+        for r in reversed(range(4)):
+            scrambled = mix64(np.array([left + key * 0x9E3779B97F4A7C15 + r & (1 << 64) - 1], np.uint64))[0]
+            left, right = right ^ int(scrambled) & mask, left
+        x = left << half | right
+        if x < n:
+            return x
+
+
+def epoch_key(seed: int, s, epoch):
+    """Names the permutation of a source in an epoch."""
+    return seed * 1_000_003 + s * 64 + epoch
+
+
+def slots_for(target: int, size: int, block: int, seed: int, s: int) -> tuple[int, int]:
+    """``(slots, words of the last one)`` that hold exactly ``target`` words of source ``s``.
+
+    A whole epoch gives ``size`` words in its blocks, the last of which is short. In the epoch that is cut off the short
+    block may be among the blocks taken; the words it lacks are then made up.
+    """
+    if not size or not target:
+        return 0, block
+    blocks, (epochs, rest) = -(-size // block), divmod(target, size)
+    if not rest:
+        return epochs * blocks, block
+    lacks = blocks * block - size
+    n = -(-rest // block)
+    short = index_of(blocks - 1, blocks, epoch_key(seed, s, epochs))
+    if short < n and n * block - lacks < rest:
+        n += 1
+    return epochs * blocks + n, rest - ((n - 1) * block - (lacks if short < n - 1 else 0))
+
+
 #: From this sum on numpy draws no hypergeometric counts.
 NUMPY_MOST = 10**9
 
@@ -131,12 +169,13 @@ def draw(rng: np.random.Generator, left: np.ndarray, n: int) -> np.ndarray:
 
 @dataclass
 class Plan:
-    """Per source, in the order of code points with null last: its size, target, blocks, and slots by output shard."""
+    """Per source, in the order of code points with null last: its size, target, slots, and slots by output shard."""
 
     names: list[str | None]
     sizes: list[int]
     targets: list[float]
     slots: list[int]
+    last: list[int]  # words of the source's last slot
     until: np.ndarray  # (shards, sources): slots of the source up to and with the shard
 
 
@@ -144,14 +183,15 @@ def plan(sizes: dict[str | None, int], share: float, most: float, shards: int, s
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
     sized = [sizes[s] for s in names]
     targets = share_out(sized, [weights[i % len(weights)] for i in range(len(names))], share * sum(sized), most)
-    slots = [-(-round(t) // block) for t in targets]
+    cut = [slots_for(round(t), n, block, seed, s) for s, (t, n) in enumerate(zip(targets, sized, strict=True))]
+    slots = [n for n, _ in cut]
     rng, left, drawn = np.random.default_rng(seed), np.array(slots, np.int64), []
     total = int(left.sum())
     for j in range(shards):
         # multinomial counts of the shard's sources, given what each source has to give in all
         drawn.append(draw(rng, left, total * (j + 1) // shards - total * j // shards) if len(names) and total else np.zeros(len(names), np.int64))
         left = left - drawn[-1]
-    return Plan(names, sized, targets, slots, np.cumsum(np.array(drawn).reshape(shards, len(names)), axis=0))
+    return Plan(names, sized, targets, slots, [n for _, n in cut], np.cumsum(np.array(drawn).reshape(shards, len(names)), axis=0))
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -171,7 +211,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     documents: ``row, doc_id, source, size, s`` (s: number of the source) and the stretch ``[start, start + size)`` of
     its words in the line of the source. pieces: ``row, epoch, shard, slot, block, word_from, word_to``, the words of
     the document (from 0) that a slot of the mix takes. Slot k of a source takes block ``permutation(k mod blocks)`` of
-    epoch ``k div blocks``; its last slot takes only the words that are left to the target. Only one row per source
+    epoch ``k div blocks``; its last slot takes only the words that are left to the target, so every source gives
+    its target, rounded. Only one row per source
     meets on the driver; no source is gathered in one task: its line is built from sums per chunk of rows.
 
     Defined cases: null and empty texts have size 0 and are never taken; a null source is a source, the last; repeated
@@ -194,7 +235,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     slots, first = np.array(p.slots, np.int64), np.append(0, np.cumsum(p.slots))
     blocks = -(-np.array(p.sizes, np.int64) // block)
-    limits, until = np.array([round(t) for t in p.targets], np.int64), p.until
+    last, until = np.array(p.last, np.int64), p.until
 
     def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,9 +243,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
             s = np.searchsorted(first, number, side="right") - 1
             k = number - first[s]
             epoch, index = k // blocks[s], k % blocks[s]
-            at = permuted(index, blocks[s], seed * 1_000_003 + s * 64 + epoch)
+            at = permuted(index, blocks[s], epoch_key(seed, s, epoch))
             shard = (until[:, s] <= k).sum(axis=0)
-            most_words = np.where(k == slots[s] - 1, limits[s] - k * block, block)
+            most_words = np.where(k == slots[s] - 1, last[s], block)
             yield pa.RecordBatch.from_arrays([pa.array(x.astype(t)) for x, t in ((s, np.int32), (at, np.int64), (epoch, np.int32), (shard, np.int32), (number, np.int64), (most_words, np.int64))], names=["s", "block", "epoch", "shard", "slot", "words"])
 
     taken = spark.range(int(first[-1])).mapInArrow(drawn, "s int, block long, epoch int, shard int, slot long, words long")

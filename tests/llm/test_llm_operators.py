@@ -195,6 +195,26 @@ def test_permutations_are_permutations():
     assert (mixing.permuted(np.arange(1000), np.full(1000, 1000), np.full(1000, 1)) != mixing.permuted(np.arange(1000), np.full(1000, 1000), np.full(1000, 2))).mean() > 0.9
 
 
+@pytest.mark.parametrize("name", ["hard", "docs"])
+def test_every_source_gives_its_target(request, name):
+    df = request.getfixturevalue(name)
+    small = [(-i, " ".join(f"w{k}" for k in range(n)), f"small {n}") for i, n in enumerate([1, 33, 63, 64, 65, 100, 127, 200, 333, 1000], 1)]
+    df = df.select("doc_id", "text", "source").unionByName(df.sparkSession.createDataFrame(small, "doc_id long, text string, source string"))
+    placed, pieces, p = mixing.mix(df)
+    taken = {r.s: r.n for r in placed.join(pieces, "row").groupBy("s").agg(F.sum(F.col("word_to") - F.col("word_from")).alias("n")).collect()}
+    assert {s: n for s, n in enumerate(map(round, p.targets)) if n} == taken
+    for t in (0.3, 0.71, 1.23, 1.9):
+        placed, pieces, p = mixing.mix(df, share=t, seed=int(100 * t))
+        got = placed.join(pieces, "row").groupBy("s").agg(F.sum(F.col("word_to") - F.col("word_from")).alias("n")).collect()
+        assert {s: n for s, n in enumerate(map(round, p.targets)) if n} == {r.s: r.n for r in got}
+
+
+def test_index_of_is_the_way_back():
+    for n in (1, 2, 3, 64, 1000, 4097):
+        at = mixing.permuted(np.arange(n), np.full(n, n), np.full(n, 7_000_021 + 65))
+        assert all(mixing.index_of(int(at[i]), n, 7_000_021 + 65) == i for i in range(0, n, max(1, n // 50)))
+
+
 def test_plan_of_a_large_corpus():
     """Over 10**9 slots, where numpy's own draw ends."""
     sizes = {"a": 10**12, "b": 3 * 10**12, None: 40, "c": 64 * 10**10}
