@@ -96,9 +96,11 @@ def reshard(docs: DataFrame, old_shard: Column, n_old: int, n_new: int, path: st
     """Write ``docs`` to ``path`` as ``shard=<k>`` folders of ``doc_id, text, size, block, rn`` and return the flow.
 
     ``old_shard`` is an expression over ``docs`` in [0, n_old). Rows of an old shard stand in one line, ordered by block
-    (hash of the text), text hash and id; the flow cuts that line. Only sums per block meet on the driver: at most
+    (hash of the text), text hash and id; the flow cuts that line. Equal texts of several old shards stand on one line, that
+    of their smallest id, unless the group is too large to be kept together. Only sums per block meet on the driver: at most
     ``n_old * BLOCKS`` rows, PARTS or a row per PART_BYTES of each block that is too large, and the few heavy documents and
-    groups. The texts move in one exchange.
+    groups. The texts move in one exchange, and in one more
+    where the table of groups on several lines is too large to be broadcast.
     Each ``(shard, block)`` numbers its rows from 1 in ``rn``.
 
     Defined cases: a null text counts 8 bytes and equals no group but the other null and empty texts; null ids are
@@ -115,6 +117,19 @@ def reshard(docs: DataFrame, old_shard: Column, n_old: int, n_new: int, path: st
     slim = materialize(base.drop("text"), "shard-sizes")
     total = slim.agg(F.sum("size")).first()[0] or 0
     most = max(1, int(total / n_new * WHOLE_GROUP))
+    groups = slim.groupBy("th").agg(F.sum("size").alias("b"), F.min("old").alias("lo"), F.max("old").alias("hi"), F.min(F.struct("doc_id", "old"))["old"].alias("home"))
+    groups = materialize(groups.where((F.col("lo") < F.col("hi")) | (F.col("b") > most)), "shard-groups")
+    # groups that no shard takes as a whole: at most n_new / WHOLE_GROUP of them
+    hot = [r.th for r in groups.where(F.col("b") > most).select("th").collect()]
+    homes = groups.where(F.col("b") <= most).select("th", F.lit(0).alias("salt"), "home")
+
+    def homed(df: DataFrame) -> DataFrame:
+        """Rows of a group that lies on several old lines stand on one of them, that of its smallest id."""
+        salt = F.when(F.col("th").isin(hot), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 16)).cast("int") + 1).otherwise(F.lit(0)) if hot else F.lit(0)
+        return df.withColumn("salt", salt).join(homes, ["th", "salt"], "left").withColumn("old", F.coalesce("home", "old")).drop("home", "salt")
+
+    if not homes.isEmpty():
+        base, slim = homed(base), materialize(homed(slim), "shard-lines")
     # at most n_new / WHOLE_GROUP rows
     heavy = slim.where(F.col("size") > most).groupBy("doc_id").agg(F.sum("size").alias("b"), F.min("old").alias("old")).orderBy("doc_id").collect()
     placed_at = place_heavy([(r.b, r.old) for r in heavy], capacities(total, n_new))
@@ -137,8 +152,6 @@ def reshard(docs: DataFrame, old_shard: Column, n_old: int, n_new: int, path: st
     flow = min_cost_flow(sizes, caps)
     limit = max(1, min(total // n_new // 4, PART_BYTES))
     large = {(r.old, r.b1): max(PARTS, -(-r.b // PART_BYTES)) for r in rows if r.b > limit}
-    # groups that no shard takes as a whole: at most n_new / WHOLE_GROUP of them
-    hot = [r.th for r in slim.groupBy("old", "th").agg(F.sum("size").alias("b")).where(F.col("b") > most).select("th").distinct().collect()] if large else []
     by_id, by_text = (F.pmod(h, F.col("n_parts")).cast("int") for h in (F.xxhash64("doc_id"), F.shiftright("th", 20)))
     part = F.when(F.col("th").isin(hot), by_id).otherwise(by_text) if hot else by_text
     split = F.col("n_parts").isNotNull()

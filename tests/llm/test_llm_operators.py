@@ -424,6 +424,18 @@ def test_equal_texts_stay_together(spark):
     assert sum(len(x) > 1 for x in at.values()) == 0
 
 
+def test_equal_texts_of_different_sources_stay_together(spark):
+    """Also beside one group that is too large for that."""
+    rows = [(i, f"text {i // 3} " + "x" * 50, f"s{i % 5}") for i in range(30_000)] + [(i, "everywhere " * 5, f"s{i % 7}") for i in range(30_000, 40_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    at, load = defaultdict(set), Counter()
+    for r in sharding.reshard_documents(df).collect():
+        at[r.doc_id // 3].add(r.shard)
+        load[r.shard] += r["size"]
+    assert sum(len(at[k]) > 1 for k in range(10_000)) == 0
+    assert len(load) == 24 and max(load.values()) < 1.05 * min(load.values())
+
+
 def test_flow_moves_the_fewest_bytes():
     rng = np.random.default_rng(0)
     for _ in range(20):
