@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,17 +20,50 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+_below: ContextVar[str | None] = ContextVar("below", default=None)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Only a local session, whose executors are the driver, gets a temporary folder where that is unset; on a cluster each
+    executor would write to a disk of its own, so there it is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="concord-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_below.get() or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared storage, whatever file system it is on."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(*written: DataFrame) -> None:
+    """Delete the folders of tables made by ``materialize`` that nothing reads any more."""
+    for df in written:
+        remove(df.sparkSession, df._written_to)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are deleted at the end; what is to stay has its path from before."""
+    folder = fresh_path(spark, "scratch")
+    token = _below.set(folder)
+    try:
+        yield
+    finally:
+        _below.reset(token)
+        remove(spark, folder)
 
 
 def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -37,7 +73,9 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """
     path = fresh_path(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
 
 
 def with_row_key(df: DataFrame, name: str) -> tuple[DataFrame, str]:
@@ -60,20 +98,24 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     )
     labels = materialize(live.select(F.col("u").alias("node")).union(live.select("v")).distinct().withColumn("component", F.col("node")), "cc-labels")
     while True:
-        live = live.where("u <> v")
-        if live.isEmpty():
+        open_ = live.where("u <> v")
+        if open_.isEmpty():
+            release(live)
             return labels
-        both = live.select("u", "v").union(live.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        hook = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-hook")
+        both = open_.select("u", "v").union(open_.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        nearest = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-hook")
+        hook = nearest
         # two pointer jumps before contracting: chains of decreasing ids fold up
         for _ in range(2):
             up = hook.select(F.col("u").alias("m"), F.col("m").alias("mm"))
             hook = hook.join(up, "m", "left").select("u", F.coalesce("mm", "m").alias("m"))
         hook = materialize(hook, "cc-hook")
-        labels = materialize(
+        named = materialize(
             labels.join(hook.select(F.col("u").alias("component"), "m"), "component", "left").select("node", F.coalesce("m", "component").alias("component")), "cc-labels"
         )
         to_u, to_v = hook.select("u", F.col("m").alias("mu")), hook.select(F.col("u").alias("v"), F.col("m").alias("mv"))
-        live = materialize(
-            live.join(to_u, "u", "left").join(to_v, "v", "left").select(F.coalesce("mu", "u").alias("u"), F.coalesce("mv", "v").alias("v")).where("u <> v").distinct(), "cc-edges"
+        contracted = materialize(
+            open_.join(to_u, "u", "left").join(to_v, "v", "left").select(F.coalesce("mu", "u").alias("u"), F.coalesce("mv", "v").alias("v")).where("u <> v").distinct(), "cc-edges"
         )
+        release(live, labels, nearest, hook)
+        live, labels = contracted, named

@@ -30,7 +30,7 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
 
     The store groups payloads by SHA-256 **and** bytes with map-side combine: copies collapse before the exchange, and
     two different payloads of one digest would show as two rows, which is an error. Records of at least ``min_bytes``
-    with a payload seen at a smaller id are revisits of it, the others responses.
+    with a payload seen at a smaller id are revisits of it, the others responses. CR and LF of a URL are percent-encoded.
 
     Defined cases: null html is an empty payload, a null url an empty target; repeated rows of the responding id are all
     responses; a null id never is the response unless all of its copies have none. An empty table writes an empty archive.
@@ -54,7 +54,7 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
         line("WARC-Type", F.when(F.col("revisit"), F.lit("revisit")).otherwise(F.lit("response"))),
         line("WARC-Record-ID", urn(F.col("page_id"))),
         line("WARC-Date", F.lit(date)),
-        line("WARC-Target-URI", F.regexp_replace("url", "[\r\n]", "")),
+        line("WARC-Target-URI", F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
         F.when(F.col("revisit"), F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", urn(F.col("response_id"))))).otherwise(F.lit("")),
         F.lit(f"Content-Type: application/http;msgtype=response{CRLF}"),
@@ -85,16 +85,18 @@ def parse_records(records: DataFrame) -> DataFrame:
     The payload of a response is cut out of its record by the lengths that the headers give; that of a revisit is the
     referred one. The digest is computed anew and must equal the header's, else the row fails the query.
     """
-    # header fields are ASCII but for the URI, so positions in the Latin-1 text are byte positions
+    # header fields are ASCII but for the URI, so positions in the Latin-1 text are byte positions. Lines end with CRLF
+    # alone, which no URI has: other line ends that Unicode knows may stand in a URI
     head = F.decode(F.substring("record", F.lit(1), F.col("head_bytes")), "ISO-8859-1")
     found = records.withColumn("warc", F.substring_index(head, CRLF + CRLF, 1)).withColumn("http", F.substring_index(F.substring_index(head, CRLF + CRLF, 2), CRLF + CRLF, -1))
-    field = lambda name: F.regexp_extract("warc", rf"(?m)^{name}: (.*?)\r?$", 1)
+    lines = F.split("warc", CRLF)
+    field = lambda name: F.substr(F.get(F.filter(lines, lambda x: x.startswith(f"{name}: ")), F.lit(0)), F.lit(len(name) + 3))
     kind = field("WARC-Type")
     start = F.length("warc") + F.length("http") + 8
-    size = F.expr("cast(regexp_extract(warc, '(?m)^Content-Length: ([0-9]+)', 1) as int)") - F.length("http") - 4
+    size = field("Content-Length").cast("int") - F.length("http") - 4
     content = F.when(kind == "response", F.substring(F.col("record"), start + 1, size)).otherwise(F.col("payload"))
     page = lambda text: F.expr(f"try_cast(regexp_extract({text}, '<urn:page:([0-9-]+)>', 1) as bigint)")
-    parsed = found.select(field("WARC-Record-ID").alias("rid"), kind.alias("record_type"), field("WARC-Refers-To").alias("ref"), field("WARC-Payload-Digest").alias("claimed"), content.alias("content")).withColumn(
+    parsed = found.select(field("WARC-Record-ID").alias("rid"), kind.alias("record_type"), F.coalesce(field("WARC-Refers-To"), F.lit("")).alias("ref"), field("WARC-Payload-Digest").alias("claimed"), content.alias("content")).withColumn(
         "payload_digest", base32_sha1(F.col("content"))
     )
     checked = F.when(F.concat(F.lit("sha1:"), F.col("payload_digest")) == F.col("claimed"), F.col("payload_digest")).otherwise(F.raise_error(F.lit("payload digest differs from the record's header")))

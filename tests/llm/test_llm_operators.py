@@ -564,6 +564,8 @@ def test_warc_round_trip(spark, small):
 
 def test_warc_headers_of_any_length(spark):
     long_ = ["http://x/?q=" + "a" * n for n in (16_000, 16_384, 100_000)] + ["data:text/html," + "é漢" * 20_000]
+    tail = "Content-Length: 5 WARC-Payload-Digest: sha1:X"
+    long_ += [f"http://x/{end}{tail}" for end in ("Å", "\u0085", "\u2028", "\r\n", "\r\n\r\n", "\x0b", "\x0c", "\x85\r")]
     rows = [(i, u, f"text {i // 2}") for i, u in enumerate(u for u in long_ for _ in range(2))]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = sorted(repr((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to)) for r in warc.round_trip(df).collect())
