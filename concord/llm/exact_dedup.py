@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from concord.llm.common import LOWER, UPPER, materialize
 
 
+#: Hashes of groups of two or more that may be broadcast (8 bytes each); beyond it their texts are found by a shuffle.
+FEW_GROUPS = 1_000_000
+
+
 def normalise(text: Column) -> Column:
     """Lower-case A-Z only; null counts as empty."""
     return F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER, LOWER)
@@ -21,7 +25,7 @@ def hash128(digest_hex: Column) -> Column:
 
 
 def exact_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", content_hash: Callable[[Column], Column] = hash128
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", content_hash: Callable[[Column], Column] = hash128, few_groups: int = FEW_GROUPS
 ) -> DataFrame:
     """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
@@ -39,10 +43,12 @@ def exact_dedup(
     hashed = materialize(texts.select("doc_id", F.sha2("_norm", 256).alias("text_sha256")).withColumn("_h", content_hash(F.col("text_sha256"))), "dedup-hash")
     groups = materialize(hashed.groupBy("_h").agg(pick("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "dedup-groups")
 
-    # bytes inside groups: only the texts of groups of two or more meet again
-    many = groups.where("group_size > 1").select("_h")
-    members = hashed.join(many, "_h", "left_semi").select(F.col("doc_id").alias("_id"))
-    same = texts.join(members, texts["doc_id"].eqNullSafe(members["_id"]), "left_semi").withColumn("_h", content_hash(F.sha2("_norm", 256)))
+    # bytes inside groups: only the texts of groups of two or more meet again. They are picked in the scan by 64 bits of
+    # the content hash; a text picked for those alone has a group of its own and is found equal to itself
+    short = F.xxhash64("_h").alias("_s")
+    many = groups.where("group_size > 1").select(short).distinct()
+    few = groups.where("group_size > 1").count() <= few_groups
+    same = texts.withColumn("_h", content_hash(F.sha2("_norm", 256))).withColumn("_s", short).join(F.broadcast(many) if few else many, "_s", "left_semi")
     classes = same.groupBy("_h", "_norm").agg(F.count("*").alias("_n"))
     collided = materialize(classes.groupBy("_h").agg(F.count("*").alias("_classes")).where("_classes > 1"), "dedup-collided")
 

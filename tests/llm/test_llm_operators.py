@@ -85,9 +85,9 @@ def dedup_expected(rows):
 @pytest.mark.parametrize("name", ["hard", "docs"])
 @pytest.mark.parametrize("weak", [False, True])
 def test_exact_dedup(request, name, weak):
-    """Also with a hash of four bits, so that groups hold many collisions."""
+    """Also with a hash of four bits, so that groups hold many collisions, and with more groups than are broadcast."""
     df = request.getfixturevalue(name)
-    options = {"content_hash": lambda h: F.substring(h, 1, 1)} if weak else {}
+    options = {"content_hash": lambda h: F.substring(h, 1, 1), "few_groups": 3} if weak else {}
     got = exact_dedup.exact_dedup(df, **options).collect()
     assert sorted(repr((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256)) for r in got) == dedup_expected(pairs(df))
 
