@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 ORDER = 3
 #: Documents per language that the model is fitted on; the bound of all statistics.
 SAMPLE_DOCS = 150
-#: Bytes scored at a time.
-STRETCH = 1 << 18
+#: Bytes scored at a time, about.
+STRETCH = 1 << 20
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -68,71 +68,81 @@ class Ppm:
     Escapes follow method C: after a context seen n times with d different bytes, a byte seen c times has probability
     c / (n + d), the escape to the next shorter context d / (n + d). Below the empty context all 256 bytes are equal.
     A context that a language never saw is left for the next shorter one at no cost. Statistics are frozen: scoring a
-    text changes nothing, so the length of a byte depends on the ORDER bytes before it only and is tabulated.
+    text changes nothing, so the length of a byte depends on the ORDER bytes before it only.
+
+    A tree is kept as, per language and order, the sorted contexts with the bits of their escape and the sorted (context,
+    byte) pairs with their bits: what was seen in the sample, whatever the number of languages and scripts. The different
+    grams of a stretch of texts are looked up once each.
     """
 
     def __init__(self, counts: pd.DataFrame):
         self.langs = sorted(counts.lang.unique().tolist(), key=lambda s: s.encode())
-        gram = np.unique(counts.gram.to_numpy(np.int64))
-        #: Bytes that occur at all; others share one last symbol.
-        seen = np.unique(np.concatenate([gram >> 8 * k & 255 for k in range(ORDER + 1)])) if len(gram) else np.zeros(0, np.int64)
-        self.symbol = np.full(256, len(seen), np.int64)
-        self.symbol[seen] = np.arange(len(seen))
-        self.width = len(seen) + 1
-        cost = np.full((1, self.width, len(self.langs)), 8.0)  # order -1
-        self.contexts = [np.zeros(1, np.int64)]
-        tables = [cost]
-        for order in range(ORDER + 1):
-            mask = (1 << 8 * (order + 1)) - 1
-            known = np.unique((gram & mask) >> 8)  # contexts of this order, over all languages
-            # rows of the context one byte shorter, which every known context has
-            parent = tables[-1][self.place(self.contexts[-1], known & ((1 << 8 * max(order - 1, 0)) - 1))] if order else np.repeat(tables[0], len(known), 0)
-            cost = parent.copy()
-            for i, lang in enumerate(self.langs):
-                mine = counts[counts.lang == lang]
-                full, inverse = np.unique(mine.gram.to_numpy(np.int64) & mask, return_inverse=True)
+        #: Per language, from the longest order to the empty context: contexts, bits of escape, pairs, bits of the byte.
+        self.trees: list[list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]] = []
+        for lang in self.langs:
+            mine, tree = counts[counts.lang == lang], []
+            for order in range(ORDER, -1, -1):
+                full, inverse = np.unique(mine.gram.to_numpy(np.int64) & (1 << 8 * (order + 1)) - 1, return_inverse=True)
                 c = np.bincount(inverse, mine.n.to_numpy(), len(full))
-                ctx = np.searchsorted(known, full >> 8)
+                known, ctx = np.unique(full >> 8, return_inverse=True)
                 n, d = np.bincount(ctx, c, len(known)), np.bincount(ctx, minlength=len(known))
-                used = d > 0
-                cost[used, :, i] += np.log2((n + d)[used] / d[used])[:, None]
-                cost[ctx, self.symbol[full & 255], i] = np.log2((n + d)[ctx] / c)
-            self.contexts.append(known)
-            tables.append(cost)
-        #: All contexts in one table, and for every ORDER symbols the row of their longest known context.
-        costs = np.concatenate(tables[1:]).astype(np.float32)
-        self.costs = costs.reshape(len(costs) * self.width, len(self.langs))
-        self.row = np.zeros((self.width,) * ORDER, np.int32)
-        first = 0
-        for order, known in enumerate(self.contexts[1:]):
-            at = tuple(self.symbol[known >> 8 * k & 255] for k in range(order - 1, -1, -1))
-            self.row[(..., *at)] = first + np.arange(len(known), dtype=np.int32) if order else 0
-            first += len(known)
-        self.row = self.row.reshape(-1)
-
-    @staticmethod
-    def place(known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        return np.minimum(np.searchsorted(known, wanted), max(len(known) - 1, 0))
+                tree.append((known.astype(np.uint32), np.log2((n + d) / d), full.astype(np.uint32), np.log2((n + d)[ctx] / c)))
+            self.trees.append(tree)
+
+    def bits_of(self, gram: np.ndarray) -> np.ndarray:
+        """``(grams, languages)``: bits of the last byte of each gram after the others."""
+        out = np.zeros((len(gram), len(self.langs)))
+        for i, tree in enumerate(self.trees):
+            open_ = np.arange(len(gram))
+            for order, (known, escape, full, byte) in zip(range(ORDER, -1, -1), tree, strict=True):
+                wanted = gram[open_] & np.uint32((1 << 8 * (order + 1)) - 1)
+                at = np.minimum(np.searchsorted(full, wanted), len(full) - 1)
+                hit = full[at] == wanted
+                out[open_[hit], i] += byte[at[hit]]
+                open_, wanted = open_[~hit], wanted[~hit] >> np.uint32(8)
+                at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+                out[open_, i] += np.where(known[at] == wanted, escape[at], 0)
+            out[open_, i] += 8
+        return out
+
+    def lengths_of(self, texts: list[bytes]) -> np.ndarray:
+        """``(texts, languages)``: bits that each language needs for each text; a text over STRETCH bytes is scored by parts."""
+        total = np.zeros((len(texts), len(self.langs)))
+        held, owner, size = [], [], 0
+
+        def score() -> None:
+            nonlocal held, owner, size
+            different, at = np.unique(np.concatenate(held), return_inverse=True)
+            first = np.cumsum([0, *map(len, held[:-1])])
+            np.add.at(total, owner, np.add.reduceat(self.bits_of(different)[at], first, axis=0))
+            held, owner, size = [], [], 0
+
+        for k, text in enumerate(texts):
+            for lo in range(0, len(text), STRETCH):
+                # the part with the bytes before it
+                part = grams(text[max(lo - ORDER, 0) : lo + STRETCH])[min(lo, ORDER) :]
+                held.append(part)
+                owner.append(k)
+                size += len(part)
+                if size >= STRETCH:
+                    score()
+        if held:
+            score()
+        return total
 
     def lengths(self, data: bytes) -> np.ndarray:
         """Bits that each language needs for the data."""
-        sym = self.symbol[np.frombuffer(b" " * ORDER + data, np.uint8)]
-        total = np.zeros(len(self.langs))
-        for lo in range(0, len(data), STRETCH):
-            n = min(STRETCH, len(data) - lo)
-            context = np.zeros(n, np.int64)
-            for k in range(ORDER):
-                context = context * self.width + sym[lo + k : lo + k + n]
-            cost = self.costs[self.row[context] * np.int64(self.width) + sym[lo + ORDER : lo + ORDER + n]]
-            total += cost.sum(axis=0, dtype=np.float64)
-        return total
+        return self.lengths_of([data])[0]
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not LETTER.search(text) or not self.langs:
-            return "und", 0.0
-        bits = self.lengths(folded(text))
-        best = int(np.argmin(bits))  # ties: the first language
-        return self.langs[best], float(1 / np.exp2(np.maximum(bits[best] - bits, -1000)).sum())
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """The language of the least bits and its share of the likelihood, for each text."""
+        out = [("und", 0.0)] * len(texts)
+        known = [i for i, t in enumerate(texts) if t and self.langs and LETTER.search(t)]
+        bits = self.lengths_of([folded(texts[i]) for i in known])
+        for i, b in zip(known, bits, strict=True):
+            best = int(np.argmin(b))  # ties: the first language
+            out[i] = (self.langs[best], float(1 / np.exp2(np.maximum(b[best] - b, -1000)).sum()))
+        return out
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = SAMPLE_DOCS) -> Ppm:
@@ -151,7 +161,7 @@ def predictions(docs: DataFrame, model: Ppm, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shared.value.predict(t.as_py()) for t in batch.column(2)]
+            found = shared.value.predict(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out(F.col(id_col)), F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
@@ -169,7 +179,7 @@ def with_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = pa.array([shared.value.predict(t.as_py())[0] for t in batch.column(text_at)], pa.string())
+            found = pa.array([lang for lang, _ in shared.value.predict(batch.column(text_at).to_pylist())], pa.string())
             columns = [found if i == at else c for i, c in enumerate(batch.columns)]
             known = pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(pc.not_equal(found, "und"))
             if known.num_rows:
