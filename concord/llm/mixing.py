@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from decimal import Decimal, localcontext
@@ -18,8 +19,10 @@ from concord.llm.common import materialize, with_row_key
 BLOCK = 64
 #: Rows that one task orders, about, if all are of one source; and the least number of chunks.
 CHUNK_ROWS, CHUNKS = 20_000, 256
+#: Slots of the mix that one task draws, and that one task writes, about.
+TASK_SLOTS, FILE_SLOTS = 1 << 20, 1 << 19
 WEIGHTS = (3, 1, 2)
-WORD = r"[^\x20\x09-\x0D]+"
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def share_out(sizes: list[int], weights: list[int], total: float, most: float) -> list[float]:
@@ -169,7 +172,12 @@ def draw(rng: np.random.Generator, left: np.ndarray, n: int) -> np.ndarray:
 
 @dataclass
 class Plan:
-    """Per source, in the order of code points with null last: its size, target, slots, and slots by output shard."""
+    """Per source, in the order of code points with null last: its size, target, slots, and slots by output shard.
+
+    A shard takes the next ``until[j, s] - until[j - 1, s]`` slots of source s, as drawn for it. Independent multinomial
+    counts per shard, given that each source's counts add up to its slots, are multivariate hypergeometric: that is the draw,
+    since a source has to give its target and no more.
+    """
 
     names: list[str | None]
     sizes: list[int]
@@ -195,14 +203,14 @@ def plan(sizes: dict[str | None, int], share: float, most: float, shards: int, s
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """``doc_id, source, size, row``: words of each whole text, counted on its bytes (``bytes.split`` knows ASCII space only)."""
+    """``doc_id, source, size, th, row``: words of each whole text, counted on its bytes (``bytes.split`` knows ASCII space only)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = pa.array([len((t.as_py() or b"").split()) for t in batch.column(2)], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n, batch.column(3)], names=["doc_id", "source", "size", "row"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n, batch.column(3), batch.column(4)], names=["doc_id", "source", "size", "th", "row"])
 
-    return docs.mapInArrow(run, "doc_id long, source string, size long, row long")
+    return docs.mapInArrow(run, "doc_id long, source string, size long, th long, row long")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, most: float = 2.0, shards: int = 16, seed: int = 7, weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK, row_col: str | None = None) -> tuple[DataFrame, DataFrame, Plan]:
@@ -210,32 +218,37 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     documents: ``row, doc_id, source, size, s`` (s: number of the source) and the stretch ``[start, start + size)`` of
     its words in the line of the source. pieces: ``row, epoch, shard, slot, block, word_from, word_to``, the words of
-    the document (from 0) that a slot of the mix takes. Slot k of a source takes block ``permutation(k mod blocks)`` of
-    epoch ``k div blocks``; its last slot takes only the words that are left to the target, so every source gives
-    its target, rounded. Only one row per source
+    the document (from 0) that a slot of the mix takes. The counts drawn for a shard say which slots of each source it
+    takes; ``slot`` is the place among all slots of the shard, whose sources are mixed there by one more permutation. The
+    k-th slot of a source takes block ``permutation(k mod blocks)`` of epoch ``k div blocks``; its last slot takes only the
+    words that are left to the target, so every source gives its target, rounded. Only one row per source
     meets on the driver; no source is gathered in one task: its line is built from sums per chunk of rows.
 
     Defined cases: null and empty texts have size 0 and are never taken; a null source is a source, the last; repeated
     rows are documents of their own; null ids are ids; an empty table gives an empty mix. ``row`` is ``row_col``, a written
-    unique key, where one is given.
+    unique key, where one is given. Documents stand in the order of id, size and text, so only equal rows may change places.
     """
     spark = docs.sparkSession
     row = F.col(row_col).cast("long") if row_col else F.monotonically_increasing_id()
-    sized = sizes(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").cast("binary").alias("text"), row.alias("row")))
+    text = F.col(text_col).cast("string")
+    sized = sizes(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), text.cast("binary").alias("text"), F.xxhash64(text).alias("th"), row.alias("row")))
     sized = materialize(sized, "mix-sizes")
     chunks = max(CHUNKS, -(-sized.count() // CHUNK_ROWS))
     p = plan({r.source: r.size for r in sized.groupBy("source").agg(F.sum("size").alias("size")).collect()}, share, most, shards, seed, weights, block)
     table = spark.createDataFrame([(s, i) for i, s in enumerate(p.names)], "name string, s int")
-    base = sized.join(F.broadcast(table), sized["source"].eqNullSafe(table["name"])).withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int"))
+    base = sized.join(F.broadcast(table), sized["source"].eqNullSafe(table["name"])).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "th"), F.lit(chunks)).cast("int"))
     before = Window.partitionBy("s").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = base.groupBy("s", "chunk").agg(F.sum("size").alias("n")).select("s", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    line = Window.partitionBy("s", "chunk").orderBy(F.col("doc_id").asc_nulls_last(), "size", "row").rowsBetween(Window.unboundedPreceding, 0)
+    line = Window.partitionBy("s", "chunk").orderBy(F.col("doc_id").asc_nulls_last(), "size", "th", "row").rowsBetween(Window.unboundedPreceding, 0)
     placed = base.withColumn("upto", F.sum("size").over(line)).join(offsets, ["s", "chunk"]).select("row", "doc_id", "source", "size", "s", (F.col("offset") + F.col("upto") - F.col("size")).alias("start"))
     placed = materialize(placed, "mix-line")
 
     slots, first = np.array(p.slots, np.int64), np.append(0, np.cumsum(p.slots))
     blocks = -(-np.array(p.sizes, np.int64) // block)
     last, until = np.array(p.last, np.int64), p.until
+    start = np.vstack([np.zeros((1, until.shape[1]), np.int64), until])  # slots of a source that the shards before take
+    ahead = np.cumsum(np.diff(start, axis=0), axis=1) - np.diff(start, axis=0)  # in a shard, slots of the sources before
+    full = np.diff(start, axis=0).sum(axis=1)
 
     def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,41 +258,49 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
             epoch, index = k // blocks[s], k % blocks[s]
             at = permuted(index, blocks[s], epoch_key(seed, s, epoch))
             shard = (until[:, s] <= k).sum(axis=0)
+            slot = permuted(ahead[shard, s] + k - start[shard, s], full[shard], epoch_key(seed, len(slots), shard))
             most_words = np.where(k == slots[s] - 1, last[s], block)
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(t)) for x, t in ((s, np.int32), (at, np.int64), (epoch, np.int32), (shard, np.int32), (number, np.int64), (most_words, np.int64))], names=["s", "block", "epoch", "shard", "slot", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(t)) for x, t in ((s, np.int32), (at, np.int64), (epoch, np.int32), (shard, np.int32), (slot, np.int64), (most_words, np.int64))], names=["s", "block", "epoch", "shard", "slot", "words"])
 
-    taken = spark.range(int(first[-1])).mapInArrow(drawn, "s int, block long, epoch int, shard int, slot long, words long")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-int(first[-1]) // TASK_SLOTS))
+    taken = spark.range(0, int(first[-1]), 1, tasks).mapInArrow(drawn, "s int, block long, epoch int, shard int, slot long, words long")
     cut = placed.where("size > 0").withColumn("block", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")))
     lo, hi = F.greatest(F.col("start"), F.col("block") * block), F.least(F.col("start") + F.col("size"), F.col("block") * block + F.col("words"))
-    pieces = cut.join(taken, ["s", "block"]).select("row", "epoch", "shard", "slot", "block", (lo - F.col("start")).alias("word_from"), (hi - F.col("start")).alias("word_to")).where("word_to > word_from")
+    pieces = cut.join(taken, ["s", "block"]).select("row", "epoch", "shard", "slot", "block", (lo - F.col("start")).alias("word_from"), (hi - F.col("start")).alias("word_to"), (lo - F.col("block") * block).alias("at")).where("word_to > word_from")
     return placed, pieces, p
 
 
 def mixed_counts(docs: DataFrame, **options) -> DataFrame:
-    """``doc_id, size, source_size, target, taken`` for every row."""
+    """``doc_id, size, source_size, target, taken, n_slots, shards`` for every row.
+
+    ``n_slots`` counts the slots that take words of the document, ``shards`` lists the output shards they are drawn for,
+    ascending, with the words each takes, as in ``0:64 3:12``.
+    """
     placed, pieces, p = mix(docs, **options)
     facts = docs.sparkSession.createDataFrame([(i, n, t) for i, (n, t) in enumerate(zip(p.sizes, p.targets, strict=True))], "s int, source_size long, target double")
-    taken = pieces.groupBy("row").agg(F.sum(F.col("word_to") - F.col("word_from")).alias("taken"))
-    return placed.join(F.broadcast(facts), "s").join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    by_shard = pieces.groupBy("row", "shard").agg(F.sum(F.col("word_to") - F.col("word_from")).alias("words"), F.count("*").alias("n"))
+    listed = F.sort_array(F.collect_list(F.struct("shard", "words")))  # a row per shard at most
+    taken = by_shard.groupBy("row").agg(F.sum("words").alias("taken"), F.sum("n").alias("n_slots"), F.array_join(F.transform(listed, lambda x: F.concat_ws(":", x["shard"], x["words"])), " ").alias("shards"))
+    none = F.lit(0).cast("long")
+    return placed.join(F.broadcast(facts), "s").join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", none).alias("taken"), F.coalesce("n_slots", none).alias("n_slots"), F.coalesce("shards", F.lit("")).alias("shards"))
+
 
+def word_spans(text: str) -> list[tuple[int, int]]:
+    return [m.span() for m in WORDS.finditer(text)]
 
-def mixed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_col: str | None = None, **options) -> DataFrame:
+
+def mixed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The mix as rows of ``docs``: each document once per epoch that takes words of it, with the text taken.
 
     A document taken as a whole keeps its exact text. Of others the taken stretches of words stand joined by a newline.
     The columns are those of ``docs``; documents with no word taken are absent. Texts
     meet their stretches by a written row key, so rows with null or repeated ids are documents of their own.
-    With ``shard_col`` each row holds what one output shard takes, and that column names the shard.
     """
     columns = docs.columns
     docs, key = with_row_key(docs, "mix-rows")
     placed, pieces, _ = mix(docs, id_col=id_col, text_col=text_col, row_col=key, **options)
-    spans = pieces.groupBy("row", "epoch", *(["shard"] if shard_col else [])).agg(F.sort_array(F.collect_list(F.struct("word_from", "word_to"))).alias("_spans"))  # no more than the document's blocks
-    spans = spans.join(placed.select("row", "size"), "row").select(F.col("row").alias(key), F.col("size").alias("_size"), "_spans", *([F.col("shard").alias("_shard")] if shard_col else []))
-
-    import re
-
-    word = re.compile(WORD)
+    spans = pieces.groupBy("row", "epoch").agg(F.sort_array(F.collect_list(F.struct("word_from", "word_to"))).alias("_spans"))  # no more than the document's blocks
+    spans = spans.join(placed.select("row", "size"), "row").select(F.col("row").alias(key), F.col("size").alias("_size"), "_spans")
 
     @F.pandas_udf("string")
     def cut(texts, spans):
@@ -291,7 +312,7 @@ def mixed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     merged[-1][1] = max(merged[-1][1], hi)
                 else:
                     merged.append([lo, hi])
-            at = [m.span() for m in word.finditer(text)]
+            at = word_spans(text)
             return "\n".join(text[at[lo][0] : at[hi - 1][1]] for lo, hi in merged)
 
         import pandas as pd
@@ -303,13 +324,36 @@ def mixed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = names[text_col]
     joined = texts.join(spans, key)
     words = F.aggregate("_spans", F.lit(0).cast("long"), lambda n, p: n + p["word_to"] - p["word_from"])
-    shown = [F.col(n).alias(c) for c, n in names.items()] + ([F.col("_shard").alias(shard_col)] if shard_col else [])
+    shown = [F.col(n).alias(c) for c, n in names.items()]
     whole = joined.where(words == F.col("_size")).select(*shown)
     part = joined.where(words < F.col("_size")).withColumn(text, cut(F.col(text).cast("string"), F.col("_spans"))).select(*shown)
     return whole.unionByName(part)
 
 
-def write_mix(docs: DataFrame, path: str, **options) -> None:
-    """Write the mixed texts to ``path``, a ``mix_shard=<k>`` folder for each output shard."""
-    mixed = mixed_texts(docs, shard_col="mix_shard", **options)
-    mixed.write.option("compression", "zstd").partitionBy("mix_shard").parquet(path)
+def write_mix(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", **options) -> None:
+    """Write the mix to ``path``: a ``mix_shard=<k>`` folder for each output shard, of rows ``slot, at, doc_id, text``.
+
+    A row is what one document gives to one slot; ``at`` is the place of its first word in the block. The rows of a file
+    are in the order of slots, and a file holds a range of the shard's slots, so a reader gets the drawn order.
+    """
+    docs, key = with_row_key(docs, "mix-rows")
+    _, pieces, p = mix(docs, id_col=id_col, text_col=text_col, row_col=key, **options)
+    spans = pieces.groupBy(F.col("row").alias(key)).agg(F.collect_list(F.struct("shard", "slot", "at", "word_from", "word_to")).alias("_spans"))  # most * size / block of a document, and its ends
+
+    @F.pandas_udf("array<string>")
+    def cut(texts, spans):
+        import pandas as pd
+
+        def one(text: str, pairs) -> list[str]:
+            at = word_spans(text)
+            return [text[at[p["word_from"]][0] : at[p["word_to"] - 1][1]] for p in pairs]
+
+        return pd.Series([one(t, x) for t, x in zip(texts, spans, strict=True)], dtype="object")
+
+    texts = docs.select(key, F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).join(spans, key)
+    rows = texts.select("_id", F.explode(F.arrays_zip(F.col("_spans"), cut("_text", "_spans").alias("_texts"))).alias("x"))
+    rows = rows.select(F.col("x._spans.slot").alias("slot"), F.col("x._spans.at").alias("at"), F.col("_id").alias("doc_id"), F.col("x._texts").alias("text"), F.col("x._spans.shard").alias("mix_shard"))
+    files = sum(max(1, -(-int(n) // FILE_SLOTS)) for n in np.diff(p.until, axis=0, prepend=0).sum(axis=1))
+    part = F.expr(f"slot div {FILE_SLOTS}")
+    dealt = rows.repartition(max(1, files), "mix_shard", part).sortWithinPartitions("mix_shard", "slot", "at")
+    dealt.write.option("compression", "zstd").partitionBy("mix_shard").parquet(path)

@@ -161,11 +161,14 @@ def links(fps: DataFrame, most: int = 4, part: int = PART) -> DataFrame:
 
     ``fps`` has one row per different fingerprint (``fp, node``). Within a key only a spanning forest is emitted, so
     a dense group gives links in proportion to its members. A key with over ``part`` rows is cut in parts and every
-    pair of parts is linked as a key of its own, so that no task holds more than two parts.
+    pair of parts is linked as a key of its own, so that no task holds more than two parts. That is exact and its cost
+    is the square of the number of parts: a key has 25 of the 64 bits, so fingerprints spread evenly reach ``part`` rows a
+    key at about 2**40 different fingerprints.
     """
     schema = "key long, part long, fp long, a long, b long"
-    keyed = ring_keys(fps, most)
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # the table of fingerprints is small beside its keys (64 for each), so it is dealt out before they are made
+    keyed = ring_keys(fps.repartition(n, "fp"), most)
     found = materialize(keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(link_sorted(most, part), schema), "simhash-links")
     edges, large = found.where("b is not null").select("a", "b"), found.where("b is null")
     if large.isEmpty():

@@ -237,17 +237,110 @@ def test_hypergeometric_counts(good, bad, sample):
     assert got.var() == pytest.approx(var, rel=0.12)
 
 
-def test_mix_is_written_by_shard(spark, docs, tmp_path):
-    mixing.write_mix(docs, f"{tmp_path}/mix")
-    got = spark.read.parquet(f"{tmp_path}/mix").collect()
-    words, by_id = Counter(), Counter()
+def plain_permuted(index, n, key):
+    """Four Feistel rounds, walked until the value is below n, with Python's whole numbers."""
+    half = max(1, ((n - 1).bit_length() + 1) // 2)
+    mask, full = (1 << half) - 1, (1 << 64) - 1
+
+    def scramble(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & full
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & full
+        return x ^ x >> 31
+
+    while True:
+        left, right = index >> half, index & mask
+        for r in range(4):
+            left, right = right, left ^ scramble(right + key * 0x9E3779B97F4A7C15 + r & full) & mask
+        index = left << half | right
+        if index < n:
+            return index
+
+
+def plain_mix(documents, sizes, targets, shards, seed, block):
+    """Pieces ``(row, epoch, shard, slot, word_from, word_to)`` from the documents' stretches in the line of their source."""
+    n_blocks = [-(-n // block) for n in sizes]
+    words = {}  # of source s and slot k: (block, epoch, first word, end)
+    for s, (size, target) in enumerate(zip(sizes, targets, strict=True)):
+        left, k = round(target), 0
+        while left:
+            epoch, index = divmod(k, n_blocks[s])
+            b = plain_permuted(index, n_blocks[s], seed * 1_000_003 + s * 64 + epoch)
+            n = min(left, min(size, (b + 1) * block) - b * block)
+            words[s, k] = (b, epoch, b * block, b * block + n)
+            left, k = left - n, k + 1
+    slots = [sum(x == s for x, _ in words) for s in range(len(sizes))]
+    rng, left, given, out, counts = np.random.default_rng(seed), np.array(slots), [0] * len(sizes), [], []
+    for j in range(shards):
+        n = sum(slots) * (j + 1) // shards - sum(slots) * j // shards
+        drawn = rng.multivariate_hypergeometric(left, n, method="marginals")
+        left = left - drawn
+        place = 0
+        for s, m in enumerate(drawn.tolist()):
+            for k in range(given[s], given[s] + m):
+                slot = plain_permuted(place, n, seed * 1_000_003 + len(sizes) * 64 + j)
+                place += 1
+                _, epoch, lo, hi = words[s, k]
+                for row, source, start, size in documents:
+                    if source == s and start < hi and start + size > lo:
+                        out.append((row, epoch, j, slot, max(start, lo) - start, min(start + size, hi) - start))
+            given[s] += m
+        counts.append(drawn.tolist())
+    return out, counts
+
+
+@pytest.mark.parametrize("name", ["hard", "docs"])
+@pytest.mark.parametrize("seed", [7, 8])
+def test_mix_equals_plain_draw(request, name, seed):
+    """Which words of which document stand where: the draw of shards, the permutations and the blocks, written out."""
+    df = request.getfixturevalue(name).select("doc_id", "text", "source")
+    placed, pieces, p = mixing.mix(df, seed=seed)
+    documents = [(r.row, r.s, r.start, r["size"]) for r in placed.collect() if r["size"]]
+    for s, size in enumerate(p.sizes):  # the documents of a source lie end to end
+        mine = sorted((start, n) for _, x, start, n in documents if x == s)
+        assert [start for start, _ in mine] == [sum(n for _, n in mine[:i]) for i in range(len(mine))] and sum(n for _, n in mine) == size
+    want, counts = plain_mix(documents, p.sizes, p.targets, 16, seed, mixing.BLOCK)
+    assert sorted((r.row, r.epoch, r.shard, r.slot, r.word_from, r.word_to) for r in pieces.collect()) == sorted(want)
+    assert np.diff(p.until, axis=0, prepend=0).tolist() == counts
+    by_doc, by_shard = defaultdict(int), defaultdict(Counter)
+    for row, _, j, _, lo, hi in want:
+        by_doc[row] += hi - lo
+        by_shard[row][j] += hi - lo
+    of = {r.row: r.doc_id for r in placed.collect()}
+    expected = sorted(repr((i, by_doc[row], " ".join(f"{j}:{n}" for j, n in sorted(by_shard[row].items())))) for row, i in of.items())
+    assert sorted(repr((r.doc_id, r.taken, r.shards)) for r in mixing.mixed_counts(df, seed=seed).collect()) == expected
+
+
+def test_counts_of_shards_are_drawn():
+    """Not dealt out in proportion: the counts of a source vary over shards and seeds as the draw's do."""
+    sizes, got = {"a": 64_000, "b": 64_000, "c": 128_000}, []
+    for seed in range(40):
+        p = mixing.plan(sizes, 1.0, 2.0, 16, seed, (1, 1, 1), 64)
+        got += np.diff(p.until, axis=0, prepend=0)[:, 0].tolist()
+    n, total = p.slots[0], sum(p.slots)
+    share, m = n / total, total / 16
+    assert np.mean(got) == pytest.approx(n / 16)
+    assert np.var(got) == pytest.approx(m * share * (1 - share) * (total - m) / (total - 1), rel=0.25)
+
+
+@pytest.mark.parametrize("name", ["hard", "docs"])
+def test_mix_is_written_by_shard(spark, request, name, tmp_path):
+    df = request.getfixturevalue(name).select("doc_id", "text", "source")
+    mixing.write_mix(df, f"{tmp_path}/mix")
+    got = spark.read.parquet(f"{tmp_path}/mix").withColumn("file", F.input_file_name()).withColumn("n", F.monotonically_increasing_id()).orderBy("n").collect()
+    placed, pieces, p = mixing.mix(df)
+    ids = {r.row: r.doc_id for r in placed.collect()}
+    assert Counter((r.mix_shard, r.slot, r.doc_id, len(WORD.findall(r.text))) for r in got) == Counter((r.shard, r.slot, ids[r.row], r.word_to - r.word_from) for r in pieces.collect())
+    whole = defaultdict(list)
+    for i, t in pairs(df):
+        whole[i].append(t or "")
+    order, slots = defaultdict(list), defaultdict(set)
     for r in got:
-        words[r.mix_shard] += len(WORD.findall(r.text))
-        by_id[r.doc_id] += len(WORD.findall(r.text))
-    _, pieces, _ = mixing.mix(docs)
-    assert words == {r.shard: r.n for r in pieces.groupBy("shard").agg(F.sum(F.col("word_to") - F.col("word_from")).alias("n")).collect()}
-    assert len(words) == 16 and max(words.values()) < 1.2 * min(words.values())
-    assert dict(by_id) == {r.doc_id: r.taken for r in mixing.mixed_counts(docs).collect() if r.taken}
+        assert any(r.text in t for t in whole[r.doc_id])
+        order[r.file].append((r.slot, r.at))
+        slots[r.mix_shard].add(r.slot)
+    assert all(x == sorted(x) for x in order.values())
+    drawn = np.diff(p.until, axis=0, prepend=0).sum(axis=1).tolist()
+    assert {j: len(x) for j, x in slots.items()} == {j: n for j, n in enumerate(drawn) if n} and all(x == set(range(len(x))) for x in slots.values())
 
 
 def test_mixed_texts_hold_the_counted_words(docs):
