@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from functools import cache
 
@@ -38,12 +38,29 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
     ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    # whole texts of short licenses
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
+    ("BSL-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor."),
+    # the opening passages of long licenses, which every copy of their whole text has
+    ("GPL-3.0", "The GNU General Public License is a free, copyleft license for software and other kinds of works. The licenses for most software and other practical works are designed to take away your freedom to share and change the works. By contrast, the GNU General Public License is intended to guarantee your freedom to share and change all versions of a program--to make sure it remains free software for all its users."),
+    ("GPL-2.0", "The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users. This General Public License applies to most of the Free Software Foundation's software and to any other program whose authors commit to using it."),
+    ("LGPL-2.1", "This license, the Lesser General Public License, applies to some specially designated software packages--typically libraries--of the Free Software Foundation and other authors who decide to use it. You can use it too, but we suggest you first think carefully about whether this license or the ordinary General Public License is the better strategy to use in any particular case."),
+    ("LGPL-3.0", "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below."),
+    ("AGPL-3.0", "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0 1. Definitions 1.1. \"Contributor\" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions. \"License\" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document."),
+    ("LGPL-2.1-or-later", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("AGPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
 )
-#: Words that a license wording cannot do without, also across line ends and comment marks: every copy within tolerance
-#: holds one of them.
-CUE = re.compile(rb"licen[cs]e|copyright|permi(?:ssion|tted)|redistribut|mozilla|public[^0-9a-z]+domain|creative[^0-9a-z]+commons|(?<![0-9a-z])cc(?:[^0-9a-z]*by|0)", re.IGNORECASE)
+#: Words that a license wording cannot do without, also across line ends and comment marks. Every wording has more of them
+#: than the words that may differ, so a copy within tolerance holds at least one: texts, and parts of texts, without
+#: any are left alone for nothing but speed.
+CUE = re.compile(rb"licen[cs]e|software|copyright|permi(?:ssion|tted)|redistribut|mozilla|public[^0-9a-z]+domain|creative[^0-9a-z]+commons|(?<![0-9a-z])cc(?:[^0-9a-z]*by|0)", re.IGNORECASE)
 CUE_WORDS = re.compile(CUE.pattern.decode())
-WORD = re.compile(r"[0-9a-z]+(?:[.'/-][0-9a-z]+)*")
+#: Hyphens part words, as lines may end at them.
+WORD = re.compile(r"[0-9a-z]+(?:[.'/][0-9a-z]+)*")
 LEVEL = 9
 #: Differing words allowed, as a share of the template's.
 TOLERANCE = 0.05
@@ -143,6 +160,18 @@ def occurrences(codes: np.ndarray, template: list[int], limit: int) -> list[tupl
     return out
 
 
+def possible(block: list[str]) -> list[int]:
+    """Templates that lack no more words of the block than may differ, counted without regard to order: a bound that no copy
+    within tolerance exceeds."""
+    there = Counter(block)
+    return [k for k, (_, words, _, _) in enumerate(compressors()) if sum((bags()[k] - there).values()) <= int(TOLERANCE * len(words))]
+
+
+@cache
+def bags() -> list[Counter]:
+    return [Counter(words) for _, words, _, _ in compressors()]
+
+
 def located(block: list[str], candidates: list[int], first: int = 0) -> list[tuple[int, int, int, int]]:
     """``(template, differences, start, end)`` of every copy of a candidate within tolerance."""
     number: dict[str, int] = {}
@@ -154,18 +183,22 @@ def located(block: list[str], candidates: list[int], first: int = 0) -> list[tup
     return out
 
 
+def family(name: str) -> str:
+    """Licenses whose wordings differ in few words: all versions of one, and the three GNU ones."""
+    return re.sub(r"^[AL]?GPL", "GPL", name).split("-")[0]
+
+
 def closest(hits: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
     """Of copies of one family that overlap the closest stays: fewer differences, then the longer (three clauses, not two)."""
     hits = sorted(set(hits), key=lambda h: (h[2], h[3], h[0]))
     name, words = (lambda h: compressors()[h[0]][0]), (lambda h: len(compressors()[h[0]][1]))
-    family = lambda h: name(h).split("-")[0]
     gone = set()
     for i, g in enumerate(hits):
         for j in range(i + 1, len(hits)):
             h = hits[j]
             if h[2] >= g[3]:
                 break
-            if family(g) == family(h) and name(g) != name(h):
+            if family(name(g)) == family(name(h)) and name(g) != name(h):
                 a, b = (g[1], -words(g)), (h[1], -words(h))
                 gone |= {j} if a < b else {i} if b < a else set()
     return [h for i, h in enumerate(hits) if i not in gone]
@@ -176,27 +209,29 @@ def confirmed(block: list[str], candidates: list[int]) -> list[tuple[str, int, i
     return [(compressors()[k][0], n, len(compressors()[k][1])) for k, n, _, _ in closest(located(block, candidates))]
 
 
-def ranked(block: list[str]) -> list[tuple[int, float]]:
-    """Templates by the size reduction that each brings as a dictionary, relative to its reduction of itself."""
+def ranked(block: list[str], candidates: list[int]) -> list[tuple[int, float]]:
+    """Candidates by the size reduction that each brings as a dictionary, relative to its reduction of itself."""
     raw = " ".join(block).encode()
     base = len(plain().compress(raw))
-    gains = [(k, (base - len(packer.compress(raw))) / max(own, 1)) for k, (_, _, packer, own) in enumerate(compressors())]
+    gains = []
+    for k in candidates:
+        _, _, packer, own = compressors()[k]
+        gains.append((k, (base - len(packer.compress(raw))) / max(own, 1)))
     return sorted(gains, key=lambda g: (-g[1], g[0]))
 
 
 def scan(text: bytes) -> tuple[int, list[dict]]:
     """Number of candidate blocks and the licenses found in them.
 
-    Every wording is confirmed, whatever its reduction: a block that repeats parts of a wording elsewhere leaves its
-    dictionary little to reduce.
+    Of the wordings that a block has words enough for, those are confirmed in the order of their reductions, and none is
+    left out: a block that repeats parts of a wording elsewhere leaves its dictionary little to reduce.
     """
     count, hits, gains = 0, [], {}
     for first, block in windows(text):
         count += 1
-        order = dict(ranked(block))
-        for hit in located(block, list(order), first):
-            hits.append(hit)
-            gains[hit[0]] = max(order[hit[0]], gains.get(hit[0], order[hit[0]]))
+        for k, gain in ranked(block, possible(block)):
+            hits += located(block, [k], first)
+            gains[k] = max(gain, gains.get(k, gain))
     found: dict[str, dict] = {}
     for k, n, _, _ in closest(hits):
         name, words, _, _ = compressors()[k]

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.common import materialize
+from concord.llm.common import materialize, release
 
 GRAM = 100
 PERIOD = 31
@@ -50,7 +50,6 @@ HOT = 4
 FEW_IDS = 1_000_000
 #: Apart of documents on the line of all places; no text is longer.
 FAR = np.int64(1) << 32
-NULL_ID = -(1 << 63)
 
 
 def pack(*arrays: np.ndarray, level: int = 0) -> bytes:
@@ -411,10 +410,25 @@ def removed_spans(batches):
         yield pa.RecordBatch.from_arrays([pa.array(ids), spans], names=["doc", "spans"])
 
 
-def of_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Documents whose id is (left_semi) or is not (left_anti) among ``ids``; they are broadcast only if few."""
-    few = ids.limit(FEW_IDS + 1).count() <= FEW_IDS
-    return docs.join(F.broadcast(ids) if few else ids, "doc", how)
+def few(ids: DataFrame) -> bool:
+    """Whether a written table of different ids may be broadcast."""
+    return ids.count() <= FEW_IDS
+
+
+def with_order(rows: DataFrame) -> DataFrame:
+    """``rows`` (``doc_id, text``) with ``doc``, a number of its own for every different row, in the order of ids.
+
+    That is the id itself, unless an id stands at different texts or is null. Then the different rows are sorted by
+    id, nulls first, and by the digest of their text, and numbered; the texts move once more to get their number.
+    """
+    brief = F.xxhash64("text")
+    unfit = rows.groupBy("doc_id").agg(F.min(brief).alias("lo"), F.max(brief).alias("hi")).where("doc_id is null or lo <> hi")
+    if unfit.isEmpty():
+        return rows.withColumn("doc", F.col("doc_id"))
+    ordered = rows.select("doc_id", F.sha2("text", 256).alias("digest")).distinct().orderBy(F.col("doc_id").asc_nulls_first(), "digest")
+    numbers = materialize(ordered.withColumn("doc", F.monotonically_increasing_id()), "suffix-order").withColumnRenamed("doc_id", "_id")
+    named = rows.withColumn("digest", F.sha2("text", 256))
+    return named.join(numbers, (F.col("_id").eqNullSafe(F.col("doc_id"))) & (named["digest"] == numbers["digest"])).select("doc_id", "text", "doc")
 
 
 def repeated_spans(texts: DataFrame, max_buckets: int = 1 << 20) -> DataFrame:
@@ -426,10 +440,14 @@ def repeated_spans(texts: DataFrame, max_buckets: int = 1 << 20) -> DataFrame:
     links = tuples.repartitionById(buckets, F.col("k") % buckets).mapInArrow(named_tuples(buckets), blobs)
     stretches_ = materialize(links.repartitionById(buckets, F.col("k") % buckets).mapInArrow(compared_names, STEP3), "suffix-stretches")
     open_ = stretches_.where("blob is null").groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    wanted = of_ids(texts, stretches_.where("blob is null").select("doc").distinct(), "left_semi").join(open_, "doc").select("doc", "text", "spans")
+    ids = stretches_.where("blob is null").select("doc").distinct()
+    # of few documents the others' texts stay where they are
+    wanted = (texts.join(F.broadcast(ids), "doc", "left_semi") if few(ids) else texts).join(open_, "doc").select("doc", "text", "spans")
     starts = wanted.mapInArrow(open_starts(buckets), blobs).repartitionById(buckets, F.col("k") % buckets).mapInArrow(compared_starts(buckets), blobs)
     found = stretches_.where("blob is not null").select("k", "blob").union(starts)
-    return materialize(found.repartitionById(buckets, F.col("k") % buckets).mapInArrow(removed_spans, "doc long, spans array<struct<lo: long, hi: long>>"), "suffix-spans")
+    spans = materialize(found.repartitionById(buckets, F.col("k") % buckets).mapInArrow(removed_spans, "doc long, spans array<struct<lo: long, hi: long>>"), "suffix-spans")
+    release(stretches_)
+    return spans
 
 
 def cut_out(text: bytes, spans) -> tuple[bytes, int, int]:
@@ -447,28 +465,33 @@ def cut_out(text: bytes, spans) -> tuple[bytes, int, int]:
 def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for every row (and ``kept``, the remaining bytes, if asked).
 
-    Defined cases: null and empty texts, and those under 100 bytes, lose nothing; rows that share an id count as one
-    place, so that repeated rows don't remove each other's bytes; a null id counts as the smallest; other columns are
+    Defined cases: null and empty texts, and those under 100 bytes, lose nothing; repeated rows (of one id and text) are one
+    document, so they don't remove each other's bytes; different texts of one id are documents in the order of the SHA-256
+    of their texts; a null id is smaller than any other; other columns are
     ignored; an empty table gives an empty result.
     """
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
-    spans = repeated_spans(texts)
-    ids = spans.select("doc")
-    doc_id = F.when(F.col("doc") != NULL_ID, F.col("doc")).alias("doc_id")
-    whole = of_ids(texts, ids, "left_anti").select(doc_id, F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), *([F.col("text").alias("kept")] if with_text else []))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
+    texts = with_order(rows)
+    spans = repeated_spans(texts.select("doc", "text"))
+    kept_col = [F.col("text").alias("kept")] if with_text else []
+    none = F.lit(0).cast("long")
 
     def run(batches):
         for batch in batches:
             rows = []
             for text, spans in zip(batch.column(1), batch.column(2), strict=True):
                 text = text.as_py()
-                kept, removed, n = cut_out(text, spans.as_py())
+                kept, removed, n = cut_out(text, spans.as_py() or ())
                 rows.append((len(text), removed, n, hashlib.sha256(kept).hexdigest(), *([kept] if with_text else [])))
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), *([pa.binary()] if with_text else [])]
-            names = ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else [])]
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else [])]
             if rows:
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], names=names)
 
-    schema = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
-    part = of_ids(texts, ids, "left_semi").join(spans, "doc").select("doc", "text", "spans").mapInArrow(run, schema)
-    return whole.unionByName(part.withColumn("doc_id", doc_id).drop("doc"))
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
+    if not few(spans):
+        return texts.join(spans, "doc", "left").select("doc_id", "text", "spans").mapInArrow(run, schema)
+    ids = F.broadcast(spans.select("doc"))
+    whole = texts.join(ids, "doc", "left_anti").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), *kept_col)
+    part = texts.join(ids, "doc", "left_semi").join(spans, "doc").select("doc_id", "text", "spans").mapInArrow(run, schema)
+    return whole.unionByName(part)
