@@ -17,9 +17,11 @@ BLOCKS = 48
 PARTS = 16
 #: Bytes of a part, about, apart from large groups of equal texts; blocks of more than PARTS times as many get more parts.
 PART_BYTES = 1 << 28
-#: A group of equal texts stays in one shard if it has at most this share of a shard's bytes. Single documents above it
-#: (there are at most its inverse times the number of shards) are placed one by one before the flow is solved.
-WHOLE_GROUP = 1 / 200
+#: Groups of equal texts, and single documents, above this share of a shard's bytes (there are at most its inverse times the
+#: number of shards) are placed one by one before the flow is solved.
+LARGE_GROUP = 1 / 200
+#: A group of equal texts stays in one shard if it has at most this share of a shard's bytes. Larger groups are spread.
+WHOLE_GROUP = 1 / 4
 
 
 def capacities(total: int, n: int) -> list[int]:
@@ -27,7 +29,7 @@ def capacities(total: int, n: int) -> list[int]:
 
 
 def place_heavy(heavy: list[tuple[int, int]], caps: list[int]) -> list[int]:
-    """Shard of each ``(size, old shard)``, largest first: the old one while it has room, else the emptiest."""
+    """Shard of each group or document ``(size, old shard)``, largest first: the old one while it has room, else the emptiest."""
     load, at = [0] * len(caps), [0] * len(heavy)
     for i in sorted(range(len(heavy)), key=lambda i: (-heavy[i][0], i)):
         size, old = heavy[i]
@@ -97,7 +99,8 @@ def reshard(docs: DataFrame, old_shard: Column, n_old: int, n_new: int, path: st
 
     ``old_shard`` is an expression over ``docs`` in [0, n_old). Rows of an old shard stand in one line, ordered by block
     (hash of the text), text hash and id; the flow cuts that line. Equal texts of several old shards stand on one line, that
-    of their smallest id, unless the group is too large to be kept together. Only sums per block meet on the driver: at most
+    of their smallest id; large groups are placed as a whole first, and groups over WHOLE_GROUP of a shard are not kept
+    together. Only sums per block meet on the driver: at most
     ``n_old * BLOCKS`` rows, PARTS or a row per PART_BYTES of each block that is too large, and the few heavy documents and
     groups. The texts move in one exchange, and in one more
     where the table of groups on several lines is too large to be broadcast.
@@ -116,48 +119,53 @@ def reshard(docs: DataFrame, old_shard: Column, n_old: int, n_new: int, path: st
     ).withColumn("b1", F.pmod(F.col("th"), F.lit(BLOCKS)).cast("int"))
     slim = materialize(base.drop("text"), "shard-sizes")
     total = slim.agg(F.sum("size")).first()[0] or 0
-    most = max(1, int(total / n_new * WHOLE_GROUP))
+    most, whole = (max(1, int(total / n_new * x)) for x in (LARGE_GROUP, WHOLE_GROUP))
     groups = slim.groupBy("th").agg(F.sum("size").alias("b"), F.min("old").alias("lo"), F.max("old").alias("hi"), F.min(F.struct("doc_id", "old"))["old"].alias("home"))
     groups = materialize(groups.where((F.col("lo") < F.col("hi")) | (F.col("b") > most)), "shard-groups")
-    # groups that no shard takes as a whole: at most n_new / WHOLE_GROUP of them
-    hot = [r.th for r in groups.where(F.col("b") > most).select("th").collect()]
-    homes = groups.where(F.col("b") <= most).select("th", F.lit(0).alias("salt"), "home")
-
-    def homed(df: DataFrame) -> DataFrame:
-        """Rows of a group that lies on several old lines stand on one of them, that of its smallest id."""
-        salt = F.when(F.col("th").isin(hot), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 16)).cast("int") + 1).otherwise(F.lit(0)) if hot else F.lit(0)
-        return df.withColumn("salt", salt).join(homes, ["th", "salt"], "left").withColumn("old", F.coalesce("home", "old")).drop("home", "salt")
-
-    if not homes.isEmpty():
-        base, slim = homed(base), materialize(homed(slim), "shard-lines")
-    # at most n_new / WHOLE_GROUP rows
-    heavy = slim.where(F.col("size") > most).groupBy("doc_id").agg(F.sum("size").alias("b"), F.min("old").alias("old")).orderBy("doc_id").collect()
-    placed_at = place_heavy([(r.b, r.old) for r in heavy], capacities(total, n_new))
+    # at most n_new / LARGE_GROUP of them, of which n_new / WHOLE_GROUP are taken by no shard as a whole
+    large_groups = groups.where(F.col("b") > most).select("th", "b", "home").orderBy("th").collect()
+    hot = [r.th for r in large_groups if r.b > whole]
+    homes = groups.where(F.col("b") <= most).select("th", "home")
+
+    # the rows of a group too large for one shard are told apart by the hash of their id
+    own = F.when(F.col("th").isin(hot), F.xxhash64("doc_id")).otherwise(F.lit(0)) if hot else F.lit(0)
+    single = slim.where(F.col("th").isin(hot) & (F.col("size") > most)) if hot else slim.where("false")
+    single = single.groupBy("th", own.cast("long").alias("own")).agg(F.sum("size").alias("b"), F.min("old").alias("old")).orderBy("th", "own").collect()  # at most n_new / LARGE_GROUP rows
+    heavy = [(r.th, 0, r.b, r.home) for r in large_groups if r.b <= whole] + [(r.th, r.own, r.b, r.old) for r in single]
+    placed_at = place_heavy([(b, o) for _, _, b, o in heavy], capacities(total, n_new))
     load = [0] * n_new
-    for r, s in zip(heavy, placed_at, strict=True):
-        load[s] += r.b
+    for (_, _, b, _), s in zip(heavy, placed_at, strict=True):
+        load[s] += b
     spark = docs.sparkSession
-    heavy_at = F.broadcast(spark.createDataFrame([(r.doc_id, s) for r, s in zip(heavy, placed_at, strict=True)], "heavy_id long, heavy_shard int"))
+    heavy_at = F.broadcast(spark.createDataFrame([(th, o, s) for (th, o, _, _), s in zip(heavy, placed_at, strict=True)], "th long, own long, heavy_shard int"))
+    limit = max(1, min(total // n_new // 4, PART_BYTES))
+    heavy_parts = max(1, -(-max(load) // limit))
 
-    def lightened(df: DataFrame) -> DataFrame:
-        """Heavy documents are a line of their own, -1, with a block per shard."""
-        found = df.join(heavy_at, (F.col("size") > most) & F.col("doc_id").eqNullSafe(F.col("heavy_id")), "left")
+    def lined(df: DataFrame) -> DataFrame:
+        """Rows with their line and block. Heavy groups and documents are line -1, with a block per shard; a group on several
+        old lines stands on that of its smallest id; other rows stay where they are."""
+        salt = F.when(F.col("th").isin(hot), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 16)).cast("int") + 1).otherwise(F.lit(0)) if hot else F.lit(0)
+        if several:
+            df = df.withColumn("salt", salt).join(homes.withColumn("salt", F.lit(0)), ["th", "salt"], "left").withColumn("old", F.coalesce("home", "old")).drop("home", "salt")
+        found = df.withColumn("own", own.cast("long")).join(heavy_at, ["th", "own"], "left").drop("own")
+        if hot:  # of a hot group only documents that are heavy by themselves are placed one by one
+            found = found.withColumn("heavy_shard", F.when(~F.col("th").isin(hot) | (F.col("size") > most), F.col("heavy_shard")))
         alone = F.col("heavy_shard").isNotNull()
         return found.withColumn("old", F.when(alone, F.lit(-1)).otherwise(F.col("old"))).withColumn("b1", F.when(alone, F.col("heavy_shard")).otherwise(F.col("b1")))
 
-    base, slim = lightened(base), lightened(slim).where("old >= 0")
+    several = not homes.isEmpty()
+    base, slim = lined(base), materialize(lined(slim), "shard-lines").where("old >= 0")
     rows = slim.groupBy("old", "b1").agg(F.sum("size").alias("b")).collect()
     sizes = [sum(r.b for r in rows if r.old == o) for o in range(n_old)]
     caps = levelled(sum(sizes), load)
     flow = min_cost_flow(sizes, caps)
-    limit = max(1, min(total // n_new // 4, PART_BYTES))
     large = {(r.old, r.b1): max(PARTS, -(-r.b // PART_BYTES)) for r in rows if r.b > limit}
     by_id, by_text = (F.pmod(h, F.col("n_parts")).cast("int") for h in (F.xxhash64("doc_id"), F.shiftright("th", 20)))
     part = F.when(F.col("th").isin(hot), by_id).otherwise(by_text) if hot else by_text
     split = F.col("n_parts").isNotNull()
     # a row per block at most; heavy documents (old -1) have none
     cut_up = F.broadcast(spark.createDataFrame([(o, b, n) for (o, b), n in sorted(large.items())], "old int, b1 int, n_parts int"))
-    base, slim = (df.join(cut_up, ["old", "b1"], "left").withColumn("b2", F.when(split, part).otherwise(F.lit(0))) for df in (base, slim))
+    base, slim = (df.join(cut_up, ["old", "b1"], "left").withColumn("b2", F.when(split, part).when(F.col("old") < 0, F.pmod(F.xxhash64("doc_id"), F.lit(heavy_parts)).cast("int")).otherwise(F.lit(0))) for df in (base, slim))
     parts = {(r.old, r.b1, 0): r.b for r in rows if (r.old, r.b1) not in large}
     if large:
         parts |= {(r.old, r.b1, r.b2): r.b for r in slim.where(split).groupBy("old", "b1", "b2").agg(F.sum("size").alias("b")).collect()}
@@ -174,7 +182,7 @@ def reshard(docs: DataFrame, old_shard: Column, n_old: int, n_new: int, path: st
             mine.append((lo, s))
             lo += flow[o, s]
         cuts.append((o, mine or [(0, o % n_new)]))
-    starts += [(-1, s, 0, 0) for s in range(n_new)]
+    starts += [(-1, s, k, 0) for s in range(n_new) for k in range(heavy_parts)]
     cuts.append((-1, [(0, 0)]))
     # the first table has a row per part, the second one per old shard
     start = F.broadcast(spark.createDataFrame(starts, "old int, b1 int, b2 int, start long"))
@@ -190,7 +198,7 @@ def reshard(docs: DataFrame, old_shard: Column, n_old: int, n_new: int, path: st
         .withColumn("group_bytes", F.sum("size").over(group))
         .withColumn("pos", F.when(F.col("group_bytes") <= most, F.col("first")).otherwise(F.col("own")))
         .withColumn("shard", F.coalesce("heavy_shard", F.expr("element_at(filter(cuts, c -> c.lo <= pos), -1).shard")))
-        .withColumn("block", F.when(F.col("old") < 0, F.lit(-1)).otherwise((F.col("old") * BLOCKS + F.col("b1")) * most_parts + F.col("b2")))
+        .withColumn("block", F.when(F.col("old") < 0, -1 - F.col("b2")).otherwise((F.col("old") * BLOCKS + F.col("b1")) * most_parts + F.col("b2")))
         .withColumn("rn", F.row_number().over(Window.partitionBy("old", "b1", "b2", "shard").orderBy("th", F.col("doc_id").asc_nulls_first())))
     )
     placed.select("doc_id", "text", "size", "block", "rn", "shard").write.option("compression", "zstd").partitionBy("shard").parquet(path)

@@ -515,25 +515,38 @@ def test_shards_empty(empty):
     assert sharding.reshard_documents(empty).count() == 0
 
 
-def test_equal_texts_stay_together(spark):
-    rows = [(i, f"text {i // 3} " + "x" * 50, f"s{i % 5}") for i in range(30_000)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("source", F.lit("one"))
-    at = defaultdict(set)
-    for r in sharding.reshard_documents(df).collect():
-        at[r.doc_id // 3].add(r.shard)
-    assert sum(len(x) > 1 for x in at.values()) == 0
-
-
-def test_equal_texts_of_different_sources_stay_together(spark):
-    """Also beside one group that is too large for that."""
-    rows = [(i, f"text {i // 3} " + "x" * 50, f"s{i % 5}") for i in range(30_000)] + [(i, "everywhere " * 5, f"s{i % 7}") for i in range(30_000, 40_000)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    at, load = defaultdict(set), Counter()
-    for r in sharding.reshard_documents(df).collect():
-        at[r.doc_id // 3].add(r.shard)
+@pytest.mark.parametrize("one_source", [True, False])
+def test_equal_texts_stay_together(spark, one_source):
+    """Copies lie in several old shards; besides small groups there are large ones and one that no shard can take."""
+    large = [("large " * 100 + str(k), 5 + 8 * k) for k in range(8)]  # from a fiftieth to a fifth of a shard
+    rows = [(i, f"text {i // 3} " + "x" * 50, f"s{i % 5}") for i in range(30_000)] + [(i, "everywhere " * 5, f"s{i % 7}") for i in range(30_000, 60_000)]
+    rows += [(60_000 + i, t, f"s{i % 6}") for i, t in enumerate(t for t, n in large for _ in range(n))]
+    rows += [(90_000 + i, "y" * (30_000 + i), f"s{i}") for i in range(3)]  # single documents
+    df = spark.createDataFrame([(i, t, "one" if one_source else s) for i, t, s in rows], "doc_id long, text string, source string")
+    at, load, text = defaultdict(set), Counter(), {i: t for i, t, _ in rows}
+    got = sharding.reshard_documents(df).collect()
+    for r in got:
+        at[text[r.doc_id]].add(r.shard)
         load[r.shard] += r["size"]
-    assert sum(len(at[k]) > 1 for k in range(10_000)) == 0
+    size = Counter()
+    for i, t, _ in rows:
+        size[t] += len(t) + 8
+    shard = sum(load.values()) / 24
+    assert {t for t, x in at.items() if len(x) > 1} == {t for t, n in size.items() if n > shard * sharding.WHOLE_GROUP} == {"everywhere " * 5}
     assert len(load) == 24 and max(load.values()) < 1.05 * min(load.values())
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
+def test_no_group_of_the_documents_is_split(docs):
+    at, load = defaultdict(set), Counter()
+    for r in sharding.reshard_documents(docs).join(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id").collect():
+        at[r.text].add(r.shard)
+        load[r.text] += r["size"]
+    limit = sum(load.values()) / 24 * sharding.WHOLE_GROUP
+    assert all(len(x) == 1 for t, x in at.items() if load[t] <= limit)
 
 
 def test_flow_moves_the_fewest_bytes():
