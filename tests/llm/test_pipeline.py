@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from test_llm_operators import A_Z, WORD, components, plain_fingerprint  # the operators' plain forms
 from tokenizers import Tokenizer
 
@@ -56,6 +57,12 @@ def test_stages_of_hard_rows(spark, hard):
     stage = dict(corpus_pipeline.STAGES)
     norm = lambda t: (t or "").translate(A_Z)
 
+    one = stage["language_id"](spark, hard, "")
+    assert one.columns == COLUMNS
+    key = lambda r: repr((r.doc_id, r.text, r.source, r.n_chars))
+    assert sorted(map(key, one.collect())) == sorted(key(r) for r in hard.collect() if any(c.isalpha() for c in r.text or ""))
+    assert {r.lang for r in one.collect()} <= {"en", "de", "fr"}
+
     two = stage["exact_dedup"](spark, before, "").cache()
     groups = defaultdict(list)
     for r in before.collect():
@@ -86,6 +93,31 @@ def test_stages_of_hard_rows(spark, hard):
     assert sum(taken.values()) == pytest.approx(1.5 * sum(size.values()), rel=0.05)
 
 
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = [(r.doc_id, t.encode(r.text or "", add_special_tokens=False).ids) for r in hard.collect()]
+    want = sorted(repr((i, len(x), hashlib.sha256(",".join(map(str, x)).encode()).hexdigest())) for i, x in ids)
+    assert sorted(repr((r.doc_id, r.n_tokens, r.ids_sha256)) for r in stage["bpe"](spark, hard, "").collect()) == want
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_of_an_empty_table(spark, hard, empty, name):
+    """Also with the clashing columns of the hard rows, which no stage passes on."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    for none in (empty, hard.where("false")):
+        got = stage(spark, none, "")
+        assert got.count() == 0
+        assert name == "bpe" or got.columns == COLUMNS
+
+
+@pytest.mark.parametrize("name", ["exact_dedup", "simhash_near_dedup", "mixing"])
+def test_stages_leave_other_columns_out(spark, hard, name):
+    assert dict(corpus_pipeline.STAGES)[name](spark, hard, "").columns == COLUMNS
+
+
+def test_language_stage_without_labels(spark, hard):
+    assert corpus_pipeline.language_id(spark, hard.withColumn("lang", F.lit(None).cast("string")), "").count() == 0
+
+
 def test_run_is_the_stages_in_order(spark, small):
     one, two = (sorted(map(tuple, corpus_pipeline.run(spark, small).collect())) for _ in range(2))
     assert one == two and len(one) > 100
