@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from concord.functions.text import ALIAS_RULE, operands_of, strip
@@ -29,18 +30,46 @@ ALIASES: tuple[tuple[str, str, str], ...] = (
 )
 
 
+#: The table where none is stored. Its condition for ORR is the bare one.
+FALLBACK = (("ORR", "MOV", "Rn == '11111'"), *ALIASES[1:12])
+#: Rules that are broadcast, folded by base; a larger table is joined by a shuffle.
+FEW_RULES = 100_000
+TABLE = "base_seq long, alias_seq long, base string, alias string, condition string"
+
+
 def alias_rules(spark: SparkSession, rows=ALIASES) -> DataFrame:
     """``base_seq, alias_seq, base, alias, condition``: bases in order of first appearance, aliases in order."""
     bases = list(dict.fromkeys(b for b, _, _ in rows))
-    return spark.createDataFrame([(bases.index(b), i, b, a, c) for i, (b, a, c) in enumerate(rows)], "base_seq int, alias_seq int, base string, alias string, condition string")
+    return spark.createDataFrame([(bases.index(b), i, b, a, c) for i, (b, a, c) in enumerate(rows)], TABLE)
 
 
 def grouped_aliases(aliasrefs: DataFrame) -> DataFrame:
     """Rule rows from extracted alias references (``file_seq, ref_seq, base, alias, condition``): upper-cased bases in
-    order of first appearance, then the order of references."""
-    firsts = aliasrefs.groupBy(F.upper("base").alias("base")).agg(F.min(F.struct("file_seq", "ref_seq")).alias("_first"))
-    named = aliasrefs.withColumn("base", F.upper("base")).join(F.broadcast(firsts), "base")
-    return named.select(F.col("_first.file_seq").alias("base_seq"), (F.col("file_seq") * 1000 + F.col("ref_seq")).alias("alias_seq"), "base", "alias", F.coalesce("condition", F.lit("")).alias("condition"))
+    order of first appearance, then the order of references, counted from 0 in each base."""
+    of_base = Window.partitionBy("base")
+    place = F.row_number().over(of_base.orderBy("file_seq", "ref_seq")) - 1
+    named = aliasrefs.withColumn("base", F.upper("base"))
+    return named.select(F.min("file_seq").over(of_base).cast("long").alias("base_seq"), place.cast("long").alias("alias_seq"), "base", "alias", F.coalesce("condition", F.lit("")).alias("condition"))
+
+
+def load_alias_rules(spark: SparkSession, path: str) -> DataFrame:
+    """Alias rules from storage: a table of rule rows, or one JSON document ``{base: [{alias_mnemonic, condition}]}`` in
+    its order (``*.json``). The built-in fallback where there is none or it can't be read."""
+    try:
+        if not path.endswith(".json"):
+            stored = spark.read.schema(TABLE).parquet(path)
+            stored.isEmpty()  # can be read
+            return stored
+        text = spark.read.text(path, wholetext=True)
+        docs = text.select(F.from_json("value", "map<string, array<struct<alias_mnemonic: string, condition: string>>>").alias("doc"))
+        if docs.where("doc is not null").isEmpty():
+            return alias_rules(spark, FALLBACK)
+    except PySparkException:
+        return alias_rules(spark, FALLBACK)
+    bases = docs.select(F.posexplode("doc").alias("base_seq", "base", "refs"))
+    rows = bases.select("base_seq", F.posexplode("refs").alias("alias_seq", "ref"), "base")
+    blank = F.lit("")
+    return rows.select(F.col("base_seq").cast("long"), F.col("alias_seq").cast("long"), "base", F.coalesce("ref.alias_mnemonic", blank).alias("alias"), F.coalesce("ref.condition", blank).alias("condition"))
 
 
 def split_clauses(condition: Column) -> Column:
@@ -55,6 +84,7 @@ def compile_alias_rules(rules: DataFrame, empty_condition: str = "decline") -> D
     is not, ``eq`` fields p and q are the same register, ``?`` can't be proven from a text.
     """
     place = F.create_map(*(F.lit(x) for kv in FIELD_PLACE.items() for x in kv))
+    # fixed values: the forms of a clause that can be proven from a text
     zr, nz, eq = r"^(R\w*)\s*==\s*'11111'$", r"^(R\w*)\s*!=\s*'11111'$", r"^(R\w*)\s*==\s*(R\w*)$"
 
     def shape(c: Column, g: Column) -> Column:
@@ -107,26 +137,29 @@ def render(alias: Column, ops: Column, drops: Column) -> Column:
 
 
 def chain_depth(compiled: DataFrame) -> int:
-    """How often an alias may be the base of a later rule; the rule table is small."""
-    rows = compiled.select("base_seq", "base", "alias").distinct().collect()
-    depth: dict[str, int] = {}
-    for r in sorted(rows, key=lambda r: -r.base_seq):
-        onward = [depth.get(x.base, 1) for x in rows if x.base == r.alias and x.base_seq > r.base_seq]
-        depth[r.base] = max(depth.get(r.base, 1), 1 + max(onward, default=0))
-    return max(depth.values(), default=1)
+    """How often an alias may be the base of a later rule, step by step: where chains of one more rule end, and the
+    earliest base of their last rule. Bases only grow along a chain, so it ends."""
+    links = compiled.select("base_seq", "base", F.col("alias").alias("to"))
+    ends, depth = links.groupBy("to").agg(F.min("base_seq").alias("last")), 1
+    while True:
+        ends = ends.select(F.col("to").alias("base"), "last").join(links, "base").where("base_seq > last").groupBy("to").agg(F.min("base_seq").alias("last"))
+        if ends.isEmpty():
+            return depth
+        depth += 1
 
 
 def apply_aliases(df: DataFrame, compiled: DataFrame, col: str = "normalized", trace: str | None = "applied_rules") -> DataFrame:
     """``df`` with ``col`` after the alias rule: per base in order the first alias whose whole condition is proven.
 
-    The compiled rules (a bounded table) are folded into one map from base to its candidates, so a text meets its rules
-    by a broadcast lookup and no row is multiplied or regrouped.
+    The compiled rules are folded into one row per base with its candidates, so a text meets its rules
+    by one lookup and no row is multiplied or regrouped. Up to FEW_RULES rules are broadcast.
     """
+    few = compiled.limit(FEW_RULES + 1).count() <= FEW_RULES
     candidates = compiled.groupBy("base").agg(F.sort_array(F.collect_list(F.struct("base_seq", "alias_seq", "alias", "always", "clauses"))).alias("_rules")).withColumnRenamed("base", "_base")
     df = df.withColumn("_before", F.col(col)).withColumn("_from", F.lit(-1))
     for _ in range(chain_depth(compiled)):
         base = F.regexp_extract(F.col(col), r"^(\w+)(?!\w)", 1)
-        df = df.join(F.broadcast(candidates), base == F.col("_base"), "left")
+        df = df.join(F.broadcast(candidates) if few else candidates, base == F.col("_base"), "left")
         rest = strip(F.substr(F.col(col), F.length("_base") + 1))
         df = df.withColumn("_ops", F.when(rest == "", F.array().cast("array<string>")).otherwise(operands_of(rest)))
 

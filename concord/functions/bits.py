@@ -76,6 +76,6 @@ def word_text(word: Column) -> Column:
 
 
 def parse_word(text: Column) -> Column:
-    """The number of a hex string with or without ``0x``; null if it isn't one of at most 16 digits."""
+    """The number of a hex string with or without ``0x``; null if it isn't one, or not below 2**63."""
     digits = F.regexp_replace(F.trim(text), "^0[xX]", "")
-    return F.when(digits.rlike("^[0-9a-fA-F]{1,15}$"), F.conv(digits, 16, 10).cast("long"))
+    return F.when(digits.rlike("^0*(?:[0-7][0-9a-fA-F]{15}|[0-9a-fA-F]{1,15})$"), F.conv(F.regexp_replace(digits, "^0+(?=.)", ""), 16, 10).cast("long"))

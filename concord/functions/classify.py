@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from concord.functions.text import first_token
+from concord.functions.text import first_token, strip
 
 EQUIVALENT = "EQUIVALENT"
 #: What a record of the corpus may be.
@@ -40,9 +40,9 @@ def rule_name(valid: Column, mnemonic: Column, psname: Column) -> Column:
 
 
 def composed_text(mnemonic: Column, operands: Column) -> Column:
-    """Mnemonic and operands, trimmed; without operands the mnemonic alone; null if both are empty."""
+    """Mnemonic and operands without white space around them; without operands the mnemonic alone; null if both are empty."""
     blank = F.lit("")
-    return F.nullif(F.concat_ws(" ", F.nullif(F.trim(mnemonic), blank), F.nullif(F.trim(operands), blank)), blank)
+    return F.nullif(F.concat_ws(" ", F.nullif(strip(mnemonic), blank), F.nullif(strip(operands), blank)), blank)
 
 
 def shown(text: Column, valid: Column) -> Column:

@@ -30,17 +30,33 @@ def whitespace(t: Column) -> Column:
     return t
 
 
+def long_decimal(digits: Column) -> Column:
+    """Decimal digits of a hex number of any length: limbs of nine decimal digits, lowest first, take one hex digit a step."""
+    base = 10**9
+
+    def step(limbs: Column, digit: Column) -> Column:
+        def carry(done: Column, limb: Column) -> Column:
+            n = limb * 16 + done["carry"]
+            return F.struct(F.array_append(done["out"], n % base).alias("out"), F.floor(n / base).alias("carry"))
+
+        start = F.struct(F.array().cast("array<long>").alias("out"), F.conv(digit, 16, 10).cast("long").alias("carry"))
+        return F.aggregate(limbs, start, carry, lambda done: F.when(done["carry"] > 0, F.array_append(done["out"], done["carry"])).otherwise(done["out"]))
+
+    limbs = F.aggregate(F.split(digits, ""), F.array(F.lit(0).cast("long")), step)
+    return F.array_join(F.transform(F.reverse(limbs), lambda x, i: F.when(i == 0, x.cast("string")).otherwise(F.lpad(x.cast("string"), 9, "0"))), "")
+
+
 def immediates(t: Column) -> Column:
-    """Hex immediates of up to 64 bits become decimals where an operand may start; ``# 32`` loses its space."""
+    """Hex immediates of any length become decimals where an operand may start; ``# 32`` loses its space."""
     parts = F.split(t, r"(?<=^|[,\s\[])(?=#)")
     pattern = r"^#\s*(-?)0x([0-9a-fA-F]+)"
 
     def decimal(p: Column) -> Column:
         sign, digits = F.regexp_extract(p, pattern, 1), F.regexp_extract(p, pattern, 2)
         short = F.regexp_replace(digits, "^0+(?=.)", "")
-        value = F.conv(F.when(F.length(short) <= 16, short), 16, 10)
+        value = F.when(F.length(short) <= 16, F.conv(short, 16, 10)).otherwise(long_decimal(short))
         shown = F.concat(F.lit("#"), F.when((sign == "-") & (value != "0"), F.lit("-")).otherwise(F.lit("")), value, F.regexp_replace(p, pattern, ""))
-        return F.when(p.rlike(pattern) & value.isNotNull(), shown).otherwise(p)
+        return F.when(p.rlike(pattern), shown).otherwise(p)
 
     return F.regexp_replace(F.array_join(F.transform(parts, decimal), ""), r"#\s+(\d+)", "#$1")
 

@@ -53,14 +53,15 @@ def shards_to_do(bounds: DataFrame, records: DataFrame, packed: DataFrame, sourc
 
 
 def resume(bounds: DataFrame, records: DataFrame, sweep: Callable[[DataFrame], DataFrame], path: str, sources: list[str]) -> DataFrame:
-    """Process what isn't complete: ``sweep`` makes stored rows of the shards to do; only these are overwritten.
+    """Process what isn't complete: ``sweep`` makes stored rows of the shards to do; only these are overwritten, also
+    those that ``sweep`` gives no row.
 
     Returns fresh records of those shards.
     """
     spark = bounds.sparkSession
     # the list of shards is written down before the store changes under it
     todo = stored(shards_to_do(bounds, records, read_packed(spark, path), sources), "todo")
-    write_packed(sweep(todo), path)
+    write_packed(sweep(todo), path, todo)
     done = read_packed(spark, path).join(F.broadcast(todo.select("shard")), "shard", "left_semi")
     return shard_records(done, sources, todo)
 

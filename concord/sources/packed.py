@@ -12,15 +12,21 @@ SCHEMA = "source string, block long, bits long, shard long"
 BATCH = 1 << 16
 
 
-def write_packed(packed: DataFrame, path: str) -> None:
-    """Write ``source, block, bits, shard`` by shard; only the shards that occur are replaced, concurrent ones stay."""
-    spread = packed.select("source", "block", "bits", "shard").where("bits <> 0").repartition("shard").sortWithinPartitions("shard", "source", "block")
+def write_packed(packed: DataFrame, path: str, shards: DataFrame | None = None) -> None:
+    """Write ``source, block, bits, shard`` by shard; only the shards that occur are replaced, concurrent ones stay.
+
+    ``shards`` (``shard``) are replaced even if they come out without any row: a row without bits stands for them.
+    """
+    rows = packed.select("source", "block", "bits", "shard").where("bits <> 0")
+    if shards is not None:
+        rows = rows.union(shards.selectExpr("cast(null as string)", "cast(null as long)", "0L", "cast(shard as long)"))
+    spread = rows.repartition("shard").sortWithinPartitions("shard", "source", "block")
     spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("shard").parquet(path)
 
 
 def read_packed(spark: SparkSession, path: str, shards: list[int] | None = None) -> DataFrame:
     """Stored blocks; a block that isn't stored is all zero. ``shards`` prunes folders."""
-    found = spark.read.schema(SCHEMA).parquet(path)
+    found = spark.read.schema(SCHEMA).parquet(path).where("bits <> 0")
     return found if shards is None else found.where(F.col("shard").isin(shards))
 
 

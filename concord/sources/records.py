@@ -23,8 +23,14 @@ def write_corpus(corpus: DataFrame, path: str, parts_per_shard: int = 1) -> int:
     return corpus.sparkSession.read.parquet(path).select("shard").distinct().count()
 
 
+def of_known_version(corpus: DataFrame) -> DataFrame:
+    """The same rows; a record of another format version, or without one, is an error when it is read."""
+    version = F.col("format_version")
+    return corpus.where(F.assert_true(version.eqNullSafe(F.lit(FORMAT_VERSION)), F.concat(F.lit("unknown format_version "), F.coalesce(version.cast("string"), F.lit("null")))).isNull())
+
+
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return of_known_version(spark.read.schema(f"{CORPUS}, tier int, shard long").parquet(path))
 
 
 def write_corpus_ndjson(corpus: DataFrame, path: str) -> None:
@@ -36,7 +42,7 @@ def write_corpus_ndjson(corpus: DataFrame, path: str) -> None:
 
 def read_corpus_ndjson(spark: SparkSession, path: str) -> DataFrame:
     """Lines of a corpus in JSON; blank lines are skipped, the last may lack its newline."""
-    return spark.read.schema(CORPUS).json(path)
+    return of_known_version(spark.read.schema(CORPUS).json(path))
 
 
 def read_word_list(spark: SparkSession, path: str) -> DataFrame:

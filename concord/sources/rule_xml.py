@@ -25,9 +25,13 @@ SECTIONS = ("Decode", "Postdecode")
 IN_SCOPE = ("general", "advsimd", "float", "fpsimd", "system")
 
 
-def read_rule_xml(spark: SparkSession, path: str) -> DataFrame:
-    """One row per document of the row tag. Malformed files give a row of nulls and are dropped; others give none."""
-    return spark.read.option("rowTag", ROW_TAG).schema(SCHEMA).xml(path).where("_id is not null")
+def read_rule_xml(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
+    """One row per document of the row tag, with its text as ``xml``; malformed documents and other root tags give none.
+
+    A file is a document, or holds many between ``separator``. A document that can't be parsed costs no other one.
+    """
+    files = spark.read.text(path, wholetext=True) if separator is None else spark.read.text(path, lineSep=separator)
+    return parse_rule_xml(files.select(F.col("value").alias("xml")))
 
 
 def parse_rule_xml(docs: DataFrame, col: str = "xml") -> DataFrame:
@@ -53,9 +57,15 @@ def extract_boxes(docs: DataFrame) -> DataFrame:
     return rows.where(F.col("ic.regdiagram._psname").isNotNull()).withColumn("psname", F.col("ic.regdiagram._psname")).withColumn("boxes", F.transform("ic.regdiagram.box", box))
 
 
-def extract_rules(docs: DataFrame) -> DataFrame:
-    """Rule rows: encodings' names joined by ``|``, gating features, boxes. Only documents of type instruction."""
-    rows = extract_boxes(docs.where("_type = 'instruction'"))
+def instructions(docs: DataFrame, allowed: tuple[str, ...] | None = IN_SCOPE) -> DataFrame:
+    """Documents of type instruction whose class is in scope (``None``: of any class); needs ``docvars``."""
+    found = docs.where("_type = 'instruction'")
+    return found if allowed is None else found.where(in_scope(F.col("instr_class"), allowed))
+
+
+def extract_rules(docs: DataFrame, allowed: tuple[str, ...] | None = IN_SCOPE) -> DataFrame:
+    """Rule rows of the instructions in scope: encodings' names joined by ``|``, gating features, boxes."""
+    rows = extract_boxes(instructions(docs, allowed))
     names = F.filter(F.transform("ic.encoding", lambda e: e["_name"]), lambda x: x != "")
     gating = F.filter(F.transform("ic.arch_variants.arch_variant", lambda v: v["_feature"]), lambda x: x != "")
     return rows.select(F.col("_id").alias("file"), "iclass_seq", F.col("ic._id").alias("iclass"), "psname", F.array_join(names, "|").alias("encoding_name"), F.coalesce(gating, F.array().cast("array<string>")).alias("gating"), "boxes")
@@ -83,9 +93,10 @@ def not_fully_defined(xml: Column | str) -> Column:
     return reduce(lambda a, b: a | b, tests)
 
 
-def extract_aliases(docs: DataFrame) -> DataFrame:
-    """``file, ref_seq, base, alias, condition``: alias is the first word of the text, else the page id up to ``_``."""
-    rows = docs.select("*", F.posexplode("alias_list.aliasref").alias("ref_seq", "ref"))
+def extract_aliases(docs: DataFrame, allowed: tuple[str, ...] | None = IN_SCOPE) -> DataFrame:
+    """``file, ref_seq, base, alias, condition`` of the instructions in scope: alias is the first word of the text, else
+    the page id up to ``_``."""
+    rows = instructions(docs, allowed).select("*", F.posexplode("alias_list.aliasref").alias("ref_seq", "ref"))
     word = F.get(F.split(F.trim("ref.text"), r"\s+"), F.lit(0))
     alias = F.coalesce(F.nullif(word, F.lit("")), F.get(F.split("ref._aliaspageid", "_"), F.lit(0)))
     return rows.select(F.col("_id").alias("file"), "ref_seq", F.col("mnemonic").alias("base"), alias.alias("alias"), F.trim(F.coalesce("ref.aliaspref", F.lit(""))).alias("condition"))

@@ -9,12 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path under ``spark.checkpoint.dir``; a temporary folder only where that is unset."""
+    """A path under ``spark.checkpoint.dir``.
+
+    Only a local session, whose executors are the driver, gets a temporary folder where that is unset; on a cluster each
+    executor would write to a disk of its own, so there it is an error.
+    """
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="concord-scratch-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -23,7 +23,7 @@ NORMALIZED = [
     ("mov x0, #-0x0", "mov x0, #0"),
     ("mov x0, #-0x45a3", "mov x0, #-17827"),
     ("b y#0x10", "b y#0x10"),
-    ("mov x0, #0x12345678901234567", "mov x0, #0x12345678901234567"),
+    ("mov x0, #0x12345678901234567", "mov x0, #20988295476557333863"),
     ("ldr x0, [ x1 , ]", "ldr x0, [x1]"),
     ("", ""),
     (None, None),
