@@ -35,6 +35,20 @@ def macro(wide: DataFrame, sources: list[str], base: str, shards: DataFrame, sha
     return rates.selectExpr(f"stack({len(sources)}, {rows}) as (source, macro)")
 
 
+PRESENT = "_present"
+
+
+def agreement(wide: DataFrame, sources: list[str], base: str, n_words: int, shard_bits: int) -> DataFrame:
+    """``source, source_seq, disagreements, micro, macro`` from blocks that also have a bit for every word there is
+    (``_present``): one aggregation per shard gives the counts, the shard's size and both rates."""
+    sums = [F.sum(popcount(xor(F.col(s), F.col(base)))).alias(s) for s in sources]
+    per_shard = wide.groupBy(F.shiftright("block", shard_bits - 6).alias("shard")).agg(*sums, F.sum(popcount(F.col(PRESENT))).alias("n"))
+    both = [x for s in sources for x in (F.coalesce(F.sum(s), F.lit(0)).alias(f"{s}.d"), F.avg((F.col("n") - F.col(s)) / F.col("n")).alias(f"{s}.macro"))]
+    rows = ", ".join(f"'{s}', {i}, `{s}.d`, `{s}.macro`" for i, s in enumerate(sources))
+    stacked = per_shard.agg(*both).selectExpr(f"stack({len(sources)}, {rows}) as (source, source_seq, disagreements, macro)")
+    return stacked.withColumn("micro", (F.lit(float(n_words)) - F.col("disagreements")) / n_words)
+
+
 def ranked(metrics: DataFrame, rate: str = "micro") -> DataFrame:
     """Worst first, ties in the order of sources. One row per source."""
     return metrics.withColumn("rank", F.row_number().over(Window.orderBy(rate, "source_seq")))

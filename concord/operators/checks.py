@@ -15,13 +15,15 @@ from concord.functions.text import ALIAS_RULE
 from concord.operators.agree import micro, ranked, text_disagreements
 from concord.operators.corpus import rule_counts, unexercised
 from concord.operators.hashing import result_hash
-from concord.operators.packed import set_masks, unpack
 from concord.operators.rules import classify_words, tiling_summary
 from concord.operators.runs import verify_shard
 from concord.sources.records import FORMAT_VERSION
+from concord.sources.scratch import stored
 
 SCHEMA = "check_id string, passed boolean, reason string, evidence map<string,string>, measured map<string,string>"
 EXAMPLES = 10
+#: Words (with their shards) that are broadcast to pick records of a corpus.
+FEW_KEYS = 1_000_000
 
 
 def verdict(check_id: str, facts: DataFrame, tests: list[tuple[str, Column]]) -> DataFrame:
@@ -47,13 +49,27 @@ def beside(*rows: DataFrame) -> DataFrame:
 
 
 def coverage_gaps(blocks: DataFrame, corpus: DataFrame, probes: DataFrame, shard_bits: int) -> DataFrame:
-    """Probed words that truly disagree and have no VALIDITY record. ``blocks`` has the mask ``differ``."""
+    """Probed words that truly disagree and have no VALIDITY record. ``blocks`` has the mask ``differ``.
+
+    Of the corpus only records of probed words move, as the probes are broadcast up to FEW_KEYS.
+    """
     true = probes.withColumn("block", block_of(F.col("word"))).join(blocks.select("block", "differ"), "block").where(get_bit(F.col("differ"), F.col("word")))
-    true = true.select("word", F.shiftright("word", shard_bits).alias("shard")).distinct()
-    known = corpus.where("category = 'VALIDITY'").select("shard", parse_word(F.col("word")).alias("word"))
+    true = stored(true.select("word", F.shiftright("word", shard_bits).alias("shard")).distinct(), "probes")
+    known = of_keys(corpus.where("category = 'VALIDITY'").select(F.col("shard").cast("long").alias("shard"), parse_word(F.col("word")).alias("word")), true)
     return true.join(known, ["shard", "word"], "left_anti")
 
 
+def of_keys(corpus: DataFrame, keys: DataFrame) -> DataFrame:
+    """Records of the (shard, word) of a written table; it is broadcast if it has no more than FEW_KEYS rows."""
+    ids = keys.select("shard", "word")
+    return corpus.join(F.broadcast(ids) if ids.count() <= FEW_KEYS else ids, ["shard", "word"], "left_semi")
+
+
+def examples(gaps: DataFrame, n: int | None = None) -> DataFrame:
+    """The first rows by word."""
+    return gaps.orderBy("word").limit(n or EXAMPLES)
+
+
 def missing_shards(records: DataFrame, bounds: DataFrame) -> DataFrame:
     return bounds.join(records.select(F.col("shard_id").cast("long").alias("shard")), "shard", "left_anti")
 
@@ -64,19 +80,27 @@ def wrong_bounds(records: DataFrame, bounds: DataFrame) -> DataFrame:
 
 
 def shard_gaps(records: DataFrame) -> DataFrame:
-    """Records that don't start where the one before ends. One row per shard."""
-    w = Window.orderBy("shard_id")
-    return records.withColumn("before", F.lag("end").over(w)).where("before is not null and before <> start")
+    """Records that don't start where the one before ends.
+
+    The one before is looked up among 4096 neighbouring shards; the first of these takes the last of the ranges before, of which
+    there is a row each.
+    """
+    ranged = records.withColumn("_range", F.shiftright("shard_id", 12))
+    ends = ranged.groupBy("_range").agg(F.max_by("end", "shard_id").alias("_last"))
+    carried = ends.select("_range", F.lag("_last").over(Window.orderBy("_range")).alias("_carried"))
+    before = F.coalesce(F.lag("end").over(Window.partitionBy("_range").orderBy("shard_id")), "_carried")
+    return ranged.join(carried, "_range").withColumn("before", before).where("before is not null and before <> start").drop("_range", "_carried")
 
 
 def lookups(claims: DataFrame, corpus: DataFrame, shard_bits: int) -> DataFrame:
     """``claims`` (reproducers) with the record of their word and ``problem``: the first mismatch, null if none.
 
-    The first record of a word counts; shard and word are the keys, so storage by shard is pruned.
+    The first record of a word counts. Only records of claimed words are ordered, as the claims are broadcast up to FEW_KEYS.
     """
     w = Window.partitionBy("shard", "word").orderBy("tier")
-    first = corpus.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("shard", "word", F.col("category").alias("found"), "oracle_text", "oracle_valid")
+    claims = stored(claims, "claims")
     keyed = claims.withColumn("shard", F.shiftright(parse_word(F.col("word")), shard_bits))
+    first = of_keys(corpus, keyed.select("shard", "word").distinct()).withColumn("_n", F.row_number().over(w)).where("_n = 1").select("shard", "word", F.col("category").alias("found"), "oracle_text", "oracle_valid")
     both = keyed.join(first, ["shard", "word"], "left")
     said = F.coalesce(F.try_element_at("oracle_text", F.col("tool")), F.when(F.try_element_at("oracle_valid", F.col("tool")), F.lit("valid")).when(~F.try_element_at("oracle_valid", F.col("tool")), F.lit("invalid")), F.lit(""))
     problem = (
@@ -151,7 +175,7 @@ def check_corpus(corpus: DataFrame, sources: list[str], claimed_total: int, exha
             F.count_if(~F.coalesce(full, F.lit(False))).alias("bad_sources"),
             F.count_if(~F.coalesce(F.col("word").startswith("0x"), F.lit(False))).alias("bad_word"),
         ),
-        gaps.limit(EXAMPLES).agg(F.count("*").alias("uncovered"), F.concat_ws(",", F.sort_array(F.collect_list("word"))).alias("examples")),
+        examples(gaps).agg(F.count("*").alias("uncovered"), F.concat_ws(",", F.sort_array(F.collect_list("word"))).alias("examples")),
     )
     sized = F.lit(bool(exhaustive) or bool(sample_size and population and sample_size > 0 and population > 0))
     zero = lambda c: F.col(c) == 0
@@ -190,8 +214,3 @@ def merged_status(status: DataFrame, results: DataFrame) -> DataFrame:
     """``goal, state`` with the state of checked goals replaced, others as they were."""
     new = results.select(F.col("check_id").alias("goal"), F.when(F.col("passed"), F.lit("passing")).otherwise(F.lit("failing")).alias("_new"))
     return status.join(new, "goal", "left").select("goal", F.coalesce("_new", "state").alias("state"))
-
-
-def probed(wide: DataFrame, sources: list[str], n_words: int) -> DataFrame:
-    """All words that differ, from the packed masks (for small domains, where probing may be exhaustive)."""
-    return unpack(set_masks(wide, sources, n_words), "differ")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concord.functions.alias import apply_aliases
-from concord.functions.bits import get_bit, shard_of, word_text
+from concord.functions.bits import get_bit, popcount, shard_of, word_text
 from concord.functions.classify import record_category
 from concord.functions.text import ALL_RULES, normalize_text
 from concord.operators.packed import unpack
@@ -55,6 +55,14 @@ def category_histogram(corpus: DataFrame) -> DataFrame:
     return corpus.groupBy("category").agg(F.count("*").alias("n"))
 
 
+def tier_histogram(blocks: DataFrame, texts: DataFrame) -> DataFrame:
+    """The same from the parts of the corpus, without a row for every differing word: bits of the mask ``differ``, and the
+    records of the text tier."""
+    n = blocks.agg(F.coalesce(F.sum(popcount(F.col("differ"))), F.lit(0)).alias("n"))
+    both = n.where("n > 0").select(F.lit("VALIDITY").alias("category"), "n").union(category_histogram(texts))
+    return both.groupBy("category").agg(F.sum("n").alias("n"))
+
+
 def totals(corpus: DataFrame) -> DataFrame:
     """Records and shards. Shards are counted after a partial aggregation per shard."""
     return corpus.groupBy("shard").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("records"), F.count("*").alias("shards"))

@@ -28,5 +28,6 @@ def content_hash(packed: DataFrame, sources: list[str]) -> DataFrame:
 
 
 def result_hash(artifacts: DataFrame) -> DataFrame:
-    """One hash over the hashes of a few artifacts (``seq, hash``) in order."""
-    return artifacts.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "hash"))), lambda r: r["hash"]), ""), 256).alias("result_hash"))
+    """One hash over the hashes of artifacts (``seq, hash``) in order: of 4096 neighbouring numbers each, and of these."""
+    parts = _digest(artifacts.withColumn("_part", F.shiftright("seq", CHUNK_BITS)), ("_part",), "hash", ("seq",), "_h")
+    return parts.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_part", "_h"))), lambda r: r["_h"]), ""), 256).alias("result_hash"))

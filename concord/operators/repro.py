@@ -48,10 +48,13 @@ def chosen(corpus: DataFrame, sources: list[str], base: str, n: int = 10, cap: i
     slim = rows.select("shard", "tier", "word", "category", spec, "tool", actual)
     # the tiers are disjoint, so a word has one record; should it have more, its first one counts
     kept = capped(first_seen(slim), cap, ("category", "spec")).orderBy(*ENCOUNTER).limit(pool)
-    preferred = F.when(F.col("category").isin(*TEXT_CATEGORIES), 0).otherwise(1)
-    best = kept.withColumn("_p", preferred).orderBy("_p", *ENCOUNTER).limit(n)
-    rank = F.row_number().over(Window.orderBy("_p", *ENCOUNTER)) - 1  # n rows
-    return best.withColumn("rank", rank).drop("_p")
+    return preferred_first(kept, n)
+
+
+def preferred_first(rows: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` rows with ``rank`` from 0: text categories before VALIDITY, then in encounter order."""
+    order = (F.when(F.col("category").isin(*TEXT_CATEGORIES), 0).otherwise(1), *ENCOUNTER)
+    return rows.orderBy(*order).limit(n).withColumn("rank", F.row_number().over(Window.orderBy(*order)) - 1)  # n rows
 
 
 def render_reproducers(rows: DataFrame) -> DataFrame:

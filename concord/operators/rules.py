@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Prefix buckets that one rule may be copied to; rules with more variable prefix bits go to the nested loop.
+from concord.sources.scratch import shared_root
+
+#: Variable bits of a prefix up to which a rule is copied to all buckets that it allows (16 at most).
 MOST_VARIABLE = 4
 #: Rules that are broadcast; a larger table is joined by a shuffle on the prefix.
 FEW_RULES = 100_000
@@ -49,44 +51,67 @@ def scope_histogram(docs: DataFrame, allowed: tuple[str, ...], cls: str = "instr
     return docs.where(~F.coalesce(F.col(cls).isin(*allowed), F.lit(False))).groupBy(cls).agg(F.count("*").alias("n"))
 
 
-def prefix_buckets(rules: DataFrame, width: int, bits: int) -> DataFrame:
-    """Each rule once per value of the top ``bits`` bits that it allows, as ``prefix``."""
-    low = width - bits
-    top_mask, top_value = F.shiftright("mask", low), F.shiftright("value", low)
-    return rules.withColumn("prefix", F.explode(F.filter(F.sequence(F.lit(0), F.lit((1 << bits) - 1)).cast("array<long>"), lambda p: p.bitwiseAND(top_mask) == top_value)))
+def prefix_buckets(rules: DataFrame, width: int, bits: int, skip: int = 0) -> DataFrame:
+    """Each rule once per value that it allows of the ``bits`` bits below the top ``skip`` ones, as ``prefix``."""
+    low = width - skip - bits
+    part = lambda c: F.shiftright(c, low).bitwiseAND((1 << bits) - 1)
+    mask, value = part("mask"), part("value")
+    return rules.withColumn("prefix", F.explode(F.filter(F.sequence(F.lit(0), F.lit((1 << bits) - 1)).cast("array<long>"), lambda p: p.bitwiseAND(mask) == value)))
+
+
+def variable_bits(width: int, bits: int, skip: int = 0) -> Column:
+    """How many of these bits a rule leaves open."""
+    return bits - F.bit_count(F.shiftright("mask", width - skip - bits).bitwiseAND((1 << bits) - 1))
 
 
 def classify_words(words: DataFrame, rules: DataFrame, width: int = 32, prefix_bits: int = 8, names: tuple[str, ...] = ()) -> DataFrame:
     """Rows of ``words`` (``word`` and more) with ``valid, rule_id, n_match``: the lowest matching rule and how many
     match.
 
-    ``word & mask = value`` is looked up by the word's prefix. A rule table of checked size is folded into one array of
-    rules per prefix and broadcast: every word meets one row, is tested against its bucket's few rules, and never moves,
-    so the sweep of a whole domain has no exchange. Rules with many variable prefix bits, which would be copied to many
-    buckets, form one more array for all words. A larger rule table is joined by a shuffle on the prefix.
+    ``word & mask = value`` is looked up by parts of the word. A rule table of checked size is folded into one array of
+    rules per value of the word's first bits and broadcast: every word meets one row, is tested against its bucket's few
+    rules, and never moves, so the sweep of a whole domain has no exchange. Rules that leave many of the first bits open,
+    and would be copied to many buckets, are looked up by the next bits in the same way; those that leave both open
+    form one more array, which every word is tested against. A larger rule table is joined by shuffles.
     """
     bits = min(prefix_bits, width)
-    low = width - bits
     if rules.limit(FEW_RULES + 1).count() > FEW_RULES:
-        return _classify_by_shuffle(words, rules, width, bits, names)
-    variable = bits - F.bit_count(F.shiftright("mask", low).bitwiseAND((1 << bits) - 1))
+        return _classify_by_shuffle(words, rules, width, names)
     slim = rules.select("rule_id", "mask", "value")
     folded = F.sort_array(F.collect_list(F.struct("rule_id", "mask", "value")))
-    near = prefix_buckets(slim.where(variable <= MOST_VARIABLE), width, bits).groupBy("prefix").agg(folded.alias("_near"))
-    far = slim.where(variable > MOST_VARIABLE).agg(folded.alias("_far"))  # one row
-    met = words.withColumn("prefix", F.shiftright("word", low)).join(F.broadcast(near), "prefix", "left").crossJoin(F.broadcast(far))
     none = "cast(array() as array<struct<rule_id: {0}, mask: bigint, value: bigint>>)".format(dict(rules.dtypes)["rule_id"])
-    hits = met.withColumn("_hits", F.expr(f"filter(concat(coalesce(_near, {none}), _far), r -> (word & r.mask) = r.value)"))
-    out = hits.withColumn("n_match", F.size("_hits").cast("long")).withColumn("rule_id", F.expr("array_min(_hits).rule_id")).withColumn("valid", F.col("n_match") > 0).drop("prefix", "_near", "_far", "_hits")
+    met, parts, rest = words, [], slim
+    for k in range(2 if width >= 2 * bits else 1):
+        copied = variable_bits(width, bits, k * bits) <= MOST_VARIABLE
+        near = prefix_buckets(rest.where(copied), width, bits, k * bits).groupBy("prefix").agg(folded.alias(f"_near{k}"))
+        rest = rest.where(~copied)
+        met = met.withColumn("prefix", F.shiftright("word", width - (k + 1) * bits).bitwiseAND((1 << bits) - 1)).join(F.broadcast(near), "prefix", "left")
+        parts.append(f"coalesce(_near{k}, {none})")
+    met = met.crossJoin(F.broadcast(rest.agg(folded.alias("_far"))))  # one row
+    hits = met.withColumn("_hits", F.expr(f"filter(concat({', '.join(parts)}, _far), r -> (word & r.mask) = r.value)"))
+    out = hits.withColumn("n_match", F.size("_hits").cast("long")).withColumn("rule_id", F.expr("array_min(_hits).rule_id")).withColumn("valid", F.col("n_match") > 0).drop("prefix", "_far", "_hits", *(f"_near{k}" for k in range(len(parts))))
     return out if not names else out.join(F.broadcast(rules.select("rule_id", *names)), "rule_id", "left")
 
 
-def _classify_by_shuffle(words: DataFrame, rules: DataFrame, width: int, bits: int, names: tuple[str, ...]) -> DataFrame:
-    """The form for rule tables that don't fit a broadcast: an equi-join on the prefix, matches aggregated per word."""
+#: For rule tables too large to broadcast: bits of the long and the short prefix, and shares of a short prefix's words.
+LONG, SHORT, SALTS = 16, 8, 64
+
+
+def _classify_by_shuffle(words: DataFrame, rules: DataFrame, width: int, names: tuple[str, ...]) -> DataFrame:
+    """The form for rule tables that don't fit a broadcast: equi-joins, matches aggregated per word.
+
+    Most rules meet their words by the first 16 bits (65,536 keys). Rules that leave many of these open meet them by the first
+    8, of which the words are dealt to 64 shares. A task holds the rules of a key, and the words stream by.
+    """
+    long_, short = min(LONG, width), min(SHORT, width)
     match = F.col("word").bitwiseAND(F.col("mask")) == F.col("value")
-    keyed = words.select("word").distinct().withColumn("prefix", F.shiftright("word", width - bits))
-    hits = keyed.join(prefix_buckets(rules.select("rule_id", "mask", "value"), width, bits), "prefix").where(match)
-    found = hits.groupBy("word").agg(F.min("rule_id").alias("rule_id"), F.count("*").alias("n_match"))
+    slim, keyed = rules.select("rule_id", "mask", "value"), words.select("word").distinct()
+    copied = variable_bits(width, long_) <= MOST_VARIABLE + 2
+    near = keyed.withColumn("prefix", F.shiftright("word", width - long_)).join(prefix_buckets(slim.where(copied), width, long_), "prefix").where(match)
+    salted = keyed.withColumn("prefix", F.shiftright("word", width - short)).withColumn("salt", F.pmod(F.xxhash64("word"), F.lit(SALTS)).cast("int"))
+    shares = prefix_buckets(slim.where(~copied), width, short).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    far = salted.join(shares, ["prefix", "salt"]).where(match)
+    found = near.select("word", "rule_id").union(far.select("word", "rule_id")).groupBy("word").agg(F.min("rule_id").alias("rule_id"), F.count("*").alias("n_match"))
     out = words.join(found, "word", "left").withColumn("valid", F.col("rule_id").isNotNull()).withColumn("n_match", F.coalesce("n_match", F.lit(0)))
     return out if not names else out.join(rules.select("rule_id", *names), "rule_id", "left")
 
@@ -99,28 +124,32 @@ def classify_nested_loop(words: DataFrame, rules: DataFrame) -> DataFrame:
     return words.join(found, "word", "left").withColumn("valid", F.col("rule_id").isNotNull()).withColumn("n_match", F.coalesce("n_match", F.lit(0)))
 
 
-def count_regions(rules: DataFrame, width: int, checkpoint_every: int = 8) -> DataFrame:
+def count_regions(rules: DataFrame, width: int, checkpoint_every: int = 8, prefix_bits: int = 8) -> DataFrame:
     """``live, weight``: how many words have exactly that set of matching rules, without enumerating words.
 
-    From the top bit down, a state is the set of rules that can still match. Each step splits every state by the bit's
+    Rules of equal mask and value are one. From the top bits down, a state is the set of rules that can still match: at
+    first one per prefix, so no row ever holds the whole table. Each step splits every state by the next bit's
     two values, filters its rules, and sums states that became equal; the number of states is bounded by the different
     rule sets, not by the domain. The empty set is kept, so the weights sum to ``2**width``.
     """
     spark = rules.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="concord-checkpoint-"))
-    start = rules.agg(F.sort_array(F.collect_list(F.struct("rule_id", "mask", "value"))).alias("live"))
-    states = start.select("live", F.lit(1).cast("long").alias("weight"))
-    for step, bit in enumerate(range(width - 1, -1, -1), 1):
+        spark.sparkContext.setCheckpointDir(f"{shared_root(spark)}/checkpoints")
+    bits = min(prefix_bits, width)
+    alike = rules.groupBy("mask", "value").agg(F.sort_array(F.collect_list("rule_id")).alias("ids"))
+    slim = alike.select(F.col("ids")[0].alias("first"), "mask", "value", "ids")
+    live = prefix_buckets(slim, width, bits).groupBy("prefix").agg(F.sort_array(F.collect_list(F.struct("first", "mask", "value", "ids"))).alias("live"))
+    none = F.array().cast(live.schema["live"].dataType)
+    states = spark.range(1 << bits).select(F.col("id").alias("prefix")).join(live, "prefix", "left").select(F.coalesce("live", none).alias("live"), F.lit(1).cast("long").alias("weight"))
+    states = states.groupBy("live").agg(F.sum("weight").alias("weight"))
+    for step, bit in enumerate(range(width - bits - 1, -1, -1), 1):
         test = 1 << bit
         halves = states.select("live", "weight", F.explode(F.array(F.lit(0).cast("long"), F.lit(test).cast("long"))).alias("b"))
         alive = F.expr(f"filter(live, r -> (r.mask & {test}L) = 0 OR (r.value & {test}L) = b)")
         states = halves.select(alive.alias("live"), "weight").groupBy("live").agg(F.sum("weight").alias("weight"))
         if step % checkpoint_every == 0:
             states = states.checkpoint()
-    return states.select(F.transform("live", lambda r: r["rule_id"]).alias("live"), "weight")
+    return states.select(F.sort_array(F.flatten(F.transform("live", lambda r: r["ids"]))).alias("live"), "weight")
 
 
 def allocation(regions: DataFrame) -> DataFrame:

@@ -5,29 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concord.operators.agree import macro, micro, ranked
+from concord.operators.agree import PRESENT, agreement, ranked
 from concord.operators.corpus import merged, text_tier, verdict_tier
 from concord.operators.packed import pack, set_masks
-from concord.operators.repro import chosen
-
-
-def shard_sizes(words: DataFrame, shard_bits: int) -> DataFrame:
-    """``shard, n_words`` of the words that exist."""
-    return words.groupBy(F.shiftright("word", shard_bits).alias("shard")).agg(F.count("*").alias("n_words"))
 
 
 def agreement_ranking(verdicts: DataFrame, sources: list[str], base: str, n_words: int, shard_bits: int) -> DataFrame:
-    """``source, disagreements, micro, macro, rank``, worst first, from one pass that packs the verdicts."""
-    wide = pack(verdicts, [*sources, base])
-    per_shard = macro(wide, sources, base, shard_sizes(verdicts, shard_bits), shard_bits)
-    return ranked(micro(wide, sources, base, n_words).join(per_shard, "source")).drop("source_seq")
+    """``source, disagreements, micro, macro, rank``, worst first, from one pass: verdicts are read, packed and counted once."""
+    wide = pack(verdicts.withColumn(PRESENT, F.lit(True)), [*sources, base, PRESENT])
+    return ranked(agreement(wide, sources, base, n_words, shard_bits)).drop("source_seq")
 
 
 def disagreement_corpus(verdicts: DataFrame, texts: DataFrame, sources: list[str], comparable: list[str], n_words: int, shard_bits: int, compiled: DataFrame | None = None) -> DataFrame:
     """Both tiers: every word with differing verdicts, and every sampled text record that isn't equivalent."""
     blocks = set_masks(pack(verdicts, sources), sources, n_words)
     return merged(verdict_tier(blocks, sources, shard_bits), text_tier(texts, sources, comparable, shard_bits, compiled))
-
-
-def reproducers(corpus: DataFrame, sources: list[str], base: str, **options) -> DataFrame:
-    return chosen(corpus, sources, base, **options)
