@@ -153,12 +153,11 @@ def j2(spark, sf):
     return packed.align_sources(long_blocks(spark, sf), ALL)
 
 
-@query("j3_baseline_join", f"with {V}, {PACKED}, {LONG} select t.source, sum(bit_count(xor(t.bits, coalesce(o.bits, 0))))::bigint as differing from lb t left join (select * from lb where source = 'base') o using (block) where t.source <> 'base' group by 1")
+@query("j3_baseline_join", f"with {V} select source, word >> 6 as block, count(*) filter (x <> base) as differing from (" + " union all ".join(f"select '{s}' as source, word, {s} as x, base from v" for s in SOURCES) + ") group by 1, 2 having bool_or(x <> base)")
 def j3(spark, sf):
-    blocks = long_blocks(spark, sf)
-    base = blocks.where("source = 'base'").select("block", F.col("bits").alias("base_bits"))
-    joined = blocks.where("source <> 'base'").join(base, "block", "left")
-    return joined.groupBy("source").agg(F.sum(B.popcount(B.xor(F.col("bits"), F.coalesce("base_bits", F.lit(0))))).alias("differing"))
+    """Words on which a source and the baseline differ, per source and block that has any."""
+    blocks = agree.against_baseline(packed.align_sources(long_blocks(spark, sf), ALL), SOURCES, "base").where("diff <> 0")
+    return blocks.select("source", "block", B.popcount(F.col("diff")).alias("differing"))
 
 
 @query("a1_popcount", f"with {V} select source, count(*) filter (x) as n_valid from (" + " union all ".join(f"select '{s}' as source, {s} as x from v" for s in ALL) + ") group by 1")
@@ -184,8 +183,15 @@ MACRO = "m as (select source, avg(r) as macro from (select source, word >> 8, co
 
 @query("a5_macro_agreement", f"with {V}, e as ({EACH}), {MACRO} select source, round(macro, 9) as macro from m")
 def a5(spark, sf):
-    v = verdicts(spark, sf)
-    return agree.macro(packed.pack(v, ALL), SOURCES, "base", questions.shard_sizes(v, SHARD_BITS), SHARD_BITS).select("source", F.round("macro", 9).alias("macro"))
+    with_bit = packed.pack(verdicts(spark, sf).withColumn(agree.PRESENT, F.lit(True)), [*ALL, agree.PRESENT])
+    return agree.agreement(with_bit, SOURCES, "base", domain(spark, sf), SHARD_BITS).select("source", F.round("macro", 9).alias("macro"))
+
+
+@query("a5_macro_of_all_shards", f"with {V}, {SIZE}, e as ({EACH}), s as (select unnest(range(0, (select n // 256 from n))) as shard), d as (select source, word >> 8 as shard, count(*) filter (x <> base) as d from e group by 1, 2) select source, round(avg((256 - coalesce(d, 0)) / 256.0::double), 9) as macro from (select distinct source from e) cross join s left join d using (source, shard) group by 1")
+def a5b(spark, sf):
+    """Every shard counts with its full size, stored or not."""
+    sizes = bounds(spark, sf).select("shard", F.lit(256).alias("n_words"))
+    return agree.macro(wide(spark, sf), SOURCES, "base", sizes, SHARD_BITS).select("source", F.round("macro", 9).alias("macro"))
 
 
 @query("w5_agreement_ranking", f"with {V}, {SIZE}, e as ({EACH}), {MACRO}, g as (select source, seq, count(*) filter (x <> base) as d from e group by 1, 2) select source, d as disagreements, round((n - d) / n::double, 9) as micro, round(macro, 9) as macro, row_number() over (order by (n - d) / n::double, seq) as rank from g join m using (source), n")
@@ -228,7 +234,8 @@ def a14(spark, sf):
 
 
 @query("a15_result_hash", f"""with {V}, {PACKED}, {LONG}, c as (select shard, seq, block >> 12 as chunk, sha256(string_agg(to_hex(block) || ':' || upper(printf('%x', bits)), '' order by block)) as h from lb group by 1, 2, 3),
-  s as (select shard, sha256(string_agg(seq || ':' || chunk || ':' || h, '' order by seq, chunk)) as h from c group by 1) select sha256(string_agg(h, '' order by shard)) as result_hash from s""")
+  s as (select shard, sha256(string_agg(seq || ':' || chunk || ':' || h, '' order by seq, chunk)) as h from c group by 1),
+  parts as (select shard >> 12 as part, sha256(string_agg(h, '' order by shard)) as h from s group by 1) select sha256(string_agg(h, '' order by part)) as result_hash from parts""")
 def a15(spark, sf):
     return hashing.result_hash(hashing.content_hash(long_blocks(spark, sf), ALL).select(F.col("shard").alias("seq"), F.col("content_hash").alias("hash")))
 
@@ -288,13 +295,13 @@ def p11(spark, sf):
     return found.select("word", C.rule_name(F.col("valid"), F.col("mnemonic"), F.col("psname")).alias("name"))
 
 
-#: Rules from the first parts: fixed bits of a 14-bit domain.
-PART_RULES = "r as (select p_partkey as rule_id, (p_partkey * 37 % 16384)::bigint as mask, (p_partkey * 37 % 16384)::bigint & (p_partkey * 91 % 16384)::bigint as value from part where bit_count((p_partkey * 37 % 16384)::bigint) >= 6 and p_size = 7)"
+#: Rules from the parts: fixed bits of a 14-bit domain.
+PART_RULES = "r as (select p_partkey as rule_id, (p_partkey * 37 % 16384)::bigint as mask, (p_partkey * 37 % 16384)::bigint & (p_partkey * 91 % 16384)::bigint as value from part where bit_count((p_partkey * 37 % 16384)::bigint) >= 6)"
 
 
 def part_rules(spark: SparkSession, sf: str) -> DataFrame:
     mask = F.col("p_partkey") * 37 % 16384
-    rows = table(spark, sf, "part").where("p_size = 7").select(F.col("p_partkey").alias("rule_id"), mask.alias("mask"), mask.bitwiseAND(F.col("p_partkey") * 91 % 16384).alias("value"))
+    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("rule_id"), mask.alias("mask"), mask.bitwiseAND(F.col("p_partkey") * 91 % 16384).alias("value"))
     return rows.where(F.bit_count("mask") >= 6)
 
 
@@ -348,21 +355,27 @@ def parsed_docs(spark: SparkSession, sf: str) -> DataFrame:
     return rule_xml.docvars(rule_xml.parse_rule_xml(rule_docs(spark, sf)))
 
 
-@query("s2_xml_scan", f"with {GOOD} select {ID} as id, {KIND} as type from g")
-def s2(spark, sf):
+def scanned_docs(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents, malformed ones and those of another root included, written to files and read back."""
     path = fresh_path(spark, "xml")
+    rule_docs(spark, sf).select("xml").write.option("lineSep", "\x1e").text(path)
+    return rule_xml.read_rule_xml(spark, path, "\x1e")
 
 
-    def wrapped(batches):
-        import pandas as pd
+#: Instructions in scope.
+SCOPED = f"{KIND} = 'instruction' and p_partkey % 9 <> 0 and p_size % 2 = 1"
 
-        yield pd.DataFrame({"value": ["<rules>"]})
-        for pdf in batches:
-            yield pdf.rename(columns={"xml": "value"})
-        yield pd.DataFrame({"value": ["</rules>"]})
 
-    rule_docs(spark, sf).where("p_partkey % 50 <> 49").select("xml").mapInPandas(wrapped, "value string").write.text(path)
-    return rule_xml.read_rule_xml(spark, path).select(F.col("_id").alias("id"), F.col("_type").alias("type"))
+@query("s2_xml_scan", f"with {GOOD} select {ID} as id, {KIND} as type from g")
+def s2(spark, sf):
+    return scanned_docs(spark, sf).select(F.col("_id").alias("id"), F.col("_type").alias("type"))
+
+
+@query("s2_scanned_rules", f"with {GOOD} select {ID} as id, {MNEMONIC} as mnemonic, p_partkey % 9 <> 0 and p_size % 2 = 1 as in_scope, p_partkey % 4 = 0 as flagged from g")
+def s2b(spark, sf):
+    """Variables, scope and keywords of documents as they come from files."""
+    docs = rule_xml.docvars(scanned_docs(spark, sf))
+    return docs.select(F.col("_id").alias("id"), "mnemonic", rule_xml.in_scope(F.col("instr_class")).alias("in_scope"), rule_xml.not_fully_defined("xml").alias("flagged"))
 
 
 @query("s3_boxes", f"""with {GOOD} select {ID} as id, 31 as hibit, 6 as width, lpad(bin(p_size % 64), 6, '0') as fixed_bits from g
@@ -372,7 +385,7 @@ def s3(spark, sf):
     return rows.select("id", "b.hibit", "b.width", "b.fixed_bits")
 
 
-@query("s4_p1_rules", f"with {GOOD} select {ID} as id, 'E1|E' || p_size as encoding_name, 'F' || p_size as gating, 63::bigint << 26 as mask, (p_size % 64)::bigint << 26 as value from g where {KIND} = 'instruction'")
+@query("s4_p1_rules", f"with {GOOD} select {ID} as id, 'E1|E' || p_size as encoding_name, 'F' || p_size as gating, 63::bigint << 26 as mask, (p_size % 64)::bigint << 26 as value from g where {SCOPED}")
 def s4(spark, sf):
     found = rule_xml.extract_rules(parsed_docs(spark, sf))
     mask, value = rules.mask_value(F.col("boxes"))
@@ -384,15 +397,27 @@ def s5(spark, sf):
     return parsed_docs(spark, sf).select(F.col("_id").alias("id"), "mnemonic", "instr_class")
 
 
-@query("s6_alias_refs", f"with {GOOD} select {ID} as id, {MNEMONIC} as base, case when p_partkey % 3 = 0 then 'AL' || p_size else 'AP' || p_size end as alias, case when p_partkey % 3 = 0 then 'Rd == ''11111''' else '' end as condition from g")
+@query("s6_alias_refs", f"with {GOOD} select {ID} as id, {MNEMONIC} as base, case when p_partkey % 3 = 0 then 'AL' || p_size else 'AP' || p_size end as alias, case when p_partkey % 3 = 0 then 'Rd == ''11111''' else '' end as condition from g where {SCOPED}")
 def s6(spark, sf):
     return rule_xml.extract_aliases(parsed_docs(spark, sf)).select(F.col("file").alias("id"), "base", "alias", "condition")
 
 
-@query("s7_alias_table", f"with {GOOD}, x as (select p_partkey, upper({MNEMONIC}) as base, case when p_partkey % 3 = 0 then 'AL' || p_size else 'AP' || p_size end as alias from g) select base, alias, min(p_partkey) over (partition by base) as base_seq, p_partkey * 1000 as alias_seq from x")
+@query("s7_alias_table", f"with {GOOD}, x as (select p_partkey, upper({MNEMONIC}) as base, case when p_partkey % 3 = 0 then 'AL' || p_size else 'AP' || p_size end as alias from g where {SCOPED}) select base, alias, min(p_partkey) over (partition by base) as base_seq, row_number() over (partition by base order by p_partkey) - 1 as alias_seq from x")
 def s7(spark, sf):
+    """Extracted references as a table of rules, from storage."""
+    path = fresh_path(spark, "aliases")
     refs = rule_xml.extract_aliases(parsed_docs(spark, sf)).withColumn("file_seq", F.substring("file", 2, 20).cast("long"))
-    return A.grouped_aliases(refs).select("base", "alias", "base_seq", "alias_seq")
+    A.grouped_aliases(refs).write.parquet(path)
+    return A.load_alias_rules(spark, path).select("base", "alias", "base_seq", "alias_seq")
+
+
+@query("s7_alias_fallback", "select p_partkey as word, case when p_size % 2 = 0 then 'mov w' else 'orr x' end || (p_partkey % 31) || ', ' || case when p_size % 2 = 0 then 'w1' else 'x2, x1' end as text from part")
+def s7b(spark, sf):
+    """Nothing is stored: the built-in table, whose condition for ORR is the bare one."""
+    p, k = table(spark, sf, "part"), F.col("p_partkey") % 31
+    raw = p.select(F.col("p_partkey").alias("word"), F.when(F.col("p_size") % 2 == 0, F.format_string("ORR W%d, W31, W1", k)).otherwise(F.format_string("ORR X%d, X2, X1", k)).alias("raw"))
+    stored_rules = A.load_alias_rules(spark, fresh_path(spark, "no-aliases"))
+    return A.apply_aliases(T.normalize_text(raw, "raw"), A.compile_alias_rules(stored_rules)).select("word", F.col("normalized").alias("text"))
 
 
 @query("p2_scope", f"with {GOOD} select {ID} as id, p_partkey % 9 <> 0 and p_size % 2 = 1 as in_scope from g")
@@ -430,11 +455,12 @@ def a8b(spark, sf):
     return rules.scope_histogram(parsed_docs(spark, sf), rule_xml.IN_SCOPE)
 
 
-@query("k7_rule_table", f"with {GOOD} select 'aliases' as part, count(*) as n from g union all select 'metrics', 1 union all select 'rules', count(*) from g where {KIND} = 'instruction'")
+@query("k7_rule_table", f"with {GOOD} select 'aliases' as part, count(*) as n, count(distinct {MNEMONIC}) as n_names from g where {SCOPED} union all select 'metrics', 1, (select count(*) from g) union all select 'rules', count(*), count(distinct p_size) from g where {SCOPED}")
 def k7(spark, sf):
     docs, path = stored(parsed_docs(spark, sf), "docs"), fresh_path(spark, "rules")
     records.write_rule_table(rule_xml.extract_rules(docs), rules.tiling_summary(rules.tilings(box_rows(spark, sf))), rule_xml.extract_aliases(docs), path)
-    parts = [spark.read.parquet(f"{path}/{p}").agg(F.lit(p).alias("part"), F.count("*").alias("n")) for p in ("rules", "metrics", "aliases")]
+    names = {"rules": F.count_distinct("encoding_name"), "metrics": F.max("checked"), "aliases": F.count_distinct("base")}
+    parts = [spark.read.parquet(f"{path}/{p}").agg(F.lit(p).alias("part"), F.count("*").alias("n"), n.alias("n_names")) for p, n in names.items()]
     return parts[0].union(parts[1]).union(parts[2])
 
 
@@ -487,6 +513,13 @@ def t4(spark, sf):
     return table(spark, sf, "part").select(F.col("p_partkey").alias("word"), T.immediates(raw).alias("text"))
 
 
+@query("t4_long_immediates", "select p_partkey as word, '#' || case when p_partkey % 2 = 0 then '-' else '' end || (p_partkey::hugeint * 18446744073709551616::hugeint + p_size) || ', #1' as text from part")
+def t4b(spark, sf):
+    """Over 16 hex digits."""
+    raw = F.format_string("#%s0x%x%016x, #0x1", F.when(F.col("p_partkey") % 2 == 0, F.lit("-")).otherwise(F.lit("")), "p_partkey", "p_size")
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("word"), T.immediates(raw).alias("text"))
+
+
 @query("t5_zero_registers", "select p_partkey as word, 'add ' || case when p_partkey % 32 = 31 then 'wzr' else 'w' || (p_partkey % 32) end || ', xzr, x310, wx31' as text from part")
 def t5(spark, sf):
     raw = F.format_string("add w%d, x31, x310, wx31", F.col("p_partkey") % 32)
@@ -601,8 +634,8 @@ def t15(spark, sf):
 
 @query("p12_composed_text", "select p_partkey as word, case when p_partkey % 3 = 0 then 'ret' when p_partkey % 3 = 1 then 'add x' || p_size else null end as text from part")
 def p12(spark, sf):
-    m = F.element_at(F.array(*map(F.lit, (" ret ", "add", " "))), (F.col("p_partkey") % 3 + 1).cast("int"))
-    o = F.when(F.col("p_partkey") % 3 == 1, F.format_string(" x%d ", "p_size")).otherwise(F.lit(" "))
+    m = F.element_at(F.array(*map(F.lit, ("\tret ", "\tadd\n", " \t"))), (F.col("p_partkey") % 3 + 1).cast("int"))
+    o = F.when(F.col("p_partkey") % 3 == 1, F.format_string("\tx%d \n", "p_size")).otherwise(F.lit(" \n"))
     return table(spark, sf, "part").select(F.col("p_partkey").alias("word"), C.composed_text(m, o).alias("text"))
 
 
@@ -654,7 +687,14 @@ def k3(spark, sf):
 
 @query("a9_category_histogram", f"with {CORPUS} select category, count(*) as n from co group by 1")
 def a9(spark, sf):
-    return corpus.category_histogram(full_corpus(spark, sf))
+    return corpus.tier_histogram(masks(spark, sf), corpus.text_tier(texts(spark, sf), ALL, SOURCES, SHARD_BITS))
+
+
+@query("a9_stored_histogram", f"with {CORPUS} select category, count(*) as n from co group by 1")
+def a9b(spark, sf):
+    path = fresh_path(spark, "corpus")
+    records.write_corpus(full_corpus(spark, sf), path)
+    return corpus.category_histogram(records.read_corpus(spark, path))
 
 
 @query("a12_corpus_totals", f"with {CORPUS} select count(*) as records, count(distinct shard) as shards from co")
@@ -728,23 +768,25 @@ def u5(spark, sf):
     return checks.shard_difference(b, b.where("shard % 10 <> 3").select(F.col("shard").cast("int").alias("shard_id")))
 
 
-@query("i1_resume", f"with {SIZE}, s as (select unnest(range(0, (select n // 256 from n))) as shard) select shard, 'complete' as status, true as same from s where shard % 4 = 0")
+@query("i1_resume", f"with {SIZE}, s as (select unnest(range(0, (select n // 256 from n))) as shard) select shard, 'complete' as status, shard % 8 <> 4 as same, shard % 8 = 4 as empty from s where shard % 4 = 0")
 def i1(spark, sf):
-    """Every fourth shard is stored with a lost block; resuming does these only, and the store is whole again."""
+    """Every fourth shard is stored with a lost block; resuming does these only. Half of them come out without any row this
+    time: nothing of them stays stored."""
     path, blocks, b = fresh_path(spark, "store"), stored(long_blocks(spark, sf), "blocks"), bounds(spark, sf)
     recs = stored(runs.shard_records(blocks, ALL, b), "recs")
     stored_packed.write_packed(blocks.where("not (shard % 4 = 0 and block % 4 <= 1)"), path)
-    fresh = runs.resume(b, recs, lambda todo: blocks.join(F.broadcast(todo.select("shard")), "shard", "left_semi"), path, ALL)
-    both = fresh.join(recs.select("shard_id", F.col("content_hash").alias("want")), "shard_id")
-    return both.select(F.col("shard_id").cast("long").alias("shard"), "status", (F.col("content_hash") == F.col("want")).alias("same"))
+    fresh = runs.resume(b, recs, lambda todo: blocks.where("shard % 8 <> 4").join(F.broadcast(todo.select("shard")), "shard", "left_semi"), path, ALL)
+    both = fresh.join(recs.select("shard_id", F.col("content_hash").alias("want")), "shard_id").withColumn("shard", F.col("shard_id").cast("long"))
+    left = stored_packed.read_packed(spark, path).groupBy("shard").agg(F.count("*").alias("n"))
+    return both.join(left, "shard", "left").select("shard", "status", (F.col("content_hash") == F.col("want")).alias("same"), F.col("n").isNull().alias("empty"))
 
 
-@query("i2_j8_verify_shard", f"with {SIZE}, s as (select unnest(range(0, (select n // 256 from n))) as shard) select shard::int as shard_id, shard % 5 <> 0 as same from s where shard % 2 = 0")
+@query("i2_j8_verify_shard", f"with {SIZE}, s as (select unnest(range(0, (select n // 256 from n))) as shard) select shard::int as shard_id, shard % 5 <> 0 as same from s")
 def i2(spark, sf):
-    """Recompute even shards; of every fifth one the record is stale."""
+    """Recompute all shards; of every fifth one the record is stale."""
     blocks = stored(long_blocks(spark, sf), "blocks")
     recs = runs.shard_records(blocks, ALL, bounds(spark, sf)).withColumn("content_hash", F.when(F.col("shard_id") % 5 == 0, F.lit("stale")).otherwise(F.col("content_hash")))
-    return runs.verify_shard(recs, blocks.where("shard % 2 = 0"), ALL).select("shard_id", "same")
+    return runs.verify_shard(recs, blocks, ALL).select("shard_id", "same")
 
 
 # ------------------------------------------------------------------ reproducers
@@ -783,10 +825,9 @@ def w7(spark, sf):
     return repro.chosen(verdict_corpus(spark, sf), SOURCES, "base").select("word", "category", "tool", "spec", "actual", F.col("rank").cast("long").alias("rank"))
 
 
-@query("w7_preferred_first", f"with {CORPUS}, x as (select {HEX} as word, category, shard, tier from co where tier = 1 or word % 2 = 0) select word, category from x order by case when category = 'VALIDITY' then 1 else 0 end, shard, tier, word limit 300")
+@query("w7_preferred_first", f"with {CORPUS}, x as (select {HEX} as word, category, row_number() over (order by case when category = 'VALIDITY' then 1 else 0 end, shard, tier, word) - 1 as rank from co) select * from x where rank < 1200")
 def w7b(spark, sf):
-    rows = full_corpus(spark, sf).where((F.col("tier") == 1) | (B.parse_word(F.col("word")) % 2 == 0))
-    return rows.withColumn("_p", F.when(F.col("category").isin(*C.TEXT_CATEGORIES), 0).otherwise(1)).orderBy("_p", *repro.ENCOUNTER).limit(300).select("word", "category")
+    return repro.preferred_first(full_corpus(spark, sf), 1200).select("word", "category", F.col("rank").cast("long").alias("rank"))
 
 
 @query("l2_first_shards", f"with {CORPUS} select {HEX} as word, shard from co where shard >= 2 qualify dense_rank() over (order by shard) <= 3")
@@ -796,13 +837,10 @@ def l2(spark, sf):
 
 @query("l4_ordered_output", f"with {CORPUS} select shard, {HEX} as word, row_number() over (partition by shard order by tier, word) as place from co")
 def l4(spark, sf):
-    """Rows of the stored corpus with their place in the shard's order of tier and word."""
-    from pyspark.sql import Window
-
+    """Rows of the stored corpus with the place that they have in the shard's file."""
     path = fresh_path(spark, "corpus")
     records.write_corpus(full_corpus(spark, sf), path)
-    place = F.row_number().over(Window.partitionBy("shard").orderBy("tier", "word"))
-    return records.read_corpus(spark, path).select(F.col("shard").cast("long").alias("shard"), "word", place.cast("long").alias("place"))
+    return spark.read.parquet(path).select(F.col("shard").cast("long").alias("shard"), "word", (F.col("_metadata.row_index") + 1).alias("place"))
 
 
 @query("k6_s14_reproducer_files", f"with {SPEC}, k as (select * from s where shard < 5 qualify row_number() over (partition by category, spec order by shard, word) <= 2) select printf('%02d', row_number() over (order by shard, word) - 1) || '-' || word as file, word, category, tool, spec, actual from k order by shard, word limit 10")
@@ -875,6 +913,13 @@ def j4(spark, sf):
     return checks.coverage_gaps(blocks, lacking, verdicts(spark, sf).select("word"), SHARD_BITS).select("word")
 
 
+@query("l3_example_limit", f"with {V} select word from v where {DIFF} and word % 10 = 0 order by word limit 10")
+def l3(spark, sf):
+    blocks = stored(masks(spark, sf), "masks")
+    lacking = corpus.verdict_tier(blocks, ALL, SHARD_BITS).where(B.parse_word(F.col("word")) % 10 != 0)
+    return checks.examples(checks.coverage_gaps(blocks, lacking, verdicts(spark, sf).select("word"), SHARD_BITS)).select("word")
+
+
 @query("j9_metric_differences", f"with {V} select word >> 8 as shard_source, count(*) filter (a)::double as actual from v where (word >> 8) % 3 = 0 group by 1")
 def j9(spark, sf):
     """Claimed counts per shard against recomputed ones; every third claim is off by one."""
@@ -892,9 +937,13 @@ def u2(spark, sf):
     return lack.union(checks.unknown_values(cats, "category", C.TAXONOMY).groupBy(F.concat(F.lit("unknown "), "category").alias("finding")).agg(F.count("*").alias("n")))
 
 
-@query("u4_unexercised", "select unnest(['condition_codes', 'memory_operands', 'spec_alias']) as rule from (select count(*) from part)")
+@query("u4_unexercised", "with r(rule, n) as (select 'condition_codes', count(*) filter (p_size > 40) from part union all select 'memory_operands', count(*) filter (p_size > 50) from part union all select 'immediates', count(*) from part union all select 'lowercase', 1 union all select 'strip_comments', 0 union all select 'whitespace', 1 union all select 'zero_registers', count(*) filter (p_partkey % 32 = 31) from part union all select 'shift_defaults', 0 union all select 'spec_alias', 0) select rule from r where n = 0")
 def u4(spark, sf):
-    return corpus.unexercised(T.normalize_text(texts(spark, sf), "a"))
+    """Branches of large parts, addresses of parts larger than there are, a zero register in every 32nd part."""
+    p = table(spark, sf, "part")
+    text = F.when(F.col("p_size") > 50, F.lit("ldr x0, [x1, #0]")).when(F.col("p_size") > 40, F.format_string("B.HS #0x%x", "p_size")).otherwise(F.format_string("ADD w%d,x1, #0x%x", F.col("p_partkey") % 32, "p_size"))
+    text = F.when(F.col("p_partkey") % 32 == 31, F.lit("add w31, w1, #1")).otherwise(text)
+    return corpus.unexercised(T.normalize_text(p.select(text.alias("raw")), "raw"))
 
 
 @query("j10_status_merge", f"with {SIZE} select 'shard ' || shard as goal, case when shard % 3 = 0 then 'passing' when shard % 3 = 1 then 'failing' else 'unknown' end as state from (select unnest(range(0, (select n // 256 from n))) as shard)")
@@ -912,9 +961,39 @@ def k4(spark, sf):
     return spark.read.schema("source string, disagreements long").json(path)
 
 
+def claimed_total(spark: SparkSession, sf: str) -> int:
+    """Records that the corpus should have, counted on rows: no packing, masks or normalisation."""
+    v = verdicts(spark, sf)
+    differing = v.where(F.array_min(F.array(*ALL)) != F.array_max(F.array(*ALL))).count()
+    return differing + table(spark, sf, "part").where(F.expr(WORST).isNotNull()).count()
+
+
+def claimed_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """``source, metric, value`` as counted on rows."""
+    n = domain(spark, sf)
+    d = verdicts(spark, sf).agg(*(F.count_if(F.col(s) != F.col("base")).cast("double").alias(s) for s in SOURCES))
+    t = table(spark, sf, "part").agg(F.count_if(F.expr(f"coalesce(({WORST}) in ('OPERAND', 'NORMALIZATION_UNCERTAIN'), false)")).cast("double").alias("t"))
+    rows = ", ".join(f"'{s}', 'disagreements', {s}, '{s}', 'micro', 1 - {s} / {n}, '{s}', 'text_disagreements', t" for s in SOURCES)
+    return d.crossJoin(t).selectExpr(f"stack({3 * len(SOURCES)}, {rows}) as (source, metric, value)")  # one row each
+
+
+def claimed_ranking(spark: SparkSession, sf: str) -> DataFrame:
+    """``rank, source``, most disagreements first, as counted on rows."""
+    d = verdicts(spark, sf).agg(*(F.count_if(F.col(s) != F.col("base")).alias(s) for s in SOURCES))
+    order = F.sort_array(F.array(*(F.struct((-F.col(s)).alias("d"), F.lit(i).alias("i"), F.lit(s).alias("source")) for i, s in enumerate(SOURCES))))
+    return d.select(F.posexplode(order).alias("at", "x")).select((F.col("at") + 1).alias("rank"), F.col("x.source").alias("source"))
+
+
+def summed_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored rows made anew in another way: bits of a block are summed, source by source."""
+    rows = verdicts(spark, sf).selectExpr("word", "stack(4, 'a', a, 'b', b, 'c', c, 'base', base) as (source, valid)").where("valid")
+    blocks = rows.groupBy("source", B.block_of(F.col("word")).alias("block")).agg(F.sum(B.bit_at(F.col("word"))).alias("bits"))
+    return blocks.withColumn("shard", F.shiftright("block", SHARD_BITS - 6))
+
+
 def check_inputs(spark: SparkSession, sf: str) -> dict[str, Callable[[], DataFrame]]:
-    """All checks over artifacts that Spark makes of the tables, each made once and only if asked for; two are broken on
-    purpose."""
+    """All checks over artifacts that Spark makes of the tables, each made once and only if asked for. What is claimed is made
+    in another way than what the checks recompute; those named broken have one artifact or claim that is wrong."""
     n = domain(spark, sf)
     v = cache(lambda: stored(verdicts(spark, sf), "verdicts"))
     w = cache(lambda: stored(packed.pack(v(), ALL), "wide"))
@@ -923,19 +1002,30 @@ def check_inputs(spark: SparkSession, sf: str) -> dict[str, Callable[[], DataFra
     longs = cache(lambda: packed.to_long(w(), ALL, SHARD_BITS))
     recs = cache(lambda: stored(runs.shard_records(longs(), ALL, bounds(spark, sf)), "recs"))
     docs = cache(lambda: stored(parsed_docs(spark, sf), "docs"))
-    tiled = cache(lambda: rules.tilings(box_rows(spark, sf).where("cast(substring(file, 2, 20) as long) % 13 <> 0")))
-    metrics = cache(lambda: agree.micro(w(), SOURCES, "base", n))
-    tall = cache(lambda: metrics().selectExpr("source", "stack(2, 'disagreements', cast(disagreements as double), 'micro', micro) as (metric, value)").unionByName(agree.text_disagreements(c(), SOURCES, "base").selectExpr("source", "'text_disagreements' as metric", "cast(text_disagreements as double) as value")))
-    order = cache(lambda: agree.ranked(metrics()).select("rank", "source"))
+    boxes = cache(lambda: box_rows(spark, sf))
+    mended = cache(lambda: boxes().withColumn("width", F.when(F.col("hibit") == 24, 25).otherwise(F.col("width"))))
+    fresh = cache(lambda: summed_blocks(spark, sf))
+    off = cache(lambda: fresh().withColumn("bits", F.when((F.col("source") == "a") & (F.col("shard") == 0), F.lit(1).cast("long")).otherwise(F.col("bits"))))
     hashes = cache(lambda: stored(hashing.content_hash(longs(), ALL).select(F.col("shard").alias("seq"), F.col("content_hash").alias("hash")), "hashes"))
     aliased = cache(lambda: A.apply_aliases(T.normalize_text(alias_texts(spark, sf), "raw"), A.compile_alias_rules(A.alias_rules(spark))).withColumn("expected", F.col("normalized")))
+    gaps = lambda of: checks.coverage_gaps(blocks(), of, v().select("word"), SHARD_BITS)
+    lacking = cache(lambda: c().where((F.col("tier") == 1) | (B.parse_word(F.col("word")) % 10 != 0)))
+    metrics = cache(lambda: claimed_metrics(spark, sf))
+    one_more = cache(lambda: metrics().withColumn("value", F.col("value") + F.when((F.col("source") == "b") & (F.col("metric") == "disagreements"), 1).otherwise(0)))
+    order = cache(lambda: claimed_ranking(spark, sf))
+    chosen = cache(lambda: repro.chosen(c().where("tier = 0"), SOURCES, "base", n=4, cap=2))
     return {
-        "rules": lambda: checks.check_rules(tiled(), docs(), "R1", rule_table(spark), 5, 0),
-        "coverage": lambda: checks.check_coverage(recs(), bounds(spark, sf), w(), ALL, n, longs().where("shard % 4 = 1")),
+        "rules": lambda: checks.check_rules(rules.tilings(mended()), docs(), "R1", rule_table(spark), 5, 0),
+        "rules, broken": lambda: checks.check_rules(rules.tilings(boxes()), docs(), "R1", rule_table(spark), 5, 0),
+        "coverage": lambda: checks.check_coverage(recs(), bounds(spark, sf), w(), ALL, n, fresh()),
+        "coverage, broken": lambda: checks.check_coverage(recs(), bounds(spark, sf), w(), ALL, n, off()),
         "normalization": lambda: checks.check_normalization(aliased()),
-        "corpus": lambda: checks.check_corpus(c(), ALL, c().count(), True, None, None, checks.coverage_gaps(blocks(), c(), v().select("word"), SHARD_BITS)),
-        "metrics": lambda: checks.check_metrics(tall(), order(), w(), SOURCES, "base", n, c()),
-        "reproducers": lambda: checks.check_reproducers(repro.chosen(c().where("tier = 0"), SOURCES, "base", n=4, cap=2), c(), SHARD_BITS, least=4),
+        "corpus": lambda: checks.check_corpus(c(), ALL, claimed_total(spark, sf), True, None, None, gaps(c())),
+        "corpus, broken": lambda: checks.check_corpus(lacking(), ALL, lacking().count(), True, None, None, gaps(lacking())),
+        "metrics": lambda: checks.check_metrics(metrics(), order(), w(), SOURCES, "base", n, c()),
+        "metrics, broken": lambda: checks.check_metrics(one_more(), order(), w(), SOURCES, "base", n, c()),
+        "reproducers": lambda: checks.check_reproducers(chosen(), c(), SHARD_BITS, least=4),
+        "reproducers, broken": lambda: checks.check_reproducers(chosen().withColumn("actual", F.lit("?")), c(), SHARD_BITS, least=4),
         "true hash": lambda: checks.check_hash(hashes(), hashing.result_hash(hashes()).first()["result_hash"]),
         "result hash": lambda: checks.check_hash(hashes(), "not the hash"),
         "absent": lambda: checks.check_hash(spark.read.parquet(fresh_path(spark, "absent")), ""),
@@ -947,14 +1037,24 @@ def check_row(spark: SparkSession, sf: str, name: str, *measured: str) -> DataFr
     return row.select("check_id", "passed", "reason", *(F.element_at("measured", m).alias(m) for m in measured))
 
 
-@query("q1_rule_check", f"with {GOOD} select 'rules' as check_id, true as passed, 'ok' as reason, (count(*) filter (p_partkey % 13 <> 0))::varchar as checked, count(*)::varchar as documents, '0' as rule_id from g")
+@query("q1_rule_check", f"with {GOOD} select 'rules' as check_id, true as passed, 'ok' as reason, count(*)::varchar as checked, count(*)::varchar as documents, '0' as rule_id from g")
 def q1(spark, sf):
     return check_row(spark, sf, "rules", "checked", "documents", "rule_id")
 
 
-@query("q2_coverage_check", f"with {V}, {SIZE} select 'coverage' as check_id, true as passed, 'ok' as reason, (any_value(n) // 256)::varchar as records, (count(*) filter (a))::varchar as ones from v, n")
+@query("q1_rule_check_broken", f"with {GOOD} select 'rules' as check_id, false as passed, 'tiling' as reason, count(*)::varchar as checked, (count(*) filter (p_partkey % 13 <> 0))::varchar as passed_files from g")
+def q1b(spark, sf):
+    return check_row(spark, sf, "rules, broken", "checked", "passed").toDF("check_id", "passed", "reason", "checked", "passed_files")
+
+
+@query("q2_coverage_check", f"with {V}, {SIZE} select 'coverage' as check_id, true as passed, 'ok' as reason, (any_value(n) // 256)::varchar as records, (count(*) filter (a))::varchar as ones, '0' as changed from v, n")
 def q2(spark, sf):
-    return check_row(spark, sf, "coverage", "records", "ones")
+    return check_row(spark, sf, "coverage", "records", "ones", "changed")
+
+
+@query("q2_coverage_check_broken", f"with {V} select 'coverage' as check_id, false as passed, 'hashes' as reason, count(distinct word >> 8)::varchar as changed, '0' as missing from v where word < 256")
+def q2b(spark, sf):
+    return check_row(spark, sf, "coverage, broken", "changed", "missing")
 
 
 @query("q3_normalization_check", "select 'normalization' as check_id, false as passed, 'unexercised rules' as reason, count(*)::varchar as comparisons, (count(*) filter (p_partkey % 8 in (0, 1, 2, 4, 5)))::varchar as alias_applied, '8' as unexercised from part")
@@ -967,23 +1067,38 @@ def q4(spark, sf):
     return check_row(spark, sf, "corpus", "records", "uncovered")
 
 
+@query("q4_corpus_check_broken", f"with {CORPUS} select 'corpus' as check_id, false as passed, 'coverage' as reason, (count(*) filter (tier = 1 or word % 10 <> 0))::varchar as records, least(10, count(*) filter (tier = 0 and word % 10 = 0))::varchar as uncovered from co")
+def q4b(spark, sf):
+    return check_row(spark, sf, "corpus, broken", "records", "uncovered")
+
+
 @query("q5_metrics_check", f"with {V} select 'metrics' as check_id, true as passed, 'ok' as reason, '9' as claimed, '0' as different, '0' as misranked from v limit 1")
 def q5(spark, sf):
     return check_row(spark, sf, "metrics", "claimed", "different", "misranked")
 
 
+@query("q5_metrics_check_broken", f"with {V} select 'metrics' as check_id, false as passed, 'values' as reason, '9' as claimed, '1' as different, '0' as misranked from v limit 1")
+def q5b(spark, sf):
+    return check_row(spark, sf, "metrics, broken", "claimed", "different", "misranked")
+
+
 @query("q6_reproducer_check", f"with {V} select 'reproducers' as check_id, true as passed, 'ok' as reason, least(4, count(*))::varchar as files, '0' as wrong from v where {DIFF}")
 def q6(spark, sf):
     return check_row(spark, sf, "reproducers", "files", "wrong")
 
 
-@query("q7_hash_check", SQL["a15_result_hash"].replace("select sha256(string_agg(h, '' order by shard)) as result_hash from s", "select 'result hash' as check_id, true as passed, 'ok' as reason, sha256(string_agg(h, '' order by shard)) as result_hash from s"))
+@query("q6_reproducer_check_broken", f"with {V} select 'reproducers' as check_id, false as passed, 'records' as reason, least(4, count(*))::varchar as files, least(4, count(*))::varchar as wrong from v where {DIFF}")
+def q6b(spark, sf):
+    return check_row(spark, sf, "reproducers, broken", "files", "wrong")
+
+
+@query("q7_hash_check", SQL["a15_result_hash"].replace("select sha256(string_agg(h, '' order by part))", "select 'result hash' as check_id, true as passed, 'ok' as reason, sha256(string_agg(h, '' order by part))"))
 def q7(spark, sf):
     return check_row(spark, sf, "true hash", "result_hash")
 
 
-@query("q1_q8_run_checks", """with n as (select count(*) as n from orders) select * from (values ('rules', true, 'ok'), ('coverage', true, 'ok'), ('normalization', false, 'unexercised rules'),
-  ('corpus', true, 'ok'), ('metrics', true, 'ok'), ('reproducers', true, 'ok'), ('result hash', true, 'ok'), ('result hash', false, 'hash'), ('absent', false, 'input: AnalysisException')) t(check_id, passed, reason)""")
+@query("q1_q8_run_checks", """with n as (select count(*) as n from orders) select * from (values ('rules', true, 'ok'), ('rules', false, 'tiling'), ('coverage', true, 'ok'), ('coverage', false, 'hashes'), ('normalization', false, 'unexercised rules'),
+  ('corpus', true, 'ok'), ('corpus', false, 'coverage'), ('metrics', true, 'ok'), ('metrics', false, 'values'), ('reproducers', true, 'ok'), ('reproducers', false, 'records'), ('result hash', true, 'ok'), ('result hash', false, 'hash'), ('absent', false, 'input: AnalysisException')) t(check_id, passed, reason)""")
 def q8(spark, sf):
     return checks.run_checks(spark, check_inputs(spark, sf)).select("check_id", "passed", "reason")
 

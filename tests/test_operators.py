@@ -2,6 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from concord.functions import alias, classify
+from concord.functions import text as T
 from concord.operators import agree, checks, corpus, hashing, packed, repro, rules, runs, sample
 from concord.plans import questions
 from concord.sources import keyspace, plugins, records, rule_xml
@@ -32,12 +34,25 @@ def test_three_forms_of_classification_agree(spark, monkeypatch):
     assert near == loop == want
 
 
+def test_rules_are_looked_up_by_two_prefixes(spark, monkeypatch):
+    """Rules that fix the first bits, only the next ones, or neither, in the broadcast and the shuffled form."""
+    patterns = ["1010x0xx" + "x" * 10, "x" * 8 + "0110xx1x" + "10", "x" * 16 + "01", "x" * 18, "xxxxxx10" + "x1x0x" + "x" * 5, "0" * 18]
+    words, table = keyspace.key_space(spark, 18, 12), rule_rows(spark, patterns)
+    want = {w: (min(m) if m else None, len(m)) for w, m in enumerate(brute(patterns, 18))}
+    assert {r.word: (r.rule_id, r.n_match) for r in rules.classify_words(words, table, 18).collect()} == want
+    monkeypatch.setattr(rules, "FEW_RULES", 2)
+    assert {r.word: (r.rule_id, r.n_match) for r in rules.classify_words(words, table, 18).collect()} == want
+
+
 def test_regions_are_counted_without_enumeration(spark):
-    got = {tuple(r.live): r.weight for r in rules.count_regions(rule_rows(spark, PATTERNS), 12, checkpoint_every=5).collect()}
-    want = {}
-    for m in brute(PATTERNS, 12):
-        want[tuple(m)] = want.get(tuple(m), 0) + 1
-    assert got == want
+    for patterns in (PATTERNS, [*PATTERNS, PATTERNS[1], PATTERNS[1], "xxxxxxxxxx11"]):  # also with rules that are alike
+        for bits in (1, 8, 12):
+            got = {tuple(r.live): r.weight for r in rules.count_regions(rule_rows(spark, patterns), 12, checkpoint_every=5, prefix_bits=bits).collect()}
+            want = {}
+            for m in brute(patterns, 12):
+                want[tuple(m)] = want.get(tuple(m), 0) + 1
+            assert got == want
+    got = {tuple(r.live): r.weight for r in rules.count_regions(rule_rows(spark, PATTERNS), 12).collect()}
     assert sum(w for m, w in got.items() if not m) == 2047
     one = rules.allocation(rules.count_regions(rule_rows(spark, PATTERNS), 12)).first()
     assert (one.allocated, one.unallocated, one.ambiguous_groups) == (2049, 2047, 1)
@@ -92,6 +107,19 @@ def test_macro_counts_shards_without_a_stored_block(spark):
     assert got["a"] == pytest.approx((63 / 64 + 1 + 1) / 3)
 
 
+def test_texts_and_words_of_any_form(spark):
+    rows = spark.createDataFrame([("\tadd", "\tx0\n"), (" \n", None), ("ret", "\t ")], "m string, o string")
+    assert [r.t for r in rows.select(classify.composed_text(F.col("m"), F.col("o")).alias("t")).collect()] == ["add x0", None, "ret"]
+    hexes = ["0x1", "#0xff", "#-0x10", "#0xFFFFFFFFFFFFFFFF", "#0x10000000000000000", "#-0x" + "f" * 40, "#0x" + "0" * 20 + "1", "#0x" + "9" * 33]
+    got = [r.t for r in spark.createDataFrame([(h,) for h in hexes], "h string").select(T.immediates(F.col("h")).alias("t")).collect()]
+    assert got == ["0x1", *(f"#{int(h[1:].replace('0x', ''), 16)}" for h in hexes[1:])]
+    from concord.functions.bits import parse_word
+
+    words = ["0x7fffffffffffffff", "0x8000000000000000", "0x00000000000000000010", "0x" + "f" * 15, "g", ""]
+    got = [r.w for r in spark.createDataFrame([(w,) for w in words], "h string").select(parse_word(F.col("h")).alias("w")).collect()]
+    assert got == [2**63 - 1, None, 16, 16**15 - 1, None, None]
+
+
 def test_confusion_pairs_and_sets(spark):
     v = tiny(spark, a={1, 2, 63}, b={2, 64}, base={2, 63, 200})
     wide = packed.pack(v, ALL)
@@ -180,7 +208,7 @@ def test_one_failing_word_is_isolated(spark):
         plugins.Registry().rows(words, ["nobody"])
 
 
-XML = """<instructionsection id="SUBS" type="instruction"><docvars><docvar key="mnemonic" value="SUBS"/></docvars>
+XML = """<instructionsection id="SUBS" type="instruction"><docvars><docvar key="mnemonic" value="SUBS"/><docvar key="instr-class" value="general"/></docvars>
 <alias_list howmany="1"><aliasref aliaspageid="CMP_SUBS"><text>CMP (x)</text><aliaspref>Rd == '11111'</aliaspref></aliasref><aliasref aliaspageid="NEGS_S"/></alias_list>
 <classes><iclass id="k" name="k"><regdiagram psname="ps"><box hibit="31" width="31"><c>x</c></box><box><c>1</c></box></regdiagram><encoding name="E"/></iclass><iclass id="none"/></classes>
 <ps_section><ps><pstext section="Decode">a <a>UNPRE</a>DICTABLE</pstext></ps></ps_section></instructionsection>"""
@@ -196,11 +224,53 @@ def test_rule_documents(spark):
     assert {(x.base, x.alias, x.condition) for x in rule_xml.extract_aliases(d).collect()} == {("SUBS", "CMP", "Rd == '11111'"), ("SUBS", "NEGS", "")}
 
 
+def test_scope_of_rules_and_aliases(spark):
+    """Instructions of other classes, without a class, and documents of other types give no rules and no aliases."""
+    other = [XML.replace("general", "sve"), XML.replace('<docvar key="instr-class" value="general"/>', ""), XML.replace('type="instruction"', 'type="alias"')]
+    d = rule_xml.docvars(rule_xml.parse_rule_xml(spark.createDataFrame([(x,) for x in other], "xml string")))
+    assert d.count() == 3 and rule_xml.extract_rules(d).count() == 0 and rule_xml.extract_aliases(d).count() == 0
+    assert rule_xml.extract_rules(d, None).count() == 2 and rule_xml.extract_rules(d, ("sve",)).count() == 1
+    assert rule_xml.extract_boxes(d).count() == 3
+
+
 def test_xml_files(spark, tmp_path):
     (tmp_path / "a.xml").write_text(XML)
     (tmp_path / "b.xml").write_text("<other/>")
     (tmp_path / "c.xml").write_text("<instructionsection id='broken'")
-    assert [r._id for r in rule_xml.read_rule_xml(spark, str(tmp_path)).collect()] == ["SUBS"]
+    scanned = rule_xml.docvars(rule_xml.read_rule_xml(spark, str(tmp_path)))
+    assert [(r._id, r.mnemonic, r.instr_class) for r in scanned.collect()] == [("SUBS", "SUBS", "general")]
+    assert [r.f for r in scanned.select(rule_xml.not_fully_defined("xml").alias("f")).collect()] == [True]
+    assert {r.alias for r in rule_xml.extract_aliases(scanned).collect()} == {"CMP", "NEGS"}
+    (tmp_path / "many").mkdir()
+    (tmp_path / "many" / "x").write_text("\x1e".join([XML, "<instructionsection id='broken'", "", XML.replace('id="SUBS"', 'id="TWO"')]))
+    assert sorted(r._id for r in rule_xml.read_rule_xml(spark, str(tmp_path / "many"), "\x1e").collect()) == ["SUBS", "TWO"]
+
+
+def test_alias_tables_from_storage(spark, tmp_path):
+    normal = lambda rules, text: alias.apply_aliases(T.normalize_text(spark.createDataFrame([(text,)], "raw string"), "raw"), alias.compile_alias_rules(rules)).first().normalized
+    (tmp_path / "a.json").write_text('{"SUBS": [{"alias_mnemonic": "CMP", "condition": "Rd == \'11111\'"}], "ADD": [{"alias_mnemonic": "INC", "condition": "Unconditionally"}, {"alias_mnemonic": "X"}]}')
+    found = alias.load_alias_rules(spark, str(tmp_path / "a.json"))
+    assert [(r.base_seq, r.alias_seq, r.base, r.alias, r.condition) for r in found.orderBy("base_seq", "alias_seq").collect()] == [(0, 0, "SUBS", "CMP", "Rd == '11111'"), (1, 0, "ADD", "INC", "Unconditionally"), (1, 1, "ADD", "X", "")]
+    assert normal(found, "ADD X0, X1") == "inc x0, x1" and normal(found, "ORR W0, W31, W1") == "orr w0, wzr, w1"
+    (tmp_path / "b.json").write_text('{"SUBS": [{"alias_')
+    for name in ("b.json", "none.json", "none"):
+        fallback = alias.load_alias_rules(spark, str(tmp_path / name))
+        assert fallback.count() == 12 and normal(fallback, "ORR W0, W31, W1") == "mov w0, w1"
+    assert normal(alias.alias_rules(spark), "ORR W0, W31, W1") == "orr w0, wzr, w1"
+    found.write.parquet(str(tmp_path / "t"))
+    assert alias.load_alias_rules(spark, str(tmp_path / "t")).count() == 3
+
+
+def test_alias_places_of_many_references(spark, monkeypatch):
+    refs = spark.createDataFrame([(f, r, "B", f"a{f}_{r}", None) for f in (1, 2) for r in range(1500)], "file_seq long, ref_seq int, base string, alias string, condition string")
+    got = alias.grouped_aliases(refs).orderBy("alias_seq").collect()
+    assert [r.alias for r in got] == [f"a{f}_{r}" for f in (1, 2) for r in range(1500)] and {r.base_seq for r in got} == {1}
+    chain = alias.compile_alias_rules(alias.alias_rules(spark, [("A", "B", "Unconditionally"), ("B", "C", "Unconditionally"), ("C", "D", "Unconditionally"), ("D", "A", "Unconditionally")]))
+    assert alias.chain_depth(chain) == 4
+    for few in (100, 1):
+        monkeypatch.setattr(alias, "FEW_RULES", few)
+        rows = alias.apply_aliases(T.normalize_text(spark.createDataFrame([("A x1",), ("C x2",)], "raw string"), "raw"), chain)
+        assert {r.normalized for r in rows.collect()} == {"a x1", "a x2"}
 
 
 def test_word_list_keeps_bad_lines_apart(spark, tmp_path):
@@ -216,6 +286,20 @@ def test_unreadable_shard_record_is_seen(spark, tmp_path):
     assert sorted(r._corrupt_record is None for r in got) == [False, True]
 
 
+def test_records_of_an_unknown_version_are_an_error(spark):
+    path, lines = fresh_path(spark, "c"), fresh_path(spark, "n")
+    *_, c = world(spark)
+    records.write_corpus(c, path)
+    assert records.read_corpus(spark, path).count() == c.count()
+    for version in (2, None):
+        records.write_corpus(c.withColumn("format_version", F.when(F.col("word") == "0x00000001", F.lit(version).cast("int")).otherwise(F.col("format_version"))), path)
+        with pytest.raises(Exception, match="unknown format_version"):
+            records.read_corpus(spark, path).select("category").collect()
+    records.write_corpus_ndjson(c.withColumn("format_version", F.lit(7)), lines)
+    with pytest.raises(Exception, match="unknown format_version 7"):
+        records.read_corpus_ndjson(spark, lines).collect()
+
+
 def world(spark):
     v = tiny(spark, a={0, 1, 63, 70}, b={0, 1}, c={0}, base={0, 1, 130})
     wide = packed.pack(v, ALL)
@@ -301,6 +385,34 @@ def test_resume_does_only_what_is_open(spark):
     assert runs.shards_to_do(shards, recs, stored.read_packed(spark, path), ALL).count() == 0
 
 
+def test_resume_clears_a_shard_that_comes_out_empty(spark):
+    bounds = spark.createDataFrame([(1, 64, 128)], "shard long, start long, end long")
+    path, none = fresh_path(spark, "store"), spark.createDataFrame([], stored.SCHEMA)
+    stored.write_packed(spark.createDataFrame([("a", 1, 1, 1), ("a", 4, 1, 2)], "source string, block long, bits long, shard long"), path)
+    recs = runs.shard_records(none, ["a"], bounds).withColumn("status", F.lit("incomplete"))
+    fresh = runs.resume(bounds, recs, lambda todo: none, path, ["a"]).collect()
+    assert [(r.shard_id, r.valid_counts) for r in fresh] == [(1, {"a": 0})]
+    assert [(r.block, r.shard) for r in stored.read_packed(spark, path).collect()] == [(4, 2)]
+
+
+def test_gaps_across_ranges_of_shards(spark):
+    rows = [(i, i * 10, i * 10 + 10 + (i in (5, 4095, 9000))) for i in range(9500) if i not in (3, 4096, 4097, 8192)]
+    df = spark.createDataFrame(rows, "shard_id int, start long, end long")
+    assert sorted(r.shard_id for r in checks.shard_gaps(df).collect()) == [4, 6, 4098, 8193, 9001]
+
+
+def test_lookups_and_coverage_of_many_claims(spark, monkeypatch):
+    """The same with claims too many to be broadcast."""
+    _, _, _, blocks, _, c = world(spark)
+    claims = spark.createDataFrame([("0x00000001", "VALIDITY", "a", "valid", "valid"), ("0x000000ff", "VALIDITY", "a", "valid", "valid")], "word string, category string, tool string, spec string, actual string")
+    every = spark.range(256).withColumnRenamed("id", "word")
+    for few in (1000, 0):
+        monkeypatch.setattr(checks, "FEW_KEYS", few)
+        assert {r.word: r.problem for r in checks.lookups(claims, c, 6).collect()} == {"0x00000001": None, "0x000000ff": "not in corpus"}
+        gone = checks.coverage_gaps(blocks, c.where("word <> '0x00000001'"), every, 6)
+        assert [r.word for r in gone.collect()] == [1]
+
+
 def test_errors_make_a_shard_incomplete(spark):
     _, long, shards, _, _, _ = world(spark)
     errors = spark.createDataFrame([(1, False), (2, True)], "shard long, triaged boolean")
