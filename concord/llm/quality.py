@@ -18,6 +18,8 @@ CONTINUATION = bytes(range(0x80, 0xC0))
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Copies of each frequent line among the join keys, so that the rows of one very common line spread over tasks.
 SALT = 32
+#: Frequent lines that are broadcast; more of them meet the lines in a salted exchange.
+FEW_LINES = 500_000
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -85,12 +87,14 @@ def quality_rules(
     min_docs: int = 30,
     host_share: float = 0.005,
     least_left: float = 0.5,
+    few_lines: int = FEW_LINES,
 ) -> DataFrame:
     """One row per input row with the rules' figures, the words left without frequent lines, and ``kept``.
 
     A line is frequent in a host if more than ``min_docs`` and more than ``host_share`` of the host's documents hold
     it; lines are compared by a 64-bit hash of their normalised bytes and counted once per document, with map-side
-    combine. Frequent lines go; a document with less than ``least_left`` of its words left is rejected.
+    combine. A host has no more frequent lines than the lines of its mean document by ``1 / host_share``, so they are broadcast up to
+    ``few_lines``, and the lines of documents stay where they are. Frequent lines go; a document with less than ``least_left`` of its words left is rejected.
 
     Defined cases: a null text has no words and fails the base rules; a null host is a host of its own; repeated rows
     are documents of their own; a null id is an id like others; other columns are ignored; an empty table gives none.
@@ -100,8 +104,12 @@ def quality_rules(
     lines = base.select("row", host, F.explode(F.arrays_zip("hashes", "words")).alias("l")).select("row", "host", F.col("l.hashes").alias("hash"), F.col("l.words").alias("words"))
     limits = base.groupBy(host).agg(F.greatest(F.lit(float(min_docs)), F.count("*") * F.lit(host_share)).alias("limit"))
     frequent = lines.groupBy("host", "hash").agg(F.count("*").alias("docs")).where(F.col("docs") > min_docs).join(limits, "host").where("docs > limit")
-    salted = frequent.select("host", "hash", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
-    hit = lines.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALT)).cast("int")).join(salted, ["host", "hash", "salt"])
+    frequent = materialize(frequent.select("host", "hash"), "quality-frequent")
+    if frequent.count() <= few_lines:
+        hit = lines.join(F.broadcast(frequent), ["host", "hash"])
+    else:
+        salted = frequent.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        hit = lines.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALT)).cast("int")).join(salted, ["host", "hash", "salt"])
     removed = hit.groupBy("row").agg(F.sum("words").alias("removed"), F.count("*").alias("frequent_lines"))
     left = F.col("n_words") - F.coalesce("removed", F.lit(0))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
@@ -114,13 +122,3 @@ def quality_rules(
         .withColumn("kept", ~F.col("base_failed") & (F.col("words_left") >= F.col("n_words") * least_left))
         .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "frequent_lines", "words_left")
     )
-
-
-def frequent_line_hashes(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``hash, line``: the normalised lines of the texts, for looking up what a hash stands for."""
-
-    @F.pandas_udf("array<struct<hash: long, line: string>>")
-    def listed(texts):
-        return texts.map(lambda t: [{"hash": line_hash(x), "line": b" ".join(x.lower().split()).decode()} for x in (t or "").encode().split(b"\n") if x.split()], na_action=None)
-
-    return docs.select(F.explode(listed(F.col(text_col))).alias("l")).select("l.hash", "l.line").distinct()

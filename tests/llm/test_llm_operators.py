@@ -469,7 +469,9 @@ def quality_expected(rows, min_docs, share):
 def test_quality_rules(request, name, min_docs):
     df = request.getfixturevalue(name)
     rows = [(r.doc_id, r.text, r.source) for r in df.select("doc_id", "text", "source").collect()]
-    assert sorted(repr(tuple(r)) for r in quality.quality_rules(df, min_docs=min_docs).collect()) == quality_expected(rows, min_docs, 0.005)
+    want = quality_expected(rows, min_docs, 0.005)
+    assert sorted(repr(tuple(r)) for r in quality.quality_rules(df, min_docs=min_docs).collect()) == want
+    assert sorted(repr(tuple(r)) for r in quality.quality_rules(df, min_docs=min_docs, few_lines=0).collect()) == want
 
 
 def test_quality_rejects_depleted_documents(spark):
