@@ -16,7 +16,9 @@ BLOCKS = 48
 #: is too large for one shard go by the hash of their id.
 PARTS = 16
 #: Bytes of a part, about, apart from large groups of equal texts; blocks of more than PARTS times as many get more parts.
-PART_BYTES = 1 << 28
+PART_BYTES = 1 << 27
+#: Bytes of text that one task sorts and writes, about.
+TASK_BYTES = 1 << 27
 #: Groups of equal texts, and single documents, above this share of a shard's bytes (there are at most its inverse times the
 #: number of shards) are placed one by one before the flow is solved.
 LARGE_GROUP = 1 / 200
@@ -190,8 +192,11 @@ def reshard(docs: DataFrame, old_shard: Column, n_old: int, n_new: int, path: st
     block = Window.partitionBy("old", "b1", "b2")
     line = block.orderBy("th", F.col("doc_id").asc_nulls_first())
     group = Window.partitionBy("old", "b1", "b2", "th")
+    # as many tasks as the bytes need, however few the session has by default
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))
     placed = (
-        base.join(start, ["old", "b1", "b2"])
+        base.repartition(tasks, "old", "b1", "b2")
+        .join(start, ["old", "b1", "b2"])
         .join(cut, "old")
         .withColumn("own", F.col("start") + F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
         .withColumn("first", F.min("own").over(group))
