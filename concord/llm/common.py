@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 #: ASCII letters, for lower-casing A-Z alone (``lower`` would change other letters too).
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
+#: Groups that hold more rows than this are hot, unless the table is so large that FEW_HOT groups of this size are common:
+#: then those are hot that hold over a FEW_HOT-th of all rows. So fewer than FEW_HOT groups are, and they may be broadcast.
+HOT_ROWS = 100_000
+FEW_HOT = 100_000
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
@@ -86,6 +90,21 @@ def with_row_key(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return materialize(df.withColumn(key, F.monotonically_increasing_id()), name), key
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, sizes: DataFrame, size: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``rows`` joined on ``key`` to ``groups``, which has one row per key; all of its columns must be small.
+
+    ``sizes`` is a written table with the number of rows of every key in column ``size``. The hot groups are broadcast, so
+    none is gathered in a task, whatever share of the rows it holds; the others meet in one exchange.
+    """
+    total = sizes.agg(F.sum(size)).first()[0] or 0
+    hot = sizes.where(F.col(size) > max(hot_rows, total // FEW_HOT)).select(key)
+    if hot.isEmpty():
+        return rows.join(groups, key)
+    hot = F.broadcast(hot)
+    many, others = groups.join(hot, key, "left_semi"), groups.join(hot, key, "left_anti")
+    return rows.join(F.broadcast(many), key).unionByName(rows.join(hot, key, "left_anti").join(others, key))
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, component)`` for every node of ``edges``; component is the smallest node id reachable.
 

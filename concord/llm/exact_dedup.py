@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.common import LOWER, UPPER, materialize
+from concord.llm.common import HOT_ROWS, LOWER, UPPER, join_groups, materialize
 
 
 #: Hashes of groups of two or more that may be broadcast (8 bytes each); beyond it their texts are found by a shuffle.
@@ -25,13 +25,20 @@ def hash128(digest_hex: Column) -> Column:
 
 
 def exact_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", content_hash: Callable[[Column], Column] = hash128, few_groups: int = FEW_GROUPS
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    keep: str = "max",
+    content_hash: Callable[[Column], Column] = hash128,
+    few_groups: int = FEW_GROUPS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
     Rows group by the content hash with map-side combine, so a group with a third of all rows costs one row per
     task. Groups of two or more are then verified: their texts are grouped again by (hash, bytes). Should one hash
-    hold different bytes, those rows are regrouped by their bytes, so a collision never merges different texts.
+    hold different bytes, those rows are regrouped by their bytes, so a collision never merges different texts. Rows
+    get the result of their group by an exchange; groups of over ``hot_rows`` are broadcast instead (``join_groups``).
 
     Defined cases: a null text is an empty text; empty texts are equal to each other; of equal texts the row with the
     largest id stays (``keep="min"``: smallest). Repeated rows with one id are all counted, and all of them are kept
@@ -57,7 +64,8 @@ def exact_dedup(
         return df.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), kept.alias("kept"), "text_sha256")
 
     if collided.isEmpty():
-        return shown(hashed.join(groups, "_h"))
+        return shown(join_groups(hashed, groups, "_h", groups, "group_size", hot_rows))
     apart = texts.withColumn("text_sha256", F.sha2("_norm", 256)).withColumn("_h", content_hash(F.col("text_sha256"))).join(collided.select("_h"), "_h", "left_semi")
     by_bytes = apart.groupBy("_h", "_norm").agg(pick("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    return shown(hashed.join(groups.join(collided, "_h", "left_anti"), "_h")).union(shown(apart.join(by_bytes, ["_h", "_norm"])))
+    whole = groups.join(collided, "_h", "left_anti")
+    return shown(join_groups(hashed, whole, "_h", groups, "group_size", hot_rows)).union(shown(apart.join(by_bytes, ["_h", "_norm"])))
