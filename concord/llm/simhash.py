@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.common import connected_components, materialize
+from concord.llm.common import HOT_ROWS, connected_components, join_groups, materialize
 
 #: The ring of segments of a fingerprint: (lowest bit, width).
 RING = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
@@ -204,17 +204,18 @@ def links(fps: DataFrame, most: int = 4, part: int = PART) -> DataFrame:
     return edges.union(materialize(more, "simhash-large"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 4, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``doc_id, fingerprint, component_id`` for every row.
 
     Rows of one fingerprint are one node, named by their smallest id, whatever their number; only nodes are compared.
+    Fingerprints of over ``hot_rows`` rows meet these by a broadcast (``join_groups``).
 
     Defined cases: null and empty texts have fingerprint zero, which links like any other; rows with a null id form no
     node and get a component only through others of their fingerprint; repeated rows give equal rows; other columns are
     ignored; an empty table gives an empty result.
     """
     prints = materialize(fingerprints(docs, id_col, text_col), "simhash-fps")
-    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-nodes")
-    components = connected_components(links(nodes.where("node is not null"), most))
+    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("n_rows")), "simhash-nodes")
+    components = connected_components(links(nodes.where("node is not null").select("fp", "node"), most))
     named = nodes.join(components, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return join_groups(prints, named, "fp", nodes, "n_rows", hot_rows).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
