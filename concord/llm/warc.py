@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm.common import fresh_path
+from concord.llm.common import HOT_ROWS, fresh_path, join_groups
 
+STORE = "strong string, payload binary, response_id long, copies long, copies_to_read int"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 CRLF = "\r\n"
+#: Records of one payload that meet a copy of it when records are rebuilt; more records meet more copies.
+RECORDS_PER_COPY = 10_000
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -25,20 +28,32 @@ def payload_of(html: Column) -> Column:
     return F.coalesce(html.cast("string"), F.lit("")).cast("binary")
 
 
-def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, date: str = "1970-01-01T00:00:00Z") -> None:
+def write_archive(
+    pages: DataFrame,
+    path: str,
+    id_col: str = "page_id",
+    url_col: str = "url",
+    html_col: str = "html",
+    min_bytes: int = 0,
+    date: str = "1970-01-01T00:00:00Z",
+    hot_rows: int = HOT_ROWS,
+    records_per_copy: int = RECORDS_PER_COPY,
+) -> None:
     """Write ``path/store`` (payloads) and ``path/headers`` (one exact WARC record header per page).
 
     The store groups payloads by SHA-256 **and** bytes with map-side combine: copies collapse before the exchange, and
     two different payloads of one digest would show as two rows, which is an error. Records of at least ``min_bytes``
     with a payload seen at a smaller id are revisits of it, the others responses. CR and LF of a URL are percent-encoded.
+    Records of a payload that over ``hot_rows`` pages have find it by a broadcast of its digest (``join_groups``). A header
+    says which of the payload's ``copies_to_read`` it meets, one for ``records_per_copy`` records.
 
     Defined cases: null html is an empty payload, a null url an empty target; repeated rows of the responding id are all
     responses; a null id never is the response unless all of its copies have none. An empty table writes an empty archive.
     """
     spark = pages.sparkSession
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), payload_of(F.col(html_col)).alias("payload")).withColumn("strong", F.sha2("payload", 256))
-    rows.groupBy("strong", "payload").agg(F.min("page_id").alias("response_id"), F.count("*").alias("copies")).write.option("compression", "zstd").parquet(f"{path}/store")
-    store = spark.read.schema("strong string, payload binary, response_id long, copies long").parquet(f"{path}/store")
+    rows.groupBy("strong", "payload").agg(F.min("page_id").alias("response_id"), F.count("*").alias("copies")).withColumn("copies_to_read", F.ceil(F.col("copies") / records_per_copy).cast("int")).write.option("compression", "zstd").parquet(f"{path}/store")
+    store = spark.read.schema(STORE).parquet(f"{path}/store")
     clash = store.groupBy("strong").count().where("count > 1").take(1)
     if clash:
         raise ValueError(f"two payloads share the SHA-256 {clash[0].strong}")
@@ -63,8 +78,9 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
         F.col("http"),
     )
     slim = rows.select("page_id", "url", "strong", base32_sha1(F.col("payload")).alias("sha1"), n.alias("n"))
-    headed = slim.join(store.select("strong", "response_id"), "strong").withColumn("revisit", revisit).withColumn("http", http)
-    headed.select("page_id", header.alias("header"), "strong").write.option("compression", "zstd").parquet(f"{path}/headers")
+    found = join_groups(slim, store.select("strong", "response_id", "copies_to_read"), "strong", store.select("strong", "copies"), "copies", hot_rows)
+    headed = found.withColumn("copy", F.pmod(F.xxhash64("page_id", "url"), F.col("copies_to_read")).cast("int")).withColumn("revisit", revisit).withColumn("http", http)
+    headed.select("page_id", header.alias("header"), "strong", "copy").write.option("compression", "zstd").parquet(f"{path}/headers")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
@@ -72,11 +88,11 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
     ``head_bytes`` is the length of the record's WARC and HTTP headers, which a URL of any length may fill.
     """
-    store = spark.read.schema("strong string, payload binary, response_id long, copies long").parquet(f"{path}/store")
-    headers = spark.read.schema("page_id long, header string, strong string").parquet(f"{path}/headers")
+    store = spark.read.schema(STORE).parquet(f"{path}/store").select("strong", "payload", F.explode(F.sequence(F.lit(0), F.col("copies_to_read") - 1)).alias("copy"))
+    headers = spark.read.schema("page_id long, header string, strong string, copy int").parquet(f"{path}/headers")
     is_revisit = F.col("header").startswith(f"WARC/1.1{CRLF}WARC-Type: revisit{CRLF}")
     own = F.when(is_revisit, F.lit(b"")).otherwise(F.col("payload"))
-    return headers.join(store.select("strong", "payload"), "strong").select(F.concat(F.col("header").cast("binary"), own, F.lit(b"\r\n\r\n")).alias("record"), "payload", F.octet_length("header").alias("head_bytes"))
+    return headers.join(store, ["strong", "copy"]).select(F.concat(F.col("header").cast("binary"), own, F.lit(b"\r\n\r\n")).alias("record"), "payload", F.octet_length("header").alias("head_bytes"))
 
 
 def parse_records(records: DataFrame) -> DataFrame:

@@ -92,6 +92,14 @@ def test_exact_dedup(request, name, weak):
     assert sorted(repr((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256)) for r in got) == dedup_expected(pairs(df))
 
 
+@pytest.mark.parametrize("name", ["hard", "docs"])
+def test_exact_dedup_of_hot_groups(request, name):
+    """Groups of two and more are broadcast, single rows are not."""
+    df = request.getfixturevalue(name)
+    got = exact_dedup.exact_dedup(df, hot_rows=1).collect()
+    assert sorted(repr((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256)) for r in got) == dedup_expected(pairs(df))
+
+
 def test_exact_dedup_empty(empty):
     assert exact_dedup.exact_dedup(empty).count() == 0
 
@@ -700,6 +708,16 @@ def test_warc_round_trip(spark, small):
     assert warc.round_trip(df.where("false")).count() == 0
 
 
+def test_warc_of_hot_payloads(spark, tmp_path):
+    """Payloads of many pages, with null and repeated ids and URLs, by broadcast digests and several copies each."""
+    rows = [(i if i % 7 else None, f"http://x/{i % 40}", f"text {i % 3 * (i % 5)}") for i in range(200)] + [(5, "http://x/5", "text 0")] * 2
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    warc.write_archive(df, str(tmp_path), hot_rows=10, records_per_copy=4)
+    assert spark.read.parquet(f"{tmp_path}/store").agg(F.max("copies_to_read")).first()[0] > 10
+    got = sorted(repr((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to)) for r in warc.parse_records(warc.read_archive(spark, str(tmp_path))).collect())
+    assert got == warc_expected([(i, h) for i, _, h in rows])
+
+
 def test_warc_headers_of_any_length(spark):
     long_ = ["http://x/?q=" + "a" * n for n in (16_000, 16_384, 100_000)] + ["data:text/html," + "é漢" * 20_000]
     tail = "Content-Length: 5 WARC-Payload-Digest: sha1:X"
@@ -750,13 +768,14 @@ def components(ids, fps, most=4):
     return [least.get(find(i)) for i in range(len(fps))]
 
 
+@pytest.mark.parametrize("hot_rows", [1, 100_000])
 @pytest.mark.parametrize("name", ["hard", "docs"])
-def test_near_duplicates(request, name):
+def test_near_duplicates(request, name, hot_rows):
     df = request.getfixturevalue(name)
     rows = pairs(df)
     fps = [plain_fingerprint(t) for _, t in rows]
     want = sorted(repr((i, f"{f:016x}", c)) for (i, _), f, c in zip(rows, fps, components([i for i, _ in rows], fps), strict=True))
-    assert sorted(repr((r.doc_id, r.fingerprint, r.component_id)) for r in simhash.near_duplicates(df).collect()) == want
+    assert sorted(repr((r.doc_id, r.fingerprint, r.component_id)) for r in simhash.near_duplicates(df, hot_rows=hot_rows).collect()) == want
 
 
 @pytest.mark.parametrize("part", [7, 1 << 15])
