@@ -207,15 +207,21 @@ def links(fps: DataFrame, most: int = 4, part: int = PART) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 4, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``doc_id, fingerprint, component_id`` for every row.
 
-    Rows of one fingerprint are one node, named by their smallest id, whatever their number; only nodes are compared.
-    Fingerprints of over ``hot_rows`` rows meet these by a broadcast (``join_groups``).
+    Rows of one fingerprint are one node, named by the fingerprint, whatever their number; only nodes are compared. The
+    smallest id of a component's rows is taken at the end. Fingerprints of over ``hot_rows`` rows meet it by a broadcast
+    (``join_groups``).
 
-    Defined cases: null and empty texts have fingerprint zero, which links like any other; rows with a null id form no
-    node and get a component only through others of their fingerprint; repeated rows give equal rows; other columns are
-    ignored; an empty table gives an empty result.
+    Defined cases: null and empty texts have fingerprint zero, which links like any other; rows with a null id link and
+    are linked through like any other, and a component without any id is null; repeated rows give equal rows; other
+    columns are ignored; an empty table gives an empty result.
     """
     prints = materialize(fingerprints(docs, id_col, text_col), "simhash-fps")
-    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("n_rows")), "simhash-nodes")
-    components = connected_components(links(nodes.where("node is not null").select("fp", "node"), most))
-    named = nodes.join(components, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_rows")), "simhash-nodes")
+    components = connected_components(links(nodes.select("fp", F.col("fp").alias("node")), most))
+    labelled = nodes.join(components.withColumnRenamed("node", "fp"), "fp", "left")
+    linked_ = labelled.where("component is not null")
+    smallest = materialize(linked_.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("n_nodes")), "simhash-smallest")
+    alone = labelled.where("component is null").select("fp", F.col("first").alias("component_id"))
+    in_one = join_groups(linked_, smallest.drop("n_nodes"), "component", smallest, "n_nodes", hot_rows)
+    named = alone.union(in_one.select("fp", "component_id"))
     return join_groups(prints, named, "fp", nodes, "n_rows", hot_rows).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

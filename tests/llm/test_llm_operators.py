@@ -795,6 +795,13 @@ def test_links_connect_what_all_pairs_connect(spark, part):
     assert [got.get(i, i) for i in range(len(fps))] == components(range(len(fps)), fps)
 
 
+def test_near_duplicates_link_through_rows_without_id(spark, monkeypatch):
+    prints = spark.createDataFrame([(1, 0x00), (None, 0x0F), (3, 0xFF), (None, 1 << 40), (None, 0xFF << 48)], "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *_: prints)
+    got = {r.fingerprint: r.component_id for r in simhash.near_duplicates(None).collect()}
+    assert got == {f"{0:016x}": 1, f"{0x0F:016x}": 1, f"{0xFF:016x}": 1, f"{1 << 40:016x}": 1, f"{0xFF << 48:016x}": None}
+
+
 def test_near_duplicates_empty(empty):
     assert simhash.near_duplicates(empty).count() == 0
 
