@@ -12,6 +12,7 @@ from concord.llm.alignment import alignment_summary
 from concord.llm.common import documents
 from concord.llm.exact_dedup import exact_dedup
 from concord.llm.language import identify
+from concord.llm.lexical import ranked
 from concord.llm.licenses import license_summary
 from concord.llm.mixing import mixed_counts
 from concord.llm.quality import quality_rules
@@ -20,6 +21,8 @@ from concord.llm.simhash import near_duplicates
 from concord.llm.suffix_dedup import repeated_bytes
 from concord.llm.warc import round_trip
 
+#: Fixed value: a term of op12, A-Z being lower-cased before.
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -67,6 +70,10 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment_summary(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_exact_dedup": op2_exact_dedup,
@@ -79,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_simhash": op10_simhash,
     "op11_alignment": op11_alignment,
+    "op12_lexical": op12_lexical,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -122,4 +130,16 @@ ORACLE_SQL: dict[str, str] = {
           case when first = page_id then 'response' else 'revisit' end as record_type,
           case when first = page_id then null else first end as refers_to
         from d""",
+    "op12_lexical": rf"""
+        with d as (select doc_id, row_number() over () as r, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{TERM}') as ws from documents),
+        s as (select doc_id, r, cast(len(ws) as bigint) as n from d where len(ws) > 0),
+        g as (select count(*) as n_docs, cast(sum(n) as bigint) as n_terms from s),
+        i as (select item_id, row_number() over () as q, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{TERM}') as ws from benchmark),
+        it as (select distinct q, item_id, unnest(ws) as term from i),
+        p as (select r, term, count(*) as tf from (select r, unnest(ws) as term from d) where term in (select term from it) group by 1, 2),
+        w as (select term, cast(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) as bigint) as w from p, g group by term, n_docs),
+        sc as (select q, item_id, doc_id, r, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // n_terms)))) as bigint) as score
+               from it join w using (term) join p using (term) join s using (r), g group by 1, 2, 3, 4)
+        select item_id, cast(row_number() over (partition by q order by score desc, doc_id asc nulls last) as int) as rank, doc_id, score
+        from sc where score > 0 qualify row_number() over (partition by q order by score desc, doc_id asc nulls last) <= 10""",
 }
