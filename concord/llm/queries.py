@@ -14,6 +14,7 @@ from concord.llm.exact_dedup import exact_dedup
 from concord.llm.language import identify
 from concord.llm.lexical import ranked
 from concord.llm.licenses import license_summary
+from concord.llm.minhash import minhash_duplicates
 from concord.llm.mixing import mixed_counts
 from concord.llm.quality import quality_rules
 from concord.llm.sharding import reshard_documents
@@ -74,6 +75,10 @@ def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
 
 
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_duplicates(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_exact_dedup": op2_exact_dedup,
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": op10_simhash,
     "op11_alignment": op11_alignment,
     "op12_lexical": op12_lexical,
+    "op13_minhash": op13_minhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -142,4 +148,15 @@ ORACLE_SQL: dict[str, str] = {
                from it join w using (term) join p using (term) join s using (r), g group by 1, 2, 3, 4)
         select item_id, cast(row_number() over (partition by q order by score desc, doc_id asc nulls last) as int) as rank, doc_id, score
         from sc where score > 0 qualify row_number() over (partition by q order by score desc, doc_id asc nulls last) <= 10""",
+    "op13_minhash": rf"""
+        with recursive d as (select doc_id, row_number() over () as r, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') as ws from documents),
+        sh as (select distinct r, unnest(case when len(ws) < 5 then [array_to_string(ws, ' ')]
+                 else list_transform(range(1, len(ws) - 2), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3]) end) as g from d where len(ws) > 0),
+        n as (select r, count(*) as n from sh group by r),
+        l as (select x.r as a, y.r as b from sh x join sh y on x.g = y.g and x.r <> y.r join n p on p.r = x.r join n q on q.r = y.r
+              group by x.r, y.r, p.n, q.n having 100 * count(*) >= 80 * (p.n + q.n - count(*))),
+        reach as (select r as a, r as b from d union select reach.a, l.b from reach join l on reach.b = l.a),
+        c as (select a as r, min(doc_id) as component_id from reach join d on d.r = reach.b group by a)
+        select doc_id, coalesce(n.n, 0) as n_shingles, component_id, doc_id is not distinct from component_id as kept
+        from d join c using (r) left join n using (r)""",
 }
