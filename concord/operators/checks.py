@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.errors import PySparkException
@@ -10,14 +11,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from concord.functions.bits import block_of, existing, get_bit, parse_word, popcount
-from concord.functions.classify import TAXONOMY
+from concord.functions.classify import TAXONOMY, shown
 from concord.functions.text import ALIAS_RULE
 from concord.operators.agree import micro, ranked, text_disagreements
 from concord.operators.corpus import rule_counts, unexercised
 from concord.operators.hashing import result_hash
 from concord.operators.rules import classify_words, tiling_summary
 from concord.operators.runs import verify_shard
-from concord.sources.records import FORMAT_VERSION
+from concord.sources.records import CORRUPT, FORMAT_VERSION
 from concord.sources.scratch import stored
 
 SCHEMA = "check_id string, passed boolean, reason string, evidence map<string,string>, measured map<string,string>"
@@ -36,11 +37,19 @@ def verdict(check_id: str, facts: DataFrame, tests: list[tuple[str, Column]]) ->
 
 
 def closed(spark: SparkSession, check_id: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """The check, or a failed row if its inputs are missing or unreadable."""
+    """The check's row, made now, or a failed row.
+
+    The check is an action of its own: what its inputs raise while they are planned or while tasks read them (absent or
+    broken files, records of an unknown version) fails this check alone, as does a check that gives no row or several.
+    """
     try:
-        return make()
-    except (PySparkException, FileNotFoundError, KeyError, TypeError, AttributeError) as e:
-        return spark.createDataFrame([(check_id, False, f"input: {type(e).__name__}", {}, {})], SCHEMA)
+        rows = make().limit(2).collect()  # one row
+    except Exception as e:  # whatever it is, the check has not passed
+        condition = e.getCondition() if isinstance(e, PySparkException) else None
+        rows = [(check_id, False, f"input: {type(e).__name__}", {"error": condition or str(e)[:200]}, {})]
+    if len(rows) != 1:
+        rows = [(check_id, False, "no result", {"rows": "none" if not rows else "several"}, {})]
+    return spark.createDataFrame(rows, SCHEMA)
 
 
 def beside(*rows: DataFrame) -> DataFrame:
@@ -92,24 +101,39 @@ def shard_gaps(records: DataFrame) -> DataFrame:
     return ranged.join(carried, "_range").withColumn("before", before).where("before is not null and before <> start").drop("_range", "_carried")
 
 
-def lookups(claims: DataFrame, corpus: DataFrame, shard_bits: int) -> DataFrame:
-    """``claims`` (reproducers) with the record of their word and ``problem``: the first mismatch, null if none.
+def lookups(claims: DataFrame, corpus: DataFrame, shard_bits: int, sources: list[str], base: str) -> DataFrame:
+    """``claims`` (reproducers) with what the record of their word shows, ``problems`` (all that is wrong, in the order of
+    the tests) and ``problem``, the first of these or null.
 
-    The first record of a word counts. Only records of claimed words are ordered, as the claims are broadcast up to FEW_KEYS.
+    The word's first record of the claimed category counts, else its first. Only records of claimed words are ordered, as the
+    claims are broadcast up to FEW_KEYS.
     """
-    w = Window.partitionBy("shard", "word").orderBy("tier")
     claims = stored(claims, "claims")
     keyed = claims.withColumn("shard", F.shiftright(parse_word(F.col("word")), shard_bits))
-    first = of_keys(corpus, keyed.select("shard", "word").distinct()).withColumn("_n", F.row_number().over(w)).where("_n = 1").select("shard", "word", F.col("category").alias("found"), "oracle_text", "oracle_valid")
-    both = keyed.join(first, ["shard", "word"], "left")
-    said = F.coalesce(F.try_element_at("oracle_text", F.col("tool")), F.when(F.try_element_at("oracle_valid", F.col("tool")), F.lit("valid")).when(~F.try_element_at("oracle_valid", F.col("tool")), F.lit("invalid")), F.lit(""))
-    problem = (
-        F.when(reduce(lambda a, b: a | b, (F.col(c).isNull() for c in ("word", "category", "tool", "spec", "actual"))), F.lit("header"))
-        .when(F.col("found").isNull(), F.lit("not in corpus"))
-        .when(F.col("found") != F.col("category"), F.lit("category"))
-        .when(said != F.col("actual"), F.lit("actual"))
-    )
-    return both.withColumn("problem", problem)
+    of_claims = of_keys(corpus, keyed.select("shard", "word").distinct())
+    record = F.struct(F.col("category").alias("found"), "oracle_text", "oracle_valid")
+    nth = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("tier"))
+    same = of_claims.withColumn("_n", nth("shard", "word", "category")).where("_n = 1").select("shard", "word", "category", record.alias("_same"))
+    first = of_claims.withColumn("_n", nth("shard", "word")).where("_n = 1").select("shard", "word", record.alias("_first"))
+    says = lambda of: shown(F.try_element_at("oracle_text", of), F.try_element_at("oracle_valid", of))
+    met = keyed.join(same, ["shard", "word", "category"], "left").join(first, ["shard", "word"], "left")
+    met = met.withColumn("_record", F.coalesce("_same", "_first")).select("*", "_record.*").drop("_same", "_first", "_record")
+    both = met.withColumn("found_spec", says(F.lit(base))).withColumn("found_actual", says(F.col("tool")))
+    header = ("word", "category", "tool", "spec", "actual")
+    known = F.col("found").isNotNull()
+    tests = [
+        ("header", reduce(lambda a, b: a | b, (F.coalesce(F.col(c), F.lit("")) == "" for c in header))),
+        ("unknown tool", ~F.col("tool").isin(*sources)),
+        ("unknown category", ~F.col("category").isin(*TAXONOMY)),
+        ("no disagreement", F.col("spec") == F.col("actual")),
+        ("word form", ~F.col("word").startswith("0x") | parse_word(F.col("word")).isNull()),
+        ("not in corpus", ~known),
+        ("category", known & (F.col("found") != F.col("category"))),
+        ("spec", known & (F.col("found_spec") != F.col("spec"))),
+        ("actual", known & (F.col("found_actual") != F.col("actual"))),
+    ]
+    problems = F.array_compact(F.array(*(F.when(wrong, F.lit(name)) for name, wrong in tests)))
+    return both.withColumn("problems", problems).withColumn("problem", F.get("problems", F.lit(0)))
 
 
 def metric_differences(claimed: DataFrame, actual: DataFrame, tolerance: float = 1e-9) -> DataFrame:
@@ -139,22 +163,61 @@ def check_rules(tiled: DataFrame, docs: DataFrame, release: str, rules: DataFram
     return verdict("rules", facts, [("tiling", (F.col("checked") > 0) & (F.col("checked") == F.col("passed"))), ("release", (F.col("documents") > 0) & (F.col("other_release") == 0)), ("known word", (F.col("rule_id") == known_rule) & (F.col("n_match") == 1))])
 
 
-def check_coverage(records: DataFrame, bounds: DataFrame, wide: DataFrame, sources: list[str], n_words: int, fresh: DataFrame) -> DataFrame:
-    """Q2: every shard once with its bounds, complete ones without untriaged errors, ones and zeros counted apart
-    adding up to the domain, fresh hashes equal to the recorded ones."""
-    one = F.col(sources[0])
+def domain_counts(wide: DataFrame, sources: list[str], n_words: int) -> DataFrame:
+    """One row: for every source its ones and zeros among the stored words of the domain, and its bits beyond it."""
     tail = existing(F.col("block"), n_words)
-    counts = wide.agg(F.coalesce(F.sum(popcount(one)), F.lit(0)).alias("ones"), F.coalesce(F.sum(popcount(F.bitwise_not(one).bitwiseAND(tail))), F.lit(0)).alias("zeros"), F.coalesce(F.sum(popcount(tail)), F.lit(0)).alias("stored"))
+    sums = []
+    for s in sources:
+        bits = F.col(s)
+        each = (("ones", bits.bitwiseAND(tail)), ("zeros", F.bitwise_not(bits).bitwiseAND(tail)), ("beyond", bits.bitwiseAND(F.bitwise_not(tail))))
+        sums += [F.coalesce(F.sum(popcount(x)), F.lit(0)).alias(f"{name} {s}") for name, x in each]
+    return wide.agg(*sums)
+
+
+def miscounted(records: DataFrame, wide: DataFrame, sources: list[str], shard_bits: int) -> DataFrame:
+    """``shard_id, source, recorded, counted`` where a shard's recorded count isn't that of its blocks."""
+    sums = [F.sum(popcount(F.col(s))).alias(s) for s in sources]
+    found = wide.groupBy(F.shiftright("block", shard_bits - 6).cast("int").alias("shard_id")).agg(*sums)
+    both = records.select("shard_id", "valid_counts").join(found, "shard_id", "full")
+    rows = ", ".join(f"'{s}', coalesce(valid_counts['{s}'], 0), coalesce(`{s}`, 0)" for s in sources)
+    return both.selectExpr("shard_id", f"stack({len(sources)}, {rows}) as (source, recorded, counted)").where("recorded <> counted")
+
+
+def check_coverage(records: DataFrame, bounds: DataFrame, wide: DataFrame, sources: list[str], n_words: int, fresh: DataFrame, shard_bits: int, dense: bool = True) -> DataFrame:
+    """Q2: every shard once with its bounds, complete ones without untriaged errors; for every source ones and zeros counted
+    apart adding up to the domain, no bit beyond it, and each shard's ones as recorded; fresh hashes equal to the recorded.
+
+    ``wide`` has every block of the domain (``packed.completed``). Of a store that leaves out empty blocks, ``dense=False``,
+    a lost block shows in the counts alone.
+    """
+    counts = domain_counts(wide, sources, n_words)
     facts = beside(
         missing_shards(records, bounds).agg(F.count("*").alias("missing")),
         wrong_bounds(records, bounds).agg(F.count("*").alias("wrong_bounds")),
         shard_gaps(records).agg(F.count("*").alias("gaps")),
         records.agg(F.count("*").alias("records"), F.count_if((F.col("status") == "complete") & (F.col("untriaged_crash_count") > 0)).alias("untriaged"), F.count_if(F.col("status") != "complete").alias("incomplete")),
         counts,
+        miscounted(records, wide, sources, shard_bits).agg(F.count("*").alias("miscounted"), F.count_distinct("shard_id").alias("miscounted_shards")),
         verify_shard(records, fresh, sources).agg(F.count_if(~F.col("same")).alias("changed")),
     )
     zero = lambda c: F.col(c) == 0
-    return verdict("coverage", facts, [("missing shards", zero("missing") & (F.col("records") > 0)), ("bounds", zero("wrong_bounds")), ("gaps", zero("gaps")), ("untriaged errors", zero("untriaged")), ("incomplete shards", zero("incomplete")), ("ones and zeros", F.col("ones") + F.col("zeros") == F.col("stored")), ("hashes", zero("changed"))])
+    every = lambda test: reduce(lambda a, b: a & b, map(test, sources))
+    sums = every(lambda s: F.col(f"ones {s}") + F.col(f"zeros {s}") == n_words) if dense else F.lit(True)
+    return verdict(
+        "coverage",
+        facts,
+        [
+            ("missing shards", zero("missing") & (F.col("records") > 0)),
+            ("bounds", zero("wrong_bounds")),
+            ("gaps", zero("gaps")),
+            ("untriaged errors", zero("untriaged")),
+            ("incomplete shards", zero("incomplete")),
+            ("beyond the domain", every(lambda s: zero(f"beyond {s}"))),
+            ("ones and zeros", sums),
+            ("counts", zero("miscounted")),
+            ("hashes", zero("changed")),
+        ],
+    )
 
 
 def check_normalization(normalized: DataFrame) -> DataFrame:
@@ -165,12 +228,18 @@ def check_normalization(normalized: DataFrame) -> DataFrame:
 
 
 def check_corpus(corpus: DataFrame, sources: list[str], claimed_total: int, exhaustive: bool, sample_size: int | None, population: int | None, gaps: DataFrame) -> DataFrame:
-    """Q4: one pass over the corpus for its form, the claimed total, and the coverage of probed disagreements."""
+    """Q4: one pass over the corpus for its form, the claimed total, and the coverage of probed disagreements.
+
+    The corpus comes from ``scan_corpus`` or ``scan_corpus_ndjson``, which don't turn away what the check is to count: records of
+    another version, and lines that are no record.
+    """
     full = F.size(missing_keys(F.map_keys("oracle_valid"), sources)) == 0
+    unreadable = F.col(CORRUPT).isNotNull() if CORRUPT in corpus.columns else F.lit(False)
     facts = beside(
         corpus.agg(
             F.count("*").alias("records"),
-            F.count_if(~F.col("format_version").eqNullSafe(F.lit(FORMAT_VERSION))).alias("bad_version"),
+            F.count_if(unreadable).alias("unreadable"),
+            F.count_if(~unreadable & ~F.col("format_version").eqNullSafe(F.lit(FORMAT_VERSION))).alias("bad_version"),
             F.count_if(~F.coalesce(F.col("category").isin(*TAXONOMY), F.lit(False))).alias("bad_category"),
             F.count_if(~F.coalesce(full, F.lit(False))).alias("bad_sources"),
             F.count_if(~F.coalesce(F.col("word").startswith("0x"), F.lit(False))).alias("bad_word"),
@@ -179,7 +248,7 @@ def check_corpus(corpus: DataFrame, sources: list[str], claimed_total: int, exha
     )
     sized = F.lit(bool(exhaustive) or bool(sample_size and population and sample_size > 0 and population > 0))
     zero = lambda c: F.col(c) == 0
-    return verdict("corpus", facts, [("version", zero("bad_version")), ("taxonomy", zero("bad_category")), ("sources", zero("bad_sources")), ("word form", zero("bad_word")), ("total", F.col("records") == claimed_total), ("sample sizes", sized), ("coverage", zero("uncovered"))])
+    return verdict("corpus", facts, [("readable", zero("unreadable")), ("version", zero("bad_version")), ("taxonomy", zero("bad_category")), ("sources", zero("bad_sources")), ("word form", zero("bad_word")), ("total", F.col("records") == claimed_total), ("sample sizes", sized), ("coverage", zero("uncovered"))])
 
 
 def check_metrics(claimed: DataFrame, ranking: DataFrame, wide: DataFrame, sources: list[str], base: str, n_words: int, corpus: DataFrame) -> DataFrame:
@@ -192,10 +261,11 @@ def check_metrics(claimed: DataFrame, ranking: DataFrame, wide: DataFrame, sourc
     return verdict("metrics", facts, [("values", (F.col("different") == 0) & (F.col("claimed") > 0)), ("ranking", F.col("misranked") == 0)])
 
 
-def check_reproducers(claims: DataFrame, corpus: DataFrame, shard_bits: int, least: int = 10) -> DataFrame:
-    """Q6: enough of them, different words, and each as its record says."""
-    found = lookups(claims, corpus, shard_bits)
-    facts = found.agg(F.count("*").alias("files"), F.count_distinct("word").alias("words"), F.count_if(F.col("problem").isNotNull()).alias("wrong"), F.min("problem").alias("problem"))
+def check_reproducers(claims: DataFrame, corpus: DataFrame, shard_bits: int, sources: list[str], base: str, least: int = 10) -> DataFrame:
+    """Q6: enough of them, different words, and each as its record says in every field."""
+    found = lookups(claims, corpus, shard_bits, sources, base)
+    kinds = found.select(F.explode("problems").alias("kind")).agg(F.array_join(F.sort_array(F.collect_set("kind")), ",").alias("problems"))  # nine kinds at most
+    facts = beside(found.agg(F.count("*").alias("files"), F.count_distinct("word").alias("words"), F.count_if(F.col("problem").isNotNull()).alias("wrong")), kinds)
     return verdict("reproducers", facts, [("number", F.col("files") >= least), ("different words", F.col("files") == F.col("words")), ("records", F.col("wrong") == 0)])
 
 
@@ -204,9 +274,10 @@ def check_hash(artifacts: DataFrame, stored: str) -> DataFrame:
     return verdict("result hash", result_hash(artifacts), [("hash", F.col("result_hash") == stored)])
 
 
-def run_checks(spark: SparkSession, checks: dict[str, Callable[[], DataFrame]]) -> DataFrame:
-    """Q8: every registered check, none is skipped."""
-    rows = [closed(spark, name, make) for name, make in checks.items()]
+def run_checks(spark: SparkSession, checks: dict[str, Callable[[], DataFrame]], at_once: int = 1) -> DataFrame:
+    """Q8: every registered check, none is skipped, and none takes another with it. ``at_once`` of them run side by side."""
+    with ThreadPoolExecutor(at_once) as pool:
+        rows = list(pool.map(lambda x: closed(spark, *x), checks.items()))
     return reduce(lambda a, b: a.unionByName(b), rows)
 
 

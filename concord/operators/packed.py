@@ -32,6 +32,12 @@ def align_sources(packed: DataFrame, sources: list[str]) -> DataFrame:
     return packed.groupBy("block").agg(*(F.bit_or(F.when(F.col("source") == s, F.col("bits")).otherwise(zero)).alias(s) for s in sources))
 
 
+def completed(wide: DataFrame, sources: list[str], n_words: int) -> DataFrame:
+    """``wide`` with every block of the domain ``[0, n_words)``; those that weren't there are zero."""
+    every = wide.sparkSession.range((n_words + 63) >> 6).withColumnRenamed("id", "block")
+    return every.join(wide.select("block", *sources), "block", "full").select("block", *(F.coalesce(s, F.lit(0).cast("long")).alias(s) for s in sources))
+
+
 def popcounts(packed: DataFrame, by: tuple[str, ...] = ("source",)) -> DataFrame:
     return packed.groupBy(*by).agg(F.sum(popcount(F.col("bits"))).alias("n_valid"))
 

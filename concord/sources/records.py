@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from concord.functions.bits import parse_word
 
 FORMAT_VERSION = 1
+CORRUPT = "_corrupt_record"
 CORPUS = "format_version int, word string, category string, oracle_valid map<string,boolean>, oracle_text map<string,string>"
 SHARD_RECORD = "shard_id int, start long, end long, sources array<string>, valid_counts map<string,bigint>, crash_count long, untriaged_crash_count long, content_hash string, duration_ms long, status string"
 TEXT_SAMPLE = "word string, oracle_text map<string,string>"
@@ -29,8 +30,13 @@ def of_known_version(corpus: DataFrame) -> DataFrame:
     return corpus.where(F.assert_true(version.eqNullSafe(F.lit(FORMAT_VERSION)), F.concat(F.lit("unknown format_version "), F.coalesce(version.cast("string"), F.lit("null")))).isNull())
 
 
+def scan_corpus(spark: SparkSession, path: str) -> DataFrame:
+    """All stored records, of whatever version."""
+    return spark.read.schema(f"{CORPUS}, tier int, shard long").parquet(path)
+
+
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    return of_known_version(spark.read.schema(f"{CORPUS}, tier int, shard long").parquet(path))
+    return of_known_version(scan_corpus(spark, path))
 
 
 def write_corpus_ndjson(corpus: DataFrame, path: str) -> None:
@@ -40,6 +46,11 @@ def write_corpus_ndjson(corpus: DataFrame, path: str) -> None:
     lines.repartition("shard").sortWithinPartitions("shard", "_w").select("value", "shard").write.mode("overwrite").option("compression", "gzip").partitionBy("shard").text(path)
 
 
+def scan_corpus_ndjson(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of a corpus in JSON, of whatever version; those that aren't a record stand in ``_corrupt_record``."""
+    return spark.read.schema(f"{CORPUS}, {CORRUPT} string").json(path)
+
+
 def read_corpus_ndjson(spark: SparkSession, path: str) -> DataFrame:
     """Lines of a corpus in JSON; blank lines are skipped, the last may lack its newline."""
     return of_known_version(spark.read.schema(CORPUS).json(path))

@@ -186,6 +186,45 @@ def test_reproducers_cap_and_preference(spark):
     assert back == {r.word: r.actual for r in got}
 
 
+def loop(rows, cap):
+    """What the plain loop keeps of (shard, tier, word, category, spec) rows."""
+    seen, full, kept = set(), {}, []
+    for r in sorted(rows):
+        key = r[3:]
+        if r[2] not in seen and full.get(key, 0) < cap:
+            seen.add(r[2])
+            full[key] = full.get(key, 0) + 1
+            kept.append(r)
+    return kept
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_greedy_selection_equals_a_loop(spark, seed):
+    rng = np.random.default_rng(seed)
+    n_words, n_specs = ((40, 3), (15, 8), (200, 2), (6, 30), (60, 12))[seed]
+    places = {(int(rng.integers(3)), int(rng.integers(2)), f"w{rng.integers(n_words):03}") for _ in range(150)}
+    rows = [(*at, "AB"[rng.integers(2)], f"s{rng.integers(n_specs)}") for at in sorted(places)]
+    for cap in (1, 2, 5):
+        got = repro.greedy(spark.createDataFrame(rows, "shard int, tier int, word string, category string, spec string").repartition(3), cap, ("category", "spec"))
+        assert sorted(map(tuple, got.collect())) == loop(rows, cap)
+
+
+def test_records_turned_away_leave_their_word_free(spark):
+    schema = "shard int, tier int, word string, category string, spec string"
+    rows = [(0, 0, f"0x{i}", "VALIDITY", "valid") for i in (1, 2, 3)] + [(0, 1, "0x3", "OPERAND", "ADD")]
+    assert [r.tier for r in repro.greedy(spark.createDataFrame(rows, schema), 2, ("category", "spec")).where("word = '0x3'").collect()] == [1]
+    # a chain of waits: each row needs the one before to be turned away
+    rows = [(0, i, f"0x{i // 2:02}", "A", f"{(i + 1) // 2}") for i in range(14)]
+    assert sorted(map(tuple, repro.greedy(spark.createDataFrame(rows, schema), 1, ("category", "spec")).collect())) == loop(rows, 1)
+
+
+def test_too_few_reproducers_are_an_error(spark):
+    *_, c = world(spark)
+    with pytest.raises(ValueError, match="only 4 reproducers"):
+        repro.chosen(c, ["a", "b", "c"], "base")
+    assert repro.chosen(c, ["a", "b", "c"], "base", complete=False).count() == 4
+
+
 def test_last_of_repeated_header_fields_counts(spark):
     path = fresh_path(spark, "r")
     rows = [("00-x", "- word: 0x1\n- tool: a\n- tool: b\n")]
@@ -316,12 +355,19 @@ def outcome(df):
 
 def test_coverage_check(spark):
     wide, long, shards, _, recs, _ = world(spark)
-    run = lambda r, fresh=long: outcome(checks.check_coverage(r, shards, wide, ALL, 256, fresh))
+    run = lambda r, fresh=long, w=wide, dense=True: outcome(checks.check_coverage(r, shards, w, ALL, 256, fresh, 6, dense))
     assert run(recs) == (True, "ok")
     assert run(recs.where("shard_id <> 2")) == (False, "missing shards")
     assert run(recs.withColumn("end", F.col("end") + (F.col("shard_id") == 0).cast("int"))) == (False, "bounds")
     assert run(recs.withColumn("untriaged_crash_count", F.lit(3).cast("long"))) == (False, "untriaged errors")
     assert run(recs.withColumn("content_hash", F.lit("x"))) == (False, "hashes")
+    assert run(recs, w=wide.where("block <> 3")) == (False, "ones and zeros")  # an empty block of all sources
+    assert run(recs, w=wide.where("block <> 0"), dense=False) == (False, "counts")
+    assert run(recs, w=wide.where("block <> 3"), dense=False) == (True, "ok")
+    assert run(recs, w=packed.completed(wide.where("block <> 3"), ALL, 256)) == (True, "ok")
+    assert run(recs, w=wide.union(spark.createDataFrame([(4, 0, 0, 1, 0)], wide.schema))) == (False, "beyond the domain")
+    lost = wide.withColumn("c", F.when(F.col("block") == 0, F.lit(0)).otherwise(F.col("c")))
+    assert run(recs, w=lost) == (False, "counts")  # not of the first source
 
 
 def test_corpus_check(spark):
@@ -335,6 +381,13 @@ def test_corpus_check(spark):
     assert run(c, n, c, exhaustive=False) == (False, "sample sizes")
     assert run(c, n, c.where("word <> '0x00000001'")) == (False, "coverage")
     assert run(c.withColumn("format_version", F.lit(9)), n, c) == (False, "version")
+    path, lines = fresh_path(spark, "c"), fresh_path(spark, "n")
+    records.write_corpus(c.withColumn("format_version", F.when(F.col("word") == "0x00000001", 2).otherwise(1)), path)
+    assert run(records.scan_corpus(spark, path), n, c) == (False, "version")
+    records.write_corpus_ndjson(c, lines)
+    assert run(records.scan_corpus_ndjson(spark, lines), n, c) == (True, "ok")
+    spark.createDataFrame([("{not json",)], "value string").write.mode("append").text(f"{lines}/shard=0")
+    assert run(records.scan_corpus_ndjson(spark, lines), n, c) == (False, "readable")
 
 
 def test_metrics_check(spark):
@@ -351,11 +404,16 @@ def test_metrics_check(spark):
 def test_reproducer_check(spark):
     *_, c = world(spark)
     good = repro.chosen(c, ["a", "b", "c"], "base", n=3, cap=3)
-    run = lambda g, least=3: outcome(checks.check_reproducers(g, c, 6, least))
+    run = lambda g, least=3: outcome(checks.check_reproducers(g, c, 6, ["a", "b", "c"], "base", least))
     assert run(good) == (True, "ok")
     assert run(good, 10) == (False, "number")
     assert run(good.withColumn("word", F.lit("0x000000ff"))) == (False, "different words")
-    assert run(good.withColumn("actual", F.lit("?"))) == (False, "records")
+    for field, value, problem in (("spec", "FORGED", "spec"), ("actual", "?", "actual"), ("category", "OPERAND", "category"), ("category", "NEW", "unknown category"), ("tool", "z", "unknown tool"), ("spec", "", "header"), ("actual", None, "header"), ("word", "1", "word form")):
+        forged = good.withColumn(field, F.when(F.col("rank") == 1, F.lit(value)).otherwise(F.col(field)))
+        row = checks.check_reproducers(forged, c, 6, ["a", "b", "c"], "base", 3).first()
+        assert (row.passed, row.reason, row.measured["wrong"]) == (False, "records", "1") and problem in row.measured["problems"].split(",")
+    same = checks.check_reproducers(good.withColumn("actual", F.col("spec")), c, 6, ["a", "b", "c"], "base", 3).first()
+    assert same.measured["problems"] == "actual,no disagreement"
 
 
 def test_rules_normalization_and_hash_checks(spark):
@@ -375,6 +433,36 @@ def test_rules_normalization_and_hash_checks(spark):
     assert outcome(absent)[0] is False
 
 
+@pytest.mark.parametrize("at_once", [1, 3])
+def test_checks_fail_closed_while_they_run(spark, at_once):
+    """A broken file and an unknown version show only when tasks read them; other checks keep their rows."""
+    *_, c = world(spark)
+    h = spark.createDataFrame([(0, "x"), (1, "y")], "seq int, hash string")
+    broken, old = fresh_path(spark, "h"), fresh_path(spark, "c")
+    h.write.parquet(broken)
+    spark.createDataFrame([("no parquet at all",)], "value string").write.mode("append").text(broken)
+    records.write_corpus(c.withColumn("format_version", F.lit(2)), old)
+    none, word = spark.createDataFrame([], "word long"), hashing.result_hash(h).first().result_hash
+
+    def boom():
+        raise ZeroDivisionError
+
+    rows = checks.run_checks(
+        spark,
+        {
+            "good": lambda: checks.check_hash(h, word),
+            "broken": lambda: checks.check_hash(spark.read.schema(h.schema).parquet(broken), word),
+            "old": lambda: checks.check_corpus(records.read_corpus(spark, old), ALL, c.count(), True, None, None, none),
+            "boom": boom,
+            "none": lambda: checks.check_hash(h, word).where("false"),
+            "last": lambda: checks.check_hash(h, "z"),
+        },
+        at_once,
+    ).collect()
+    assert [(r.check_id, r.passed) for r in rows] == [("result hash", True), ("broken", False), ("old", False), ("boom", False), ("none", False), ("result hash", False)]
+    assert [r.reason.split(":")[0] for r in rows] == ["ok", "input", "input", "input", "no result", "hash"]
+
+
 def test_resume_does_only_what_is_open(spark):
     _, long, shards, _, recs, _ = world(spark)
     path = fresh_path(spark, "store")
@@ -404,11 +492,11 @@ def test_gaps_across_ranges_of_shards(spark):
 def test_lookups_and_coverage_of_many_claims(spark, monkeypatch):
     """The same with claims too many to be broadcast."""
     _, _, _, blocks, _, c = world(spark)
-    claims = spark.createDataFrame([("0x00000001", "VALIDITY", "a", "valid", "valid"), ("0x000000ff", "VALIDITY", "a", "valid", "valid")], "word string, category string, tool string, spec string, actual string")
+    claims = spark.createDataFrame([("0x00000001", "VALIDITY", "c", "valid", "invalid"), ("0x000000ff", "VALIDITY", "a", "valid", "invalid")], "word string, category string, tool string, spec string, actual string")
     every = spark.range(256).withColumnRenamed("id", "word")
     for few in (1000, 0):
         monkeypatch.setattr(checks, "FEW_KEYS", few)
-        assert {r.word: r.problem for r in checks.lookups(claims, c, 6).collect()} == {"0x00000001": None, "0x000000ff": "not in corpus"}
+        assert {r.word: r.problem for r in checks.lookups(claims, c, 6, ["a", "b", "c"], "base").collect()} == {"0x00000001": None, "0x000000ff": "not in corpus"}
         gone = checks.coverage_gaps(blocks, c.where("word <> '0x00000001'"), every, 6)
         assert [r.word for r in gone.collect()] == [1]
 
