@@ -14,7 +14,7 @@ from concord.functions import classify as C
 from concord.functions import text as T
 from concord.operators import agree, checks, corpus, hashing, packed, repro, rules, runs, sample
 from concord.plans import questions
-from concord.sources import keyspace, plugins, records, rule_xml
+from concord.sources import bitmap_files, keyspace, plugins, records, rule_xml
 from concord.sources import packed as stored_packed
 from concord.sources.scratch import fresh_path, stored
 from concord.streaming import ingest
@@ -148,6 +148,14 @@ def s9(spark, sf):
     return stored_packed.decode_slices(slices.select("source", "shard", F.unhex(full).alias("content")), SHARD_BITS)
 
 
+@query("s9_bitmap_files", f"with {V}, {PACKED}, {LONG} select source, block, bits, shard from lb")
+def s9b(spark, sf):
+    """A bitmap file of the whole domain for each source, written in place by ranges of bytes and read by ranges."""
+    n, path = domain(spark, sf), fresh_path(spark, "bitmaps")
+    bitmap_files.write_bitmaps(long_blocks(spark, sf), path, ALL, n)
+    return bitmap_files.read_bitmaps(spark, path, n, SHARD_BITS, range_bytes=1 << 16)
+
+
 @query("j2_align_sources", f"with {V}, {PACKED} select * from p where a <> 0 or b <> 0 or c <> 0 or base <> 0")
 def j2(spark, sf):
     return packed.align_sources(long_blocks(spark, sf), ALL)
