@@ -303,14 +303,14 @@ def p11(spark, sf):
     return found.select("word", C.rule_name(F.col("valid"), F.col("mnemonic"), F.col("psname")).alias("name"))
 
 
-#: Rules from the parts: fixed bits of a 14-bit domain.
-PART_RULES = "r as (select p_partkey as rule_id, (p_partkey * 37 % 16384)::bigint as mask, (p_partkey * 37 % 16384)::bigint & (p_partkey * 91 % 16384)::bigint as value from part where bit_count((p_partkey * 37 % 16384)::bigint) >= 6)"
+#: A rule for every part, over a 14-bit domain; 341 has five bits that all of them fix.
+PART_MASK = "((p_partkey * 37 % 16384)::bigint | 341)"
+PART_RULES = f"r as (select p_partkey as rule_id, {PART_MASK} as mask, {PART_MASK} & (p_partkey * 91 % 16384)::bigint as value from part)"
 
 
 def part_rules(spark: SparkSession, sf: str) -> DataFrame:
-    mask = F.col("p_partkey") * 37 % 16384
-    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("rule_id"), mask.alias("mask"), mask.bitwiseAND(F.col("p_partkey") * 91 % 16384).alias("value"))
-    return rows.where(F.bit_count("mask") >= 6)
+    mask = (F.col("p_partkey") * 37 % 16384).bitwiseOR(341)
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("rule_id"), mask.alias("mask"), mask.bitwiseAND(F.col("p_partkey") * 91 % 16384).alias("value"))
 
 
 SETS = "x as (select word, list(rule_id order by rule_id) filter (rule_id is not null) as live from (select unnest(range(0, 16384)) as word) left join r on (word & mask) = value group by 1)"
@@ -318,12 +318,22 @@ SETS = "x as (select word, list(rule_id order by rule_id) filter (rule_id is not
 
 @query("a6_region_counts", f"with {PART_RULES}, {SETS} select coalesce(array_to_string(live, ','), '') as live, count(*) as weight from x group by 1")
 def a6(spark, sf):
-    return rules.count_regions(part_rules(spark, sf), 14).select(F.array_join(F.col("live").cast("array<string>"), ",").alias("live"), "weight")
+    """Regions with the rules of each as one text, which this query makes to compare them."""
+    counted, members = rules.regions(part_rules(spark, sf), 14)
+    shown = members.groupBy("region").agg(F.array_join(F.transform(F.sort_array(F.collect_list("rule_id")), lambda i: i.cast("string")), ",").alias("live"))
+    return counted.join(shown, "region", "left").select(F.coalesce("live", F.lit("")).alias("live"), "weight")
 
 
 @query("a7_ambiguity_groups", f"with {PART_RULES}, {SETS} select count(*) filter (len(live) > 0) as allocated, count(*) filter (live is null) as unallocated, count(distinct live) filter (len(live) > 1) as ambiguous_groups from x")
 def a7(spark, sf):
-    return rules.allocation(rules.count_regions(part_rules(spark, sf), 14))
+    return rules.allocation(rules.regions(part_rules(spark, sf), 14)[0])
+
+
+@query("j1_decision_dag", f"with {PART_RULES} select o_orderkey as word, count(rule_id) > 0 as valid, min(rule_id) as rule_id, count(rule_id) as n_match from orders left join r on (o_orderkey & mask) = value group by 1")
+def j1c(spark, sf):
+    """Every order's key against a rule for every part, all of which leave the first 18 bits open."""
+    words = table(spark, sf, "orders").select(F.col("o_orderkey").alias("word"))
+    return rules.classify_many_rules(words, part_rules(spark, sf), 32)
 
 
 # ------------------------------------------------------------------ rule documents, made of parts

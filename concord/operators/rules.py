@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from concord.sources.scratch import shared_root
+from concord.operators import dag
 
 #: Variable bits of a prefix up to which a rule is copied to all buckets that it allows (16 at most).
 MOST_VARIABLE = 4
@@ -72,11 +72,12 @@ def classify_words(words: DataFrame, rules: DataFrame, width: int = 32, prefix_b
     rules per value of the word's first bits and broadcast: every word meets one row, is tested against its bucket's few
     rules, and never moves, so the sweep of a whole domain has no exchange. Rules that leave many of the first bits open,
     and would be copied to many buckets, are looked up by the next bits in the same way; those that leave both open
-    form one more array, which every word is tested against. A larger rule table is joined by shuffles.
+    form one more array, which every word is tested against. A larger rule table is descended as a decision DAG
+    (``classify_many_rules``).
     """
     bits = min(prefix_bits, width)
     if rules.limit(FEW_RULES + 1).count() > FEW_RULES:
-        return _classify_by_shuffle(words, rules, width, names)
+        return classify_many_rules(words, rules, width, names)
     slim = rules.select("rule_id", "mask", "value")
     folded = F.sort_array(F.collect_list(F.struct("rule_id", "mask", "value")))
     none = "cast(array() as array<struct<rule_id: {0}, mask: bigint, value: bigint>>)".format(dict(rules.dtypes)["rule_id"])
@@ -93,12 +94,25 @@ def classify_words(words: DataFrame, rules: DataFrame, width: int = 32, prefix_b
     return out if not names else out.join(F.broadcast(rules.select("rule_id", *names)), "rule_id", "left")
 
 
+#: Rows of a level of the DAG for each rule of the table.
+MOST_ROWS = 64
 #: For rule tables too large to broadcast: bits of the long and the short prefix, and shares of a short prefix's words.
 LONG, SHORT, SALTS = 16, 8, 64
 
 
+def classify_many_rules(words: DataFrame, rules: DataFrame, width: int, names: tuple[str, ...] = ()) -> DataFrame:
+    """The form for rule tables that don't fit a broadcast: words descend the table's decision DAG, a level at a time, by
+    broadcast lookups up to ``dag.FEW_LINKS`` links a level. Should a level hold over MOST_ROWS times as many (node, rule) rows
+    as there are rules, the DAG is given up for a join on prefixes."""
+    found = dag.build(rules, width, most_rows=MOST_ROWS * rules.count())
+    if found is None:
+        return _classify_by_shuffle(words, rules, width, names)
+    out = dag.classify(words, found)
+    return out if not names else out.join(rules.select("rule_id", *names), "rule_id", "left")
+
+
 def _classify_by_shuffle(words: DataFrame, rules: DataFrame, width: int, names: tuple[str, ...]) -> DataFrame:
-    """The form for rule tables that don't fit a broadcast: equi-joins, matches aggregated per word.
+    """The form for rule tables whose DAG grows too large: equi-joins, matches aggregated per word.
 
     Most rules meet their words by the first 16 bits (65,536 keys). Rules that leave many of these open meet them by the first
     8, of which the words are dealt to 64 shares. A task holds the rules of a key, and the words stream by.
@@ -124,38 +138,22 @@ def classify_nested_loop(words: DataFrame, rules: DataFrame) -> DataFrame:
     return words.join(found, "word", "left").withColumn("valid", F.col("rule_id").isNotNull()).withColumn("n_match", F.coalesce("n_match", F.lit(0)))
 
 
-def count_regions(rules: DataFrame, width: int, checkpoint_every: int = 8, prefix_bits: int = 8) -> DataFrame:
-    """``live, weight``: how many words have exactly that set of matching rules, without enumerating words.
+def regions(rules: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """The regions of the domain, each the words that have the same set of matching rules, counted without enumerating words.
 
-    Rules of equal mask and value are one. From the top bits down, a state is the set of rules that can still match: at
-    first one per prefix, so no row ever holds the whole table. Each step splits every state by the next bit's
-    two values, filters its rules, and sums states that became equal; the number of states is bounded by the different
-    rule sets, not by the domain. The empty set is kept, so the weights sum to ``2**width``.
+    ``region, n_rules, weight`` has a row per region, the one without rules has the region null, so the weights sum to
+    ``2**width``; ``region, rule_id`` has a row per rule of a region.
     """
-    spark = rules.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(f"{shared_root(spark)}/checkpoints")
-    bits = min(prefix_bits, width)
-    alike = rules.groupBy("mask", "value").agg(F.sort_array(F.collect_list("rule_id")).alias("ids"))
-    slim = alike.select(F.col("ids")[0].alias("first"), "mask", "value", "ids")
-    live = prefix_buckets(slim, width, bits).groupBy("prefix").agg(F.sort_array(F.collect_list(F.struct("first", "mask", "value", "ids"))).alias("live"))
-    none = F.array().cast(live.schema["live"].dataType)
-    states = spark.range(1 << bits).select(F.col("id").alias("prefix")).join(live, "prefix", "left").select(F.coalesce("live", none).alias("live"), F.lit(1).cast("long").alias("weight"))
-    states = states.groupBy("live").agg(F.sum("weight").alias("weight"))
-    for step, bit in enumerate(range(width - bits - 1, -1, -1), 1):
-        test = 1 << bit
-        halves = states.select("live", "weight", F.explode(F.array(F.lit(0).cast("long"), F.lit(test).cast("long"))).alias("b"))
-        alive = F.expr(f"filter(live, r -> (r.mask & {test}L) = 0 OR (r.value & {test}L) = b)")
-        states = halves.select(alive.alias("live"), "weight").groupBy("live").agg(F.sum("weight").alias("weight"))
-        if step % checkpoint_every == 0:
-            states = states.checkpoint()
-    return states.select(F.sort_array(F.flatten(F.transform("live", lambda r: r["ids"]))).alias("live"), "weight")
-
-
-def allocation(regions: DataFrame) -> DataFrame:
+    found = dag.build(rules, width)
+    sizes = found.leaves.select("node", F.col("n_match").alias("n_rules"))
+    counted = dag.weights(found).join(sizes, "node", "left")
+    return counted.select(F.col("node").alias("region"), F.coalesce("n_rules", F.lit(0).cast("long")).alias("n_rules"), "weight"), found.leaf_rules.withColumnRenamed("node", "region")
+
+
+def allocation(counted: DataFrame) -> DataFrame:
     """One row: words with a rule, without one, and the number of different sets of two or more rules."""
-    n = F.size("live")
-    return regions.agg(
+    n = F.col("n_rules")
+    return counted.agg(
         F.coalesce(F.sum(F.when(n > 0, F.col("weight"))), F.lit(0)).alias("allocated"),
         F.coalesce(F.sum(F.when(n == 0, F.col("weight"))), F.lit(0)).alias("unallocated"),
         F.count_if(n > 1).alias("ambiguous_groups"),

@@ -1,10 +1,12 @@
+import functools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from concord.functions import alias, classify
 from concord.functions import text as T
-from concord.operators import agree, checks, corpus, hashing, packed, repro, rules, runs, sample
+from concord.operators import agree, checks, corpus, dag, hashing, packed, repro, rules, runs, sample
 from concord.plans import questions
 from concord.sources import keyspace, plugins, records, rule_xml
 from concord.sources import packed as stored
@@ -44,26 +46,72 @@ def test_rules_are_looked_up_by_two_prefixes(spark, monkeypatch):
     assert {r.word: (r.rule_id, r.n_match) for r in rules.classify_words(words, table, 18).collect()} == want
 
 
-def test_regions_are_counted_without_enumeration(spark):
-    for patterns in (PATTERNS, [*PATTERNS, PATTERNS[1], PATTERNS[1], "xxxxxxxxxx11"]):  # also with rules that are alike
-        for bits in (1, 8, 12):
-            got = {tuple(r.live): r.weight for r in rules.count_regions(rule_rows(spark, patterns), 12, checkpoint_every=5, prefix_bits=bits).collect()}
-            want = {}
-            for m in brute(patterns, 12):
-                want[tuple(m)] = want.get(tuple(m), 0) + 1
-            assert got == want
-    got = {tuple(r.live): r.weight for r in rules.count_regions(rule_rows(spark, PATTERNS), 12).collect()}
-    assert sum(w for m, w in got.items() if not m) == 2047
-    one = rules.allocation(rules.count_regions(rule_rows(spark, PATTERNS), 12)).first()
+def region_sets(table, width):
+    counted, members = rules.regions(table, width)
+    live = {}
+    for r in members.collect():
+        live.setdefault(r.region, []).append(r.rule_id)
+    out = {}
+    for r in counted.collect():
+        found = tuple(sorted(live.get(r.region, [])))
+        assert len(found) == r.n_rules and found not in out
+        out[found] = r.weight
+    return out
+
+
+@pytest.mark.parametrize("step", [1, 4, 5])
+def test_regions_are_counted_without_enumeration(spark, monkeypatch, step):
+    monkeypatch.setattr(dag, "build", functools.partial(dag.build, step=step))
+    for patterns in (PATTERNS, [*PATTERNS, PATTERNS[1], PATTERNS[1], "xxxxxxxxxx11"], ["x" * 12], []):  # also with rules that are alike
+        want = {}
+        for m in brute(patterns, 12):
+            want[tuple(m)] = want.get(tuple(m), 0) + 1
+        assert region_sets(spark.createDataFrame(rule_rows(spark, patterns).collect() if patterns else [], "rule_id int, mask long, value long"), 12) == want
+    assert region_sets(rule_rows(spark, PATTERNS), 12)[()] == 2047
+    one = rules.allocation(rules.regions(rule_rows(spark, PATTERNS), 12)[0]).first()
     assert (one.allocated, one.unallocated, one.ambiguous_groups) == (2049, 2047, 1)
 
 
 def test_full_width_counts(spark):
     table = spark.createDataFrame([(0, 2**32 - 1, 0), (1, 2**31, 2**31)], "rule_id int, mask long, value long")
-    one = rules.allocation(rules.count_regions(table, 32)).first()
+    one = rules.allocation(rules.regions(table, 32)[0]).first()
     assert (one.allocated, one.ambiguous_groups) == (1 + 2**31, 0)
 
 
+@pytest.mark.parametrize("few", [dag.FEW_LINKS, 0])
+def test_words_descend_the_dag(spark, monkeypatch, few):
+    """With links that are broadcast and with links that are not; a table whose DAG is given up gives the same rows."""
+    monkeypatch.setattr(dag, "FEW_LINKS", few)
+    rng = np.random.default_rng(8)
+    masks = rng.integers(0, 1 << 14, 300) | 0b1010101
+    rows = [(i, int(m), int(m & v)) for i, (m, v) in enumerate(zip(masks, rng.integers(0, 1 << 14, 300), strict=True))]
+    table, words = spark.createDataFrame(rows, "rule_id int, mask long, value long"), keyspace.key_space(spark, 14, 8)
+    got = {r.word: (r.rule_id, r.n_match, r.valid) for r in rules.classify_many_rules(words, table, 14).collect()}
+    want = {}
+    for w in range(1 << 14):
+        m = [i for i, mask, value in rows if w & mask == value]
+        want[w] = (min(m) if m else None, len(m), bool(m))
+    assert got == want
+    monkeypatch.setattr(rules, "MOST_ROWS", 0)
+    assert {r.word: (r.rule_id, r.n_match, r.valid) for r in rules.classify_many_rules(words, table, 14).collect()} == want
+    if few:
+        plan = dag.classify(words, dag.build(table, 14))._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
+def test_many_rules_that_leave_the_first_bits_open(spark):
+    """100,000 rules over 32 bits, none of which fixes one of the first eight: the DAG has them once a level."""
+    table = spark.range(100_000).select(F.col("id").cast("int").alias("rule_id"), F.lit((1 << 24) - 1).cast("long").alias("mask"), (F.col("id") * 167 % (1 << 24)).alias("value"))
+    found = dag.build(table, 32)
+    assert [level.n_links for level in found.levels[:2]] == [16, 16] and found.leaves.count() == 100_000
+    one = rules.allocation(rules.regions(table, 32)[0]).first()
+    assert (one.allocated, one.unallocated, one.ambiguous_groups) == (100_000 << 8, (1 << 32) - (100_000 << 8), 0)
+    words = spark.range(1000).select((F.col("id") * 4_294_967 + (F.col("id") * 167)).alias("word"))
+    got = {r.word: r.rule_id for r in dag.classify(words, found).collect()}
+    value_of = {i * 167 % (1 << 24): i for i in range(100_000)}
+    assert got == {w: value_of.get(w & 0xFFFFFF) for w in got}
+
+
 def test_mask_of_boxes(spark):
     boxes = [(31, 22, "1101011001011111000000"), (9, 5, None), (4, 5, "00000")]
     rows = spark.createDataFrame([([{"hibit": h, "width": w, "name": None, "fixed_bits": f} for h, w, f in boxes],)], "boxes array<struct<hibit:int,width:int,name:string,fixed_bits:string>>")
