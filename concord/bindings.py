@@ -202,6 +202,26 @@ def a5b(spark, sf):
     return agree.macro(wide(spark, sf), SOURCES, "base", sizes, SHARD_BITS).select("source", F.round("macro", 9).alias("macro"))
 
 
+GROUPED = f"r(rule_id, mask, value) as (values (0, 7::bigint, 5::bigint), (1, 24::bigint, 8::bigint), (2, 31::bigint, 13::bigint), (3, 3840::bigint, 768::bigint)), g as (select word, coalesce(min(rule_id), -1) as grp, any_value(a) as a, any_value(b) as b, any_value(c) as c, any_value(base) as base from v left join r on (word & mask) = value group by word), ge as (" + " union all ".join(f"select '{s}' as source, grp, {s} as x, base from g" for s in SOURCES) + ")"
+
+
+def rule_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """Agreement over the words of each rule, -1 being those without."""
+    v = verdicts(spark, sf)
+    found = rules.classify_words(v.select("word"), rule_table(spark)).select("word", F.coalesce("rule_id", F.lit(-1)).alias("rule"))
+    return agree.group_rates(packed.pack(v, ALL), SOURCES, "base", agree.group_masks(found, "rule"))
+
+
+@query("a5_rates_by_rule", f"with {V}, {GROUPED} select grp as rule, source, count(*) as n_words, count(*) filter (x <> base) as disagreements, round(count(*) filter (x = base) / count(*)::double, 9) as rate from ge group by 1, 2")
+def a5c(spark, sf):
+    return rule_rates(spark, sf).select(F.col("group").alias("rule"), "source", "n_words", "disagreements", F.round("rate", 9).alias("rate"))
+
+
+@query("a5_macro_by_rule", f"with {V}, {GROUPED} select source, round(avg(rate), 9) as macro from (select grp, source, count(*) filter (x = base) / count(*)::double as rate from ge group by 1, 2) group by 1")
+def a5d(spark, sf):
+    return agree.macro_of_groups(rule_rates(spark, sf)).select("source", F.round("macro", 9).alias("macro"))
+
+
 @query("w5_agreement_ranking", f"with {V}, {SIZE}, e as ({EACH}), {MACRO}, g as (select source, seq, count(*) filter (x <> base) as d from e group by 1, 2) select source, d as disagreements, round((n - d) / n::double, 9) as micro, round(macro, 9) as macro, row_number() over (order by (n - d) / n::double, seq) as rank from g join m using (source), n")
 def w5(spark, sf):
     out = questions.agreement_ranking(verdicts(spark, sf), SOURCES, "base", domain(spark, sf), SHARD_BITS)
@@ -258,7 +278,14 @@ def r1(spark, sf):
 @query("r1_sample_report", f"with {V}, s as (select word from v where a and b and c) select count(*) as population, least(count(*), 500) as sample_size from s")
 def r1b(spark, sf):
     rows = packed.unpack(packed.set_masks(wide(spark, sf), SOURCES, domain(spark, sf)), "by_all")
-    return sample.sample_report(rows, sample.seeded_sample(rows, 500, 7))
+    return sample.sampled(rows, 500, 7)[1]
+
+
+@query("r1_one_pass", f"with {V}, s as (select word, md5('9:' || word) as h from v where a or b) select word, (select count(*) from s) as population from s order by h, word limit 2000")
+def r1c(spark, sf):
+    """A sample and its population out of one pass over the words."""
+    rows, report = sample.sampled(verdicts(spark, sf).where("a or b").select("word"), 2000, 9)
+    return rows.crossJoin(report.select("population"))  # one row
 
 
 @query("r2_random_probe", f"with {SIZE}, q as (select unnest(range(0, (select count(*) // 10 from orders))) as probe) select probe, ('0x' || substr(md5('11:' || probe), 1, 8))::bigint % 65536 as word from q")
@@ -728,6 +755,15 @@ def a11(spark, sf):
     return agree.text_disagreements(full_corpus(spark, sf), SOURCES, "base")
 
 
+@query("a11_normalized_disagreements", f"with s as ({TEXT_SUMS}) select 'b' as source, 'normalized' as compare, n as text_disagreements from s union all select 'c', 'normalized', 0 from s union all select 'b', 'raw', n from s union all select 'c', 'raw', n from s")
+def a11b(spark, sf):
+    """Texts of two sources against those of a third: spellings of one instruction are equal once they are normalised. A source
+    that has no texts of its own is left out."""
+    c = full_corpus(spark, sf)
+    both = [agree.text_disagreements(c, ["b", "c", "base"], "a", compare=k, has_text={"base": False}).withColumn("compare", F.lit(k)) for k in ("normalized", "raw")]
+    return both[0].unionByName(both[1])
+
+
 @query("a19_text_agreement", f"with s as ({TEXT_SUMS}), p as (select count(*) as n_all, count(*) filter (p_partkey % 11 <> 0) as n_pop from part) select 'a' as source, round((n_all - n) / n_all::double, 9) as sample_rate, round((n_all * 10 - n) / (n_all * 10)::double, 9) as reference_rate from s, p")
 def a19(spark, sf):
     n = table(spark, sf, "part").count()
@@ -916,6 +952,21 @@ def d1(spark, sf):
     return plugins.udf_source(words, "plug", worked).select("word", "valid", "text", "error")
 
 
+def slow(words):
+    import time
+
+    if (words % 4999 == 17).any():
+        time.sleep(3600)
+    return words % 7 < 3, None
+
+
+@query("d2_time_limit", "select o_orderkey as word, o_orderkey % 7 < 3 and o_orderkey % 4999 <> 17 as valid, case when o_orderkey % 4999 = 17 then 'TimeoutError: over 0.2 s' end as error from orders")
+def d2b(spark, sf):
+    """A function that never ends on some words: these alone are lost."""
+    words = table(spark, sf, "orders").select(F.col("o_orderkey").alias("word"))
+    return plugins.udf_source(words, "plug", slow, seconds=0.2).select("word", "valid", "error")
+
+
 @query("d1_registry", "select 'rule' as source, count(*) filter (o_orderkey & 7 = 5) as n from orders union all select 'plug', count(*) filter (o_orderkey % 7 < 3 and o_orderkey % 997 <> 0) from orders")
 def d1b(spark, sf):
     words, known = table(spark, sf, "orders").select(F.col("o_orderkey").alias("word")), plugins.Registry()

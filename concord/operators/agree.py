@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from concord.functions.bits import all_of, differing, popcount, xor
+from concord.functions.bits import all_of, bit_at, block_of, differing, popcount, xor
 from concord.functions.classify import TEXT_CATEGORIES
+from concord.operators.corpus import normalized_sources
 
 
 def against_baseline(wide: DataFrame, sources: list[str], base: str) -> DataFrame:
@@ -35,6 +36,27 @@ def macro(wide: DataFrame, sources: list[str], base: str, shards: DataFrame, sha
     return rates.selectExpr(f"stack({len(sources)}, {rows}) as (source, macro)")
 
 
+def group_masks(words: DataFrame, group: str) -> DataFrame:
+    """``group, block, bits``: the words of each group as masks of blocks, from rows ``word`` and the group's column."""
+    return words.groupBy(F.col(group).alias("group"), block_of(F.col("word")).alias("block")).agg(F.bit_or(bit_at(F.col("word"))).alias("bits"))
+
+
+def group_rates(wide: DataFrame, sources: list[str], base: str, masks: DataFrame) -> DataFrame:
+    """``group, n_words, source, source_seq, disagreements, rate`` over groups of words that are no ranges, such as those of a
+    rule. Masks of a block meet its verdicts, so no verdict is unpacked; a block that isn't stored agrees everywhere."""
+    blocks = masks.join(wide.select("block", *sources, base), "block", "left")
+    sums = [F.coalesce(F.sum(popcount(xor(F.col(s), F.col(base)).bitwiseAND(F.col("bits")))), F.lit(0)).alias(s) for s in sources]
+    counted = blocks.groupBy("group").agg(F.sum(popcount(F.col("bits"))).alias("n_words"), *sums)
+    rows = ", ".join(f"'{s}', {i}, `{s}`" for i, s in enumerate(sources))
+    tall = counted.selectExpr("group", "n_words", f"stack({len(sources)}, {rows}) as (source, source_seq, disagreements)")
+    return tall.withColumn("rate", (F.col("n_words") - F.col("disagreements")) / F.col("n_words"))
+
+
+def macro_of_groups(rates: DataFrame) -> DataFrame:
+    """``source, macro``: the unweighted mean of the groups' rates."""
+    return rates.groupBy("source").agg(F.avg("rate").alias("macro"))
+
+
 PRESENT = "_present"
 
 
@@ -64,11 +86,22 @@ def disagreeing(wide: DataFrame, sources: list[str], shard_bits: int) -> DataFra
     return per_shard.agg(F.coalesce(F.sum("d"), F.lit(0)).alias("disagreements"), F.count("*").alias("shards"))
 
 
-def text_disagreements(corpus: DataFrame, sources: list[str], base: str, texts: str = "oracle_text") -> DataFrame:
-    """``source, text_disagreements`` over records of text categories; texts are compared null-safe. One pass."""
-    base_text = F.element_at(texts, base)
+def text_disagreements(corpus: DataFrame, sources: list[str], base: str, texts: str = "oracle_text", compare: str = "raw", has_text: dict[str, bool] | None = None, compiled: DataFrame | None = None) -> DataFrame:
+    """``source, text_disagreements`` over records of text categories; texts are compared null-safe. One pass.
+
+    ``compare="normalized"`` compares what the text rules (and ``compiled`` alias rules) make of both texts. Sources that
+    ``has_text`` says have none of their own, but a mark that they accept, are left out.
+    """
+    if compare not in ("raw", "normalized"):
+        raise ValueError(f"compare is raw or normalized, not {compare}")
+    sources = [s for s in sources if (has_text or {}).get(s, True)]
     chosen = corpus.where(F.col("category").isin(*TEXT_CATEGORIES))
-    sums = [F.count_if(~F.element_at(texts, s).eqNullSafe(base_text)).alias(s) for s in sources]
+    if compare == "raw":
+        of = lambda s: F.element_at(texts, s)
+    else:
+        apart = chosen.select(F.monotonically_increasing_id().alias("word"), *(F.element_at(texts, s).alias(s) for s in (*sources, base)))
+        chosen, of = normalized_sources(apart, [*sources, base], compiled), lambda s: F.col(f"{s}_norm")
+    sums = [F.count_if(~of(s).eqNullSafe(of(base))).alias(s) for s in sources]
     rows = ", ".join(f"'{s}', `{s}`" for s in sources)
     return chosen.agg(*sums).selectExpr(f"stack({len(sources)}, {rows}) as (source, text_disagreements)")
 

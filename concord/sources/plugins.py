@@ -17,12 +17,92 @@ def sql_source(words: DataFrame, name: str, valid: Column, text: Column | None =
     return words.select("word", F.lit(name).alias("source"), F.coalesce(valid, F.lit(False)).alias("valid"), shown.alias("text"), F.lit(None).cast("string").alias("error"))
 
 
-def udf_source(words: DataFrame, name: str, fn: Batch) -> DataFrame:
+def interrupted(fn: Batch, seconds: float) -> Batch:
+    """``fn`` with a time limit: after ``seconds`` it is interrupted by TimeoutError. Native code that never comes back to
+    Python is not reached by this; ``in_process`` is for such."""
+
+    def limited(words):
+        import signal
+
+        def stop(*_):
+            raise TimeoutError(f"over {seconds:g} s")
+
+        before = signal.signal(signal.SIGALRM, stop)
+        signal.setitimer(signal.ITIMER_REAL, seconds)
+        try:
+            return fn(words)
+        finally:
+            signal.setitimer(signal.ITIMER_REAL, 0)
+            signal.signal(signal.SIGALRM, before)
+
+    return limited
+
+
+def in_process(fn: Batch, seconds: float | None) -> Batch:
+    """``fn`` in a process of its own for each batch, which is killed after ``seconds``. A batch that takes its process down,
+    as native code can, is an error like any other, and the worker goes on."""
+
+    def forked(words):
+        import os
+        import pickle
+        import select
+        import signal
+        import time
+
+        receive, send = os.pipe()
+        child = os.fork()
+        if not child:
+            os.close(receive)
+            try:
+                said = pickle.dumps((True, fn(words)))
+            except BaseException as e:
+                said = pickle.dumps((False, f"{type(e).__name__}: {e}"))
+            with os.fdopen(send, "wb") as out:
+                out.write(said)
+            os._exit(0)
+        os.close(send)
+        said, end = [], None if seconds is None else time.monotonic() + seconds
+        try:
+            while True:
+                left = None if end is None else max(0.0, end - time.monotonic())
+                if not select.select([receive], [], [], left)[0]:
+                    raise TimeoutError(f"over {seconds:g} s")
+                part = os.read(receive, 1 << 20)
+                if not part:
+                    break
+                said.append(part)
+        except TimeoutError:
+            os.kill(child, signal.SIGKILL)
+            raise
+        finally:
+            os.close(receive)
+            status = os.waitpid(child, 0)[1]
+        if not said or os.waitstatus_to_exitcode(status):
+            raise ChildProcessError(f"ended with {os.waitstatus_to_exitcode(status)}")
+        good, found = pickle.loads(b"".join(said))
+        if not good:
+            raise BatchError(found)
+        return found
+
+    return forked
+
+
+class BatchError(Exception):
+    """What a batch raised in its own process, as text."""
+
+    def __str__(self) -> str:
+        return self.args[0]
+
+
+def udf_source(words: DataFrame, name: str, fn: Batch, seconds: float | None = None, own_process: bool = False) -> DataFrame:
     """A source that is ``fn(words) -> (valid, texts or None)``.
 
-    A batch that raises is halved until the words that raise stand alone: these become invalid with their error, all
-    others keep their results. A crash of the whole worker is left to Spark's retry of the task.
+    A batch that raises, or takes longer than ``seconds``, is halved until the words that do so stand alone: these become
+    invalid with their error, all others keep their results. With ``own_process`` a batch runs in a process of its own, so
+    code that hangs in native calls is killed and one that crashes costs its word alone; without it a crash of the whole
+    worker is left to Spark's retry of the task.
     """
+    run_batch = in_process(fn, seconds) if own_process else interrupted(fn, seconds) if seconds is not None else fn
 
     def isolated(batch) -> list[tuple]:
         import numpy as np
@@ -31,11 +111,11 @@ def udf_source(words: DataFrame, name: str, fn: Batch) -> DataFrame:
         while todo:
             part = todo.pop()
             try:
-                valid, texts = fn(part)
+                valid, texts = run_batch(part)
                 out.append((part, np.asarray(valid, bool), list(texts) if texts is not None else [None] * len(part), [None] * len(part)))
             except Exception as e:
                 if len(part) == 1:
-                    out.append((part, np.zeros(1, bool), [None], [f"{type(e).__name__}: {e}"]))
+                    out.append((part, np.zeros(1, bool), [None], [str(e) if isinstance(e, BatchError) else f"{type(e).__name__}: {e}"]))
                 else:
                     half = len(part) // 2
                     todo += [part[half:], part[:half]]

@@ -213,10 +213,53 @@ def test_samples_are_seeded_and_independent_of_partitions(spark):
     assert a != [r.word for r in sample.seeded_sample(words, 50, 2).collect()] and len(set(a)) == 50
 
 
-def test_threshold_sample_equals_plain_one(spark):
-    words = spark.range(300_000).withColumnRenamed("id", "word")
-    plain, fast = sample.seeded_sample(words, 100_000, 1), sample.seeded_sample(words, 100_000, 1, population=300_000)
-    assert plain.subtract(fast).count() == 0 and fast.count() == 100_000
+@pytest.mark.parametrize("k", [0, 1, 700, 100_000, 400_000])
+def test_samples_are_the_smallest_hashes_and_count_their_population(spark, k):
+    """Also of many rows, of all rows, and of none; the rows keep their other columns. Nothing reads the input again."""
+    words = spark.range(300_000).select(F.col("id").alias("word"), (F.col("id") * 2).alias("other"), F.when(F.col("id") % 2 == 0, F.lit("x")).alias("text")).repartition(5)
+    rows, report = sample.sampled(words, k, 1)
+    hashed = words.withColumn("h", sample.sample_key(1, F.col("word"))).orderBy("h", "word").limit(k).drop("h")
+    assert rows.count() == min(k, 300_000) and rows.exceptAll(hashed).isEmpty() and rows.columns == words.columns
+    assert tuple(report.first()) == (300_000, min(k, 300_000))
+    for df in (rows, report):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Range" not in plan and "MapInArrow" not in plan
+    none = sample.sampled(words.where("word < 0"), 5, 1)
+    assert none[0].count() == 0 and tuple(none[1].first()) == (0, 0)
+
+
+def test_ties_and_nulls_in_samples(spark):
+    words = spark.createDataFrame([(i % 50 if i % 9 else None,) for i in range(2000)], "word long").repartition(6)
+    rows, report = sample.sampled(words, 300, 2)
+    want = words.withColumn("h", sample.sample_key(2, F.col("word"))).orderBy("h", "word").limit(300)
+    assert sorted(repr(r.word) for r in rows.collect()) == sorted(repr(r.word) for r in want.collect()) and report.first().population == 2000
+
+
+def test_rates_over_groups_that_are_no_ranges(spark):
+    wide = packed.pack(tiny(spark, a={0, 1, 63, 70}, b={0, 1}, c={0}, base={0, 1, 130}), ALL).where("block <> 3")
+    words = spark.range(256).select(F.col("id").alias("word"), F.when(F.col("id") % 5 == 0, "five").when(F.col("id") == 63, "one").when(F.col("id") > 200, "high").otherwise("rest").alias("kind"))
+    rates = agree.group_rates(wide, ["a", "b", "c"], "base", agree.group_masks(words, "kind"))
+    kind = {r.word: r.kind for r in words.collect()}
+    sets = {"a": {0, 1, 63, 70}, "b": {0, 1}, "c": {0}}
+    want = {}
+    for g in set(kind.values()):
+        of = {w for w, k in kind.items() if k == g}
+        for s, x in sets.items():
+            d = len((x ^ {0, 1, 130}) & of)
+            want[g, s] = (len(of), d, (len(of) - d) / len(of))
+    assert {(r.group, r.source): (r.n_words, r.disagreements, r.rate) for r in rates.collect()} == want
+    macro = {r.source: r.macro for r in agree.macro_of_groups(rates).collect()}
+    assert macro == {s: pytest.approx(np.mean([v[2] for k, v in want.items() if k[1] == s])) for s in sets}
+
+
+def test_text_disagreements_raw_and_normalized(spark):
+    texts = spark.createDataFrame([(1, "mov w0, w1", "MOV  W0, W1 // x", "mov w0, w2"), (2, "add w0, #0x10", "add w0, #16", "add w0, #17")], "word long, a string, b string, c string")
+    c = corpus.text_tier(texts, ["a", "b", "c", "base"][:3], ["a", "b", "c"], 6)
+    run = lambda **k: {r.source: r.text_disagreements for r in agree.text_disagreements(c, ["b", "c"], "a", **k).collect()}
+    assert run() == {"b": 2, "c": 2} and run(compare="normalized") == {"b": 0, "c": 2}
+    assert run(compare="normalized", has_text={"c": False}) == {"b": 0}
+    with pytest.raises(ValueError):
+        run(compare="exact")
 
 
 def test_reproducers_cap_and_preference(spark):
@@ -295,6 +338,32 @@ def test_one_failing_word_is_isolated(spark):
         plugins.Registry().rows(words, ["nobody"])
 
 
+@pytest.mark.parametrize("own_process", [False, True])
+def test_a_word_that_hangs_or_kills_costs_itself_alone(spark, own_process):
+    def hangs(words):
+        import time
+
+        if (words == 7).any():
+            time.sleep(3600)
+        if (words == 8).any():
+            raise RuntimeError("boom")
+        return words % 2 == 0, [f"w{w}" for w in words.tolist()]
+
+    def dies(words):
+        import os
+
+        if (words == 9).any():
+            os.kill(os.getpid(), 11)
+        if (words == 11).any():
+            os._exit(3)
+        return hangs(words)
+
+    words = spark.range(64).withColumnRenamed("id", "word").coalesce(2)
+    got = {r.word: (r.valid, r.text, r.error) for r in plugins.udf_source(words, "s", dies if own_process else hangs, seconds=0.5, own_process=own_process).collect()}
+    lost = {7: "TimeoutError: over 0.5 s", 8: "RuntimeError: boom"} | ({9: "ChildProcessError: ended with -11", 11: "ChildProcessError: ended with 3"} if own_process else {})
+    assert got == {w: (False, None, lost[w]) if w in lost else (w % 2 == 0, f"w{w}", None) for w in range(64)}
+
+
 XML = """<instructionsection id="SUBS" type="instruction"><docvars><docvar key="mnemonic" value="SUBS"/><docvar key="instr-class" value="general"/></docvars>
 <alias_list howmany="1"><aliasref aliaspageid="CMP_SUBS"><text>CMP (x)</text><aliaspref>Rd == '11111'</aliaspref></aliasref><aliasref aliaspageid="NEGS_S"/></alias_list>
 <classes><iclass id="k" name="k"><regdiagram psname="ps"><box hibit="31" width="31"><c>x</c></box><box><c>1</c></box></regdiagram><encoding name="E"/></iclass><iclass id="none"/></classes>
