@@ -265,6 +265,16 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def license_summary(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_blocks, n_licenses, licenses, differences``: licenses joined by commas, and their differing words."""
-    m = F.col("matches")
-    return license_scan(docs).select("doc_id", "n_blocks", F.size(m).cast("long").alias("n_licenses"), F.array_join(F.transform(m, lambda x: x["license"]), ",").alias("licenses"), F.aggregate(m, F.lit(0).cast("long"), lambda n, x: n + x["differences"]).alias("differences"))
+    """``doc_id, n_blocks, n_licenses, licenses, gains, differences``: licenses joined by commas in the order of their size
+    reductions, the largest first, these reductions in percent of each wording's reduction of itself, and the differing words.
+    """
+    m = F.sort_array(F.transform("matches", lambda x: F.struct((-x["gain"]).alias("g"), x["license"].alias("license"), x["differences"].alias("differences"))))
+    shown = lambda f: F.array_join(F.transform(m, f), ",")
+    return license_scan(docs).select(
+        "doc_id",
+        "n_blocks",
+        F.size(m).cast("long").alias("n_licenses"),
+        shown(lambda x: x["license"]).alias("licenses"),
+        shown(lambda x: F.round(-100 * x["g"]).cast("long").cast("string")).alias("gains"),
+        F.aggregate(m, F.lit(0).cast("long"), lambda n, x: n + x["differences"]).alias("differences"),
+    )

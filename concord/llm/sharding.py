@@ -22,7 +22,8 @@ TASK_BYTES = 1 << 27
 #: Groups of equal texts, and single documents, above this share of a shard's bytes (there are at most its inverse times the
 #: number of shards) are placed one by one before the flow is solved.
 LARGE_GROUP = 1 / 200
-#: A group of equal texts stays in one shard if it has at most this share of a shard's bytes. Larger groups are spread.
+#: A group of equal texts of at most this share of a shard's bytes always stays in one shard. A larger one does if a shard
+#: has room for it when the larger groups are placed; else it is spread, as the shards could not be of equal size.
 WHOLE_GROUP = 1 / 4
 
 
@@ -40,6 +41,17 @@ def place_heavy(heavy: list[tuple[int, int]], caps: list[int]) -> list[int]:
     return at
 
 
+def kept_whole(sizes: list[int], caps: list[int], always: int) -> list[bool]:
+    """Which groups stay whole: those of up to ``always`` bytes, and of the others, largest first, each that fits into what
+    the emptiest shard has left."""
+    load, kept = [0] * len(caps), [False] * len(sizes)
+    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
+        s = min(range(len(caps)), key=lambda s: (load[s] - caps[s], s))
+        kept[i] = sizes[i] <= always or load[s] + sizes[i] <= caps[s]
+        load[s] += sizes[i] * kept[i]
+    return kept
+
+
 def levelled(total: int, load: list[int]) -> list[int]:
     """Capacities that bring unequal loads to one level by ``total`` more bytes; none is below 0."""
     order = sorted(range(len(load)), key=lambda s: load[s])
@@ -101,8 +113,8 @@ def reshard(docs: DataFrame, old_shard: Column, n_old: int, n_new: int, path: st
 
     ``old_shard`` is an expression over ``docs`` in [0, n_old). Rows of an old shard stand in one line, ordered by block
     (hash of the text), text hash and id; the flow cuts that line. Equal texts of several old shards stand on one line, that
-    of their smallest id; large groups are placed as a whole first, and groups over WHOLE_GROUP of a shard are not kept
-    together. Only sums per block meet on the driver: at most
+    of their smallest id; large groups are placed as a whole first; a group over WHOLE_GROUP of a shard that no shard has room
+    for is spread (``kept_whole``). Only sums per block meet on the driver: at most
     ``n_old * BLOCKS`` rows, PARTS or a row per PART_BYTES of each block that is too large, and the few heavy documents and
     groups. The texts move in one exchange, and in one more
     where the table of groups on several lines is too large to be broadcast.
@@ -124,16 +136,17 @@ def reshard(docs: DataFrame, old_shard: Column, n_old: int, n_new: int, path: st
     most, whole = (max(1, int(total / n_new * x)) for x in (LARGE_GROUP, WHOLE_GROUP))
     groups = slim.groupBy("th").agg(F.sum("size").alias("b"), F.min("old").alias("lo"), F.max("old").alias("hi"), F.min(F.struct("doc_id", "old"))["old"].alias("home"))
     groups = materialize(groups.where((F.col("lo") < F.col("hi")) | (F.col("b") > most)), "shard-groups")
-    # at most n_new / LARGE_GROUP of them, of which n_new / WHOLE_GROUP are taken by no shard as a whole
+    # at most n_new / LARGE_GROUP of them, of which fewer than n_new / WHOLE_GROUP are spread
     large_groups = groups.where(F.col("b") > most).select("th", "b", "home").orderBy("th").collect()
-    hot = [r.th for r in large_groups if r.b > whole]
+    kept = kept_whole([r.b for r in large_groups], capacities(total, n_new), whole)
+    hot = [r.th for r, k in zip(large_groups, kept, strict=True) if not k]
     homes = groups.where(F.col("b") <= most).select("th", "home")
 
     # the rows of a group too large for one shard are told apart by the hash of their id
     own = F.when(F.col("th").isin(hot), F.xxhash64("doc_id")).otherwise(F.lit(0)) if hot else F.lit(0)
     single = slim.where(F.col("th").isin(hot) & (F.col("size") > most)) if hot else slim.where("false")
     single = single.groupBy("th", own.cast("long").alias("own")).agg(F.sum("size").alias("b"), F.min("old").alias("old")).orderBy("th", "own").collect()  # at most n_new / LARGE_GROUP rows
-    heavy = [(r.th, 0, r.b, r.home) for r in large_groups if r.b <= whole] + [(r.th, r.own, r.b, r.old) for r in single]
+    heavy = [(r.th, 0, r.b, r.home) for r, k in zip(large_groups, kept, strict=True) if k] + [(r.th, r.own, r.b, r.old) for r in single]
     placed_at = place_heavy([(b, o) for _, _, b, o in heavy], capacities(total, n_new))
     load = [0] * n_new
     for (_, _, b, _), s in zip(heavy, placed_at, strict=True):

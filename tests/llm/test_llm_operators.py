@@ -571,6 +571,23 @@ def test_flow_moves_the_fewest_bytes():
         assert sum(x for (o, s), x in flow.items() if o != s) == sum(sizes) - stay
 
 
+def test_groups_that_fit_a_shard_stay_whole():
+    caps = [100] * 4
+    assert sharding.kept_whole([90, 30, 100, 60, 30], caps, 25) == [True, True, True, True, True]
+    assert sharding.kept_whole([90, 90, 90, 90, 40], caps, 25) == [True, True, True, True, False]
+    assert sharding.kept_whole([120, 20, 60], caps, 25) == [False, True, True]
+
+
+def test_a_group_of_half_a_shard_stays_whole(spark):
+    rows = [(i, f"unlike text number {i} " + "x" * 60, f"s{i % 7}") for i in range(4000)] + [(10_000 + i, "copy " * 30, f"s{i % 5}") for i in range(45)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sharding.reshard_documents(df).collect()
+    assert len({r.shard for r in got if r.doc_id >= 10_000}) == 1
+    load = np.bincount([r.shard for r in got], [r.size for r in got], minlength=24)
+    copies = 45 * (150 + 8)
+    assert copies > load.mean() / 4 and load.max() < 1.1 * load.mean()
+
+
 def test_levelled_loads():
     assert sharding.levelled(10, [0, 5, 100]) == [8, 2, 0] or sum(sharding.levelled(10, [0, 5, 100])) == 10
     assert sum(sharding.levelled(7, [3, 3, 3, 0])) == 7 and sharding.levelled(0, [1, 2]) == [0, 0]
@@ -669,6 +686,22 @@ def test_license_scan_equals_one_without_blocks():
         assert {m["license"]: m["differences"] for m in licenses.scan(page.encode())[1]} == want, k
 
 
+def test_reductions_rank_the_licenses(spark, monkeypatch):
+    """The order of the result is that of the size reductions; without the compressor it is another."""
+    names = [compressor[0] for compressor in licenses.compressors()]
+    wordings = {n: " ".join(c[1]) for n, c in zip(names, licenses.compressors(), strict=True)}
+    short = sorted(wordings, key=lambda n: len(wordings[n]))
+    text = (wordings[short[0]] + " and here something else entirely " * 3 + wordings[short[-1]]).encode()
+    _, found = licenses.scan(text)
+    order = [m["license"] for m in sorted(found, key=lambda m: (-m["gain"], m["license"]))]
+    assert {short[0], short[-1]} <= set(order)
+    row = licenses.license_summary(spark.createDataFrame([(1, text.decode())], "doc_id long, text string")).first()
+    assert row.licenses.split(",") == order and row.gains.split(",") == sorted(row.gains.split(","), key=int, reverse=True)
+    monkeypatch.setattr(licenses, "ranked", lambda block, candidates: [(k, 0.0) for k in candidates])
+    _, without = licenses.scan(text)
+    assert sorted(m["license"] for m in without) == sorted(order) and {m["gain"] for m in without} == {0.0}
+
+
 def test_licenses_side_by_side():
     by = dict(reversed(licenses.TEMPLATES))
     for pair in (["BSD-2-Clause", "BSD-3-Clause"], ["CC-BY-4.0", "CC-BY-SA-4.0"], ["GPL-2.0-or-later", "GPL-3.0-or-later"]):
