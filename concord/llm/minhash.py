@@ -112,27 +112,35 @@ def prints(texts: DataFrame, width: int) -> DataFrame:
     return texts.select("row", "doc_id", F.col("text").cast("binary")).mapInArrow(run, PRINTS)
 
 
-def met(rows: DataFrame, key: str, name: str, hot_rows: int) -> tuple[DataFrame, DataFrame]:
-    """``rows`` whose key another row has too, with the number of rows of the key; and these numbers. Keys are counted after
-    partial sums and frequent ones are broadcast, so none is gathered in a task."""
+def small(df: DataFrame, few: int) -> DataFrame:
+    """``df``, to be broadcast if it has up to ``few`` rows, which are of a few numbers each."""
+    return F.broadcast(df) if df.limit(few + 1).count() <= few else df
+
+
+def met(rows: DataFrame, key: str, name: str, few_ids: int, hot_rows: int) -> DataFrame:
+    """``rows`` whose key another row has too, with the number of rows of the key. Keys are counted after partial sums; up to
+    ``few_ids`` of them are broadcast, of more the frequent ones, so none is gathered in a task."""
     sizes = materialize(rows.groupBy(key).agg(F.count("*").alias("met")).where("met > 1"), name)
-    return join_groups(rows, sizes, key, sizes, "met", hot_rows), sizes
+    if sizes.count() <= few_ids:
+        return rows.join(F.broadcast(sizes), key)
+    return join_groups(rows, sizes, key, sizes, "met", hot_rows)
 
 
-def members(nodes: DataFrame, part: int, hot_rows: int) -> DataFrame:
-    """``key, node, parts``: the nodes of every table key that has two or more, and the parts that it is dealt to.
+def members(nodes: DataFrame, part: int, few_ids: int, hot_rows: int) -> DataFrame:
+    """``key, value, node, parts``: the nodes of every table key that has two or more, the key's value of the first collection,
+    and the parts that the key is dealt to.
 
     A key is a pair of a value of the first and one of the second collection. Values that only one node has can't be in a
     key of two, so the pairs are made of the others alone.
     """
     values = nodes.select("node", F.posexplode("collections").alias("at", "value"))
-    both, _ = met(values, "value", "minhash-values", hot_rows)
+    both = met(values, "value", "minhash-values", few_ids, hot_rows)
     shared = both.groupBy("node").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("shared"))
     pick = lambda lo: f"filter(sequence({lo}, {lo + VALUES - 1}), i -> getbit(shared, i) = 1)"
-    keys = F.expr(f"flatten(transform({pick(0)}, i -> transform({pick(VALUES)}, j -> xxhash64(collections[i], collections[j]))))")
-    keyed = nodes.select("node", "collections").join(shared, "node").select("node", F.explode(keys).alias("key"))
-    found, _ = met(materialize(keyed, "minhash-keyed"), "key", "minhash-keys", hot_rows)
-    return materialize(found.select("key", "node", F.ceil(F.col("met") / part).cast("int").alias("parts")), "minhash-members")
+    keys = F.expr(f"flatten(transform({pick(0)}, i -> transform({pick(VALUES)}, j -> struct(xxhash64(collections[i], collections[j]) as key, collections[i] as value))))")
+    keyed = nodes.select("node", "collections").join(shared, "node").select("node", F.explode(keys).alias("x")).select("node", "x.key", "x.value")
+    found = met(materialize(keyed, "minhash-keyed"), "key", "minhash-keys", few_ids, hot_rows)
+    return materialize(found.select("key", "value", "node", F.ceil(F.col("met") / part).cast("int").alias("parts")), "minhash-members")
 
 
 def may_link(n: np.ndarray, counts: np.ndarray, full: np.ndarray, a, b, percent: int) -> np.ndarray:
@@ -158,13 +166,17 @@ def forest(n: np.ndarray, counts: np.ndarray, full: np.ndarray, percent: int) ->
     return edges
 
 
-def all_between(n: np.ndarray, counts: np.ndarray, full: np.ndarray, label: np.ndarray, side: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
-    """All pairs (places) that may link and have different labels; of two sides only those across."""
-    two = (side != side[0]).any()
+def between(n: np.ndarray, counts: np.ndarray, full: np.ndarray, sets: list[frozenset], label: np.ndarray, side: np.ndarray, percent: int, every: bool) -> Iterator[tuple[int, int]]:
+    """Pairs (places) of different labels whose sets of hashes are similar enough, which all linked pairs are; of two sides
+    only those across. Unless ``every`` of them is asked for, a pair makes one label of two."""
+    two, label = (side != side[0]).any(), label.copy()
     for x in range(len(n) - 1):
         y = np.flatnonzero((label[x + 1 :] != label[x]) & ((side[x + 1 :] != side[x]) | (not two))) + x + 1
-        if len(y):
-            yield from ((x, z) for z in y[may_link(n, counts, full, x, y, percent)].tolist())
+        for z in y[may_link(n, counts, full, x, y, percent)].tolist() if len(y) else []:
+            if label[z] != label[x] and (100 + percent) * len(sets[x] & sets[z]) >= percent * (n[x] + n[z]):
+                yield x, z
+                if not every:
+                    label[label == label[z]] = label[x]
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -227,31 +239,63 @@ def first_pairs(held: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return _dealt(rows, ["key", "part"], ["node"]).mapInArrow(run, "a long, b long").distinct()
 
 
-def later_pairs(held: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: all pairs of these keys that may link and have different labels; a key of several parts is dealt out as
-    pairs of parts."""
-    slim = nodes.select("node", "n", "counters").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    both = held.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = both.select("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "node")
-    rows = rows.join(slim, "node").select("key", "p", "q", "part", "node", "n", "label", "counters")
+def hash_sets(nodes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """``node, n, hashes``: 32-bit hashes of the sets of some nodes. Two sets have at least as many hashes in common as
+    shingles, less the few that are the same hash within one set; these count as one more each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t.as_py() or b"", width) for t in batch.column(1)]
+            hashes = [np.fromiter((xxhash.xxh32_intdigest(x) for x in s), np.uint32, len(s)).tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(hashes, pa.binary())], names=["node", "n", "hashes"])
+
+    return texts.join(nodes.withColumnRenamed("node", "row"), "row").select(F.col("row").alias("node"), F.col("text").cast("binary")).mapInArrow(run, "node long, n long, hashes binary")
+
+
+def later_pairs(held: DataFrame, sets: DataFrame, labels: DataFrame, percent: int, part: int, every: bool) -> DataFrame:
+    """``a, b``: pairs of these members with different labels whose hash sets are similar enough.
+
+    Members meet by the value of the first collection, of which a node has a few, and not by every key. Values of many nodes
+    are dealt out as pairs of parts.
+    """
+    slim = sets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    at = held.select("value", "node").distinct()
+    sizes = at.groupBy("value").agg(F.ceil(F.count("*") / part).cast("int").alias("parts")).where("parts > 1")  # few are larger than a part
+    cut = F.coalesce("parts", F.lit(1))
+    both = at.join(sizes, "value", "left").withColumn("part", F.pmod(F.xxhash64("node"), cut).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), cut - 1)))
+    rows = both.select("value", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "node")
+    rows = rows.join(slim, "node").select("value", "p", "q", "part", "node", "n", "label", "hashes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: set[tuple[int, int]] = set()
         for table in runs(batches, 3):
-            key, p, q, part, node, n, label, counts = columns(table, "key", "p", "q", "part", "node", "n", "label", "counters")
+            value, p, q, side, node, n, label = columns(table, "value", "p", "q", "part", "node", "n", "label")
+            hashes = [np.frombuffer(x, np.uint32) for x in table.column("hashes").to_pylist()]
+            sizes = np.array(list(map(len, hashes)), np.int64)
+            counts = counters(np.concatenate(hashes).astype(np.uint64) << np.uint64(32), sizes)
             full = counts.min(axis=1) == FULL
-            starts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])))
-            for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(key)], strict=True):
+            # a set's hashes that are the same count again, so that no intersection comes out too small
+            own = [frozenset(numbered(h)) for h in hashes]
+            starts = np.flatnonzero(np.append(True, (value[1:] != value[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])))
+            for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(value)], strict=True):
                 s = slice(lo, hi)
-                for x, y in all_between(n[s], counts[s], full[s], label[s], part[s], percent):
+                for x, y in between(n[s], counts[s], full[s], own[lo:hi], label[s], side[s], percent, every):
                     found.add((int(node[lo + x]), int(node[lo + y])))
                     if len(found) > STRETCH:
                         yield paired(found)
                         found.clear()
         yield paired(found)
 
-    return _dealt(rows, ["key", "p", "q"], ["part", "node"]).mapInArrow(run, "a long, b long").distinct()
+    return _dealt(rows, ["value", "p", "q"], ["part", "node"]).mapInArrow(run, "a long, b long").distinct()
+
+
+def numbered(hashes: np.ndarray) -> list[int]:
+    """The hashes, those that stand more than once with a number on top for each further time."""
+    found = np.sort(hashes).astype(np.uint64)
+    again = np.flatnonzero(found[1:] == found[:-1]) + 1
+    for i in again.tolist():
+        found[i] = found[i - 1] + (np.uint64(1) << np.uint64(32))
+    return found.tolist()
 
 
 def _dealt(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
@@ -266,16 +310,15 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int, per_
     dealt to copies of it, so no task gets all.
     """
     rows = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
-    few = rows.limit(few_ids + 1).count() <= few_ids
-    picked = materialize(texts.select("row", "text").join(F.broadcast(rows) if few else rows, "row", "left_semi"), "minhash-texts")
+    picked = materialize(texts.select("row", "text").join(small(rows, few_ids), "row", "left_semi"), "minhash-texts")
     per_copy = max(per_copy, pairs.count() // FEW_HOT)
     hubs = pairs.groupBy("a").agg(F.count("*").alias("of_a")).where(F.col("of_a") > per_copy)  # fewer than FEW_HOT
     hubs = F.broadcast(hubs.select("a", F.ceil(F.col("of_a") / per_copy).cast("int").alias("copies")))
     one = F.coalesce("copies", F.lit(1))
     dealt = pairs.join(hubs, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), one).cast("int").alias("copy"))
     firsts = pairs.select("a").distinct().join(hubs, "a", "left").select("a", F.explode(F.sequence(F.lit(0), one - 1)).alias("copy"))
-    seconds = dealt.join(picked.withColumnRenamed("row", "b"), "b").select("a", "copy", "b", "text")
-    firsts = firsts.join(picked.withColumnRenamed("row", "a"), "a").select("a", "copy", F.lit(None).cast("long").alias("b"), "text")
+    seconds = picked.withColumnRenamed("row", "b").join(small(dealt, few_ids), "b").select("a", "copy", "b", "text")
+    firsts = picked.withColumnRenamed("row", "a").join(small(firsts, few_ids), "a").select("a", "copy", F.lit(None).cast("long").alias("b"), "text")
     rows = seconds.unionByName(firsts).withColumn("text", F.col("text").cast("binary"))
     both = _dealt(rows, ["a", "copy"], [F.asc_nulls_first("b")])
 
@@ -295,12 +338,13 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int, per_
     return both.mapInArrow(run, "a long, b long, linked boolean")
 
 
-def open_keys(held: DataFrame, tested: DataFrame, labels: DataFrame) -> DataFrame:
+def open_keys(held: DataFrame, tested: DataFrame, labels: DataFrame, few_ids: int) -> DataFrame:
     """Keys in which a pair that may link can be untested between different labels: those of a pair that didn't link, and
     those dealt to parts that have not become one."""
     failed = tested.where("not linked").select("a", "b")
     a, b = held.select("key", F.col("node").alias("a")), held.select("key", F.col("node").alias("b"))
-    by_pair = failed.join(a, "a").join(b, ["key", "b"]).select("key")
+    of_a = materialize(a.join(small(failed, few_ids), "a").select("key", "b"), "minhash-failed")
+    by_pair = b.join(small(of_a, few_ids), ["key", "b"]).select("key")
     named = held.where("parts > 1").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     apart = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
     return by_pair.union(apart).distinct()
@@ -325,8 +369,9 @@ def minhash_duplicates(
 
     Rows of equal sets are one node, whatever their number. Nodes meet in tables whose keys pair a value of one small
     collection of minhashes with a value of another. Within a key only a forest of the pairs that may link is taken, by a
-    bound that no linked pair fails; these pairs are confirmed on the full sets of shingles. Should one not link, all
-    pairs between different components of its keys that may link are confirmed too, so that no candidate is lost.
+    bound that no linked pair fails; these pairs are confirmed on the full sets of shingles. Should one not link, the members
+    of its keys meet again with hashes of their whole sets, and pairs that connect what these connect are confirmed, so
+    that no candidate is lost.
 
     Defined cases: texts without words (null, empty, white space) have an empty set and link with nothing, not even each
     other, so their component is their own id; fewer words than ``width`` are one shingle; rows with a null id link and are
@@ -338,18 +383,24 @@ def minhash_duplicates(
     texts = texts.withColumnRenamed(key, "row")
     sketched = materialize(prints(texts, width), "minhash-prints")
     sets = materialize(sketched.where("n > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("first"), F.count("*").alias("n_rows")), "minhash-sets")
-    nodes = materialize(sketched.withColumnRenamed("row", "node").join(sets.select("node"), "node").select("node", "n", "collections", "counters"), "minhash-nodes")
-    held = members(nodes, part, hot_rows)
+    nodes = materialize(sketched.withColumnRenamed("row", "node").join(small(sets.select("node"), few_ids), "node").select("node", "n", "collections", "counters"), "minhash-nodes")
+    held = members(nodes, part, few_ids, hot_rows)
     pairs = materialize(first_pairs(held, nodes, percent), "minhash-pairs")
     links = materialize(confirmed(pairs, texts, width, percent, per_copy, few_ids), "minhash-links")
     labels = labelled(links)
-    still = materialize(open_keys(held, links, labels), "minhash-open")
+    still = materialize(open_keys(held, links, labels, few_ids), "minhash-open")
     if not still.isEmpty():
-        again = join_groups(held, still, "key", held.where("parts > 1").groupBy("key").agg(F.count("*").alias("met")), "met", hot_rows)
-        more = later_pairs(again, nodes, labels, percent).join(pairs, ["a", "b"], "left_anti")
-        more = materialize(more, "minhash-pairs")
-        links = links.union(materialize(confirmed(more, texts, width, percent, per_copy, few_ids), "minhash-links"))
-        labels = labelled(links)
+        large = held.where("parts > 1").groupBy("key").agg(F.count("*").alias("met"))
+        few = still.count() <= few_ids
+        again = materialize(held.join(F.broadcast(still), "key") if few else join_groups(held, still, "key", large, "met", hot_rows), "minhash-again")
+        hashed = materialize(hash_sets(small(again.select("node").distinct(), few_ids), texts, width), "minhash-hashes")
+        for every in (False, True):
+            more = materialize(later_pairs(again, hashed, labels, percent, part, every).join(links.select("a", "b"), ["a", "b"], "left_anti"), "minhash-pairs")
+            found = materialize(confirmed(more, texts, width, percent, per_copy, few_ids), "minhash-links")
+            links = links.unionByName(found)
+            labels = labelled(links)
+            if found.where("not linked").isEmpty():
+                break  # else two hashes are equal by chance, and a pair that isn't linked may have hidden one that is
     named = sets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = materialize(named.groupBy("label").agg(F.min("first").alias("component_id"), F.count("*").alias("n_sets")), "minhash-smallest")
     of_set = join_groups(named.select("label", "digest"), smallest.drop("n_sets"), "label", smallest, "n_sets", hot_rows).select("digest", "component_id")

@@ -102,6 +102,43 @@ def test_no_linked_pair_fails_the_bound():
                 assert may[i, j] or 100 * len(a & b) < 80 * len(a | b)
 
 
+@pytest.mark.parametrize("every", [False, True])
+def test_pairs_between_labels(every):
+    """Unless all are asked for, the pairs connect what all connect; numbered hashes never give too small an intersection."""
+    rng = random.Random(6)
+    sets = [minhash.shingles(t.encode(), 4) for t in family(rng, 80, 25, (2, 6)) + family(rng, 80, 25, (1, 3))]
+    n = np.array(list(map(len, sets)))
+    for modulus in (1 << 32, 50):
+        hashes = [np.array([xxhash.xxh32_intdigest(x) % modulus for x in s], np.uint32) for s in sets]
+        own = [frozenset(minhash.numbered(h)) for h in hashes]
+        assert all(len(o) == len(s) for o, s in zip(own, sets, strict=True))
+        assert all(len(own[i] & own[j]) >= len(sets[i] & sets[j]) for i in range(20) for j in range(20))
+    hashes = [np.array([xxhash.xxh32_intdigest(x) for x in s], np.uint32) for s in sets]
+    own, counts = [frozenset(minhash.numbered(h)) for h in hashes], minhash.counters(np.concatenate(hashes).astype(np.uint64) << np.uint64(32), n)
+    label = np.array([i // 3 for i in range(len(sets))])
+    for side in (np.zeros(len(sets), int), np.arange(len(sets)) % 2):
+        got = list(minhash.between(n, counts, np.zeros(len(sets), bool), own, label, side, 80, every))
+        want = {(i, j) for j in range(len(sets)) for i in range(j) if label[i] != label[j] and (side.max() == 0 or side[i] != side[j]) and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+        if every:
+            assert set(got) == want
+        else:
+            assert set(got) <= want and joined(label, got) == joined(label, want)
+
+
+def joined(label, pairs):
+    """Labels that pairs make one, as a partition."""
+    root = {int(x): int(x) for x in label}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        root[find(int(label[a]))] = find(int(label[b]))
+    return {frozenset(x for x in root if find(x) == r) for r in map(find, root)}
+
+
 def test_agreement_of_values_follows_the_similarity():
     """Of sets of known similarity as many values of a collection agree as the third power of it."""
     rng = np.random.default_rng(1)
