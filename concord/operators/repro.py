@@ -59,7 +59,7 @@ def greedy(rows: DataFrame, cap: int, key: tuple[str, ...], word: str = "word",
         found = stored(first.join(earliest, "_word").where(F.col("_at") == F.col("_earliest")).select("_word", "_key", "_at"), "greedy-kept")
         if found.isEmpty():
             return named.join(kept.select("_at"), "_at", "left_semi").drop("_key", "_at")
-        kept = stored(kept.unionByName(found), "greedy-all")
+        kept = kept.unionByName(found)  # written parts, one a round
 
 
 def chosen(corpus: DataFrame, sources: list[str], base: str, n: int = 10, cap: int = 2, pool: int = 200, shards: int = 5, at_least: int = 0, complete: bool = True) -> DataFrame:
