@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from concord.llm.common import fresh_path, materialize
 
+#: Files of the old layout: rows of a line that the flow cuts, rows whose text stands in several old shards, heavy ones.
+LINED, SHARED, HEAVY = 0, 1, 2
 #: Blocks of an old shard, by the hash of the text; equal texts share a block.
 #: Each falls into one or two shards, so the blocks of a task bound the files it writes.
 BLOCKS = 48
@@ -108,29 +112,31 @@ def min_cost_flow(sizes: list[int], caps: list[int]) -> dict[tuple[int, int], in
     return {(to[e ^ 1], to[e] - n): room[e ^ 1] for o in range(n) for e in graph[o] if n <= to[e] < n + m and room[e ^ 1] > 0}
 
 
-def reshard(docs: DataFrame, old_shard: Column, n_old: int, n_new: int, path: str, id_col: str = "doc_id", text_col: str = "text") -> dict[tuple[int, int], int]:
-    """Write ``docs`` to ``path`` as ``shard=<k>`` folders of ``doc_id, text, size, block, rn`` and return the flow.
+@dataclass(frozen=True)
+class Plan:
+    """Where rows stand and where they go. ``rows(df)`` adds ``was``, ``kind``, ``block`` (the file of the old layout),
+    ``pieces`` (cuts of its line) and ``shard`` to rows with ``doc_id, size, old, th, b1``; ``slim`` are such rows without texts."""
 
-    ``old_shard`` is an expression over ``docs`` in [0, n_old). Rows of an old shard stand in one line, ordered by block
-    (hash of the text), text hash and id; the flow cuts that line. Equal texts of several old shards stand on one line, that
-    of their smallest id; large groups are placed as a whole first; a group over WHOLE_GROUP of a shard that no shard has room
-    for is spread (``kept_whole``). Only sums per block meet on the driver: at most
-    ``n_old * BLOCKS`` rows, PARTS or a row per PART_BYTES of each block that is too large, and the few heavy documents and
-    groups. The texts move in one exchange, and in one more
-    where the table of groups on several lines is too large to be broadcast.
-    Each ``(shard, block)`` numbers its rows from 1 in ``rn``.
+    rows: Callable[[DataFrame], DataFrame]
+    slim: DataFrame
+    flow: dict[tuple[int, int], int]
+    total: int
 
-    Defined cases: a null text counts 8 bytes and equals no group but the other null and empty texts; null ids are
-    ordered first; repeated rows are rows of their own; an empty table writes an empty dataset.
-    """
+
+def sized(docs: DataFrame, old_shard: Column, id_col: str, text_col: str) -> DataFrame:
     text = F.col(text_col).cast("string")
-    base = docs.select(
+    return docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         text.alias("text"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"),
         F.coalesce(old_shard, F.lit(0)).cast("int").alias("old"),
         F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"),
     ).withColumn("b1", F.pmod(F.col("th"), F.lit(BLOCKS)).cast("int"))
+
+
+def plan(base: DataFrame, n_old: int, n_new: int) -> Plan:
+    """Block transfers that bring the rows of ``sized`` into ``n_new`` shards of near equal bytes; reads texts once, for their sizes."""
+    spark = base.sparkSession
     slim = materialize(base.drop("text"), "shard-sizes")
     total = slim.agg(F.sum("size")).first()[0] or 0
     most, whole = (max(1, int(total / n_new * x)) for x in (LARGE_GROUP, WHOLE_GROUP))
@@ -141,51 +147,53 @@ def reshard(docs: DataFrame, old_shard: Column, n_old: int, n_new: int, path: st
     kept = kept_whole([r.b for r in large_groups], capacities(total, n_new), whole)
     hot = [r.th for r, k in zip(large_groups, kept, strict=True) if not k]
     homes = groups.where(F.col("b") <= most).select("th", "home")
+    several = not homes.isEmpty()
 
     # the rows of a group too large for one shard are told apart by the hash of their id
-    own = F.when(F.col("th").isin(hot), F.xxhash64("doc_id")).otherwise(F.lit(0)) if hot else F.lit(0)
-    single = slim.where(F.col("th").isin(hot) & (F.col("size") > most)) if hot else slim.where("false")
-    single = single.groupBy("th", own.cast("long").alias("own")).agg(F.sum("size").alias("b"), F.min("old").alias("old")).orderBy("th", "own").collect()  # at most n_new / LARGE_GROUP rows
+    is_hot = F.col("th").isin(hot) if hot else F.lit(False)
+    own = F.when(is_hot, F.xxhash64("doc_id")).otherwise(F.lit(0)).cast("long")
+    single = slim.where(is_hot & (F.col("size") > most)).groupBy("th", own.alias("own")).agg(F.sum("size").alias("b"), F.min("old").alias("old")).orderBy("th", "own").collect()  # at most n_new / LARGE_GROUP rows
     heavy = [(r.th, 0, r.b, r.home) for r, k in zip(large_groups, kept, strict=True) if k] + [(r.th, r.own, r.b, r.old) for r in single]
     placed_at = place_heavy([(b, o) for _, _, b, o in heavy], capacities(total, n_new))
     load = [0] * n_new
     for (_, _, b, _), s in zip(heavy, placed_at, strict=True):
         load[s] += b
-    spark = docs.sparkSession
     heavy_at = F.broadcast(spark.createDataFrame([(th, o, s) for (th, o, _, _), s in zip(heavy, placed_at, strict=True)], "th long, own long, heavy_shard int"))
     limit = max(1, min(total // n_new // 4, PART_BYTES))
-    heavy_parts = max(1, -(-max(load) // limit))
 
     def lined(df: DataFrame) -> DataFrame:
-        """Rows with their line and block. Heavy groups and documents are line -1, with a block per shard; a group on several
-        old lines stands on that of its smallest id; other rows stay where they are."""
-        salt = F.when(F.col("th").isin(hot), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 16)).cast("int") + 1).otherwise(F.lit(0)) if hot else F.lit(0)
+        """Rows with the old shard they stand in (``was``) and the line the flow cuts them from (``old``): that of the smallest
+        id for groups of several old shards, -1 for heavy groups and documents."""
+        df = df.withColumn("was", F.col("old")).withColumn("home", F.lit(None).cast("int"))
         if several:
-            df = df.withColumn("salt", salt).join(homes.withColumn("salt", F.lit(0)), ["th", "salt"], "left").withColumn("old", F.coalesce("home", "old")).drop("home", "salt")
-        found = df.withColumn("own", own.cast("long")).join(heavy_at, ["th", "own"], "left").drop("own")
-        if hot:  # of a hot group only documents that are heavy by themselves are placed one by one
-            found = found.withColumn("heavy_shard", F.when(~F.col("th").isin(hot) | (F.col("size") > most), F.col("heavy_shard")))
-        alone = F.col("heavy_shard").isNotNull()
-        return found.withColumn("old", F.when(alone, F.lit(-1)).otherwise(F.col("old"))).withColumn("b1", F.when(alone, F.col("heavy_shard")).otherwise(F.col("b1")))
+            salt = F.when(is_hot, F.pmod(F.xxhash64("doc_id"), F.lit(1 << 16)).cast("int") + 1).otherwise(F.lit(0))
+            df = df.drop("home").withColumn("salt", salt).join(homes.withColumn("salt", F.lit(0)), ["th", "salt"], "left").drop("salt")
+        found = df.withColumn("own", own).join(heavy_at, ["th", "own"], "left")
+        # of a hot group only documents that are heavy by themselves are placed one by one
+        found = found.withColumn("heavy_shard", F.when(~is_hot | (F.col("size") > most), F.col("heavy_shard")))
+        kind = F.when(F.col("heavy_shard").isNotNull(), HEAVY).when(F.col("home").isNotNull(), SHARED).otherwise(LINED)
+        return found.withColumn("kind", kind).withColumn("old", F.when(F.col("kind") == HEAVY, -1).otherwise(F.coalesce("home", "old"))).drop("home")
 
-    several = not homes.isEmpty()
-    base, slim = lined(base), materialize(lined(slim), "shard-lines").where("old >= 0")
-    rows = slim.groupBy("old", "b1").agg(F.sum("size").alias("b")).collect()
+    slim = materialize(lined(slim), "shard-lines")
+    rows = slim.where("old >= 0").groupBy("old", "b1").agg(F.sum("size").alias("b")).collect()
     sizes = [sum(r.b for r in rows if r.old == o) for o in range(n_old)]
-    caps = levelled(sum(sizes), load)
-    flow = min_cost_flow(sizes, caps)
+    flow = min_cost_flow(sizes, levelled(sum(sizes), load))
     large = {(r.old, r.b1): max(PARTS, -(-r.b // PART_BYTES)) for r in rows if r.b > limit}
     by_id, by_text = (F.pmod(h, F.col("n_parts")).cast("int") for h in (F.xxhash64("doc_id"), F.shiftright("th", 20)))
-    part = F.when(F.col("th").isin(hot), by_id).otherwise(by_text) if hot else by_text
-    split = F.col("n_parts").isNotNull()
+    # files of rows that stand in no line, by the fullest old shard
+    loose = {r.kind: max(1, -(-r.b // PART_BYTES)) for r in slim.where(F.col("kind") != LINED).groupBy("kind", "was").agg(F.sum("size").alias("b")).groupBy("kind").agg(F.max("b").alias("b")).collect()}
+    most_parts = max(large.values(), default=1)
     # a row per block at most; heavy documents (old -1) have none
     cut_up = F.broadcast(spark.createDataFrame([(o, b, n) for (o, b), n in sorted(large.items())], "old int, b1 int, n_parts int"))
-    base, slim = (df.join(cut_up, ["old", "b1"], "left").withColumn("b2", F.when(split, part).when(F.col("old") < 0, F.pmod(F.xxhash64("doc_id"), F.lit(heavy_parts)).cast("int")).otherwise(F.lit(0))) for df in (base, slim))
-    parts = {(r.old, r.b1, 0): r.b for r in rows if (r.old, r.b1) not in large}
-    if large:
-        parts |= {(r.old, r.b1, r.b2): r.b for r in slim.where(split).groupBy("old", "b1", "b2").agg(F.sum("size").alias("b")).collect()}
 
-    most_parts = max(large.values(), default=1)
+    def filed(df: DataFrame) -> DataFrame:
+        df = df.join(cut_up, ["old", "b1"], "left").withColumn("b2", F.when(F.col("n_parts").isNull(), 0).when(is_hot, by_id).otherwise(by_text))
+        block = F.when(F.col("kind") == LINED, F.col("b1").cast("long") * most_parts + F.col("b2"))
+        block = block.when(F.col("kind") == SHARED, F.pmod(F.shiftright("th", 20), F.lit(loose.get(SHARED, 1))))
+        return df.withColumn("block", block.otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(loose.get(HEAVY, 1))))).drop("n_parts")
+
+    slim = filed(slim)
+    parts = {(r.old, r.b1, r.b2): r.b for r in slim.where("old >= 0").groupBy("old", "b1", "b2").agg(F.sum("size").alias("b")).collect()} if large else {(r.old, r.b1, 0): r.b for r in rows}
     starts, at = [], {}
     for (o, b1, b2), size in sorted(parts.items()):
         starts.append((o, b1, b2, at.get(o, 0)))
@@ -197,45 +205,110 @@ def reshard(docs: DataFrame, old_shard: Column, n_old: int, n_new: int, path: st
             mine.append((lo, s))
             lo += flow[o, s]
         cuts.append((o, mine or [(0, o % n_new)]))
-    starts += [(-1, s, k, 0) for s in range(n_new) for k in range(heavy_parts)]
-    cuts.append((-1, [(0, 0)]))
     # the first table has a row per part, the second one per old shard
     start = F.broadcast(spark.createDataFrame(starts, "old int, b1 int, b2 int, start long"))
     cut = F.broadcast(spark.createDataFrame(cuts, "old int, cuts array<struct<lo: long, shard: int>>"))
-    block = Window.partitionBy("old", "b1", "b2")
-    line = block.orderBy("th", F.col("doc_id").asc_nulls_first())
-    group = Window.partitionBy("old", "b1", "b2", "th")
-    # as many tasks as the bytes need, however few the session has by default
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))
-    placed = (
-        base.repartition(tasks, "old", "b1", "b2")
-        .join(start, ["old", "b1", "b2"])
-        .join(cut, "old")
-        .withColumn("own", F.col("start") + F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-        .withColumn("first", F.min("own").over(group))
-        .withColumn("group_bytes", F.sum("size").over(group))
-        .withColumn("pos", F.when(F.col("group_bytes") <= most, F.col("first")).otherwise(F.col("own")))
-        .withColumn("shard", F.coalesce("heavy_shard", F.expr("element_at(filter(cuts, c -> c.lo <= pos), -1).shard")))
-        .withColumn("block", F.when(F.col("old") < 0, -1 - F.col("b2")).otherwise((F.col("old") * BLOCKS + F.col("b1")) * most_parts + F.col("b2")))
-        .withColumn("rn", F.row_number().over(Window.partitionBy("old", "b1", "b2", "shard").orderBy("th", F.col("doc_id").asc_nulls_first())))
-    )
-    placed.select("doc_id", "text", "size", "block", "rn", "shard").write.option("compression", "zstd").partitionBy("shard").parquet(path)
-    return flow
+    line = Window.partitionBy("old", "b1", "b2").orderBy("th", "own").rowsBetween(Window.unboundedPreceding, 0)
+    texts = slim.where("old >= 0").groupBy("old", "b1", "b2", "th", "own").agg(F.sum("size").alias("b"), F.sum((F.col("kind") == LINED).cast("long")).alias("n"))
+    texts = texts.withColumn("pos", F.sum("b").over(line) - F.col("b")).join(start, ["old", "b1", "b2"]).join(cut, "old")
+    texts = texts.withColumn("shard", F.expr("element_at(filter(cuts, c -> c.lo <= start + pos), -1).shard"))
+    # where a line is cut inside a part: a row per part, and one more per transfer
+    pieces = texts.groupBy("old", "b1", "b2", "shard").agg(F.min(F.struct("th", "own")).alias("first"), F.sum("n").alias("n"))
+    before = Window.partitionBy("old", "b1", "b2").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.withColumn("rows_before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    pieces = materialize(pieces.groupBy("old", "b1", "b2").agg(F.sort_array(F.collect_list(F.struct("first", "shard", "rows_before"))).alias("pieces")), "shard-pieces")
+
+    def to_shards(df: DataFrame) -> DataFrame:
+        found = df.join(F.broadcast(pieces), ["old", "b1", "b2"], "left")
+        mine = "element_at(filter(pieces, p -> p.first.th < th or (p.first.th = th and p.first.own <= own)), -1)"
+        return found.withColumn("piece", F.expr(f"case when old >= 0 then {mine} end")).withColumn("shard", F.coalesce("heavy_shard", "piece.shard"))
+
+    return Plan(lambda df: to_shards(filed(lined(df))), to_shards(slim), flow, total)
+
+
+def write_layout(base: DataFrame, where: Plan, path: str) -> None:
+    """The layout before: a file per old shard and block, rows numbered from 1 in ``rn`` by the hash of the text. Each row
+    carries the shard it is to have, so that rewriting reads a file without looking anything up.
+
+    Rows whose text stands in several old shards, and heavy ones, are in files apart, so that a transfer of blocks
+    leaves the others as they are. The texts move in one exchange, to as many tasks as the bytes need.
+    """
+    tasks = max(int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-where.total // TASK_BYTES))
+    rows = where.rows(base).repartition(tasks, "was", "kind", "block")
+    order = Window.partitionBy("was", "kind", "block").orderBy("th", "own", F.col("doc_id").asc_nulls_first())
+    rows = rows.withColumn("rn", F.row_number().over(order).cast("long")).withColumn("rows_before", F.col("piece.rows_before"))
+    rows.select("doc_id", "text", "size", "shard", "rn", "rows_before", "was", "kind", "block").write.option("compression", "zstd").partitionBy("was", "kind", "block").parquet(path)
+
+
+def rewrite(layout: DataFrame, files: DataFrame, path: str) -> None:
+    """Write the rows of the files that don't stay to ``path``, by new shard; rows of lines keep their order and don't move
+    between tasks, groups from several shards and heavy ones meet in one exchange."""
+    moved = layout.join(F.broadcast(files.where(~F.col("kept")).select("was", "kind", "block")), ["was", "kind", "block"])
+    columns = ["doc_id", "text", "size", "was", "kind", "block", "rn", "shard"]
+    cut = moved.where(F.col("kind") == LINED).withColumn("rn", F.col("rn") - F.col("rows_before"))
+    file = ["was", "kind", "block", "shard"]
+    loose = moved.where(F.col("kind") != LINED).withColumn("rn", F.row_number().over(Window.partitionBy(*file).orderBy("rn")).cast("long"))
+    cut.select(*columns).unionByName(loose.select(*columns)).write.option("compression", "zstd").partitionBy("shard").parquet(path)
+
+
+def reshard(docs: DataFrame, old_shard: Column, n_old: int, n_new: int, path: str, id_col: str = "doc_id", text_col: str = "text") -> dict[tuple[int, int], int]:
+    """Write ``docs`` in their old layout to ``path/old``, bring them into ``n_new`` shards and return the flow.
+
+    ``old_shard`` is an expression over ``docs`` in [0, n_old). Rows of an old shard stand in one line, ordered by block
+    (hash of the text), text hash and id; the flow cuts that line. Files of the layout whose rows all stay are left alone;
+    the others are written anew to ``path/new`` by shard. ``path/files`` has a row per file: its rows, bytes, moved bytes
+    and whether it is kept. ``read_shards`` reads both.
+
+    Equal texts of several old shards stand on one line, that
+    of their smallest id; large groups are placed as a whole first; a group over WHOLE_GROUP of a shard that no shard has room
+    for is spread (``kept_whole``). Only sums per block meet on the driver: at most
+    ``n_old * BLOCKS`` rows, PARTS or a row per PART_BYTES of each block that is too large, and the few heavy documents and
+    groups; cuts and files are tables of that size. The texts move in one exchange, and in one more
+    where the table of groups on several lines is too large to be broadcast. Places are computed without texts.
+
+    Defined cases: a null text counts 8 bytes and equals no group but the other null and empty texts; null ids are
+    ordered first; repeated rows are rows of their own (of a group that is spread, rows of equal id stay together); an
+    empty table writes an empty dataset.
+    """
+    base = sized(docs, old_shard, id_col, text_col)
+    where = plan(base, n_old, n_new)
+    moves = (F.col("shard") != F.col("was")).cast("long")
+    files = where.slim.groupBy("was", "kind", "block").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"), F.sum(moves * F.col("size")).alias("moved_bytes"), F.max(moves).alias("moves"))
+    files.withColumn("kept", (F.col("kind") == LINED) & (F.col("moves") == 0)).drop("moves").write.parquet(f"{path}/files")
+    spark = docs.sparkSession
+    write_layout(base, where, f"{path}/old")
+    rewrite(old_layout(spark, path), old_files(spark, path), f"{path}/new")
+    return where.flow
+
+
+def old_layout(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("doc_id long, text string, size long, shard int, rn long, rows_before long, was int, kind int, block long").parquet(f"{path}/old")
+
+
+def old_files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("was int, kind int, block long, rows long, bytes long, moved_bytes long, kept boolean").parquet(f"{path}/files")
 
 
-def read_shards(spark, path: str) -> DataFrame:
-    """The written rows with ``slot``, gapless from 0 in every shard, in the order of blocks."""
-    rows = spark.read.schema("doc_id long, text string, size long, block int, rn int, shard int").parquet(path)
-    counts = rows.groupBy("shard", "block").agg(F.count("*").alias("n"))  # at most shards * blocks rows
-    before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("shard", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
-    return rows.join(F.broadcast(offsets), ["shard", "block"]).withColumn("slot", (F.col("_before") + F.col("rn") - 1).cast("long")).drop("_before")
+def read_shards(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of kept and of rewritten files with ``was`` (the old shard), ``rewritten`` and ``slot``, gapless from 0 in every
+    shard, in the order of old shards and their blocks."""
+    file = ["was", "kind", "block"]
+    columns = ["doc_id", "text", "size", *file, "rn", "shard", "rewritten"]
+    kept = F.broadcast(old_files(spark, path).where(F.col("kept") == F.lit(True)).select(*file))
+    stay = old_layout(spark, path).join(kept, file).withColumn("rewritten", F.lit(False)).select(*columns)
+    new = spark.read.schema("doc_id long, text string, size long, was int, kind int, block long, rn long, shard int").parquet(f"{path}/new")
+    rows = stay.unionByName(new.withColumn("rewritten", F.lit(True)).select(*columns))
+    counts = rows.groupBy("shard", *file).agg(F.count("*").alias("n"))  # a row per file, and one more per transfer
+    before = Window.partitionBy("shard").orderBy(*file).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("shard", *file, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    return rows.join(F.broadcast(offsets), ["shard", *file]).withColumn("slot", (F.col("_before") + F.col("rn") - 1).cast("long")).drop("_before", "rn")
 
 
 def reshard_documents(docs: DataFrame, n_old: int = 20, n_new: int = 24, group_col: str = "source") -> DataFrame:
-    """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` as read back from the rewritten shards.
+    """``doc_id, size, text_crc32, law, shard, slot, grown_shard, old_shard, rewritten`` as read back from the shards.
 
-    The old layout has one shard per hash of ``group_col``, so it is as skewed as the sources are.
+    The old layout has one shard per hash of ``group_col``, so it is as skewed as the sources are. ``rewritten`` is false for
+    rows whose file stayed as it was.
     """
     path = fresh_path(docs.sparkSession, "shards")
     reshard(docs, F.pmod(F.xxhash64(F.coalesce(F.col(group_col).cast("string"), F.lit(""))), F.lit(n_old)), n_old, n_new, path)
@@ -247,4 +320,6 @@ def reshard_documents(docs: DataFrame, n_old: int = 20, n_new: int = 24, group_c
         "shard",
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
+        F.col("was").alias("old_shard"),
+        "rewritten",
     )

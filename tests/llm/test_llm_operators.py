@@ -550,6 +550,33 @@ def test_equal_texts_stay_together(spark, one_source):
     assert all(sorted(x) == list(range(len(x))) for x in slots.values())
 
 
+def test_only_affected_files_are_rewritten(spark, tmp_path):
+    """Bytes moved are the flow's but for texts at the cuts; files that stay hold their rows alone, the others none that are read."""
+    rows = [(i, f"text number {i} " + "x" * (i % 50), i % 4 if i % 3 else 0) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, old int")
+    flow = sharding.reshard(df, F.col("old"), 4, 6, str(tmp_path))
+    files = sharding.old_files(spark, str(tmp_path)).collect()
+    transfers = [x for (o, s), x in flow.items() if o != s]
+    assert abs(sum(r.moved_bytes for r in files) - sum(transfers)) < 100 * len(flow) and sum(r.rows for r in files) == 20_000
+    got = sharding.read_shards(spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.was for r in got} == {i: o for i, _, o in rows} and len(got) == 20_000
+    assert all(r.shard == r.was for r in got if not r.rewritten)
+    assert sum(r["size"] for r in got if not r.rewritten) == sum(r.bytes for r in files if r.kept) > 0
+    assert sum(r["size"] for r in got if r.shard != r.was) == sum(r.moved_bytes for r in files)
+    # at most one file per transfer holds rows that stay beside rows that go
+    assert sum(0 < r.moved_bytes < r.bytes for r in files) <= len(flow)
+    assert spark.read.parquet(f"{tmp_path}/new").count() == sum(r.rows for r in files if not r.kept)
+
+
+def test_nothing_moves_between_equal_layouts(spark, tmp_path):
+    df = spark.range(4000).selectExpr("id as doc_id", "concat('text number ', lpad(id, 6, '0')) as text")
+    flow = sharding.reshard(df, (F.col("doc_id") % 4).cast("int"), 4, 4, str(tmp_path))
+    assert set(flow) == {(k, k) for k in range(4)} and all(r.kept and r.moved_bytes == 0 for r in sharding.old_files(spark, str(tmp_path)).collect())
+    got = sharding.read_shards(spark, str(tmp_path)).collect()
+    assert len(got) == 4000 and all(r.shard == r.doc_id % 4 and not r.rewritten for r in got)
+    assert sorted((r.shard, r.slot) for r in got) == [(k, i) for k in range(4) for i in range(1000)]
+
+
 def test_no_group_of_the_documents_is_split(docs):
     at, load = defaultdict(set), Counter()
     for r in sharding.reshard_documents(docs).join(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id").collect():
