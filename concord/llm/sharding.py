@@ -120,7 +120,7 @@ class Plan:
     rows: Callable[[DataFrame], DataFrame]
     slim: DataFrame
     flow: dict[tuple[int, int], int]
-    total: int
+    tasks: int
 
 
 def sized(docs: DataFrame, old_shard: Column, id_col: str, text_col: str) -> DataFrame:
@@ -180,8 +180,8 @@ def plan(base: DataFrame, n_old: int, n_new: int) -> Plan:
     flow = min_cost_flow(sizes, levelled(sum(sizes), load))
     large = {(r.old, r.b1): max(PARTS, -(-r.b // PART_BYTES)) for r in rows if r.b > limit}
     by_id, by_text = (F.pmod(h, F.col("n_parts")).cast("int") for h in (F.xxhash64("doc_id"), F.shiftright("th", 20)))
-    # files of rows that stand in no line, by the fullest old shard
-    loose = {r.kind: max(1, -(-r.b // PART_BYTES)) for r in slim.where(F.col("kind") != LINED).groupBy("kind", "was").agg(F.sum("size").alias("b")).groupBy("kind").agg(F.max("b").alias("b")).collect()}
+    # files of rows that stand in no line, no larger than a part of a line in the fullest old shard
+    loose = {r.kind: max(1, -(-r.b // limit)) for r in slim.where(F.col("kind") != LINED).groupBy("kind", "was").agg(F.sum("size").alias("b")).groupBy("kind").agg(F.max("b").alias("b")).collect()}
     most_parts = max(large.values(), default=1)
     # a row per block at most; heavy documents (old -1) have none
     cut_up = F.broadcast(spark.createDataFrame([(o, b, n) for (o, b), n in sorted(large.items())], "old int, b1 int, n_parts int"))
@@ -223,7 +223,9 @@ def plan(base: DataFrame, n_old: int, n_new: int) -> Plan:
         mine = "element_at(filter(pieces, p -> p.first.th < th or (p.first.th = th and p.first.own <= own)), -1)"
         return found.withColumn("piece", F.expr(f"case when old >= 0 then {mine} end")).withColumn("shard", F.coalesce("heavy_shard", "piece.shard"))
 
-    return Plan(lambda df: to_shards(filed(lined(df))), to_shards(slim), flow, total)
+    # as many tasks as the bytes need, however few the session has by default
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))
+    return Plan(lambda df: to_shards(filed(lined(df))), to_shards(slim), flow, tasks)
 
 
 def write_layout(base: DataFrame, where: Plan, path: str) -> None:
@@ -233,21 +235,20 @@ def write_layout(base: DataFrame, where: Plan, path: str) -> None:
     Rows whose text stands in several old shards, and heavy ones, are in files apart, so that a transfer of blocks
     leaves the others as they are. The texts move in one exchange, to as many tasks as the bytes need.
     """
-    tasks = max(int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-where.total // TASK_BYTES))
-    rows = where.rows(base).repartition(tasks, "was", "kind", "block")
+    rows = where.rows(base).repartition(where.tasks, "was", "kind", "block")
     order = Window.partitionBy("was", "kind", "block").orderBy("th", "own", F.col("doc_id").asc_nulls_first())
     rows = rows.withColumn("rn", F.row_number().over(order).cast("long")).withColumn("rows_before", F.col("piece.rows_before"))
     rows.select("doc_id", "text", "size", "shard", "rn", "rows_before", "was", "kind", "block").write.option("compression", "zstd").partitionBy("was", "kind", "block").parquet(path)
 
 
-def rewrite(layout: DataFrame, files: DataFrame, path: str) -> None:
+def rewrite(layout: DataFrame, files: DataFrame, tasks: int, path: str) -> None:
     """Write the rows of the files that don't stay to ``path``, by new shard; rows of lines keep their order and don't move
     between tasks, groups from several shards and heavy ones meet in one exchange."""
     moved = layout.join(F.broadcast(files.where(~F.col("kept")).select("was", "kind", "block")), ["was", "kind", "block"])
     columns = ["doc_id", "text", "size", "was", "kind", "block", "rn", "shard"]
     cut = moved.where(F.col("kind") == LINED).withColumn("rn", F.col("rn") - F.col("rows_before"))
     file = ["was", "kind", "block", "shard"]
-    loose = moved.where(F.col("kind") != LINED).withColumn("rn", F.row_number().over(Window.partitionBy(*file).orderBy("rn")).cast("long"))
+    loose = moved.where(F.col("kind") != LINED).repartition(tasks, *file).withColumn("rn", F.row_number().over(Window.partitionBy(*file).orderBy("rn")).cast("long"))
     cut.select(*columns).unionByName(loose.select(*columns)).write.option("compression", "zstd").partitionBy("shard").parquet(path)
 
 
@@ -277,7 +278,7 @@ def reshard(docs: DataFrame, old_shard: Column, n_old: int, n_new: int, path: st
     files.withColumn("kept", (F.col("kind") == LINED) & (F.col("moves") == 0)).drop("moves").write.parquet(f"{path}/files")
     spark = docs.sparkSession
     write_layout(base, where, f"{path}/old")
-    rewrite(old_layout(spark, path), old_files(spark, path), f"{path}/new")
+    rewrite(old_layout(spark, path), old_files(spark, path), where.tasks, f"{path}/new")
     return where.flow
 
 
