@@ -883,7 +883,7 @@ def w2(spark, sf):
 
 @query("w7_l1_reproducers", f"with {SPEC}, {KEPT('category, spec', 'shard < 5')} select word, category, tool, spec, actual, rank from ({FIRST_TEN})")
 def w7(spark, sf):
-    return repro.chosen(full_corpus(spark, sf), SOURCES, "base").select("word", "category", "tool", "spec", "actual", F.col("rank").cast("long").alias("rank"))
+    return repro.chosen(stored(full_corpus(spark, sf), "corpus"), SOURCES, "base").select("word", "category", "tool", "spec", "actual", F.col("rank").cast("long").alias("rank"))
 
 
 @query("w7_preferred_first", f"with {CORPUS}, x as (select {HEX} as word, category, row_number() over (order by case when category = 'VALIDITY' then 1 else 0 end, shard, tier, word) - 1 as rank from co) select * from x where rank < 1200")
@@ -893,7 +893,7 @@ def w7b(spark, sf):
 
 @query("l2_first_shards", f"with {CORPUS} select {HEX} as word, shard from co where shard >= 2 qualify dense_rank() over (order by shard) <= 3")
 def l2(spark, sf):
-    return repro.first_shards(full_corpus(spark, sf), 3, 2).select("word", "shard")
+    return repro.first_shards(stored(full_corpus(spark, sf), "corpus"), 3, 2).select("word", "shard")
 
 
 @query("l4_ordered_output", f"with {CORPUS} select shard, {HEX} as word, row_number() over (partition by shard order by tier, word) as place from co")
@@ -907,7 +907,7 @@ def l4(spark, sf):
 @query("k6_s14_reproducer_files", f"with {SPEC}, {KEPT('category, spec', 'shard < 5')} select printf('%02d', rank) || '-' || word as file, word, category, tool, spec, actual from ({FIRST_TEN})")
 def k6(spark, sf):
     path = fresh_path(spark, "reproducers")
-    records.write_reproducers(repro.render_reproducers(repro.chosen(full_corpus(spark, sf), SOURCES, "base")), path)
+    records.write_reproducers(repro.render_reproducers(repro.chosen(stored(full_corpus(spark, sf), "corpus"), SOURCES, "base")), path)
     return records.read_reproducers(spark, path)
 
 

@@ -43,7 +43,8 @@ def text_tier(texts: DataFrame, sources: list[str], comparable: list[str], shard
     category = record_category([(F.col(s), F.col(f"{s}_norm")) for s in comparable])
     names = F.array(*map(F.lit, sources))
     valid, text = F.map_from_arrays(names, F.array(*(F.col(s).isNotNull() for s in sources))), F.map_from_arrays(names, F.array(*map(F.col, sources)))
-    return rows.withColumn("_category", category).where("_category is not null").select(*record(F.col("word"), F.col("_category"), valid, text, shard_bits, 1))
+    # exploded, as a filter on a plain column would be pushed below the normalized texts and compute them once more
+    return rows.withColumn("_category", F.explode(F.array(category))).where("_category is not null").select(*record(F.col("word"), F.col("_category"), valid, text, shard_bits, 1))
 
 
 def merged(verdicts: DataFrame, texts: DataFrame) -> DataFrame:

@@ -8,13 +8,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from concord.sources.scratch import stored
 
 #: Bits of a word that one level decides.
 STEP = 4
+#: Rules of a task before they are dealt to nodes, which multiplies them from level to level.
+RULES_PER_TASK = 1000
 #: Links of a level that are broadcast (16 bytes each).
 FEW_LINKS = 4_000_000
 
@@ -48,8 +50,10 @@ def _bits(c: Column | str, shift: int, bits: int) -> Column:
     return F.shiftright(c, shift).bitwiseAND((1 << bits) - 1)
 
 
-def _values(bits: int) -> Column:
-    return F.sequence(F.lit(0), F.lit((1 << bits) - 1)).cast("array<long>")
+def _allowed(spark: SparkSession, bits: int) -> DataFrame:
+    """``m, v, x``: the values ``x`` of these bits that a rule with mask ``m`` and value ``v`` allows, ``4 ** bits`` rows."""
+    values = range(1 << bits)
+    return spark.createDataFrame([(m, x & m, x) for m in values for x in values], "m long, v long, x long")
 
 
 def build(rules: DataFrame, width: int, step: int = STEP, most_rows: int | None = None) -> Dag | None:
@@ -58,20 +62,22 @@ def build(rules: DataFrame, width: int, step: int = STEP, most_rows: int | None
     Rules of equal mask and value are one until the leaves. Bits that no rule of a node fixes lead to one next node for all
     their values, so rules that leave the first bits open are not copied by them.
     """
-    alike = stored(rules.groupBy("mask", "value").agg(F.min("rule_id").alias("lowest"), F.count("*").alias("n")), "dag-alike")
+    spark = rules.sparkSession
+    # their number multiplies later, so that a small table is dealt to all cores at once
+    n_tasks = min(spark.sparkContext.defaultParallelism, 1 + rules.count() // RULES_PER_TASK)
+    alike = stored(rules.repartition(n_tasks, "mask", "value").groupBy("mask", "value").agg(F.min("rule_id").alias("lowest"), F.count("*").alias("n")), "dag-alike")
     # two independent 64-bit hashes; a set's name is their bitwise sums, which need no order
     seeded = lambda seed: F.xxhash64(F.lit(seed), "mask", "value")
-    held = alike.select(F.lit(0).cast("long").alias("node"), "mask", "value", seeded(1).alias("h1"), seeded(2).alias("h2"))
+    held = alike.select(F.lit(0).cast("long").alias("node"), "mask", "value")
     levels = []
     for top in range(width, 0, -step):
         bits = min(step, top)
         shift = top - bits
-        mask, value = _bits("mask", shift, bits), _bits("value", shift, bits)
-        found = F.filter(_values(bits), lambda v: v.bitwiseAND(mask) == value)
-        below = held.withColumn("at", F.explode(F.transform(found, lambda v: v + F.col("node") * (1 << bits)))).drop("node")
-        named = stored(below.groupBy("at").agg(F.bit_xor("h1").alias("s"), F.bit_xor("h2").alias("t")), "dag-named")
+        met = held.withColumn("m", _bits("mask", shift, bits)).withColumn("v", _bits("value", shift, bits)).join(F.broadcast(_allowed(spark, bits)), ["m", "v"])
+        below = met.select("mask", "value", (F.col("node") * (1 << bits) + F.col("x")).alias("at"))
+        named = below.groupBy("at").agg(F.bit_xor(seeded(1)).alias("s"), F.bit_xor(seeded(2)).alias("t"))
         # of the places with the same set one stands for it, and gives it its number
-        links = stored(named.join(named.groupBy("s", "t").agg(F.min("at").alias("next")), ["s", "t"]).select("at", "next"), "dag-links")
+        links = stored(named.select("at", F.min("at").over(Window.partitionBy("s", "t")).alias("next")), "dag-links")
         levels.append(Level(shift, bits, links, links.count()))
         nodes = links.select(F.col("next").alias("node")).distinct()
         few = levels[-1].n_links <= FEW_LINKS
@@ -107,6 +113,7 @@ def weights(dag: Dag) -> DataFrame:
     for level in dag.levels:
         from_, of = F.shiftright("at", level.bits).alias("node"), level.links
         met = of.select(from_, "next").join(reached, "node")
-        reached = stored(met.groupBy(F.col("next").alias("node")).agg(F.sum("weight").alias("weight")), "dag-weights")
+        reached = met.groupBy(F.col("next").alias("node")).agg(F.sum("weight").alias("weight"))
+    reached = stored(reached, "dag-weights")
     rest = reached.agg((F.lit(1 << dag.width) - F.coalesce(F.sum("weight"), F.lit(0))).alias("weight")).where("weight > 0")
     return reached.unionByName(rest.select(F.lit(None).cast("long").alias("node"), "weight"))

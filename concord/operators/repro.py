@@ -67,7 +67,8 @@ def chosen(corpus: DataFrame, sources: list[str], base: str, n: int = 10, cap: i
 
     Of the first shards the records that a loop keeps which takes each word once and at most ``cap`` per (category,
     baseline's answer), the first ``pool`` of these in encounter order; then preferred categories before VALIDITY. Fewer
-    than ``n`` are an error, unless ``complete`` is false.
+    than ``n`` are an error, unless ``complete`` is false. The corpus is read twice, once for its shard ids alone, so it
+    should be a written table.
     """
     rows = displays(first_shards(corpus, shards, at_least), [*sources, base]).withColumn("tool", first_disagreeing(sources, base)).where("tool is not null")
     spec = F.col(f"show_{base}").alias("spec")
