@@ -52,8 +52,8 @@ def _bits(c: Column | str, shift: int, bits: int) -> Column:
 
 def _allowed(spark: SparkSession, bits: int) -> DataFrame:
     """``m, v, x``: the values ``x`` of these bits that a rule with mask ``m`` and value ``v`` allows, ``4 ** bits`` rows."""
-    values = range(1 << bits)
-    return spark.createDataFrame([(m, x & m, x) for m in values for x in values], "m long, v long, x long")
+    m, x = F.shiftright("id", bits), F.col("id").bitwiseAND((1 << bits) - 1)
+    return spark.range(1 << 2 * bits).select(m.alias("m"), x.bitwiseAND(m).alias("v"), x.alias("x"))
 
 
 def build(rules: DataFrame, width: int, step: int = STEP, most_rows: int | None = None) -> Dag | None:
@@ -113,7 +113,6 @@ def weights(dag: Dag) -> DataFrame:
     for level in dag.levels:
         from_, of = F.shiftright("at", level.bits).alias("node"), level.links
         met = of.select(from_, "next").join(reached, "node")
-        reached = met.groupBy(F.col("next").alias("node")).agg(F.sum("weight").alias("weight"))
-    reached = stored(reached, "dag-weights")
+        reached = stored(met.groupBy(F.col("next").alias("node")).agg(F.sum("weight").alias("weight")), "dag-weights")
     rest = reached.agg((F.lit(1 << dag.width) - F.coalesce(F.sum("weight"), F.lit(0))).alias("weight")).where("weight > 0")
     return reached.unionByName(rest.select(F.lit(None).cast("long").alias("node"), "weight"))
