@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +22,9 @@ SECTIONS = ("Decode", "Postdecode")
 #: Classes that are in scope.
 IN_SCOPE = ("general", "advsimd", "float", "fpsimd", "system")
 
+#: Stands in no XML document, nor can be written in one.
+NO_CHARACTER = "\uffff"
+
 
 def read_rule_xml(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
     """One row per document of the row tag, with its text as ``xml``; malformed documents and other root tags give none.
@@ -36,10 +37,16 @@ def read_rule_xml(spark: SparkSession, path: str, separator: str | None = None)
 
 def parse_rule_xml(docs: DataFrame, col: str = "xml") -> DataFrame:
     """The same from a column of whole documents; keeps the text, as ``xml``, for path expressions."""
-    parsed = docs.withColumn("_doc", F.from_xml(F.col(col), SCHEMA, {"rowTag": ROW_TAG}))
     # from_xml takes any root for a row; the document must begin with the row tag, after a prolog or comments
     root = F.col(col).rlike(rf"^\s*(?:<\?(?s:.*?)\?>\s*|<!(?s:.*?)>\s*)*<{ROW_TAG}[\s>/]")
-    return parsed.where(root).select("*", "_doc.*").drop("_doc").where("_id is not null")
+    parsed = once(docs.where(root), "_doc", F.from_xml(F.col(col), SCHEMA, {"rowTag": ROW_TAG}))
+    return parsed.select("*", "_doc.*").drop("_doc").where("_id is not null")
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is computed once a row. It is exploded, as filters and projections on a plain column would
+    be pushed below it and parse the document once more each."""
+    return df.withColumn(name, F.explode(F.array(value)))
 
 
 def extract_boxes(docs: DataFrame) -> DataFrame:
@@ -74,11 +81,12 @@ def extract_rules(docs: DataFrame, allowed: tuple[str, ...] | None = IN_SCOPE) -
 def docvars(docs: DataFrame, xml: str = "xml") -> DataFrame:
     """``docs`` with ``mnemonic`` (first that isn't empty in the whole document, else the id) and ``instr_class`` (the
     first, even if empty). The document must have parsed: paths throw on malformed text."""
-    quoted = f"`{xml}`"
-    mnemonic = F.expr(f"""xpath_string({quoted}, '(//docvar[@key="mnemonic" and @value!=""]/@value)[1]')""")
-    cls = F.expr(f"""xpath_string({quoted}, '(//docvar[@key="instr-class"]/@value)[1]')""")
-    has = F.expr(f"""xpath_boolean({quoted}, '//docvar[@key="instr-class"]')""")
-    return docs.withColumn("mnemonic", F.coalesce(F.nullif(mnemonic, F.lit("")), F.col("_id"))).withColumn("instr_class", F.when(has, cls))
+    mnemonic, cls = '(//docvar[@key="mnemonic" and @value!=""]/@value)[1]', '//docvar[@key="instr-class"]'
+    # one path, as each parses the document anew
+    found = F.xpath_string(F.col(f"`{xml}`"), F.lit(f'concat({mnemonic}, "{NO_CHARACTER}", boolean({cls}), "{NO_CHARACTER}", ({cls}/@value)[1])'))
+    part = lambda i: F.get("_vars", F.lit(i))
+    split = once(docs, "_vars", F.split(found, NO_CHARACTER))
+    return split.withColumn("mnemonic", F.coalesce(F.nullif(part(0), F.lit("")), F.col("_id"))).withColumn("instr_class", F.when(part(1) == "true", part(2))).drop("_vars")
 
 
 def in_scope(cls: Column, allowed: tuple[str, ...] = IN_SCOPE) -> Column:
@@ -89,8 +97,8 @@ def not_fully_defined(xml: Column | str) -> Column:
     """Whether the text of a decoding section, nested tags included, has one of the keywords."""
     name = xml if isinstance(xml, str) else "xml"
     where = " or ".join(f'@section="{s}"' for s in SECTIONS)
-    tests = [F.expr(f"""xpath_boolean(`{name}`, 'count(//pstext[({where}) and contains(string(.),"{w}")]) > 0')""") for w in KEYWORDS]
-    return reduce(lambda a, b: a | b, tests)
+    words = " or ".join(f'contains(string(.),"{w}")' for w in KEYWORDS)
+    return F.xpath_boolean(F.col(f"`{name}`"), F.lit(f"count(//pstext[({where}) and ({words})]) > 0"))  # one path, as each parses the document anew
 
 
 def extract_aliases(docs: DataFrame, allowed: tuple[str, ...] | None = IN_SCOPE) -> DataFrame:

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from concord import bindings
 from concord.functions import alias, classify
 from concord.functions import text as T
 from concord.operators import agree, checks, corpus, dag, hashing, packed, repro, rules, runs, sample
@@ -623,3 +624,21 @@ def test_errors_make_a_shard_incomplete(spark):
     errors = spark.createDataFrame([(1, False), (2, True)], "shard long, triaged boolean")
     got = {r.shard_id: (r.crash_count, r.status) for r in runs.shard_records(long, ALL, shards, errors).collect()}
     assert got == {0: (0, "complete"), 1: (1, "incomplete"), 2: (1, "complete"), 3: (0, "complete")}
+
+
+def test_a_document_is_parsed_once_for_its_variables_and_once_for_its_keywords(spark):
+    docs = spark.createDataFrame([(XML,)], "xml string")
+    found = rule_xml.instructions(rule_xml.docvars(rule_xml.parse_rule_xml(docs))).select("_id", "mnemonic", "instr_class")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert (plan.count('@key="mnemonic"'), plan.count('@key="instr-class"'), plan.count("from_xml(")) == (1, 2, 1)  # one path has both
+    assert [tuple(r) for r in found.collect()] == [("SUBS", "SUBS", "general")]
+    assert docs.select(rule_xml.not_fully_defined("xml"))._jdf.queryExecution().optimizedPlan().toString().count("//pstext") == 1
+
+
+def test_documents_of_parts_are_made_by_all_cores(spark, small):
+    assert bindings.parts(spark, small).count() == bindings.table(spark, small, "part").count()
+    many = spark.range(2000).select(F.col("id").alias("p_partkey"), F.lit(1).alias("p_size"), F.lit("B#1").alias("p_brand"))
+    path = fresh_path(spark, "parts")
+    many.coalesce(1).write.parquet(f"{path}/part.parquet")
+    docs = bindings.rule_docs(spark, path)
+    assert docs.rdd.getNumPartitions() == 4 and docs.count() == 2000
