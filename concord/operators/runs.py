@@ -52,7 +52,7 @@ def shards_to_do(bounds: DataFrame, records: DataFrame, packed: DataFrame, sourc
     return bounds.join(complete_shards(records, packed, sources), "shard", "left_anti")
 
 
-def resume(bounds: DataFrame, records: DataFrame, sweep: Callable[[DataFrame], DataFrame], path: str, sources: list[str]) -> DataFrame:
+def resume(bounds: DataFrame, records: DataFrame, sweep: Callable[[DataFrame], DataFrame], path: str, sources: list[str], folder_bits: int = 0) -> DataFrame:
     """Process what isn't complete: ``sweep`` makes stored rows of the shards to do; only these are overwritten, also
     those that ``sweep`` gives no row.
 
@@ -61,7 +61,7 @@ def resume(bounds: DataFrame, records: DataFrame, sweep: Callable[[DataFrame], D
     spark = bounds.sparkSession
     # the list of shards is written down before the store changes under it
     todo = stored(shards_to_do(bounds, records, read_packed(spark, path), sources), "todo")
-    write_packed(sweep(todo), path, todo)
+    write_packed(sweep(todo), path, todo, folder_bits)
     done = read_packed(spark, path).join(F.broadcast(todo.select("shard")), "shard", "left_semi")
     return shard_records(done, sources, todo)
 

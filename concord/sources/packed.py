@@ -4,29 +4,48 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from concord.sources.scratch import FOLDER, folder_of, foldered, stored
+
 SCHEMA = "source string, block long, bits long, shard long"
 #: Blocks that one output row batch of an imported slice has.
 BATCH = 1 << 16
 
 
-def write_packed(packed: DataFrame, path: str, shards: DataFrame | None = None) -> None:
+def write_packed(packed: DataFrame, path: str, shards: DataFrame | None = None, folder_bits: int = 0) -> None:
     """Write ``source, block, bits, shard`` by shard; only the shards that occur are replaced, concurrent ones stay.
 
-    ``shards`` (``shard``) are replaced even if they come out without any row: a row without bits stands for them.
+    ``shards`` (``shard``) are replaced even if they come out without any row: a row without bits stands for them. With
+    ``folder_bits``, which a store keeps for good, ``2 ** folder_bits`` small shards share a folder. What the folder holds of
+    other shards is written along, so two writers must not be at one folder at once.
     """
     rows = packed.select("source", "block", "bits", "shard").where("bits <> 0")
     if shards is not None:
         rows = rows.union(shards.selectExpr("cast(null as string)", "cast(null as long)", "0L", "cast(shard as long)"))
-    spread = rows.repartition("shard").sortWithinPartitions("shard", "source", "block")
-    spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("shard").parquet(path)
+    if folder_bits and (old := _existing(packed.sparkSession, path)) is not None:
+        rows = stored(rows, "replacing")
+        new = rows.select("shard").distinct()
+        folders = new.select(F.shiftright("shard", folder_bits).alias(FOLDER)).distinct()
+        rows = rows.unionByName(old.join(folders, FOLDER, "left_semi").join(new, "shard", "left_anti").drop(FOLDER))
+    spread = foldered(rows, folder_bits).sortWithinPartitions(folder_of(folder_bits), "shard", "source", "block")
+    spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(folder_of(folder_bits)).parquet(path)
+
+
+def _existing(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.schema(f"{SCHEMA}, {FOLDER} long").parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 def read_packed(spark: SparkSession, path: str, shards: list[int] | None = None) -> DataFrame:
-    """Stored blocks; a block that isn't stored is all zero. ``shards`` prunes folders."""
-    found = spark.read.schema(SCHEMA).parquet(path).where("bits <> 0")
+    """Stored blocks; a block that isn't stored is all zero. ``shards`` prunes folders, or ranges of rows in them."""
+    found = spark.read.schema(SCHEMA).parquet(path).drop(FOLDER).where("bits <> 0")
     return found if shards is None else found.where(F.col("shard").isin(shards))
 
 

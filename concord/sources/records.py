@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concord.functions.bits import parse_word
+from concord.sources.scratch import FOLDER, folder_of, foldered
 
 FORMAT_VERSION = 1
 CORRUPT = "_corrupt_record"
@@ -14,13 +15,14 @@ SHARD_RECORD = "shard_id int, start long, end long, sources array<string>, valid
 TEXT_SAMPLE = "word string, oracle_text map<string,string>"
 
 
-def write_corpus(corpus: DataFrame, path: str, parts_per_shard: int = 1) -> int:
+def write_corpus(corpus: DataFrame, path: str, parts_per_shard: int = 1, folder_bits: int = 0) -> int:
     """Write by shard as zstd Parquet, sorted by tier and word; the number of shards written. Empty shards get no file.
 
-    ``parts_per_shard`` spreads one shard over several tasks where shards are large.
+    ``parts_per_shard`` spreads one shard over several tasks where shards are large; ``folder_bits`` puts ``2 **
+    folder_bits`` shards in a folder where they are small.
     """
     salt = F.pmod(F.xxhash64("word"), F.lit(parts_per_shard))
-    corpus.repartition("shard", salt).sortWithinPartitions("shard", "tier", "word").write.mode("overwrite").option("compression", "zstd").partitionBy("shard").parquet(path)
+    foldered(corpus, folder_bits, salt).sortWithinPartitions(folder_of(folder_bits), "shard", "tier", "word").write.mode("overwrite").option("compression", "zstd").partitionBy(folder_of(folder_bits)).parquet(path)
     return corpus.sparkSession.read.parquet(path).select("shard").distinct().count()
 
 
@@ -32,28 +34,29 @@ def of_known_version(corpus: DataFrame) -> DataFrame:
 
 def scan_corpus(spark: SparkSession, path: str) -> DataFrame:
     """All stored records, of whatever version."""
-    return spark.read.schema(f"{CORPUS}, tier int, shard long").parquet(path)
+    return spark.read.schema(f"{CORPUS}, tier int, shard long").parquet(path).drop(FOLDER)
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     return of_known_version(scan_corpus(spark, path))
 
 
-def write_corpus_ndjson(corpus: DataFrame, path: str) -> None:
-    """One JSON object per line, sorted by word in its shard, in a folder per shard (gzip)."""
+def write_corpus_ndjson(corpus: DataFrame, path: str, folder_bits: int = 0) -> None:
+    """One JSON object per line, sorted by word in its shard, in a folder per shard, or per ``2 ** folder_bits`` of them (gzip)."""
     columns = [c for c in ("format_version", "word", "category", "oracle_valid", "oracle_text") if c in corpus.columns]
     lines = corpus.select("shard", F.col("word").alias("_w"), F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("value"))
-    lines.repartition("shard").sortWithinPartitions("shard", "_w").select("value", "shard").write.mode("overwrite").option("compression", "gzip").partitionBy("shard").text(path)
+    folder = folder_of(folder_bits)
+    foldered(lines, folder_bits).sortWithinPartitions(folder, "shard", "_w").select("value", folder).write.mode("overwrite").option("compression", "gzip").partitionBy(folder).text(path)
 
 
 def scan_corpus_ndjson(spark: SparkSession, path: str) -> DataFrame:
     """Lines of a corpus in JSON, of whatever version; those that aren't a record stand in ``_corrupt_record``."""
-    return spark.read.schema(f"{CORPUS}, {CORRUPT} string").json(path)
+    return spark.read.schema(f"{CORPUS}, {CORRUPT} string").json(path).drop(FOLDER)
 
 
 def read_corpus_ndjson(spark: SparkSession, path: str) -> DataFrame:
     """Lines of a corpus in JSON; blank lines are skipped, the last may lack its newline."""
-    return of_known_version(spark.read.schema(CORPUS).json(path))
+    return of_known_version(spark.read.schema(CORPUS).json(path).drop(FOLDER))
 
 
 def read_word_list(spark: SparkSession, path: str) -> DataFrame:
@@ -67,13 +70,17 @@ def read_text_sample(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TEXT_SAMPLE).json(path).select(parse_word(F.col("word")).alias("word"), F.col("oracle_text").alias("texts"))
 
 
-def read_shard_records(spark: SparkSession, path: str) -> DataFrame:
-    """Shard records, one JSON document a file; ``_corrupt_record`` holds what couldn't be read."""
-    return spark.read.schema(SHARD_RECORD + ", _corrupt_record string").option("multiLine", True).json(path)
+def read_shard_records(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Shard records, one JSON document a file, or a line; ``_corrupt_record`` holds what couldn't be read."""
+    return spark.read.schema(SHARD_RECORD + ", _corrupt_record string").option("multiLine", not lines).json(path).drop(FOLDER)
 
 
-def write_shard_records(records: DataFrame, path: str) -> None:
-    """One JSON document per shard, in a folder of its own, so that shards can be written apart."""
+def write_shard_records(records: DataFrame, path: str, folder_bits: int = 0) -> None:
+    """One JSON document per shard, in a folder of its own, so that shards can be written apart; with ``folder_bits`` a line per
+    shard, ``2 ** folder_bits`` shards a folder, which are written together."""
+    if folder_bits:
+        foldered(records.withColumn("shard", F.col("shard_id")), folder_bits).drop("shard").sortWithinPartitions(FOLDER, "shard_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(FOLDER).json(path)
+        return
     records.withColumn("shard", F.col("shard_id")).repartition("shard").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").json(path)
 
 

@@ -5,7 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Column of folders that hold many small shards.
+FOLDER = "folder"
+
+
+def folder_of(folder_bits: int) -> str:
+    """The column that names folders: each shard has its own, or ``2 ** folder_bits`` neighbouring ones share one."""
+    return FOLDER if folder_bits else "shard"
+
+
+def foldered(df: DataFrame, folder_bits: int, *more: Column) -> DataFrame:
+    """Rows of ``shard`` dealt by folder (and ``more``), so that a folder gets no more files than needed."""
+    named = df.withColumn(FOLDER, F.shiftright(F.col("shard").cast("long"), folder_bits)) if folder_bits else df
+    return named.repartition(folder_of(folder_bits), *more)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

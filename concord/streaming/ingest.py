@@ -8,17 +8,19 @@ from pyspark.sql.streaming import StreamingQuery
 
 from concord.operators.packed import pack, to_long
 from concord.sources.packed import SCHEMA
+from concord.sources.scratch import folder_of, foldered
 
 
-def ingest_verdicts(arriving: DataFrame, sources: list[str], shard_bits: int, path: str, checkpoint: str) -> StreamingQuery:
+def ingest_verdicts(arriving: DataFrame, sources: list[str], shard_bits: int, path: str, checkpoint: str, folder_bits: int = 0) -> StreamingQuery:
     """Pack every micro-batch of verdict rows (``word`` and a boolean per source) to ``path/batch=<id>``.
 
     A batch that is tried again overwrites its own folder, so blocks are neither lost nor doubled; bits of different
-    batches meet by OR, which is the same in any order.
+    batches meet by OR, which is the same in any order. With ``folder_bits`` ``2 ** folder_bits`` small shards share a folder.
     """
 
     def put(batch: DataFrame, number: int) -> None:
-        to_long(pack(batch, sources), sources, shard_bits).write.mode("overwrite").partitionBy("shard").parquet(f"{path}/batch={number}")
+        blocks = foldered(to_long(pack(batch, sources), sources, shard_bits), folder_bits)
+        blocks.write.mode("overwrite").partitionBy(folder_of(folder_bits)).parquet(f"{path}/batch={number}")
 
     return arriving.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
