@@ -73,8 +73,18 @@ def co_acceptance(wide: DataFrame, sources: list[str]) -> DataFrame:
     return wide.agg(*sums).selectExpr(f"stack({len(pairs)}, {rows}) as (a, b, n)")
 
 
+def accepted_kinds(verdicts: DataFrame, sources: list[str]) -> DataFrame:
+    """``kind, word``, the row form: words accepted by all (intersection), by some (union), by none (difference to the domain).
+
+    One pass and one exchange; rows of a word, if it has several, are taken together.
+    """
+    each = verdicts.groupBy("word").agg(*(F.coalesce(F.bool_or(s), F.lit(False)).alias(s) for s in sources))
+    every, some = reduce(lambda a, b: a & b, map(F.col, sources)), reduce(lambda a, b: a | b, map(F.col, sources))
+    kinds = F.array_compact(F.array(F.when(every, F.lit("by_all")), F.when(some, F.lit("by_some")), F.when(~some, F.lit("by_none"))))
+    return each.select(F.explode(kinds).alias("kind"), "word")
+
+
 def accepted_sets(verdicts: DataFrame, sources: list[str]) -> dict[str, DataFrame]:
-    """The row form: words accepted by all (intersection), by some (union), by none (difference to the domain)."""
-    each = [verdicts.where(F.col(s)).select("word") for s in sources]
-    some = reduce(lambda a, b: a.union(b), each).distinct()
-    return {"by_all": reduce(lambda a, b: a.intersect(b), each), "by_some": some, "by_none": verdicts.select("word").subtract(some)}
+    """``accepted_kinds`` apart by kind; each of them is a pass over the verdicts."""
+    kinds = accepted_kinds(verdicts, sources)
+    return {k: kinds.where(F.col("kind") == k).select("word") for k in ("by_all", "by_some", "by_none")}
