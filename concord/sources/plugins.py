@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
@@ -97,8 +98,10 @@ class BatchError(Exception):
 def udf_source(words: DataFrame, name: str, fn: Batch, seconds: float | None = None, own_process: bool = False) -> DataFrame:
     """A source that is ``fn(words) -> (valid, texts or None)``.
 
-    A batch that raises, or takes longer than ``seconds``, is halved until the words that do so stand alone: these become
-    invalid with their error, all others keep their results. With ``own_process`` a batch runs in a process of its own, so
+    A batch that raises is halved, one that takes longer than ``seconds`` is cut in as many parts as each then has words, until
+    the words that do so stand alone: these become invalid with their error, all others keep their results. Halving
+    would wait for a word that never ends as often as its batch can be halved; so it is waited for three times at most in
+    a batch of up to 65,536 words. With ``own_process`` a batch runs in a process of its own, so
     code that hangs in native calls is killed and one that crashes costs its word alone; without it a crash of the whole
     worker is left to Spark's retry of the task.
     """
@@ -117,8 +120,10 @@ def udf_source(words: DataFrame, name: str, fn: Batch, seconds: float | None = N
                 if len(part) == 1:
                     out.append((part, np.zeros(1, bool), [None], [str(e) if isinstance(e, BatchError) else f"{type(e).__name__}: {e}"]))
                 else:
-                    half = len(part) // 2
-                    todo += [part[half:], part[:half]]
+                    n = (len(part) + 1) // 2
+                    if isinstance(e, TimeoutError) and seconds is not None:
+                        n = 1 if len(part) <= 256 else math.isqrt(len(part))
+                    todo += [part[i : i + n] for i in reversed(range(0, len(part), n))]
         return out
 
     def run(batches) -> Iterator:

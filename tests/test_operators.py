@@ -1,4 +1,5 @@
 import functools
+import time
 
 import numpy as np
 import pytest
@@ -662,3 +663,28 @@ def test_small_shards_share_folders(spark):
     stored.write_packed(long.where("shard <> 1"), store, folder_bits=2)
     fresh = runs.resume(shards, recs, lambda todo: long.join(todo.select("shard"), "shard", "left_semi"), store, ALL, 2)
     assert [r.shard_id for r in fresh.collect()] == [1] and stored.read_packed(spark, store).count() == long.count()
+
+
+def test_a_word_that_never_ends_is_waited_for_three_times(spark):
+    def waiting(words):
+        if (words == 777).any():
+            time.sleep(3600)
+        return words % 2 == 0, None
+
+    started = time.monotonic()
+    rows = plugins.udf_source(spark.range(0, 4000, 1, 1).withColumnRenamed("id", "word"), "x", waiting, seconds=1.0).collect()
+    assert time.monotonic() - started < 9  # halving waits twelve times
+    assert len(rows) == 4000 and [(r.word, r.valid, r.error) for r in rows if r.error] == [(777, False, "TimeoutError: over 1 s")]
+
+
+def test_sets_of_repeated_words_in_one_exchange(spark):
+    v = spark.createDataFrame([(1, True, False), (1, False, True), (2, None, False), (3, True, None), (None, True, True)], "word long, a boolean, b boolean")
+    kinds = packed.accepted_kinds(v, ["a", "b"])
+    assert kinds._jdf.queryExecution().executedPlan().toString().count("Exchange hash") == 1
+    assert sorted(map(str, map(tuple, kinds.collect()))) == sorted(map(str, [("by_all", 1), ("by_some", 1), ("by_none", 2), ("by_some", 3), ("by_all", None), ("by_some", None)]))
+
+
+def test_region_queries_take_the_rules_of_all_parts_as_they_are(spark, small):
+    """Part 0 has an empty mask, which all words match."""
+    assert {r.mask for r in bindings.whole_rules(spark, small).collect()} == {r.p_partkey * 37 % 16384 for r in bindings.table(spark, small, "part").collect()}
+    assert bindings.QUERIES["a7_ambiguity_groups"](spark, small).first().unallocated == 0
