@@ -77,5 +77,8 @@ def word_text(word: Column) -> Column:
 
 def parse_word(text: Column) -> Column:
     """The number of a hex string with or without ``0x``; null if it isn't one, or not below 2**63."""
+    plain = F.substring(text, 3, 8)  # of the form that ``word_text`` gives, which needs no regular expression
+    usual = (F.length(text) == 10) & text.startswith("0x") & (F.translate(plain, "0123456789abcdef", "") == "")
     digits = F.regexp_replace(F.trim(text), "^0[xX]", "")
-    return F.when(digits.rlike("^0*(?:[0-7][0-9a-fA-F]{15}|[0-9a-fA-F]{1,15})$"), F.conv(F.regexp_replace(digits, "^0+(?=.)", ""), 16, 10).cast("long"))
+    good = digits.rlike("^0*(?:[0-7][0-9a-fA-F]{15}|[0-9a-fA-F]{1,15})$")
+    return F.when(usual, F.conv(plain, 16, 10).cast("long")).when(good, F.conv(F.regexp_replace(digits, "^0+(?=.)", ""), 16, 10).cast("long"))

@@ -10,12 +10,13 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from concord.functions.bits import block_of, existing, get_bit, parse_word, popcount
+from concord.functions.bits import bit_at, block_of, existing, parse_word, popcount
 from concord.functions.classify import TAXONOMY, shown
 from concord.functions.text import ALIAS_RULE
 from concord.operators.agree import micro, ranked, text_disagreements
 from concord.operators.corpus import rule_counts, unexercised
 from concord.operators.hashing import result_hash
+from concord.operators.packed import unpack
 from concord.operators.rules import classify_words, tiling_summary
 from concord.operators.runs import verify_shard
 from concord.sources.records import CORRUPT, FORMAT_VERSION
@@ -58,20 +59,26 @@ def beside(*rows: DataFrame) -> DataFrame:
 
 
 def coverage_gaps(blocks: DataFrame, corpus: DataFrame, probes: DataFrame, shard_bits: int) -> DataFrame:
-    """Probed words that truly disagree and have no VALIDITY record. ``blocks`` has the mask ``differ``.
+    """``shard, word``: probed words that truly disagree and have no VALIDITY record in their shard. ``blocks`` has the mask ``differ``.
 
-    Of the corpus only records of probed words move, as the probes are broadcast up to FEW_KEYS.
+    Probes and records meet as masks of 64 words; only words that lack a record become rows. Of the corpus only blocks with
+    probed words move, as these are broadcast up to FEW_KEYS.
     """
-    true = probes.withColumn("block", block_of(F.col("word"))).join(blocks.select("block", "differ"), "block").where(get_bit(F.col("differ"), F.col("word")))
-    true = stored(true.select("word", F.shiftright("word", shard_bits).alias("shard")).distinct(), "probes")
-    known = of_keys(corpus.where("category = 'VALIDITY'").select(F.col("shard").cast("long").alias("shard"), parse_word(F.col("word")).alias("word")), true)
-    return true.join(known, ["shard", "word"], "left_anti")
+    asked = probes.groupBy(block_of(F.col("word")).alias("block")).agg(F.bit_or(bit_at(F.col("word"))).alias("asked"))
+    true = asked.join(blocks.select("block", "differ"), "block").groupBy("block").agg(F.bit_or(F.col("asked").bitwiseAND(F.col("differ"))).alias("wanted"))
+    true = stored(true.where("wanted <> 0"), "probes")
+    word = F.col("word")
+    own = F.when(F.col("shard").cast("long") == F.shiftright(word, shard_bits), bit_at(word))  # no filter, which would parse the word once more
+    records = corpus.where("category = 'VALIDITY'").select("shard", parse_word(word).alias("word")).select(block_of(word).alias("block"), own.alias("bit"))
+    known = of_keys(records, true, "block").groupBy("block").agg(F.coalesce(F.bit_or("bit"), F.lit(0)).cast("long").alias("known"))
+    lacking = true.join(known, "block", "left").select("block", F.col("wanted").bitwiseAND(F.bitwise_not(F.coalesce("known", F.lit(0).cast("long")))).alias("lacking"))
+    return unpack(lacking, "lacking").select(F.shiftright("word", shard_bits).alias("shard"), "word")
 
 
-def of_keys(corpus: DataFrame, keys: DataFrame) -> DataFrame:
-    """Records of the (shard, word) of a written table; it is broadcast if it has no more than FEW_KEYS rows."""
-    ids = keys.select("shard", "word")
-    return corpus.join(F.broadcast(ids) if ids.count() <= FEW_KEYS else ids, ["shard", "word"], "left_semi")
+def of_keys(corpus: DataFrame, keys: DataFrame, *by: str) -> DataFrame:
+    """Rows of the keys ``by`` of a written table; it is broadcast if it has no more than FEW_KEYS rows."""
+    ids = keys.select(*by)
+    return corpus.join(F.broadcast(ids) if ids.count() <= FEW_KEYS else ids, list(by), "left_semi")
 
 
 def examples(gaps: DataFrame, n: int | None = None) -> DataFrame:
@@ -110,7 +117,7 @@ def lookups(claims: DataFrame, corpus: DataFrame, shard_bits: int, sources: list
     """
     claims = stored(claims, "claims")
     keyed = claims.withColumn("shard", F.shiftright(parse_word(F.col("word")), shard_bits))
-    of_claims = of_keys(corpus, keyed.select("shard", "word").distinct())
+    of_claims = stored(of_keys(corpus, keyed.select("shard", "word").distinct(), "shard", "word").select("shard", "word", "category", "tier", "oracle_text", "oracle_valid"), "claimed")  # of one pass
     record = F.struct(F.col("category").alias("found"), "oracle_text", "oracle_valid")
     nth = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("tier"))
     same = of_claims.withColumn("_n", nth("shard", "word", "category")).where("_n = 1").select("shard", "word", "category", record.alias("_same"))

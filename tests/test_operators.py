@@ -620,6 +620,36 @@ def test_lookups_and_coverage_of_many_claims(spark, monkeypatch):
         assert [r.word for r in gone.collect()] == [1]
 
 
+def test_coverage_gaps_meet_as_blocks(spark, monkeypatch):
+    """Words that meet records as rows take a row of each through an exchange; masks take one for 64."""
+    _, _, _, blocks, _, c = world(spark)
+    every = spark.range(256).withColumnRenamed("id", "word")
+    for few in (1000, 0):
+        monkeypatch.setattr(checks, "FEW_KEYS", few)
+        gone = checks.coverage_gaps(blocks, c.where("word <> '0x00000001'"), every, 6)
+        joins = [x for x in gone._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x]
+        assert len(joins) == 2 and not any("word#" in x for x in joins)
+        assert [tuple(r) for r in gone.collect()] == [(0, 1)]
+        forms = c.withColumn("word", F.upper(F.regexp_replace("word", "^0x0*", " ")))  # without 0x and zeros, some in upper case
+        assert checks.coverage_gaps(blocks, forms, every, 6).isEmpty()
+        moved = checks.coverage_gaps(blocks, c.withColumn("shard", F.col("shard") + 1), every, 6)  # a record counts in its shard alone
+        assert moved.count() == c.where("category = 'VALIDITY'").select("word").distinct().count() > 1
+        assert checks.coverage_gaps(blocks, c.withColumn("word", F.lit("no word")), every, 6).count() == moved.count()
+
+
+def test_inputs_of_checks_side_by_side_are_made_once():
+    from concurrent.futures import ThreadPoolExecutor
+    from time import sleep
+
+    from concord.bindings import once
+
+    calls = []
+    get = once(lambda: (sleep(0.2), calls.append(1)))
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda _: get(), range(4)))
+    assert len(calls) == 1
+
+
 def test_errors_make_a_shard_incomplete(spark):
     _, long, shards, _, _, _ = world(spark)
     errors = spark.createDataFrame([(1, False), (2, True)], "shard long, triaged boolean")
