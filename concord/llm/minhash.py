@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.common import FEW_HOT, HOT_ROWS, connected_components, join_groups, materialize, with_row_key
+from concord.llm.common import FEW_HOT, HOT_ROWS, connected_components, join_groups, materialize, release, with_row_key
 
 #: Values in each of the two collections, and minhashes in a value: 96 minhashes make the keys of 16 x 16 tables of six
 #: minhashes each. Of two sets of similarity 0.8 one value of a collection agrees with probability 0.8 ** 3, so both
@@ -139,8 +139,11 @@ def members(nodes: DataFrame, part: int, few_ids: int, hot_rows: int) -> DataFra
     pick = lambda lo: f"filter(sequence({lo}, {lo + VALUES - 1}), i -> getbit(shared, i) = 1)"
     keys = F.expr(f"flatten(transform({pick(0)}, i -> transform({pick(VALUES)}, j -> struct(xxhash64(collections[i], collections[j]) as key, collections[i] as value))))")
     keyed = nodes.select("node", "collections").join(shared, "node").select("node", F.explode(keys).alias("x")).select("node", "x.key", "x.value")
-    found = met(materialize(keyed, "minhash-keyed"), "key", "minhash-keys", few_ids, hot_rows)
-    return materialize(found.select("key", "value", "node", F.ceil(F.col("met") / part).cast("int").alias("parts")), "minhash-members")
+    keyed = materialize(keyed, "minhash-keyed")
+    found = met(keyed, "key", "minhash-keys", few_ids, hot_rows)
+    held = materialize(found.select("key", "value", "node", F.ceil(F.col("met") / part).cast("int").alias("parts")), "minhash-members")
+    release(keyed)
+    return held
 
 
 def may_link(n: np.ndarray, counts: np.ndarray, full: np.ndarray, a, b, percent: int) -> np.ndarray:
@@ -304,7 +307,7 @@ def _dealt(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int, per_copy: int = PER_COPY, few_ids: int = FEW_IDS) -> DataFrame:
-    """``a, b, linked`` for the rows of a written table of pairs, from the full sets of both texts.
+    """``a, b, linked``, written, for the rows of a written table of pairs, from the full sets of both texts.
 
     Texts of paired rows are picked once. That of ``a`` is held while those of its ``b`` pass; where it has many, they are
     dealt to copies of it, so no task gets all.
@@ -335,11 +338,13 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int, per_
                     out.append((a, b, 100 * common >= percent * (len(held) + len(own) - common)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ([], [], []), (pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["a", "b", "linked"])
 
-    return both.mapInArrow(run, "a long, b long, linked boolean")
+    out = materialize(both.mapInArrow(run, "a long, b long, linked boolean"), "minhash-links")
+    release(picked)
+    return out
 
 
 def open_keys(held: DataFrame, tested: DataFrame, labels: DataFrame, few_ids: int) -> DataFrame:
-    """Keys in which a pair that may link can be untested between different labels: those of a pair that didn't link, and
+    """Keys, written, in which a pair that may link can be untested between different labels: those of a pair that didn't link, and
     those dealt to parts that have not become one."""
     failed = tested.where("not linked").select("a", "b")
     a, b = held.select("key", F.col("node").alias("a")), held.select("key", F.col("node").alias("b"))
@@ -347,7 +352,9 @@ def open_keys(held: DataFrame, tested: DataFrame, labels: DataFrame, few_ids: in
     by_pair = b.join(small(of_a, few_ids), ["key", "b"]).select("key")
     named = held.where("parts > 1").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     apart = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    return by_pair.union(apart).distinct()
+    out = materialize(by_pair.union(apart).distinct(), "minhash-open")
+    release(of_a)
+    return out
 
 
 def labelled(links: DataFrame) -> DataFrame:
@@ -377,18 +384,21 @@ def minhash_duplicates(
     other, so their component is their own id; fewer words than ``width`` are one shingle; rows with a null id link and are
     linked through like any other, a component without any id is null, and they are kept only in such a component;
     repeated rows give equal rows; texts are read whole; other columns are ignored; an empty table gives an empty result.
+    Written tables that the result does not read are deleted as soon as no later step reads them.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    texts, key = with_row_key(slim, "minhash-rows")
-    texts = texts.withColumnRenamed(key, "row")
+    whole, key = with_row_key(slim, "minhash-rows")
+    texts = whole.withColumnRenamed(key, "row")
     sketched = materialize(prints(texts, width), "minhash-prints")
     sets = materialize(sketched.where("n > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("first"), F.count("*").alias("n_rows")), "minhash-sets")
     nodes = materialize(sketched.withColumnRenamed("row", "node").join(small(sets.select("node"), few_ids), "node").select("node", "n", "collections", "counters"), "minhash-nodes")
     held = members(nodes, part, few_ids, hot_rows)
     pairs = materialize(first_pairs(held, nodes, percent), "minhash-pairs")
-    links = materialize(confirmed(pairs, texts, width, percent, per_copy, few_ids), "minhash-links")
+    release(nodes)
+    links = confirmed(pairs, texts, width, percent, per_copy, few_ids)
+    release(pairs)
     labels = labelled(links)
-    still = materialize(open_keys(held, links, labels, few_ids), "minhash-open")
+    still = open_keys(held, links, labels, few_ids)
     if not still.isEmpty():
         large = held.where("parts > 1").groupBy("key").agg(F.count("*").alias("met"))
         few = still.count() <= few_ids
@@ -396,11 +406,14 @@ def minhash_duplicates(
         hashed = materialize(hash_sets(small(again.select("node").distinct(), few_ids), texts, width), "minhash-hashes")
         for every in (False, True):
             more = materialize(later_pairs(again, hashed, labels, percent, part, every).join(links.select("a", "b"), ["a", "b"], "left_anti"), "minhash-pairs")
-            found = materialize(confirmed(more, texts, width, percent, per_copy, few_ids), "minhash-links")
+            found = confirmed(more, texts, width, percent, per_copy, few_ids)
+            release(more)
             links = links.unionByName(found)
             labels = labelled(links)
             if found.where("not linked").isEmpty():
                 break  # else two hashes are equal by chance, and a pair that isn't linked may have hidden one that is
+        release(again, hashed)
+    release(whole, held, still)
     named = sets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = materialize(named.groupBy("label").agg(F.min("first").alias("component_id"), F.count("*").alias("n_sets")), "minhash-smallest")
     of_set = join_groups(named.select("label", "digest"), smallest.drop("n_sets"), "label", smallest, "n_sets", hot_rows).select("digest", "component_id")

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from concord.llm import minhash
+from concord.llm import common, minhash
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 A_Z = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -155,3 +155,17 @@ def test_agreement_of_values_follows_the_similarity():
 
 def test_duplicates_empty(empty):
     assert minhash.minhash_duplicates(empty).count() == 0
+
+
+def test_tables_that_the_result_does_not_read_are_deleted(spark, tmp_path, monkeypatch):
+    """Near copies that link and, as every key is cut in parts, members that meet again."""
+    random.seed(3)
+    words = [f"w{i}" for i in range(40)]
+    base = [" ".join(random.choices(words, k=60)) for _ in range(4)]
+    rows = [(i, base[i % 4] + " end" * (i // 4 % 5)) for i in range(40)]
+    monkeypatch.setattr(common, "shared_dir", lambda spark: str(tmp_path))
+    out = minhash.minhash_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), part=1)
+    left = {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()}
+    assert "minhash-links" in left
+    assert not left & {f"minhash-{x}" for x in ("rows", "nodes", "keyed", "members", "pairs", "texts", "failed", "open", "again", "hashes")}
+    assert sorted(repr(tuple(r)) for r in out.collect()) == plain(rows)
